@@ -49,6 +49,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney scores: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    from .language_model import fold, score, train
+
+    docs = _docs(spark, sf_dir)
+    held = fold(F.col("doc_id"), 7) == 2
+    model = train(docs.filter(~held))
+    rows = score(docs, model).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak supervision: measures, base_failed and the posterior's verdict."""
     from .quality import quality
@@ -57,10 +68,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows: (doc_id, n_words, n_removed, kept_sha256)."""
+    from .substring import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op8_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op8_quality, op9_substring, pipeline)}
