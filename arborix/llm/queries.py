@@ -75,10 +75,18 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector classes: (vec_id, n_links, component_id, kept)."""
+    from .nn_descent import near_duplicates
+
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op8_quality, op9_substring, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op8_quality, op9_substring, op10_embedding, pipeline)}
