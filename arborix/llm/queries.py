@@ -60,6 +60,16 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores: (doc_id, held_out, score, predicted, flagged)."""
+    from .toxicity import held_out, score, train
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    rows = score(docs, net).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "flagged")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak supervision: measures, base_failed and the posterior's verdict."""
     from .quality import quality
@@ -89,4 +99,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op8_quality, op9_substring, op10_embedding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op7_toxicity, op8_quality, op9_substring, op10_embedding, pipeline)}
