@@ -49,30 +49,23 @@ def bm25(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", ques
     return weight.join(tf, [*within, "term"]).groupBy(*within, query_id, key).agg(F.sum(part).alias("score"))
 
 
-def hashed(text, dim: int = DIM) -> Column:
-    """Hashing encoder: map bucket -> weight of a text, of length 1.
+def bucket(token: Column, dim: int = DIM) -> Column:
+    """The first four bytes of a token's md5, little-endian, modulo the dimension."""
+    h = F.md5(token.cast("binary"))
+    turned = F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+    return (F.conv(turned, 16, 10).cast("long") % dim).cast("int")
 
-    A token's bucket is the first four bytes of its md5, little-endian, modulo
-    the dimension; weights are log1p of counts.
-    """
-    tokens = tx.encoder_tokens(text)
-
-    def bucket(t):
-        h = F.md5(t.cast("binary"))
-        turned = F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-        return (F.conv(turned, 16, 10).cast("long") % dim).cast("int")
 
-    buckets = F.array_sort(F.transform(tokens, bucket))
-    kinds = F.array_distinct(buckets)
-    weights = F.transform(kinds, lambda b: F.struct(b.alias("b"), F.log1p(F.size(F.filter(buckets, lambda x: x == b)).cast("double")).alias("w")))
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return F.transform(weights, lambda x: F.struct(x["b"].alias("b"), (x["w"] / norm).alias("w")))
+def hashed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """Hashing encoder: (key, b, w), the buckets of each text with log1p of their counts, of length 1."""
+    counts = rows.select(key, F.explode(tx.encoder_tokens(text)).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("b")).agg(F.log1p(F.count("*").cast("double")).alias("w"))
+    return counts.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
 def hashed_cosine(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, key, score) of pairs that share a bucket: a join on buckets, never all pairs."""
-    q = queries.select(query_id, F.explode(hashed(question)).alias("x")).select(query_id, F.col("x.b").alias("b"), F.col("x.w").alias("wq"))
-    c = chunks.select(key, F.explode(hashed(text)).alias("x")).select(key, F.col("x.b").alias("b"), F.col("x.w").alias("wc"))
+    q = hashed(queries, query_id, question).withColumnRenamed("w", "wq")
+    c = hashed(chunks, key, text).withColumnRenamed("w", "wc")
     return q.join(c, "b").groupBy(query_id, key).agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
 
 
