@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .simhash import words_of
 from .sorted_runs import PACKED, Sorted, WordHashes, by_shard, distinct, mix64, n_shards, packed, portions, record_batch, unmix64, unsmall
-from .storage import make_dir, new_path, save, write_array
+from .storage import drop, make_dir, new_path, save, write_array
 
 #: What stands for the end of a text; no word holds a line break.
 END = b"\n"
+#: Counts of bigrams from here on are kept apart.
+MANY = 255
 
 
 def with_end(text: str | None) -> list[bytes]:
@@ -74,10 +76,11 @@ class Model:
 
 
 @cache
-def _open(uri: str, shards: int) -> tuple[Sorted, Sorted]:
+def _open(uri: str, shards: int) -> tuple[Sorted, Sorted, Sorted]:
     return (
         Sorted(uri, "word", shards, keys="<u8", counts="<i8", total="<u4", n1="<u4", n2="<u4", n3="<u4", before="<u4"),
-        Sorted(uri, "pair", shards, keys="<u8", counts="<u4"),
+        Sorted(uri, "pair", shards, keys="<u8", counts="u1"),
+        Sorted(uri, "many", shards, keys="<u8", counts="<u4"),
     )
 
 
@@ -141,7 +144,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         keys, counts = distinct(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(k, "<u8") for _, k, _ in rows)]), np.concatenate([np.empty(0, np.int64), *(unsmall(c) for _, _, c in rows)]))
         del rows
         write_array(f"{uri}/pair-{shard}.keys", keys)
-        write_array(f"{uri}/pair-{shard}.counts", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+        # one byte a count; the few larger ones stand in arrays of their own
+        write_array(f"{uri}/pair-{shard}.counts", np.minimum(counts, MANY).astype("u1"))
+        many = counts >= MANY
+        write_array(f"{uri}/many-{shard}.keys", keys[many])
+        write_array(f"{uri}/many-{shard}.counts", np.minimum(counts[many], (1 << 32) - 1).astype("<u4"))
         both = unmix64(keys)
         a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         some = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype("<i8")
@@ -174,6 +181,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*some[1:5], some[3:].sum())], names=["a", "b", "c", "d", "more"])
 
     got = by_shard(counted.filter("shard >= 0"), shards, merge_stats, "a long, b long, c long, d long, more long").agg(*[F.sum(c) for c in ("a", "b", "c", "d", "more")]).first()
+    drop(counted)
     low = Discounts.of(tuple(got[:4]))
     spread = (low.one * got[0] + low.two * got[1] + low.more * got[4]) / bigrams if bigrams else 1.0
     return Model(uri, shards, offsets, n, tokens, bigrams, high, low, spread)
@@ -184,7 +192,7 @@ class Scorer:
 
     def __init__(self, m: Model):
         self.m, self.hashes = m, WordHashes()
-        self.words, self.pairs = _open(m.uri, m.shards)
+        self.words, self.pairs, self.many = _open(m.uri, m.shards)
 
     def _of(self, numbers: np.ndarray, column: str) -> np.ndarray:
         """A column of the vocabulary at sorted numbers; 0 for unknown words."""
@@ -216,6 +224,9 @@ class Scorer:
         for s, part, i, ok in self.pairs.find(keys):
             own = self.pairs.column(s, "counts")
             count[part] = np.where(ok, own[np.minimum(i, max(0, len(own) - 1))] if len(own) else 0, 0)
+        large = np.flatnonzero(count == MANY)
+        for s, part, i, ok in self.many.find(keys[large]):
+            count[large[part][ok]] = self.many.column(s, "counts")[i[ok]]
         both = unmix64(keys)
         a = np.searchsorted(numbers, (both >> np.uint64(32)).astype(np.int64))
         b = np.searchsorted(numbers, (both & np.uint64(0xFFFFFFFF)).astype(np.int64))

@@ -100,7 +100,7 @@ def brute_model(train, texts):
 
 def test_language_model_is_the_brute_force(spark, monkeypatch):
     monkeypatch.setattr("arborix.llm.sorted_runs.TOKENS", 900)
-    texts = corpus(2)
+    texts = corpus(2) + ["a b " * 300]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     docs = frame(spark, texts)
     model = lm.train(docs.filter(lm.fold(docs["doc_id"], 7) != 2))
