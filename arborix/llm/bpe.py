@@ -151,10 +151,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", threads: int = 1, decoded_col: str | None = None) -> DataFrame:
     """docs with their ids as a further column (array of int); a column of that name is replaced.
 
-    Null and empty texts have no ids.
+    With decoded_col the ids' text is added in the same pass, so that one
+    worker and not two serve a task.  Null and empty texts have no ids and
+    decode to the empty text.
     """
     import pyarrow as pa
 
@@ -165,13 +167,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 part = batch.slice(at, 64)
                 ids = [np.array(bpe.encode(t.as_py()), np.int32) for t in part.column(0)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                made = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*(f"c{k}" for k in range(len(others))), "ids"])
+                made = [pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))]
+                if decoded_col:
+                    made.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*(f"c{k}" for k in range(len(others))), *new])
 
-    others = [c for c in docs.columns if c != ids_col]
+    others = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    new = ["ids", "decoded"] if decoded_col else ["ids"]
     plain = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])
-    schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)), "ids array<int>"])
-    return plain.mapInArrow(run, schema).toDF(*others, ids_col)
+    schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)), "ids array<int>", *(["decoded string"] if decoded_col else [])])
+    return plain.mapInArrow(run, schema).toDF(*others, ids_col, *([decoded_col] if decoded_col else []))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -157,6 +157,8 @@ def test_bpe_is_the_library(docs, empty, library):
     assert bpe.round_trip(empty, bpe.default_vocabulary()).count() == 0
     back = bpe.decode(bpe.encode(docs, bpe.default_vocabulary()).withColumnRenamed("text", "was"), bpe.default_vocabulary()).collect()
     assert all(r.text == (r.was or "") for r in back)
+    both = bpe.encode(docs.withColumnRenamed("text", "was"), bpe.default_vocabulary(), text_col="was", decoded_col="text").collect()
+    assert all(r.text == (r.was or "") for r in both) and len(both) == len(back)
 
 
 @settings(max_examples=150, deadline=None)
