@@ -91,7 +91,9 @@ def _links(nodes: DataFrame, n_words: int, distance: int) -> DataFrame:
     members = nodes.select("node", "fp", F.explode(F.array(*parts)).alias("p")).select("node", "fp", "p.s", "p.g")
     sizes = save(members.groupBy("s", "g").agg(F.count("*").alias("n")), "segments")
     # a key is the segment's number, the wildcard's place and the other bits
-    wild = sizes.select("s", "g", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
+    # a small table that grows 32-fold: dealt out first
+    spread = sizes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wild = spread.select("s", "g", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
     bit = F.expr("shiftleft(1L, j)")
     wild = wild.select((F.col("s") * 32 + F.col("j")).alias("sj"), F.col("g").bitwiseAND(F.bitwise_not(bit)).alias("rest"), "g")
     beside = wild.groupBy("sj", "rest").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2")
