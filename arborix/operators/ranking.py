@@ -77,7 +77,7 @@ def cheapest_complete(configs: DataFrame) -> DataFrame:
 
 def throttled(calls: DataFrame, budget: float, ts: str = "ts", tokens: str = "tokens", by: list[str] | None = None, seconds: int = 60) -> DataFrame:
     """Tokens of the trailing window at each call, and whether they are within the budget."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*(by or [])).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return calls.withColumn("window_tokens", F.sum(tokens).over(w)).withColumn("allowed", F.col("window_tokens") <= budget)
 
 

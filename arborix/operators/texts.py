@@ -18,7 +18,8 @@ def _lines(title: Column, body: Column) -> Column:
     return F.when(title != "", F.concat(title, F.lit("\n"), body)).otherwise(body)
 
 
-TITLE = tx.format_value("title")
+def shown_title() -> Column:
+    return tx.format_value("title")
 
 
 def cell_line() -> Column:
@@ -60,7 +61,7 @@ def flat_rows(cells: DataFrame, with_title: bool = True) -> DataFrame:
     hs = F.when(F.col("labelled"), F.concat(F.array(F.lit("row")), F.col("hs"))).otherwise(F.col("hs"))
     vs = F.when(F.col("labelled"), F.concat(F.array(tx.leaf("row_path")), F.col("vs"))).otherwise(F.col("vs"))
     text = F.concat(mark(hs), F.lit("\n"), mark(F.transform(hs, lambda _: F.lit("---"))), F.lit("\n"), mark(vs))
-    return rows.select("table_id", "r", (_lines(TITLE, text) if with_title else text).alias("text"))
+    return rows.select("table_id", "r", (_lines(shown_title(), text) if with_title else text).alias("text"))
 
 
 def path_texts(cells: DataFrame, kind: str = "row", with_title: bool = True) -> DataFrame:
@@ -71,12 +72,12 @@ def path_texts(cells: DataFrame, kind: str = "row", with_title: bool = True) ->
 def sentences(cells: DataFrame, length: str = "medium", kind: str = "row", with_title: bool = True) -> DataFrame:
     """S3: caption sentences; a cell's own states the title, rows and tables state it once."""
     if kind == "cell":
-        return cells.select("table_id", "r", "c", cell_sentence(length, TITLE if with_title else None).alias("text"))
+        return cells.select("table_id", "r", "c", cell_sentence(length, shown_title() if with_title else None).alias("text"))
     return _grouped(cells, cell_sentence(length), kind, with_title)
 
 
 def _grouped(cells: DataFrame, line: Column, kind: str, with_title: bool) -> DataFrame:
-    title = TITLE if with_title else F.lit("")
+    title = shown_title() if with_title else F.lit("")
     if kind == "cell":
         return cells.select("table_id", "r", "c", _lines(title, line).alias("text"))
     keys, order = (["table_id", "title", "r"], ["c"]) if kind == "row" else (["table_id", "title"], ["r", "c"])

@@ -104,7 +104,7 @@ def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binomial p values of all small discordant counts."""
     t = spark.range(0, 15).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("c"))
     w = significance.wilson((F.col("b") / F.greatest(F.col("b") + F.col("c"), F.lit(1))), F.col("b") + F.col("c"))
-    return t.select("b", "c", F.round(significance.mcnemar("b", "c"), 8).alias("mcnemar"), F.round(significance.sign_test("b", "c"), 8).alias("sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
+    return t.select("b", "c", F.round(significance.mcnemar("b", "c"), 5).alias("mcnemar"), F.round(significance.sign_test("b", "c"), 5).alias("sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
 
 def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def fallback_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.assessed(line).select("query_id", "n_operands", F.round("coverage", 6).alias("coverage"), "reason", "fallback")
 
 
-PLANS = [("x1 - x2", [("x1", "asia", "1995 > A"), ("x2", "europe", "1995 > A")]), ("(x1 - x2) / x2 * 100", [("x1", "total", "1996 > R"), ("x2", "total", "1995 > R")]), ("max(x1, x2, abs(-3))", [("x1", "china", "1994 > N"), ("x2", "japan", "1994 > A")]), ("x1 / 0", [("x1", "asia", "1995 > A")]), ("x1 + y", [("x1", "asia", "1995 > A")]), ("__import__('os')", [("x1", "asia", "1995 > A")]), ("x1", [("x1", "nowhere at all", "1995 > A")])]
+PLANS = [("x1 - x2", [("x1", "asia", "1995 > A"), ("x2", "europe", "1995 > A")]), ("(x1 - x2) / x2 * 100", [("x1", "total", "1996 > R"), ("x2", "total", "1995 > R")]), ("max(x1, x2, abs(-3))", [("x1", "nation_12", "1996 > N"), ("x2", "nation_17", "1996 > A")]), ("x1 / 0", [("x1", "asia", "1995 > A")]), ("x1 + y", [("x1", "asia", "1995 > A")]), ("__import__('os')", [("x1", "asia", "1995 > A")]), ("x1", [("x1", "nowhere at all", "1995 > A")])]
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,13 @@ def decomposition_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.match_accuracy(best.select("query_id", "path", "rank"), gold)
 
 
-_per = lambda k, extra="": f"pq AS (SELECT arm, query_id, count(*) AS m, coalesce(1.0 / min(rank), 0.0) AS rr, " + ", ".join(f"min(CAST(coalesce(rank <= {x}, false) AS INTEGER)) AS s{x}, avg(CAST(coalesce(rank <= {x}, false) AS INTEGER)) AS c{x}, max(CAST(coalesce(rank <= {x}, false) AS INTEGER)) AS h{x}, sum(CASE WHEN rank <= {x} THEN ln(2.0) / ln(rank + 1) ELSE 0 END) / (SELECT sum(ln(2.0) / ln(i + 1)) FROM range(1, 51) t(i) WHERE i <= least(count(*), {x})) AS d{x}" for x in k) + " FROM ranks GROUP BY arm, query_id)"
+def _per(ks: tuple[int, ...]) -> str:
+    """CTE pq(arm, query_id, m, rr, s, c, h and d of each k) over the rank records."""
+    hit = lambda k: f"CAST(coalesce(rank <= {k}, false) AS INTEGER)"
+    first = ", ".join(f"min({hit(k)}) AS s{k}, avg({hit(k)}) AS c{k}, max({hit(k)}) AS h{k}, sum(CASE WHEN rank <= {k} THEN ln(2.0) / ln(rank + 1) ELSE 0 END) AS g{k}" for k in ks)
+    ideal = ", ".join(f"g{k} / list_sum(list_transform(range(1, CAST(least(m, {k}) AS BIGINT) + 1), lambda i: ln(2.0) / ln(i + 1))) AS d{k}" for k in ks)
+    return f"pq0 AS (SELECT arm, query_id, count(*) AS m, coalesce(1.0 / min(rank), 0.0) AS rr, {first} FROM ranks GROUP BY arm, query_id), pq AS (SELECT *, {ideal} FROM pq0)"
+
 
 SQL = {
     "rank_metrics": f"""{RANKS}, {_per((10, 20, 50))} SELECT arm, count(*) AS n_queries, round(avg(rr), 4) AS mrr, """ + ", ".join(f"round(avg(s{k}), 4) AS set_recall_{k}, round(avg(c{k}), 4) AS coverage_{k}, count(*) FILTER (WHERE s{k} = 0 AND c{k} > 0) AS n_partial_{k}, round(avg(h{k}), 4) AS hit_{k}, round(avg(d{k}), 4) AS ndcg_{k}" for k in (10, 20, 50)) + " FROM pq GROUP BY arm",
@@ -314,7 +320,7 @@ SQL = {
     "exact_tests": """WITH t AS (SELECT CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, b + c AS n FROM range(0, 15) x(b), range(0, 15) y(c)),
       p AS (SELECT b, c, n, (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 15) r(i) WHERE i <= least(b, c)) / pow(2.0, n) AS low,
         (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 29) r(i) WHERE i >= b AND i <= n) / pow(2.0, n) AS up, b / greatest(n, 1) AS s FROM t)
-      SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END, 8) AS mcnemar, round(CASE WHEN n > 0 THEN least(1.0, up) END, 8) AS sign,
+      SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END, 5) AS mcnemar, round(CASE WHEN n > 0 THEN least(1.0, up) END, 5) AS sign,
         round(CASE WHEN n > 0 THEN greatest(0.0, (s + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS low,
         round(CASE WHEN n > 0 THEN least(1.0, (s + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS high FROM p""",
     "paired_flips": f"{RANKS}, {_per((20,))}, j AS (SELECT CASE WHEN a.m <= 1 THEN '1' WHEN a.m = 2 THEN '2' WHEN a.m <= 4 THEN '3-4' WHEN a.m <= 8 THEN '5-8' ELSE '9+' END AS scope, a.s20 AS x, b.s20 AS y FROM pq a JOIN pq b ON a.query_id = b.query_id AND a.arm = 'base' AND b.arm = 'treat') SELECT scope, count(*) AS n, CAST(sum(x) AS BIGINT) AS a_covered, CAST(sum(y) AS BIGINT) AS b_covered, count(*) FILTER (WHERE y = 1 AND x = 0) AS gain, count(*) FILTER (WHERE x = 1 AND y = 0) AS loss FROM j GROUP BY scope",
@@ -335,7 +341,7 @@ SQL = {
     "fallback_decisions": "WITH r AS (SELECT p_partkey AS query_id, p_size % 5 AS n, p_size / 50 AS c, (p_partkey % 10) / 10 AS f FROM part), s AS (SELECT query_id, CASE WHEN n = 0 THEN 'no_operands' WHEN c < 0.7 AND f < 0.3 THEN 'low_both' WHEN c < 0.7 THEN 'low_coverage' WHEN f < 0.3 THEN 'low_confidence' ELSE 'ok' END AS reason FROM r) SELECT query_id, reason, reason <> 'ok' AS fallback FROM s",
     "fallback_by_score": "WITH a AS (SELECT l_orderkey AS query_id, count(*) AS n, avg(CAST(l_quantity / 50 >= 0.3 AS INTEGER)) AS c FROM lineitem GROUP BY 1) SELECT query_id, n AS n_operands, round(c, 6) AS coverage, CASE WHEN c < 0.7 THEN 'coverage<0.7' ELSE 'ok' END AS reason, c < 0.7 AS fallback FROM a",
     "plan_values": grid("""+ v AS (SELECT table_id, max(CASE WHEN row_path = ['ASIA'] AND col_path = ['1995', 'A'] THEN num END) AS a0, max(CASE WHEN row_path = ['EUROPE'] AND col_path = ['1995', 'A'] THEN num END) AS e0, max(CASE WHEN row_path = ['total'] AND col_path = ['1996', 'R'] THEN num END) AS t6, max(CASE WHEN row_path = ['total'] AND col_path = ['1995', 'R'] THEN num END) AS t5,
-        max(CASE WHEN row_path[2] = 'CHINA' AND col_path = ['1994', 'N'] THEN num END) AS ch, max(CASE WHEN row_path[2] = 'JAPAN' AND col_path = ['1994', 'A'] THEN num END) AS jp, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'ASIA' AND col_path = ['1995', 'A']) AS asia, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'EUROPE' AND col_path = ['1995', 'A']) AS eur FROM cells GROUP BY table_id)
+        max(CASE WHEN row_path[2] = 'NATION_12' AND col_path = ['1996', 'N'] THEN num END) AS ch, max(CASE WHEN row_path[2] = 'NATION_17' AND col_path = ['1996', 'A'] THEN num END) AS jp, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'ASIA' AND col_path = ['1995', 'A']) AS asia, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'EUROPE' AND col_path = ['1995', 'A']) AS eur FROM cells GROUP BY table_id)
       SELECT table_id || '/0' AS query_id, round(asia - eur, 6) AS value, NULL::VARCHAR AS error FROM v UNION ALL SELECT table_id || '/1', round((t6 - t5) / t5 * 100, 6), NULL FROM v UNION ALL SELECT table_id || '/2', round(greatest(ch, jp, 3), 6), NULL FROM v
       UNION ALL SELECT table_id || '/3', NULL, 'eval_error:division' FROM v UNION ALL SELECT table_id || '/4', NULL, 'eval_error:undefined' FROM v UNION ALL SELECT table_id || '/5', NULL, 'eval_error:grammar' FROM v UNION ALL SELECT table_id || '/6', NULL, 'unresolved_cell:x1' FROM v"""),
     "page_grids": "SELECT page_id, 0 AS n_rows, 0 AS n_merges FROM pages WHERE NOT contains(html, '<table')",
