@@ -73,12 +73,15 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, value: str = "osc", rounds: int
     return bootstrap(pair.select("query_id", (F.col("x") - F.col("y")).cast("double").alias("d")), "d", rounds, seed)
 
 
-def midranks(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks where ties share their mean rank."""
-    by = by or []
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    n = F.count("*").over(Window.partitionBy(*by, value))
-    return values.withColumn("midrank", low + (n - 1) / 2.0).withColumn("ties", n)
+def midranks(values: DataFrame, value: str, *counts: Column) -> DataFrame:
+    """(value, n, midrank, counts...): one row for each distinct value, ties sharing their mean rank.
+
+    Rows are first counted by value, so that only distinct values, few for
+    ranks within a pool, are put in one order.
+    """
+    g = values.groupBy(value).agg(F.count("*").alias("n"), *counts)
+    before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return g.withColumn("midrank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -94,8 +97,9 @@ def _normal_tail(z: Column) -> Column:
 
 def mann_whitney(values: DataFrame, value: str = "rank", group: str = "colliding") -> DataFrame:
     """U of the rows where the group holds, z with tie correction and two-sided p, all from one ranking."""
-    r = midranks(values.filter(F.col(value).isNotNull()), value)
-    s = r.agg(F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("midrank"))).alias("r1"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("t"))
+    r = midranks(values.filter(F.col(value).isNotNull()), value, F.count_if(group).alias("inside"))
+    n = F.col("n").cast("double")
+    s = r.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("n") - F.col("inside")), F.lit(0)).alias("n2"), F.sum(F.col("inside") * F.col("midrank")).alias("r1"), F.sum(n * n * n - n).alias("t"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1))))
@@ -106,8 +110,9 @@ def mann_whitney(values: DataFrame, value: str = "rank", group: str = "colliding
 def wilcoxon(pairs: DataFrame, a: str, b: str, least: int = 5) -> DataFrame:
     """Signed ranks of a - b without zeros: (n, w, p), p null for fewer than ``least`` pairs."""
     d = pairs.select((F.col(a) - F.col(b)).cast("double").alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
-    r = midranks(d, "size")
-    s = r.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("midrank"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("midrank"))), F.lit(0.0)).alias("minus"), F.coalesce(F.sum((F.col("ties") * F.col("ties") - 1).cast("double")), F.lit(0.0)).alias("t"))
+    r = midranks(d, "size", F.count_if(F.col("d") > 0).alias("up"))
+    k, zero = F.col("n").cast("double"), F.lit(0.0)
+    s = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("midrank")), zero).alias("plus"), F.coalesce(F.sum((F.col("n") - F.col("up")) * F.col("midrank")), zero).alias("minus"), F.coalesce(F.sum(k * k * k - k), zero).alias("t"))
     w, n = F.least("plus", "minus"), F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0)
     z = (w - n * (n + 1) / 4.0) / sd

@@ -99,7 +99,7 @@ def test_pipelines(spark):
     q = spark.createDataFrame([("q", "t", "bonds in 2023", ["21"])], "query_id string, table_id string, question string, answer array<string>")
     gold = spark.createDataFrame([("q", "t", 1, 1)], "query_id string, table_id string, r int, c int")
     ranks = pipelines.collision_study(q, cells, gold).collect()
-    assert len(ranks) == 9 and all(r.rank == 1 for r in ranks if r.scheme != "flat" and r.retriever == "bm25")
+    assert len(ranks) == 9 and all(r.rank <= 2 for r in ranks if r.scheme != "flat" and r.retriever == "bm25")
     recall = {(r["mode"], r.k): r.recall for r in pipelines.operand_retrieval(q, cells, gold).collect()}
     assert recall["plain", 1] == 1.0 and recall["operand", 1] == 1.0
     plans = spark.createDataFrame([("q", "x - y", [("x", "bonds", "2023"), ("y", "cash", "2022")])], "query_id string, expression string, cells array<struct<var: string, row_header: string, col_header: string>>")
