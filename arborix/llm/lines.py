@@ -61,7 +61,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = hashed.groupBy("h", "n").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h", "n")
     # compared by their bytes: only texts of chunks whose hashes repeat travel
     named = chunk.withColumn("h", F.xxhash64("chunk")).withColumn("n", F.length("chunk")).withColumn("place", place)
-    again = save(named.join(twice, ["h", "n"], "left_semi").select("h", "chunk", "place"), "chunks")
+    again = save(named.join(twice.hint("merge"), ["h", "n"], "left_semi").select("h", "chunk", "place"), "chunks")
     first = again.groupBy("h", "chunk").agg(F.min("place").alias("first"))
     gone = again.join(first, ["h", "chunk"]).filter("place > first")
     gone = gone.select("place._id", "place._key", "place.pos")
@@ -76,13 +76,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all of whose lines go becomes empty.
     """
     drop = save(repeated_chunks(docs, id_col, text_col, divisor), "drops").select(F.col("_id").alias("_did"), F.col("_key").alias("_dkey"), "_drop")
-    extra = [F.struct(*docs.columns).alias("_row")]
-    rows = _chunked(docs, text_col, extra, divisor)
-    same = (rows["_row"][id_col].eqNullSafe(drop["_did"])) & (rows["_key"] == drop["_dkey"])
-    both = rows.join(drop, same, "left")
+    # the text travels once, in its row; it is cut in chunks where it arrives
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("_key"))
+    same = (plain["_row"][id_col].eqNullSafe(drop["_did"])) & (plain["_key"] == drop["_dkey"])
+    both = plain.join(drop.hint("merge"), same, "left")
     none = F.col("_drop").isNull()
-    stay = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
     original = F.col("_row")[text_col]
+    lined = both.withColumn("_lines", F.split(F.coalesce(original.cast("string"), F.lit("")), "\n", -1))
+    both = lined.select("_row", "_drop", F.when(none & F.lit(keep_columns), F.lit(None)).otherwise(chunks_col(None, divisor)).alias("_chunks"))
+    stay = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
     text = F.when(none, original).otherwise(F.array_join(F.flatten(stay), "\n"))
     if keep_columns:
         return both.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
