@@ -272,3 +272,31 @@ def test_mixing_edges(docs, empty):
     assert mixing.sample(empty).count() == 0
     out = mixing.sample(docs, share=1.0)
     assert out.columns == docs.columns and out.count() == len(TEXTS)
+
+
+def test_mixing_is_the_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["w"] * int(rng.integers(1, 60))) + rng.choice(["", " | a", "?", " 7"]) for _ in range(400)]
+    data = [(int(i), t, str(rng.choice(["en", "de"], p=[0.8, 0.2])), str(rng.choice(["a", "b", "c"], p=[0.7, 0.2, 0.1])), len(t), "", "") for i, t in enumerate(texts)]
+    got = {r[0].doc_id: r for r in mixing.mix(spark.createDataFrame(data, SCHEMA))[0].collect()}
+    topic = lambda t: "table" if " | " in t else "question" if "?" in t else "figures" if any(c.isdigit() for c in t) else "prose"
+    cells = Counter()
+    for _, t, lang, source, *_ in data:
+        cells[source, lang, topic(t)] += len(t.split())
+    total, weight = sum(cells.values()), dict.fromkeys(cells, 1.0)
+    share = lambda k, w: {v: sum(n * w[c] for c, n in cells.items() if c[k] == v) for v in {c[k] for c in cells}}
+    want = [{v: (n / total) ** 0.7 for v, n in share(k, dict.fromkeys(cells, 1.0)).items()} for k in range(3)]
+    want = [{v: x / sum(w.values()) for v, x in w.items()} for w in want]
+    for _ in range(mixing.ROUNDS):
+        for k in range(3):
+            now = share(k, weight)
+            weight = {c: w * want[k][c[k]] * total / now[c[k]] for c, w in weight.items()}
+    low, high = 0.0, 1 / min(weight.values())
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(n * min(1, weight[c] * mid) for c, n in cells.items()) >= 0.75 * total else (mid, high)
+    for i, t, lang, source, *_ in data:
+        p = min(1, weight[source, lang, topic(t)] * high)
+        u = int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:8], 16) / 2**32
+        assert (got[i].n_tokens, got[i].topic) == (len(t.split()), topic(t))
+        assert got[i].p == pytest.approx(p, rel=1e-6) and got[i].kept == (u < p)
