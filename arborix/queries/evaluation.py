@@ -104,7 +104,7 @@ def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binomial p values of all small discordant counts."""
     t = spark.range(0, 15).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("c"))
     w = significance.wilson((F.col("b") / F.greatest(F.col("b") + F.col("c"), F.lit(1))), F.col("b") + F.col("c"))
-    return t.select("b", "c", F.round(significance.mcnemar("b", "c"), 5).alias("mcnemar"), F.round(significance.sign_test("b", "c"), 5).alias("sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
+    return t.select("b", "c", F.round(significance.mcnemar("b", "c") + 1e-9, 6).alias("mcnemar"), F.round(significance.sign_test("b", "c") + 1e-9, 6).alias("sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
 
 def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +320,7 @@ SQL = {
     "exact_tests": """WITH t AS (SELECT CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, b + c AS n FROM range(0, 15) x(b), range(0, 15) y(c)),
       p AS (SELECT b, c, n, (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 15) r(i) WHERE i <= least(b, c)) / pow(2.0, n) AS low,
         (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 29) r(i) WHERE i >= b AND i <= n) / pow(2.0, n) AS up, b / greatest(n, 1) AS s FROM t)
-      SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END, 5) AS mcnemar, round(CASE WHEN n > 0 THEN least(1.0, up) END, 5) AS sign,
+      SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END + 1e-9, 6) AS mcnemar, round(CASE WHEN n > 0 THEN least(1.0, up) END + 1e-9, 6) AS sign,
         round(CASE WHEN n > 0 THEN greatest(0.0, (s + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS low,
         round(CASE WHEN n > 0 THEN least(1.0, (s + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS high FROM p""",
     "paired_flips": f"{RANKS}, {_per((20,))}, j AS (SELECT CASE WHEN a.m <= 1 THEN '1' WHEN a.m = 2 THEN '2' WHEN a.m <= 4 THEN '3-4' WHEN a.m <= 8 THEN '5-8' ELSE '9+' END AS scope, a.s20 AS x, b.s20 AS y FROM pq a JOIN pq b ON a.query_id = b.query_id AND a.arm = 'base' AND b.arm = 'treat') SELECT scope, count(*) AS n, CAST(sum(x) AS BIGINT) AS a_covered, CAST(sum(y) AS BIGINT) AS b_covered, count(*) FILTER (WHERE y = 1 AND x = 0) AS gain, count(*) FILTER (WHERE x = 1 AND y = 0) AS loss FROM j GROUP BY scope",
