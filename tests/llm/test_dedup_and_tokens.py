@@ -98,6 +98,30 @@ def test_simhash_edges(docs, empty):
     assert sum(not (t or "").split() for t in texts) == 1
 
 
+def test_near_dedup_of_the_pipeline_finds_pairs_at_0_8(spark):
+    """Recall by brute force over the exact Jaccard of five-word shingles; no link below 0.8."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(base))
+        for changes in (1, 3, 5, 6, 7, 12):
+            t = list(base)
+            for at in rng.integers(0, 300, changes):
+                t[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(t))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    df = spark.createDataFrame(rows(texts, range(len(texts))), SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()}
+    want = brute_components(range(len(texts)), near)
+    assert {i for i in want if want[i] == i} <= kept  # nothing goes without a pair of 0.8
+    assert sum(a in kept and b in kept for a, b in near) <= 0.03 * len(near)
+    assert sum(0.8 <= len(grams[a] & grams[b]) / len(grams[a] | grams[b]) < 0.85 for a, b in near) > 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 9), st.data())
 def test_forest_connects_the_same(n, m, data):
