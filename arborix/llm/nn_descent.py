@@ -3,11 +3,12 @@
 Equal vectors are one node.  A neighbour graph is begun from a forest of random
 projection trees and refined by joining neighbours of neighbours: around each
 node, the vectors in its list and those that list it are compared with each
-other.  Rounds go on until few links are new and an audit against brute force
-finds enough of them.
+other, until few links are new.
 
 A list that is full of links is saturated: its node has more links than it can
-hold.  Its list is enlarged to the node's whole component in the graph of links.
+hold.  So components of the links are joined further by passes over new trees
+in which lists hold only members of other components, until a pass finds no
+link and an audit against brute force finds enough of them connected.
 Components are compared in blocks, so a large group gives sums of links for
 each vector and a spanning forest, never its pairs.
 """
@@ -27,8 +28,10 @@ from .storage import arrow_rows, drop, save
 THRESHOLD = 0.95
 #: Length of a neighbour list, trees, vectors in a leaf, vectors in a block.
 K, TREES, LEAF, BLOCK = 12, 8, 384, 512
-#: Vectors that are audited against all others.
-AUDIT = 64
+#: Share of pairs at the threshold that no tree of a forest puts in one leaf.
+MISS = 0.01
+#: Vectors that are audited against all others: so many, or so many times the root of their number; links that an audit needs.
+AUDIT, AUDIT_ROOT, AUDIT_LINKS = 64, 8, 100
 #: Neighbours less similar than this don't join others: they lead to no links.
 FLOOR = 0.5
 ROUNDS = 6
@@ -67,12 +70,12 @@ def _lists(node: list, other: list, sim: list):
 
 
 def _compare(groups: DataFrame, k: int) -> DataFrame:
-    """groups (m: array<struct<node, v>>) -> the k most similar members of each member."""
+    """groups (m: array<struct<node, v, tag>>) -> for each member the k most similar ones with other tags."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             members = batch.column(0)
-            ends, ids = np.asarray(members.offsets), np.asarray(members.values.field("node"))
+            ends, ids, tags = np.asarray(members.offsets), np.asarray(members.values.field("node")), np.asarray(members.values.field("tag"))
             vs = members.values.field("v")
             flat, off = np.asarray(vs.values, np.float32), np.asarray(vs.offsets)
             node, other, sim = [], [], []
@@ -81,7 +84,7 @@ def _compare(groups: DataFrame, k: int) -> DataFrame:
                     continue
                 x = flat[off[a] : off[b]].reshape(b - a, -1)
                 s = x @ x.T
-                np.fill_diagonal(s, -2.0)
+                s[tags[a:b, None] == tags[None, a:b]] = -2.0
                 o, t = _top(ids[a:b], s, k)
                 node.append(ids[a:b])
                 other.append(o)
@@ -102,18 +105,34 @@ def _chunks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Groups by keys of (node, v), dealt by the node into parts of about ``most``."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("node", *keys), F.ceil(F.col("n") / most)).alias("part")
-    return rows.join(sizes, keys).select(*keys, part, "node", "v").groupBy(*keys, "part").agg(F.collect_list(F.struct("node", "v")).alias("m"))
+    held = ["node", "v", *(["tag"] if "tag" in rows.columns else [])]
+    return rows.join(sizes, keys).select(*keys, part, *held).groupBy(*keys, "part").agg(F.collect_list(F.struct(*held)).alias("m"))
 
 
-def _forest(nodes: DataFrame, n: int, k: int, trees: range, seed: int = 7) -> DataFrame:
-    """Lists from leaves of random projection trees."""
+def _paired(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups that hold each two parts of a group of _chunks together."""
+    pick = lambda s: blocks.filter("parts > 1").select(*keys, F.col("part").alias(f"p{s}"), F.col("m").alias(f"m{s}"))
+    parts = blocks.groupBy(*keys).agg(F.count("*").alias("parts"))
+    blocks = save(blocks.join(parts, keys), "leaves")
+    both = pick(1).join(pick(2), keys).filter("p1 < p2")
+    return blocks.filter("parts = 1").select("m").unionByName(both.select(F.concat("m1", "m2").alias("m")))
+
+
+def _trees(n: int, threshold: float) -> tuple[int, int]:
+    """(depth, number) of the trees for n nodes: a deeper one parts more pairs, so there are more."""
     depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+    share = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** depth
+    return depth, max(TREES, int(np.ceil(np.log(MISS) / np.log(1 - min(share, 1 - MISS)))))
+
+
+def _forest(nodes: DataFrame, depth: int, k: int, trees: range, seed: int = 7) -> DataFrame:
+    """Lists from leaves of random projection trees: the nearest of other tags."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            node, dim, v = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            node, dim, v, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2), batch.column(3)
             off, flat = np.asarray(v.offsets), np.asarray(v.values)
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
@@ -122,10 +141,11 @@ def _forest(nodes: DataFrame, n: int, k: int, trees: range, seed: int = 7) -> Da
                 for t in trees:
                     planes = np.random.default_rng((seed, t, int(d))).standard_normal((int(d), max(1, depth)))
                     code = ((x @ planes > 0) @ (1 << np.arange(max(1, depth), dtype=np.int64))) if depth else np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(np.full(len(at), d), pa.int32()), pa.array(code), pa.array(node[at]), v.take(keep)], names=["tree", "dim", "code", "node", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(np.full(len(at), d), pa.int32()), pa.array(code), pa.array(node[at]), v.take(keep), tag.take(keep)], names=["tree", "dim", "code", "node", "v", "tag"])
 
-    rows = nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v")).mapInArrow(run, "tree int, dim int, code long, node long, v array<float>")
-    return _compare(_chunks(rows, ["tree", "dim", "code"], LEAF), k)
+    rows = nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v"), "tag").mapInArrow(run, "tree int, dim int, code long, node long, v array<float>, tag long")
+    keys = ["tree", "dim", "code"]
+    return _compare(_paired(_chunks(rows, keys, 2 * LEAF), keys), k)
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -133,7 +153,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     edges = graph.select("node", F.explode("near").alias("x")).filter(F.col("x.sim") >= FLOOR).select("node", F.col("x.other").alias("other"))
     around = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).unionByName(edges.select("node", F.col("node").alias("other"))).distinct()
     # members of saturated nodes' groups are dealt to parts by _chunks
-    held = around.select(F.col("node").alias("pivot"), F.col("other").alias("node")).join(nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v")), "node")
+    held = around.select(F.col("node").alias("pivot"), F.col("other").alias("node")).join(nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v"), "tag"), "node")
     return _compare(_chunks(held, ["pivot", "dim"], LEAF), k)
 
 
@@ -143,65 +163,87 @@ def _links_of(graph: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).filter("a < b").distinct()
 
 
-def audit(graph: DataFrame, nodes: DataFrame, k: int, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of the links of some queries, found by brute force over all nodes, that the graph connects.
+def audit(nodes: DataFrame, n: int, threshold: float = THRESHOLD) -> float:
+    """Share of the links of some queries, found by brute force over all nodes, inside the components (tags).
 
-    The queries are the nodes with the least hashes, a fixed number; of a query
-    with more links than a list holds, each link in its list counts once and
-    the list's length is what it can hold.
+    The queries are the nodes with the least hashes.  Their number grows with
+    the root of n, and further while they have few links.
     """
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "dim", "v").limit(queries).collect()
-    if not picked:
-        return 1.0
-    ids = np.array([r.node for r in picked])
-    vs = [np.array(r.v) for r in picked]
+    queries = max(AUDIT, int(AUDIT_ROOT * n**0.5))
+    while True:
+        want, hit = _audited(nodes, queries, threshold)
+        if want >= AUDIT_LINKS or queries >= min(n, 64 * max(AUDIT, AUDIT_ROOT * n**0.5)):
+            return hit / want if want else 1.0
+        queries *= 4
+
+
+def _audited(nodes: DataFrame, queries: int, threshold: float) -> tuple[int, int]:
+    """Links of so many queries, and those between nodes of one tag."""
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "tag", "v").limit(queries).collect()
+    ids, tags = (np.array([r[c] for r in picked], np.int64) for c in ("node", "tag"))
+    by = {d: np.array([i for i, r in enumerate(picked) if len(r.v) == d]) for d in {len(r.v) for r in picked}}
+    vs = {d: np.array([picked[i].v for i in at]) for d, at in by.items()}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        want = hit = 0
         for batch in batches:
-            node, v = np.asarray(batch.column(0)), batch.column(1)
+            node, tag, v = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
             off, flat = np.asarray(v.offsets), np.asarray(v.values)
             dims = np.diff(off)
-            q, o = [], []
-            for d in np.unique(dims):
-                rows, mine = np.flatnonzero(dims == d), [i for i, x in enumerate(vs) if len(x) == d]
-                if mine:
-                    x = np.stack([flat[off[i] : off[i + 1]] for i in rows])
-                    a, b = np.nonzero(np.stack([vs[i] for i in mine]) @ x.T >= threshold)
-                    q.append(ids[mine][a])
-                    o.append(node[rows][b])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *z])) for z in (q, o)], names=["a", "b"])
-
-    true = nodes.select("node", "v").mapInArrow(run, "a long, b long").filter("a <> b")
-    found = graph.select(F.col("node").alias("a"), F.explode("near").alias("x")).filter(F.col("x.sim") >= threshold - 1e-5).select("a", F.col("x.other").alias("b"))
-    # the query's links, against what its list shows of them
-    want = true.groupBy("a").agg(F.count("*").alias("n"))
-    hit = true.join(found, ["a", "b"]).groupBy("a").agg(F.count("*").alias("h"))
-    got = want.join(hit, "a", "left").agg(F.sum(F.least("n", F.lit(k))), F.sum(F.least(F.coalesce("h", F.lit(0)), F.lit(k)))).first()
-    return (got[1] or 0) / got[0] if got[0] else 1.0
-
-
-def neighbour_graph(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = 0.97) -> DataFrame:
+            for d in set(dims.tolist()) & set(by):
+                rows = np.flatnonzero(dims == d)
+                x = np.stack([flat[off[i] : off[i + 1]] for i in rows])
+                for at in range(0, len(by[d]), 4096):
+                    mine = by[d][at : at + 4096]
+                    linked = (vs[d][at : at + 4096] @ x.T >= threshold) & (ids[mine, None] != node[None, rows])
+                    want += int(linked.sum())
+                    hit += int((linked & (tags[mine, None] == tag[None, rows])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([want]), pa.array([hit])], names=["want", "hit"])
+
+    got = nodes.select("node", "tag", "v").mapInArrow(run, "want long, hit long").agg(F.sum("want"), F.sum("hit")).first()
+    return got[0] or 0, got[1] or 0
+
+
+def neighbour_graph(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """Lists (node, near) of the k most similar nodes found."""
-    n = nodes.count()
+    depth, trees = _trees(nodes.count(), threshold)
+    nodes = nodes.withColumn("tag", F.col("node"))
     with arrow_rows(nodes.sparkSession, 256):
-        graph = save(_merge(_forest(nodes, n, k, range(TREES)), k), "graph")
-        links, trees = _links_of(graph, threshold).count(), TREES
+        graph = save(_merge(_forest(nodes, depth, k, range(trees)), k), "graph")
+        links = _links_of(graph, threshold).count()
         for _ in range(ROUNDS):
             after = save(_merge(graph.unionByName(_descend(graph, nodes, k)), k), "graph")
             drop(graph)
             graph, before = after, links
             links = _links_of(graph, threshold).count()
             if links <= 1.002 * before:
-                if audit(graph, nodes, k, threshold) >= recall:
-                    break
-                after = save(_merge(graph.unionByName(_forest(nodes, n, k, range(trees, trees + TREES))), k), "graph")
-                drop(graph)
-                graph, trees = after, trees + TREES
+                break
     return graph
 
 
+def connected(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = 0.97) -> DataFrame:
+    """Components (node, component) of the links; an error if an audit finds less than ``recall`` of them inside."""
+    n = nodes.count()
+    depth, trees = _trees(n, threshold)
+    links = save(_links_of(neighbour_graph(nodes, k, threshold), threshold), "links")
+    parts = save(connected_components(links), "parts")
+    for turn in range(1, 2 * ROUNDS + 1):
+        tagged = save(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")).drop("component"), "tagged")
+        with arrow_rows(nodes.sparkSession, 256):
+            across = save(_links_of(_merge(_forest(tagged, depth, k, range(turn * trees, (turn + 1) * trees)), k), threshold), "links")
+            if across.isEmpty() and audit(tagged, n, threshold) >= recall:
+                return parts
+        links = links.unionByName(across)
+        parts = save(connected_components(links), "parts")
+    with arrow_rows(nodes.sparkSession, 256):
+        share = audit(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")), n, threshold)
+    if share < recall:
+        raise RuntimeError(f"{share:.3f} of the audited links are found, {recall} are asked for")
+    return parts
+
+
 def _within(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """Compare components in blocks: rows (node, n, other).
 
@@ -250,8 +292,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows, nodes = _nodes(vectors, id_col, vector_col)
     nodes = save(nodes, "nodes")
-    graph = neighbour_graph(nodes, k, threshold)
-    parts = save(connected_components(_links_of(graph, threshold)), "parts")
+    parts = connected(nodes, k, threshold)
     found = _within(nodes, parts, threshold)
     counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     exact = connected_components(found.filter("other is not null"), "node", "other")

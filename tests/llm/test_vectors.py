@@ -43,5 +43,20 @@ def test_vectors_are_the_brute_force(spark, monkeypatch):
     assert have == want
 
 
+def test_groups_larger_than_a_list_that_link(spark):
+    """Each list fills with its own group, at 0.999; the groups link at about 0.97."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(3):
+        a, x = rng.standard_normal((2, 16))
+        a /= np.linalg.norm(a)
+        x -= (x @ a) * a
+        b = 0.97 * a + np.sqrt(1 - 0.97**2) * x / np.linalg.norm(x)
+        rows += [c + rng.standard_normal(16) * 0.003 for c in (a, b) for _ in range(25)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA)).collect()
+    assert {r.id: (r.n_links, r.component, r.kept) for r in got} == brute(rows)
+
+
 def test_no_vectors(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
