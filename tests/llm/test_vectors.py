@@ -58,5 +58,19 @@ def test_groups_larger_than_a_list_that_link(spark):
     assert {r.id: (r.n_links, r.component, r.kept) for r in got} == brute(rows)
 
 
+def test_lone_pairs_in_deep_trees(spark, monkeypatch):
+    """Pairs just above the threshold that deep trees part; the audit has links to count."""
+    monkeypatch.setattr(nn_descent, "LEAF", 4)
+    rng = np.random.default_rng(4)
+    base, x = rng.standard_normal((2, 1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x -= (x * base).sum(1, keepdims=True) * base
+    other = 0.952 * base + np.sqrt(1 - 0.952**2) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other[:300]]).astype(np.float32))]
+    got = {r.id: r.component for r in nn_descent.near_duplicates(spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA)).collect()}
+    assert [i for i in range(300) if got[1500 + i] != i] == []
+    assert len(set(got.values())) == 1500
+
+
 def test_no_vectors(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
