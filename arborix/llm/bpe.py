@@ -80,16 +80,10 @@ class ByteBPE:
             return self.core.encode_ordinary(text)
         import regex
 
-        out, start = [], 0
-        for m in regex.finditer(PATTERN, text):
-            if m.end() - m.start() >= LONG // 4 and len(b := m.group().encode("utf-8", "replace")) > LONG:
-                # what stands before begins and ends at borders of pieces
-                for piece in regex.findall(PATTERN, text[start : m.start()]) if start < m.start() else ():
-                    out += self.piece(piece.encode("utf-8", "replace")) if len(piece) > 1 else self.core.encode_ordinary(piece)
-                out += self.tree(b)
-                start = m.end()
-        for piece in regex.findall(PATTERN, text[start:]):
-            out += self.core.encode_ordinary(piece) if len(piece) == 1 else self.piece(piece.encode("utf-8", "replace"))
+        out: list[int] = []
+        for m in regex.finditer(PATTERN, text):  # over the whole text: a piece's end depends on what follows
+            b = m.group().encode("utf-8", "replace")
+            out += self.tree(b) if len(b) > LONG else self.piece(b)
         return out
 
     def tree(self, piece: bytes) -> list[int]:

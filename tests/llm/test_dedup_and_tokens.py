@@ -185,6 +185,14 @@ def test_bpe_is_the_library(docs, empty, library):
     assert all(r.text == (r.was or "") for r in both) and len(both) == len(back)
 
 
+@pytest.mark.parametrize("space", ["\n\n", "\n\t", "   \n", " \n \n", "\t", "  "])
+@pytest.mark.parametrize("run", ["x" * 3000, "漢" * 1500, "=" * 3000, "7" * 2500])
+def test_bpe_of_space_before_long_runs(library, space, run):
+    coder = bpe.load(bpe.default_vocabulary())
+    for text in ("foo." + space + run, "foo." + space + run + space + "bar" + space + run + space):
+        assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=300), st.text("ab", min_size=1, max_size=60).map(lambda x: x * 50), st.text(" \n\t x", max_size=900), st.text("'sre <|endoftext|>", max_size=400), st.text("aé漢🙂", min_size=1, max_size=9).map(lambda x: x * 90)))
 def test_bpe_of_any_text(text):
