@@ -48,23 +48,33 @@ def wilson(p, n, z: float = 1.96) -> Column:
     return F.when(n > 0, F.struct(F.greatest(F.lit(0.0), (mid - half) / d).alias("low"), F.least(F.lit(1.0), (mid + half) / d).alias("high")))
 
 
-def bootstrap(values: DataFrame, value: str = "d", rounds: int = 2000, seed: int = 42, by: str = "query_id") -> DataFrame:
+def bootstrap(values: DataFrame, value: str = "d", rounds: int = 2000, seed: int = 42) -> DataFrame:
     """Mean of a column with a 95 % percentile interval: (mean, low, high).
 
-    Resample i of round b is a fixed function of (b, i), so results repeat.
-    The values of n queries make an array; each round is one row that adds n of
-    its elements, so that rounds x n numbers are never rows.
+    A round draws every value a number of times that is Poisson with mean one;
+    equal values are drawn together, by their count.  The draws of a value are a
+    fixed function of it, so results repeat.  Values stay where they are: each
+    task gives one sum a round.
     """
-    packed = values.filter(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(by, F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("vs"), F.avg(value).alias("mean"))
-    b = values.sparkSession.range(rounds).withColumnRenamed("id", "b").join(packed)
-    n = F.size("vs")
-    # a multiplicative generator in 31 bits, begun anew for each round
-    draw = lambda x: (x * 48271) % 2147483647
-    start = (F.col("b") * 7919 + seed) % 2147483646 + 1
-    total = F.aggregate(F.sequence(F.lit(1), n), F.struct(draw(draw(start)).alias("x"), F.lit(0.0).alias("s")), lambda a, i: F.struct(draw(a["x"]).alias("x"), (a["s"] + F.get("vs", (a["x"] % n).cast("int"))).alias("s")))["s"]
-    m = b.filter(n > 0).select("mean", (total / n).alias("m"))
-    place = lambda q: F.get(F.array_sort(F.collect_list("m")), int(q * rounds))
-    return m.agg(F.first("mean").alias("mean"), place(0.025).alias("low"), place(0.975).alias("high"))
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total, drawn = np.zeros(rounds), np.zeros(rounds, np.int64)
+        for batch in batches:
+            for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.random.default_rng([seed, int(np.float64(v + 0.0).view(np.uint64))]).poisson(n, rounds)
+                total += w * v
+                drawn += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total), pa.array(drawn)], names=["b", "s", "n"])
+
+    counts = values.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    mean = counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    sums = counts.mapInArrow(run, "b long, s double, n long").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0")
+    # rounded, since the order of the sums is not fixed
+    m = sums.agg(F.array_sort(F.collect_list(F.round(F.col("s") / F.col("n"), 12))).alias("ms"))
+    place = lambda q: F.get("ms", (F.size("ms") * q).cast("int"))
+    return mean.crossJoin(m).select(F.round("mean", 12).alias("mean"), place(0.025).alias("low"), place(0.975).alias("high"))
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, value: str = "osc", rounds: int = 2000, seed: int = 42) -> DataFrame:

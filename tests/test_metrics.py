@@ -61,6 +61,22 @@ def test_bootstrap(spark):
     assert significance.bootstrap(v.filter("d > 9"), rounds=10).first().low is None
 
 
+def test_bootstrap_delta_resamples_every_order(spark, monkeypatch):
+    from arborix.queries import evaluation
+
+    seen, real = [], significance.bootstrap
+    monkeypatch.setattr(significance, "bootstrap", lambda v, *a, **k: seen.append((v, a, k)) or real(v, *a, **k))
+    records = evaluation.rank_records(spark, "/root/testdata/sf0.001")
+    r = evaluation.bootstrap_delta(spark, "/root/testdata/sf0.001").first()
+    (v, (_, rounds, _), _), = seen
+    assert v.count() == records.select("query_id").distinct().count() > 200 and rounds == 2000
+    d = [x.d for x in v.collect()]
+    mean = sum(d) / len(d)
+    half = 1.96 * math.sqrt(sum((x - mean) ** 2 for x in d)) / len(d)
+    assert r.mean == pytest.approx(mean)
+    assert (r.low, r.high) == (pytest.approx(mean - half, abs=0.2 * half), pytest.approx(mean + half, abs=0.2 * half))
+
+
 @pytest.mark.parametrize(
     ("pred", "gold", "want"),
     [("12", ["12.1"], True), ("0.12", ["12"], True), ("-12", ["12"], True), ("13", ["12"], False), ("", ["quebec"], False), (None, ["1"], False), ("in Quebec", ["quebec"], True), ("que", ["quebec"], False), ("3 and 4", ["3", "4"], True), ("3", ["3", "4"], False)],
