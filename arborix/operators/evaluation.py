@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..functions.udfs import store_similarity_udf
+from ..functions.udfs import store_similarity
 
 
 class ExpressionError(ValueError):
@@ -92,7 +92,7 @@ def resolve(pairs: DataFrame, cells: DataFrame, least: float = 0.4) -> DataFrame
         exact = F.when(blank | tx.path_matches(header, "path"), F.aggregate(F.transform("path", F.length), F.lit(0), lambda a, x: a + x))
         any_exact = F.max(exact.isNotNull()).over(Window.partitionBy("query_id", "var"))
         t = pair.withColumn("long", exact).withColumn("found", any_exact)
-        near = t.filter("not found").withColumn("like", store_similarity_udf(header, "path")).filter(F.col("like") >= least)
+        near = t.filter("not found").withColumn("like", store_similarity(header, "path")).filter(F.col("like") >= least)
         both = t.filter("long is not null").withColumn("like", F.lit(1.0)).unionByName(near)
         w = Window.partitionBy("query_id", "var").orderBy(F.col("long").desc_nulls_last(), F.col("like").desc(), "at")
         return both.withColumn("k", F.row_number().over(w)).filter("k = 1").select("query_id", "var", F.col("at").alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..functions.udfs import path_similarity_udf, store_similarity_udf
+from ..functions.udfs import path_similarity, store_similarity
 
 
 def _c(x) -> Column:
@@ -188,7 +188,7 @@ def path_ranking(questions: DataFrame, paths: DataFrame, n: int, by: str = "stor
     """
     asked = questions.select("query_id", "table_id", terms("question").alias("terms"))
     pair = asked.join(paths, "table_id")
-    like = store_similarity_udf(F.array_join("terms", " "), "path") if by == "store" else path_similarity_udf("terms", F.array_join("path", " > "))
+    like = store_similarity(F.array_join("terms", " "), "path") if by == "store" else path_similarity("terms", F.array_join("path", " > "))
     scored = pair.withColumn("score", like).filter("score > 0").withColumn("key", F.array_join("path", " > "))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "table_id", "path", "score", "rank")

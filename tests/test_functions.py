@@ -59,10 +59,17 @@ def test_paths(spark):
     assert [list(x) for x in one(spark, tx.path_prefixes(p("a", "b")))] == [["a"], ["a", "b"]]
 
 
-def test_similarity_and_answers():
-    assert udfs.store_similarity("other", ["percent"]) == 0.0
-    assert udfs.store_similarity("defense", ["department", "defense"]) > 0.7
-    assert udfs.path_similarity(["total"], "total") == pytest.approx(1.0)
+def test_similarity_and_answers(spark):
+    from difflib import SequenceMatcher
+
+    strings = lambda *xs: F.array(*map(F.lit, xs))
+    assert one(spark, udfs.store_similarity(F.lit("other"), strings("percent"))) == 0.0
+    assert one(spark, udfs.store_similarity(F.lit("Net, net SALES"), strings("Total sales", "2019"))) == pytest.approx(0.35 + 0.3 * SequenceMatcher(None, "net sales", "total sales 2019").ratio())
+    assert one(spark, udfs.store_similarity(F.lit(None).cast("string"), strings("a"))) == 0.0
+    assert one(spark, udfs.path_similarity(strings("total"), F.lit("Total"))) == pytest.approx(1.0)
+    assert one(spark, udfs.path_similarity(strings("total", "x"), F.lit("tot > é"))) == pytest.approx(0.3 * SequenceMatcher(None, "total x", "tot é").ratio())
+    assert one(spark, udfs.path_similarity(F.array().cast("array<string>"), F.lit("a"))) == 0.0
+    assert udfs.answer_text("“a”  B*[x][3]") == '"a" b'
     assert udfs.answer_text('"Café" [1] (x).') == '"cafe" [1] (x)'
     assert udfs.answer_text("Québec [2]") == "quebec"
     assert udfs.answer_text(None) is None
@@ -91,6 +98,8 @@ def test_html_tables(spark):
     grid, merges, _ = udfs.html_grid('<table><tr><th rowspan="2">club</th><th colspan="2"league</th></tr><tr><td>apps</td><td>goals</td></tr><tr><td>a</td><td>1</td></tr></table>')
     assert grid == [["club", "league", ""], ["", "apps", "goals"], ["a", "1", ""]]
     assert merges == [(0, 1, 0, 0), (0, 0, 1, 2)]
+    messy = '<TABLE><tr><td colspan="2" rowspan="2"Some text></td><td><b>x</b> &amp; y<br/>z</td></tr><!-- <tr><td>no</td></tr> --><tr><td>w</td><td>lost<td rowspan=1 class="a>b">kept ></td></tr></table>'
+    assert udfs.html_grid(messy)[0] == [["Some text", "", "x & yz", ""], ["", "", "w", "kept"]]
     assert udfs.html_grid("<p>") == ([], [], []) and udfs.html_grid(None)[0] == []
     g = spark.createDataFrame([([["", "2019", "", "2020"], ["", "q1", "q2", "q1"], ["rev", "1", "2", "3"], ["cost", "4", "5", "6"]],)], "g array<array<string>>")
     r = g.select(structure.guessed_header_rows("g").alias("nr"), structure.guessed_header_cols("g", F.lit(2)).alias("nc"), structure.col_paths("g", F.lit(2), F.lit(1)).alias("c"), structure.row_paths("g", F.lit(2), F.lit(1)).alias("r")).first()
