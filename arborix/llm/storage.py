@@ -14,7 +14,8 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[str] = []
@@ -38,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever they are called: names may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
     _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
