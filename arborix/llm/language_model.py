@@ -40,7 +40,12 @@ def _flat(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.
 
 @dataclass(frozen=True)
 class Discounts:
-    """Of a level: the discounts of counts 1, 2 and 3 or more."""
+    """Of a level: the discounts of counts 1, 2 and 3 or more.
+
+    They are the closed forms of the modified scheme, held within 0.05 and 95 %
+    of the count they are taken from; one half where nothing is counted once or
+    nothing twice.  Held so, every probability is positive and they sum to 1.
+    """
 
     one: float
     two: float
@@ -78,9 +83,9 @@ class Model:
 @cache
 def _open(uri: str, shards: int) -> tuple[Sorted, Sorted, Sorted]:
     return (
-        Sorted(uri, "word", shards, keys="<u8", counts="<i8", total="<u4", n1="<u4", n2="<u4", n3="<u4", before="<u4"),
+        Sorted(uri, "word", shards, keys="<u8", counts="<i8", total="<u8", n1="<u4", n2="<u4", n3="<u4", before="<u4"),
         Sorted(uri, "pair", shards, keys="<u8", counts="u1"),
-        Sorted(uri, "many", shards, keys="<u8", counts="<u4"),
+        Sorted(uri, "many", shards, keys="<u8", counts="<u8"),
     )
 
 
@@ -100,7 +105,29 @@ def _pairs(number: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
     return mix64((before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
 
 
-STATS = ("total", "n1", "n2", "n3", "before")
+#: What is kept of each word: the tokens that follow it, the distinct words that do so once, twice, and more
+#: often, and the distinct words before it.  Distinct words are fewer than 2 ** 32, tokens need not be.
+STATS = {"total": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "before": "<u4"}
+
+
+def stats_of(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sorted words, the STATS of each) of distinct bigrams."""
+    ids, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+    x, y = at[: len(first)], at[len(first) :]
+    total = np.zeros(len(ids), np.uint64)
+    np.add.at(total, x, counts.astype(np.uint64))  # not by floats, which hold 53 bits
+    return ids, [total, *(np.bincount(x, w, minlength=len(ids)) for w in (counts == 1, counts == 2, counts >= 3)), np.bincount(y, minlength=len(ids))]
+
+
+def summed_stats(rows: list[tuple[bytes, bytes]], first: int, last: int) -> dict[str, np.ndarray]:
+    """The sums of packed (words, STATS) for the words from first to last - 1."""
+    sums = {name: np.zeros(last - first, kind) for name, kind in STATS.items()}
+    for k, c in rows:
+        ids, at = np.frombuffer(k, "<u4").astype(np.int64) - first, 0
+        for name, kind in STATS.items():
+            sums[name][ids] += np.frombuffer(c, kind, len(ids), at)
+            at += len(ids) * np.dtype(kind).itemsize
+    return sums
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
@@ -109,8 +136,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     A null text counts as empty, which is one end; repeated rows count again.
     """
     spark = docs.sparkSession
-    shards, uri = n_shards(spark), make_dir(spark, new_path(spark, "lm"))
+    uri = make_dir(spark, new_path(spark, "lm"))
     texts = docs.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("t"))
+    shards = n_shards(texts, "t")
 
     def words(arrow: Iterator) -> Iterator:
         hashes = WordHashes()
@@ -148,18 +176,16 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         write_array(f"{uri}/pair-{shard}.counts", np.minimum(counts, MANY).astype("u1"))
         many = counts >= MANY
         write_array(f"{uri}/many-{shard}.keys", keys[many])
-        write_array(f"{uri}/many-{shard}.counts", np.minimum(counts[many], (1 << 32) - 1).astype("<u4"))
+        write_array(f"{uri}/many-{shard}.counts", counts[many].astype("<u8"))
         both = unmix64(keys)
         a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         some = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype("<i8")
         out = [(-1, 0, len(keys).to_bytes(8, "little"), some.tobytes())]
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[: len(a)], at[len(a) :]
-        stats = [np.bincount(x, w, minlength=len(ids)).astype("<u4") for w in (counts, counts == 1, counts == 2, counts >= 3)] + [np.bincount(y, minlength=len(ids)).astype("<u4")]
+        ids, stats = stats_of(a, b, counts)
         home = np.minimum(np.searchsorted(np.array(offsets[1:]), ids, side="right"), shards - 1)
         for s in np.unique(home):
             own = home == s
-            out.append((int(s), 0, ids[own].astype("<u4").tobytes(), b"".join(v[own].tobytes() for v in stats)))
+            out.append((int(s), 0, ids[own].astype("<u4").tobytes(), b"".join(v[own].astype(kind).tobytes() for v, kind in zip(stats, STATS.values(), strict=True))))
         yield record_batch(out)
 
     counted = save(by_shard(texts.mapInArrow(pairs, PACKED), shards, merge_pairs, PACKED), "lm")
@@ -171,13 +197,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         import pyarrow as pa
 
         first, last = offsets[shard], offsets[shard + 1] + (shard == shards - 1)  # the start has the last place
-        sums = np.zeros((len(STATS), last - first), np.int64)
-        for _, k, c in rows:
-            ids = np.frombuffer(k, "<u4").astype(np.int64) - first
-            sums[:, ids] += np.frombuffer(c, "<u4").reshape(len(STATS), -1)
-        for name, v in zip(STATS, sums, strict=True):
-            write_array(f"{uri}/word-{shard}.{name}", np.minimum(v, (1 << 32) - 1).astype("<u4"))
-        some = np.bincount(np.minimum(sums[-1], 5), minlength=6)
+        sums = summed_stats([r[1:] for r in rows], first, last)
+        for name, v in sums.items():
+            write_array(f"{uri}/word-{shard}.{name}", v)
+        some = np.bincount(np.minimum(sums["before"], 5).astype(np.int64), minlength=6)
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*some[1:5], some[3:].sum())], names=["a", "b", "c", "d", "more"])
 
     got = by_shard(counted.filter("shard >= 0"), shards, merge_stats, "a long, b long, c long, d long, more long").agg(*[F.sum(c) for c in ("a", "b", "c", "d", "more")]).first()

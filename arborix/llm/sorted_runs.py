@@ -4,7 +4,9 @@ Map tasks reduce what they read to sorted distinct keys with counts and pack
 them in one row for each shard; a shard's rows meet in one task, which merges
 them and writes plain sorted arrays to the shared folder.  Keys are hashes, so
 ranges are of even size whatever the data: a frequent word or passage is one
-key in each packed row.
+key in each packed row.  Keys that are minima of hashes are mixed once more, or
+they would crowd the first shards.  There are as many shards as the texts need
+for a shard to hold about the same everywhere, and each has a task of its own.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import exists, map_array
 
 #: Tokens that a map task handles at once; a longer text is handled alone.
 TOKENS = 400_000
+#: Characters of text for each shard.
+SHARD_CHARS = 1 << 24
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _I1, _I2 = (np.uint64(pow(int(m), -1, 1 << 64)) for m in (_M1, _M2))
 _S = np.uint64(33)
@@ -37,9 +41,10 @@ def unmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def n_shards(spark: SparkSession) -> int:
-    """As many shards as the session has shuffle partitions, which follow the input's size."""
-    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def n_shards(texts: DataFrame, text_col: str) -> int:
+    """So many shards that each stands for about SHARD_CHARS characters of text."""
+    chars = texts.agg(F.sum(F.length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(4, -(-chars // SHARD_CHARS))
 
 
 def starts(shards: int) -> np.ndarray:
@@ -136,7 +141,7 @@ def by_shard(rows: DataFrame, shards: int, work: Callable[[int, Iterator], Itera
 
     spark = rows.sparkSession
     every = spark.range(shards).selectExpr("cast(id as int) shard", "-1 batch", "cast('' as binary) k", "cast('1' as binary) c")
-    dealt = rows.select("shard", "batch", "k", "c").unionByName(every).repartition(shards, "shard").sortWithinPartitions("shard", "batch")
+    dealt = rows.select("shard", "batch", "k", "c").unionByName(every).repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
     return dealt.mapInArrow(run, schema)
 
 

@@ -136,6 +136,17 @@ def map_array(uri: str, dtype) -> np.ndarray:
         os.unlink(local.name)
 
 
+def write_text(uri: str, text: str) -> None:
+    """Write a small file in one step."""
+    write_array(uri, np.frombuffer(text.encode(), "u1"))
+
+
+def read_text(uri: str) -> str:
+    system, path = _filesystem(uri)
+    with system.open_input_stream(path) as f:
+        return f.read().decode()
+
+
 def exists(uri: str) -> bool:
     from pyarrow import fs
 

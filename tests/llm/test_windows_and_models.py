@@ -60,15 +60,62 @@ def test_repeats_edges(spark):
     assert sorted((r.n_words, r.n_removed) for r in got) == [(0, 0), (40, 40), (40, 40)]
 
 
-def test_increments_find_what_all_at_once_finds(spark):
+@pytest.mark.parametrize("postings", [False, True])
+def test_increments_find_what_all_at_once_finds(spark, postings):
     texts = corpus(1)
     half = len(texts) // 2
     old, new = frame(spark, texts[:half]), frame(spark, texts[half:], range(half, len(texts)))
-    index = substring.FingerprintIndex(spark)
+    index = substring.FingerprintIndex(spark, postings=postings)
     index.append(old)
     got = {r.id: r.n_removed for r in substring.remove_repeats(new, index=index, history=old).collect()}
     assert got == {i: w[1] for i, w in enumerate(brute_repeats(texts)) if i >= half}
-    assert index.generation == 2
+    assert index.version == 2
+    if postings:  # documents of the history that share no window, nor a part of one, are not read
+        sharing = {r.id for r in index.holders().collect()}
+        assert sharing and sharing < set(range(half))
+        assert {i for i in range(half) if len((texts[i] or "").split()) < 35}.isdisjoint(sharing)
+
+
+def test_increments_write_their_own_runs_only(spark):
+    import os
+
+    index = substring.FingerprintIndex(spark, shards=4)
+    folder = index.uri.removeprefix("file://")
+    seen = {}
+    for k in range(9):
+        long = [" ".join(f"{k}w{x}" for x in np.random.default_rng((k, j)).integers(0, 999, 80)) for j in range(20)]
+        assert index.append(frame(spark, long), batches=1) == 0
+        now = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder)}
+        assert seen.items() <= now.items()  # nothing is written again
+        grown = {f for f in now.keys() - seen.keys() if f.startswith("run")}
+        assert len(grown) == 4  # one run, or the one that it completes
+        seen = now
+    assert sorted(level for _, level in index.runs) == [0, 1, 1]
+    again = substring.FingerprintIndex(spark, index.uri)
+    assert (again.version, again.shards, again.runs) == (9, 4, [tuple(r) for r in index.runs])
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, index.uri, shards=6)
+    assert again.append(frame(spark, [long[3]]), batches=1) > 0
+
+
+def test_shards_of_minima_are_even(spark):
+    index = substring.FingerprintIndex(spark, shards=16)
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(j).integers(0, 99999, 400)) for j in range(60)]
+    index.append(frame(spark, texts), batches=1)
+    from arborix.llm.storage import map_array
+
+    sizes = [len(map_array(f"{index.uri}/{index.runs[0][0]}-{s}.keys", "<u8")) for s in range(16)]
+    assert sum(sizes) > 1500 and max(sizes) < 2 * sum(sizes) / 16
+
+
+def test_totals_beyond_32_bits():
+    first, second = np.array([0, 0, 1]), np.array([1, 2, 2])
+    counts = np.array([(1 << 33) + 1, 3, 1])
+    ids, stats = lm.stats_of(first, second, counts)
+    row = (ids.astype("<u4").tobytes(), b"".join(v.astype(k).tobytes() for v, k in zip(stats, lm.STATS.values(), strict=True)))
+    sums = lm.summed_stats([row, row], 0, 3)
+    assert sums["total"].tolist() == [2 * ((1 << 33) + 4), 2, 0]
+    assert [sums[k].tolist() for k in ("n1", "n3", "before")] == [[0, 2, 0], [4, 0, 0], [0, 2, 4]]
 
 
 def brute_model(train, texts):
