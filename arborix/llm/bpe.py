@@ -2,7 +2,8 @@
 
 The pre-tokenizer splits a text into pieces that are encoded one by one.  A
 piece that it leaves unsplit over a length is cut in halves, down to leaves
-which are encoded in parallel.  Two encoded halves are joined by encoding a
+which are encoded in parallel, by threads that run without the interpreter's
+lock.  Two encoded halves are joined by encoding a
 window of tokens around the join anew, growing it until the tokens at both of
 its edges agree with their outer neighbours.  Agreement is exact: a sequence of
 tokens is the encoding of its bytes if and only if each adjacent pair is the
@@ -23,8 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import columns
+
 #: Bytes of a piece that is halved, and of a leaf.
 LONG = 2048
+#: Threads that encode the leaves of a piece.
+THREADS = 4
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -44,7 +49,7 @@ class ByteBPE:
     skip_special_tokens=False: bytes that are no UTF-8 become U+FFFD.
     """
 
-    def __init__(self, path: str, threads: int = 1):
+    def __init__(self, path: str, threads: int = THREADS):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -58,6 +63,7 @@ class ByteBPE:
             raise ValueError("the ids of this vocabulary do not follow its merges")
         self.core = tiktoken.Encoding("arborix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.core._core_bpe.encode_single_piece
+        self.leaf = tiktoken.Encoding("arborix-leaf", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bytes = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
         for t, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes[i] = t
@@ -82,27 +88,24 @@ class ByteBPE:
 
         out: list[int] = []
         for m in regex.finditer(PATTERN, text):  # over the whole text: a piece's end depends on what follows
-            b = m.group().encode("utf-8", "replace")
-            out += self.tree(b) if len(b) > LONG else self.piece(b)
+            piece = m.group().encode("utf-8", "replace")
+            out += self.tree(piece.decode()) if len(piece) > LONG else self.piece(piece)
         return out
 
-    def tree(self, piece: bytes) -> list[int]:
+    def tree(self, piece: str) -> list[int]:
         """The ids of one unsplit piece, by halves."""
-        leaves = [piece]
-        while max(map(len, leaves)) > LONG:
-            leaves = [h for x in leaves for h in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > LONG else (x,))]
+        leaves, most = [piece], LONG
+        while any(len(x.encode()) > most and len(x) > 1 for x in leaves):
+            leaves = [h for x in leaves for h in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x.encode()) > most and len(x) > 1 else (x,))]
         if self.threads > 1 and len(leaves) > 1:
             with ThreadPoolExecutor(self.threads) as pool:
-                done = list(pool.map(self._leaf, leaves))
+                done = list(pool.map(self.leaf, leaves))
         else:
-            done = [self._leaf(x) for x in leaves]
+            done = [self.leaf(x) for x in leaves]
         while len(done) > 1:
             done = [self.join(done[i], done[i + 1]) if i + 1 < len(done) else done[i] for i in range(0, len(done), 2)]
         return done[0]
 
-    def _leaf(self, piece: bytes) -> list[int]:
-        return self.piece(piece)
-
     def agree(self, a: int, b: int) -> bool:
         """Whether two tokens stand next to each other in the encoding of their bytes."""
         return self.piece(self.bytes[a] + self.bytes[b]) == [a, b]
@@ -134,7 +137,7 @@ def _has_long_run(text: str) -> bool:
 
 
 @cache
-def load(path: str, threads: int = 1) -> ByteBPE:
+def load(path: str, threads: int = THREADS) -> ByteBPE:
     """The vocabulary at a path, read once in each worker."""
     return ByteBPE(path, threads)
 
@@ -145,7 +148,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", threads: int = 1, decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", threads: int = THREADS, decoded_col: str | None = None) -> DataFrame:
     """docs with their ids as a further column (array of int); a column of that name is replaced.
 
     With decoded_col the ids' text is added in the same pass, so that one
@@ -166,9 +169,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                     made.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*(f"c{k}" for k in range(len(others))), *new])
 
-    others = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    held = [(c, x) for c, x in zip(docs.columns, columns(docs), strict=True) if c not in (ids_col, decoded_col)]
+    others = [c for c, _ in held]
     new = ["ids", "decoded"] if decoded_col else ["ids"]
-    plain = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])
+    plain = docs.select(F.col(text_col).cast("string").alias("t"), *[x.alias(f"c{k}") for k, (_, x) in enumerate(held)])
     schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)), "ids array<int>", *(["decoded string"] if decoded_col else [])])
     return plain.mapInArrow(run, schema).toDF(*others, ids_col, *([decoded_col] if decoded_col else []))
 
@@ -185,7 +189,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "te
     return rows.withColumn(text_col, run(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text.
 
     Encodes and decodes in one pass, so that the ids need not travel.

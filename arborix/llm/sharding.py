@@ -12,10 +12,13 @@ from __future__ import annotations
 from bisect import bisect
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
+from .storage import columns, new_path
+
 SLOTS = 8192
 #: Bytes that each record takes besides its text.
 OVERHEAD = 8
@@ -25,7 +28,7 @@ EVEN = 1000
 
 @dataclass
 class SlotMap:
-    """shard of every slot, for one version; edits: the moves (slot, from, to) that made it."""
+    """shard of every slot, for one version; edits: the moves (slot, from, to) that made it, in order."""
 
     shards: int
     of: list[int]
@@ -96,30 +99,42 @@ class SlotMap:
         return SlotMap(self.shards + 1, of, self.version + 1, edits)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Rows (version, slot, shard), as many as there are slots."""
+        """Rows (version, virtual_slot, shard), as many as there are slots."""
         return spark.createDataFrame([(self.version, s, k) for s, k in enumerate(self.of)], "version int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the stored map."""
-        self.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Store this version as one row (shards, of, edits); a version that is stored again is replaced."""
+        edits = [{"slot": s, "from": a, "to": b} for s, a, b in self.edits]
+        row = spark.createDataFrame([(self.shards, self.of, edits)], STORED)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A stored version, the latest if none is named."""
-        rows = spark.read.parquet(path)
-        version = version if version is not None else rows.agg(F.max("version")).first()[0]
-        of = {r.virtual_slot: r.shard for r in rows.filter(F.col("version") == version).collect()}
-        return cls(max(of.values()) + 1, [of[s] for s in range(len(of))], version)
+        rows = spark.read.schema(f"{STORED}, version int").parquet(path)
+        r = rows.filter(F.lit(True) if version is None else F.col("version") == version).orderBy(F.col("version").desc()).first()
+        if r is None:
+            raise ValueError(f"no version {version or ''} of the map is stored")
+        return cls(r.shards, list(r.of), r.version, [tuple(e) for e in r.edits])
+
+
+#: A stored version of the map: one row, whose arrays are as long as there are slots and moves.
+STORED = "shards int, of array<int>, edits array<struct<slot: int, from: int, to: int>>"
+
+
+def _key(docs: DataFrame, id_col: str, text: Column) -> Column:
+    """What a row is dealt by: its id; without one, its text and its other plain columns, so that copies part where they differ."""
+    plain = [c for c, f in zip(columns(docs), docs.schema, strict=True) if isinstance(f.dataType, AtomicType)]
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text, *plain)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """docs -> (id, size, text_crc32, virtual_slot); the texts themselves don't travel.
 
-    Size: UTF-8 bytes of the text, none if it is null, plus OVERHEAD.  Rows
-    without an id are dealt by their text.
+    Size: UTF-8 bytes of the text, none if it is null, plus OVERHEAD.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
+    key = _key(docs, id_col, text)
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
@@ -133,9 +148,11 @@ def slot_totals(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> tuple[DataFrame, list[SlotMap]]:
-    """(rows, versions): rows (id, size, text_crc32, virtual_slot, shard, slot), and the map's versions.
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, str]:
+    """(rows, path): rows (id, size, text_crc32, virtual_slot, shard, slot), and where the map's versions are stored.
 
+    A path that holds versions goes on from the latest, whose shards it keeps:
+    only slots that the edits name move.
     The sizes of the shards are made nearly equal by rebalancing the map.  slot
     is the row's place in its shard, without gaps from 0: places are counted in
     each virtual slot and shifted by the counts of the slots before it, so no
@@ -145,8 +162,13 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     slotted = with_slots(docs, id_col, text_col, slots)
     totals = slot_totals(slotted).collect()  # one row for each slot at most
-    first = SlotMap.initial(shards, slots)
-    now = first.rebalanced({r.virtual_slot: r.bytes for r in totals})
+    if path is None:
+        path = new_path(spark, "slot_map")
+        SlotMap.initial(shards, slots).save(spark, path)
+    before = SlotMap.load(spark, path)
+    before.rebalanced({r.virtual_slot: r.bytes for r in totals}).save(spark, path)
+    now = SlotMap.load(spark, path)
+    shards = now.shards
     start, places = [0] * shards, []
     for r in sorted(totals, key=lambda r: r.virtual_slot):
         k = now.of[r.virtual_slot]
@@ -156,7 +178,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size"))
     rows = slotted.withColumn("place", place).join(F.broadcast(where), "virtual_slot")
     rows = rows.select("id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
-    return rows, [first, now]
+    return rows, path
 
 
 def write_shards(docs: DataFrame, slot_map: SlotMap, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -164,8 +186,7 @@ def write_shards(docs: DataFrame, slot_map: SlotMap, path: str, id_col: str = "d
 
     Rows are dealt by virtual slot, so a shard is written by many tasks.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
-    rows = docs.select(*docs.columns, F.pmod(key, F.lit(len(slot_map.of))).cast("int").alias("_arborix_slot"))
+    key = _key(docs, id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(*columns(docs), F.pmod(key, F.lit(len(slot_map.of))).cast("int").alias("_arborix_slot"))
     where = slot_map.table(docs.sparkSession).select(F.col("virtual_slot").alias("_arborix_slot"), F.col("shard").alias("_arborix_shard"))
     rows.join(F.broadcast(where), "_arborix_slot").repartition("_arborix_slot").drop("_arborix_slot").write.partitionBy("_arborix_shard").parquet(path)

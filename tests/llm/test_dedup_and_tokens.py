@@ -135,7 +135,8 @@ def test_forest_connects_the_same(n, m, data):
 
 def test_shards(docs, empty, spark, tmp_path):
     many = spark.createDataFrame(rows([PROSE[: 10 + i % 400] for i in range(3000)]), SCHEMA)
-    placed, versions = sharding.shard(many, 24)
+    placed, path = sharding.shard(many, 24)
+    versions = [sharding.SlotMap.load(spark, path, v) for v in (1, 2)]
     got = placed.collect()
     load = Counter()
     for r in got:
@@ -151,10 +152,21 @@ def test_shards(docs, empty, spark, tmp_path):
         sizes[r.virtual_slot] += r.size
     more = versions[1].grown(dict(sizes))
     assert all(b in (a, 24) for a, b in zip(versions[1].of, more.of, strict=True)) and 24 in more.of
-    for m in (*versions, more):
+    empty_shard = sharding.SlotMap(25, list(more.of), 4, [(1, 2, 3)])
+    for m in (*versions, more, more, empty_shard):
         m.save(spark, f"{tmp_path}/map")
-    assert sharding.SlotMap.load(spark, f"{tmp_path}/map", 2).of == versions[1].of
-    assert sharding.SlotMap.load(spark, f"{tmp_path}/map").shards == 25
+    for m in (*versions, more, empty_shard):
+        assert sharding.SlotMap.load(spark, f"{tmp_path}/map", m.version) == m
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/map") == empty_shard
+    none = sharding.SlotMap.initial(24).grown({})
+    none.save(spark, f"{tmp_path}/none")
+    assert sharding.SlotMap.load(spark, f"{tmp_path}/none").shards == 25
+    with pytest.raises(ValueError):
+        sharding.SlotMap.load(spark, f"{tmp_path}/map", 9)
+    again, _ = sharding.shard(many, path=path)  # goes on from version 2, which is even: nothing moves
+    assert sharding.SlotMap.load(spark, path).version == 3 and {(r.id, r.shard) for r in again.collect()} == {(r.id, r.shard) for r in got}
+    lost = spark.createDataFrame([(None, "same", "en", "s", n, "", "") for n in range(3000)], SCHEMA)
+    assert sharding.with_slots(lost).select("virtual_slot").distinct().count() > 1000
     sharding.write_shards(docs, more, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(TEXTS)
     got = {r.id: r for r in sharding.shard(docs)[0].collect()}
@@ -193,6 +205,24 @@ def test_bpe_of_space_before_long_runs(library, space, run):
         assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_leaves_are_encoded_by_several_threads(library):
+    import threading
+
+    coder, seen = bpe.ByteBPE(bpe.default_vocabulary(), 3), set()
+    leaf, gate = coder.leaf, threading.Barrier(3, timeout=60)
+
+    def watched(x):
+        if threading.get_ident() not in seen:
+            seen.add(threading.get_ident())
+            gate.wait()  # goes on when three threads are at work
+        return leaf(x)
+
+    coder.leaf = watched
+    text = "intro " + "".join(np.random.default_rng(8).choice(list("abcdefgh"), 40000)) + " end"
+    assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 3
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=300), st.text("ab", min_size=1, max_size=60).map(lambda x: x * 50), st.text(" \n\t x", max_size=900), st.text("'sre <|endoftext|>", max_size=400), st.text("aé漢🙂", min_size=1, max_size=9).map(lambda x: x * 90)))
 def test_bpe_of_any_text(text):
