@@ -1,79 +1,89 @@
-"""Arithmetic plans over cells: a safe compiler from expressions to columns, cell resolution, votes."""
+"""Arithmetic plans over cells: expressions as steps that columns fold, cell resolution, votes."""
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.udfs import store_similarity
 
+_FIELDS = {"op": T.StringType(), "value": T.DoubleType(), "name": T.StringType(), "n": T.IntegerType()}
+#: A parsed expression: steps over a stack (null outside the grammar) and the names in it.
+PARSED = T.StructType([T.StructField("steps", T.ArrayType(T.StructType([T.StructField(k, t) for k, t in _FIELDS.items()]))), T.StructField("names", T.ArrayType(T.StringType()))])
+BINARY = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Pow: "**"}
+#: Functions of the grammar with the numbers of arguments that they take.
+CALLS = {"max": range(1, 99), "min": range(1, 99), "sum": range(1, 99), "abs": (1,), "int": (1,), "round": (1, 2)}
 
-class ExpressionError(ValueError):
-    """An expression outside the grammar."""
 
-
-def compile_expression(text: str, name: Callable[[str], Column]) -> Column:
-    """An arithmetic expression as a Column; name gives the Column of a variable.
+@lru_cache(1 << 14)
+def parsed(text: str) -> tuple[list[dict] | None, list[str]]:
+    """Steps and names of an expression.
 
     Grammar: numbers, names, ``+ - * / **``, unary signs and the functions max,
-    min, abs, int, round and sum.  A division by zero gives null.  Nothing is
-    ever executed: other syntax is an error at planning time.
+    min, abs, int, round and sum.  Nothing is ever executed.
     """
-    try:
-        tree = ast.parse(text, mode="eval")
-    except SyntaxError as e:
-        raise ExpressionError(str(e)) from e
+    steps: list[dict] = []
+    step = lambda op, n=0, value=None, name=None: steps.append({"op": op, "value": value, "name": name, "n": n})
 
-    def walk(node) -> Column:
+    def walk(node) -> None:
         match node:
-            case ast.Expression(body=body):
-                return walk(body)
             case ast.Constant(value=v) if isinstance(v, (int, float)) and not isinstance(v, bool):
-                return F.lit(float(v))
-            case ast.Name(id=n):
-                return name(n)
-            case ast.UnaryOp(op=ast.USub(), operand=x):
-                return -walk(x)
-            case ast.UnaryOp(op=ast.UAdd(), operand=x):
-                return walk(x)
-            case ast.BinOp(left=a, op=ast.Div(), right=b):
-                return F.try_divide(walk(a), walk(b))
-            case ast.BinOp(left=a, op=ast.Add() | ast.Sub() | ast.Mult() | ast.Pow() as op, right=b):
-                x, y = walk(a), walk(b)
-                return {ast.Add: lambda: x + y, ast.Sub: lambda: x - y, ast.Mult: lambda: x * y, ast.Pow: lambda: F.pow(x, y)}[type(op)]()
-            case ast.Call(func=ast.Name(id=f), args=args, keywords=[]):
-                return call(f, args)
-        raise ExpressionError(f"{type(node).__name__} is not part of the grammar")
-
-    def call(f: str, args: list) -> Column:
-        xs = [walk(a) for a in args]
-        if f in ("max", "min") and xs:
-            return (F.greatest if f == "max" else F.least)(*xs) if len(xs) > 1 else xs[0]
-        if f == "sum":
-            return sum(xs, F.lit(0.0))
-        if f == "abs" and len(xs) == 1:
-            return F.abs(xs[0])
-        if f == "int" and len(xs) == 1:
-            return xs[0].cast("long").cast("double")
-        if f == "round" and len(xs) == 1:
-            return F.rint(xs[0])
-        if f == "round" and isinstance(args[1], ast.Constant):
-            return F.bround(xs[0], int(args[1].value))
-        raise ExpressionError(f"no such function: {f}")
-
-    return walk(tree)
-
-
-def variables(text: str) -> list[str]:
-    """Names in an expression, without its functions."""
-    tree = ast.parse(text, mode="eval")
-    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    return sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called})
+                step("number", value=float(v))
+            case ast.Name(id=name):
+                step("name", name=name)
+            case ast.UnaryOp(op=ast.USub() | ast.UAdd() as sign, operand=x):
+                walk(x)
+                if isinstance(sign, ast.USub):
+                    step("neg", 1)
+            case ast.BinOp(left=x, op=op, right=y) if type(op) in BINARY:
+                walk(x)
+                walk(y)
+                step(BINARY[type(op)], 2)
+            case ast.Call(func=ast.Name(id=f), args=xs, keywords=[]) if len(xs) in CALLS.get(f, ()):
+                for x in xs:
+                    walk(x)
+                step(f, len(xs))
+            case _:
+                raise SyntaxError(f"{type(node).__name__} is not part of the grammar")
+
+    try:
+        walk(ast.parse(text.strip(), mode="eval").body)
+    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError):
+        return None, []
+    return steps, sorted({x["name"] for x in steps if x["op"] == "name"})
+
+
+@pandas_udf(PARSED)
+def steps_of(expression: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parsed(e or "") for e in expression], columns=["steps", "names"])
+
+
+def folded(steps: Column, env: Column) -> Column:
+    """The value of steps with names from a map; null where one is null or a division is by zero."""
+
+    def apply(stack, x):
+        args = F.slice(stack, F.size(stack) - x["n"] + 1, x["n"])
+        a, b = F.get(args, 0), F.get(args, 1)
+        scale = F.pow(F.lit(10.0), F.coalesce(b, F.lit(0.0)))
+        by_op = {
+            "name": F.try_element_at(env, x["name"]), "neg": -a, "+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b), "**": F.pow(a, b), "abs": F.abs(a),
+            "int": a.try_cast("long").cast("double"), "round": F.rint(a * scale) / scale, "max": F.array_max(args), "min": F.array_min(args),
+            "sum": F.aggregate(args, F.lit(0.0), lambda t, v: t + v),
+        }
+        value = x["value"]
+        for op, result in by_op.items():
+            value = F.when(x["op"] == op, result).otherwise(value)
+        return F.concat(F.slice(stack, 1, F.size(stack) - x["n"]), F.array(value))
+
+    return F.get(F.aggregate(steps, F.array().cast("array<double>"), apply), 0)
 
 
 def resolve(pairs: DataFrame, cells: DataFrame, least: float = 0.4) -> DataFrame:
@@ -102,33 +112,57 @@ def resolve(pairs: DataFrame, cells: DataFrame, least: float = 0.4) -> DataFrame
     return t.join(cells.select("table_id", "r", "c", F.col("num").alias("value"), "raw"), ["table_id", "r", "c"], "left")
 
 
-def evaluate(plans: DataFrame, resolved: DataFrame, expressions: list[str]) -> DataFrame:
-    """(query_id, value, error) of plans (query_id, expression) over resolved variables.
+def evaluate(plans: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(query_id, expression, value, error) of plans (query_id, expression) over resolved variables.
 
-    expressions: the distinct expressions of the plans, compiled once each; an
-    expression outside the grammar is an error of its plans.
+    Each batch's distinct expressions are parsed once; values are a fold over
+    their steps.  An expression outside the grammar is an error of its plans.
     """
     env = resolved.groupBy("query_id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("var", "value")))).alias("env"),
         F.min(F.when(F.col("r").isNull() | F.col("c").isNull(), F.col("var"))).alias("lost"),
         F.min(F.when(F.col("r").isNotNull() & F.col("value").isNull(), F.col("var"))).alias("text"),
     )
-    value, error = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for e in expressions:
-        own = F.col("expression") == e
-        try:
-            col = compile_expression(e, lambda n: F.try_element_at(F.col("env"), F.lit(n)))
-            missing = [F.try_element_at(F.col("env"), F.lit(n)).isNull() for n in variables(e)]
-            value = F.when(own, col).otherwise(value)
-            undefined = missing[0] if missing else F.lit(False)
-            for m in missing[1:]:
-                undefined = undefined | m
-            error = F.when(own & undefined, F.lit("undefined")).when(own & col.isNull(), F.lit("division")).otherwise(error)
-        except (ExpressionError, SyntaxError):
-            error = F.when(own, F.lit("grammar")).otherwise(error)
-    t = plans.join(env, "query_id", "left")
-    code = F.when(F.coalesce(F.col("expression"), F.lit("")) == "", "empty_or_unparsed_plan").when(F.col("env").isNull(), "empty_or_unparsed_plan").when(F.col("lost").isNotNull(), F.concat(F.lit("unresolved_cell:"), F.col("lost"))).when(F.col("text").isNotNull(), F.concat(F.lit("non_numeric_cell:"), F.col("text"))).otherwise(F.when(error.isNotNull(), F.concat(F.lit("eval_error:"), error)))
-    return t.select("query_id", "expression", F.when(code.isNull(), value).alias("value"), code.alias("error"))
+    t = plans.withColumn("parsed", steps_of("expression")).join(env, "query_id", "left").withColumn("value", folded(F.col("parsed.steps"), F.col("env")))
+    undefined = F.exists("parsed.names", lambda n: ~F.map_contains_key("env", n))
+    error = F.when(F.col("parsed.steps").isNull(), "grammar").when(undefined, "undefined").when(F.col("value").isNull(), "division")
+    none = (F.coalesce("expression", F.lit("")) == "") | F.col("env").isNull()
+    code = (
+        F.when(none, "empty_or_unparsed_plan")
+        .when(F.col("lost").isNotNull(), F.concat(F.lit("unresolved_cell:"), F.col("lost")))
+        .when(F.col("text").isNotNull(), F.concat(F.lit("non_numeric_cell:"), F.col("text")))
+        .when(error.isNotNull(), F.concat(F.lit("eval_error:"), error))
+    )
+    return t.select("query_id", "expression", F.when(code.isNull(), F.col("value")).alias("value"), code.alias("error"))
+
+
+#: The one line of code that an answer may hold instead of a number (fixed value).
+CODE_LINE = r"(?s)^\s*(?:```(?:python)?\s*)?(?:(?:result|answer)\s*=\s*)?(?:print\s*\(\s*)?(.+?)(?:\s*\)\s*)?(?:```\s*)?$"
+
+
+def guarded(code) -> Column:
+    """The value of a line of generated code, if it is arithmetic of numbers: nothing is executed, all else is null."""
+    code = F.col(code) if isinstance(code, str) else code
+    whole, inner = steps_of(code), steps_of(F.regexp_extract(code, CODE_LINE, 1))
+    none = F.create_map().cast("map<string, double>")
+    return F.coalesce(*[F.when(F.size(p["names"]) == 0, folded(p["steps"], none)) for p in (whole, inner)])
+
+
+def adopted_plan(phases: DataFrame) -> DataFrame:
+    """Two-phase extraction: (query_id, expression, cells, complete) of what a model gave.
+
+    phases: (query_id, skeleton: the model's JSON with an expression and the
+    variables it needs, cells: its JSON from variables to header pairs).  A plan
+    counts as parsed only if every variable has a pair.
+    """
+    need = F.from_json(tx.outer_json("skeleton"), "expression string, variables array<string>")
+    got = F.from_json(tx.outer_json("cells"), "map<string, struct<row_header: string, col_header: string>>")
+    t = phases.select("query_id", need.alias("need"), F.coalesce(got, F.create_map().cast("map<string, struct<row_header: string, col_header: string>>")).alias("got"))
+    names = F.coalesce("need.variables", F.array().cast("array<string>"))
+    pair = lambda v: F.try_element_at("got", v)
+    cells = F.transform(F.filter(names, lambda v: pair(v).isNotNull()), lambda v: F.struct(v.alias("var"), pair(v)["row_header"].alias("row_header"), pair(v)["col_header"].alias("col_header")))
+    complete = (F.coalesce(F.trim("need.expression"), F.lit("")) != "") & (F.size(names) > 0) & F.forall(names, lambda v: pair(v).isNotNull())
+    return t.select("query_id", F.col("need.expression").alias("expression"), cells.alias("cells"), complete.alias("complete"))
 
 
 def adopted(ok, expression, n_cells, kind) -> Column:

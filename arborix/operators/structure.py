@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -144,22 +147,56 @@ def sectioned_rows(rows: DataFrame) -> DataFrame:
     return rows.select("table_id", "r", path.alias("row_path"))
 
 
+#: Names of roots, which are not part of a path (fixed values).
+SENTINELS = ("<TOP>", "<LEFT>", "<ROOT>", "")
+_WALKED = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))]))
+
+
+@pandas_udf(_WALKED)
+def _walked(trees: pd.Series) -> pd.Series:
+    """The lines of each tree, given as its nodes, with the names from the root down."""
+
+    def lines(nodes):
+        by = {n["node"]: n for n in nodes}
+        known: dict = {None: []}
+        for start in by:
+            below = []  # nodes whose paths wait for those above; a parent that is missing or leads back has no path
+            while start is not None and start not in known and start in by:
+                known[start] = None
+                below.append(start)
+                start = by[start]["parent"]
+            above = known.get(start)
+            for at in reversed(below):
+                name = by[at]["name"] or ""
+                above = known[at] = None if above is None else above if name in SENTINELS else [*above, name]
+        return [{"line": n["line"], "path": known[n["node"]]} for n in nodes if n["line"] is not None and known[n["node"]] is not None]
+
+    return trees.map(lines)
+
+
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """Header-tree nodes (table_id, node, parent, name, line) -> (table_id, line, path), by levels.
+    """Header-tree nodes (table_id, node, parent, name, line) -> (table_id, line, path).
 
     Nodes that own a line have its path, inner ones too; sentinels of roots are
-    not part of a path.  Trees are a few levels deep, so few joins suffice.
+    not part of a path.  The tree of a table, no larger than its headers, is
+    walked in one place, whatever its depth; trees are dealt by table.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_arborix_nodes")
-    return spark.sql("""
-        with recursive walk(table_id, node, line, path) as (
-          select table_id, node, line, case when name in ('<TOP>', '<LEFT>', '<ROOT>', '') then cast(array() as array<string>) else array(name) end
-          from _arborix_nodes where parent is null
-          union all
-          select n.table_id, n.node, n.line, case when n.name in ('<TOP>', '<LEFT>', '<ROOT>', '') then w.path else concat(w.path, array(n.name)) end
-          from walk w join _arborix_nodes n on n.table_id = w.table_id and n.parent = w.node)
-        select table_id, line, path from walk where line is not null""")
+    trees = nodes.groupBy("table_id").agg(F.collect_list(F.struct("node", "parent", "name", F.col("line").cast("int").alias("line"))).alias("tree"))
+    return trees.select("table_id", F.explode(_walked("tree")).alias("x")).select("table_id", "x.line", "x.path")
+
+
+def bad_lines(rebuilt: DataFrame, gold: DataFrame, at: str) -> DataFrame:
+    """(table_id, at): lines whose rebuilt path is missing or not the gold one."""
+    pair = gold.select("table_id", at, tx.normal_path("path").alias("g")).join(rebuilt.select("table_id", at, tx.normal_path("path").alias("p")), ["table_id", at], "left")
+    return pair.filter(~F.coalesce(F.col("g") == F.col("p"), F.lit(False))).select("table_id", at)
+
+
+def affected_operands(operands: DataFrame, bad_rows: DataFrame, bad_cols: DataFrame) -> DataFrame:
+    """Operands (query_id, table_id, r, c) with whether a wrongly rebuilt line holds them."""
+    rows, cols = bad_rows.select("table_id", "r", F.lit(True).alias("bad_row")), bad_cols.select("table_id", "c", F.lit(True).alias("bad_col"))
+    t = operands.join(rows, ["table_id", "r"], "left").join(cols, ["table_id", "c"], "left")
+    no = F.lit(False)
+    return t.select("query_id", "table_id", "r", "c", F.coalesce("bad_row", no).alias("bad_row"), F.coalesce("bad_col", no).alias("bad_col"))
 
 
 def size_bucket(n_rows, n_cols) -> Column:

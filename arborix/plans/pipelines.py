@@ -58,7 +58,7 @@ def operand_retrieval(queries: DataFrame, cells: DataFrame, operands: DataFrame,
     return out
 
 
-def agent_evaluation(queries: DataFrame, cells: DataFrame, plans: DataFrame, expressions: list[str], reader: Callable[[str], Column]) -> DataFrame:
+def agent_evaluation(queries: DataFrame, cells: DataFrame, plans: DataFrame, reader: Callable[[str], Column]) -> DataFrame:
     """Classified, planned, evaluated and scored answers.
 
     queries: (query_id, table_id, question, answer: array); plans: (query_id,
@@ -68,7 +68,7 @@ def agent_evaluation(queries: DataFrame, cells: DataFrame, plans: DataFrame, exp
     """
     q = queries.withColumn("kind", questions.query_type("question"))
     asked = plans.join(queries.select("query_id", "table_id"), "query_id").select("query_id", "table_id", F.explode("cells").alias("x")).select("query_id", "table_id", "x.var", "x.row_header", "x.col_header")
-    got = evaluation.evaluate(plans.select("query_id", "expression"), evaluation.resolve(asked, cells), expressions)
+    got = evaluation.evaluate(plans.select("query_id", "expression"), evaluation.resolve(asked, cells))
     view = texts.reader_view(cells).withColumnRenamed("text", "context")
     t = q.join(plans.select("query_id", F.size("cells").alias("n_cells")), "query_id", "left").join(got, "query_id", "left").join(view, "table_id", "left")
     t = t.withColumn("ok", F.coalesce(F.col("value").isNotNull(), F.lit(False)))

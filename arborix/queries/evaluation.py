@@ -214,7 +214,7 @@ def plan_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plans(spark, sf_dir)
     asked = p.select("query_id", "table_id", F.explode("cells").alias("x")).select("query_id", "table_id", "x.var", "x.row_header", "x.col_header")
     got = evaluation.resolve(asked, sales_cells(spark, sf_dir))
-    return evaluation.evaluate(p.select("query_id", "expression"), got, [e for e, _ in PLANS]).select("query_id", F.round("value", 6).alias("value"), "error")
+    return evaluation.evaluate(p.select("query_id", "expression"), got).select("query_id", F.round("value", 6).alias("value"), "error")
 
 
 def consistency_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def agent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plans(spark, sf_dir)
     i = F.element_at(F.split("query_id", "/"), -1).cast("int")
     q = p.select("query_id", "table_id", F.get(F.array(*[F.lit(x) for x in QUESTIONS]), i).alias("question"), F.array(F.lit("12")).alias("answer"))
-    return pipelines.agent_evaluation(q, sales_cells(spark, sf_dir), p.select("query_id", "expression", "cells"), [e for e, _ in PLANS], pipelines.mock_reader).select("query_id", "kind", "source", "pred", "numeric_match", "exact_match", "error")
+    return pipelines.agent_evaluation(q, sales_cells(spark, sf_dir), p.select("query_id", "expression", "cells"), pipelines.mock_reader).select("query_id", "kind", "source", "pred", "numeric_match", "exact_match", "error")
 
 
 def fallback_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_pipelines(spark):
     recall = {(r["mode"], r.k): r.recall for r in pipelines.operand_retrieval(q, cells, gold).collect()}
     assert recall["plain", 1] == 1.0 and recall["operand", 1] == 1.0
     plans = spark.createDataFrame([("q", "x - y", [("x", "bonds", "2023"), ("y", "cash", "2022")])], "query_id string, expression string, cells array<struct<var: string, row_header: string, col_header: string>>")
-    a = pipelines.agent_evaluation(q, cells, plans, ["x - y"], pipelines.mock_reader).first()
+    a = pipelines.agent_evaluation(q, cells, plans, pipelines.mock_reader).first()
     assert (a.source, a.error) == ("reader", None) and a.pred == "10"
     assert texts.whole_tables(cells).count() == 1
 

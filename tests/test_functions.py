@@ -178,12 +178,30 @@ def test_resolution_of_headers(spark, federal):
 
 
 def test_expressions(spark):
-    env = {"a": 6.0, "b": 4.0}
-    value = lambda e: one(spark, evaluation.compile_expression(e, lambda n: F.lit(env[n])))
+    env = F.create_map(F.lit("a"), F.lit(6.0), F.lit("b"), F.lit(4.0))
+    value = lambda e: one(spark, evaluation.folded(evaluation.steps_of(F.lit(e))["steps"], env))
     assert value("(a - b) / b * 100") == 50.0 and value("max(a, b) + abs(-1) + round(2.5)") == 9.0 and value("a / 0") is None and value("2 ** 3 - int(2.9)") == 6.0
-    for bad in ("__import__('os')", "a.b", "[a]", "a if b else 0", "'x'", "lambda: 1", "a +"):
-        with pytest.raises(evaluation.ExpressionError):
-            value(bad)
+    assert value("sum(a, b, 1)") == 11.0 and value("round(2.345, 1)") == 2.3 and value("-(+a)") == -6.0 and value("a + c") is None
+    for bad in ("__import__('os')", "a.b", "[a]", "a if b else 0", "'x'", "lambda: 1", "a +", "abs(1, 2)", "f(1)", "", "True"):
+        assert evaluation.parsed(bad) == (None, [])
+    plans = spark.createDataFrame([("p", "a - b"), ("q", "a"), ("r", "a"), ("s", "a / 0"), ("t", "a + z"), ("u", "os.x"), ("v", None), ("w", "b")], "query_id string, expression string")
+    found = spark.createDataFrame([(q, v, 0, 0, x) for q in "pstu" for v, x in (("a", 6.0), ("b", 4.0))] + [("q", "a", None, 0, None), ("r", "a", 0, 0, None)], "query_id string, var string, r int, c int, value double")
+    got = {r.query_id: (r.value, r.error) for r in evaluation.evaluate(plans, found).collect()}
+    assert got == {"p": (2.0, None), "q": (None, "unresolved_cell:a"), "r": (None, "non_numeric_cell:a"), "s": (None, "eval_error:division"), "t": (None, "eval_error:undefined"), "u": (None, "eval_error:grammar"), "v": (None, "empty_or_unparsed_plan"), "w": (None, "empty_or_unparsed_plan")}
+
+
+def test_guarded_code_and_two_phase_plans(spark):
+    value = lambda c: one(spark, evaluation.guarded(F.lit(c)))
+    assert value("print((10 - 4) / 2)") == 3.0 and value("```python\nresult = 2 + 3\n```") == 5.0 and value("7 * 6") == 42.0
+    for bad in ("import os", "print(open('x'))", "__import__('os').system('ls')", "x = 1; y = 2", "a + 1", "", None):
+        assert value(bad) is None
+    phases = spark.createDataFrame(
+        [("a", 'so {"expression": "x - y", "variables": ["x", "y"]}', '{"x": {"row_header": "r", "col_header": "c"}, "y": {"row_header": "s", "col_header": ""}}'), ("b", '{"expression": "x", "variables": ["x", "y"]}', '{"x": {"row_header": "r", "col_header": "c"}}'), ("c", "no", None)],
+        "query_id string, skeleton string, cells string",
+    )
+    got = {r.query_id: r for r in evaluation.adopted_plan(phases).collect()}
+    assert got["a"].complete and [c["var"] for c in got["a"].cells] == ["x", "y"] and got["a"].expression == "x - y"
+    assert not got["b"].complete and len(got["b"].cells) == 1 and not got["c"].complete
 
 
 def test_votes(spark):
