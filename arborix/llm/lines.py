@@ -6,8 +6,8 @@ the hashes of the last two lines says whether a chunk ends at a line, so
 borders depend on content alone and shift with it.  A chunk with the next one,
 where it is a single line, makes a unit of two lines at least.  Units whose
 hashes repeat anywhere are compared byte by byte; of each, all but the first
-occurrence go, and with them the lines around it as far as they agree, byte by
-byte too, with those around the first.
+occurrence go, and with them the lines around it as far as they agree, by the
+128 bits of their md5, with those around the first.
 
 Most lines are borders.  The unit of a passage is found if a chunk ends before
 its last line but one and one at or behind its second line: short passages are
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SPACE, let
-from .storage import columns, save
+from .storage import columns, drop, release, save
 
 #: Lines at which a chunk may end, of sixteen.
 SIXTEENTHS = 15
@@ -28,7 +28,7 @@ SIXTEENTHS = 15
 MANY, PART = 256, 10_000
 
 UNIT = "array<struct<c: int, h: bigint, n: int>>"
-FULL = "array<struct<c: int, h: bigint, n: int, first: int, last: int, body: string, before: array<string>, after: array<string>>>"
+FULL = "array<struct<c: int, h: bigint, n: int, first: int, last: int, body: string, before: array<binary>, after: array<binary>>>"
 
 
 def lines_of(text: Column) -> Column:
@@ -43,7 +43,7 @@ def units_col(lines: Column, only: Column | None = None, sixteenths: int = SIXTE
     """lines -> its units (c: number of the chunk, h, n: hash and length of the body), or the full ones of some chunks.
 
     first and last are places among the lines with words, before and after the
-    lines of the chunk beside the unit, or of two if that has one line: were all
+    md5 of the lines of the chunk beside the unit, or of two if that has one line: were all
     of them to agree, they would be a unit of their own.
     """
 
@@ -66,8 +66,9 @@ def units_col(lines: Column, only: Column | None = None, sixteenths: int = SIXTE
             d = F.when(single, c + 1).otherwise(c)  # number of the last chunk
             to = F.coalesce(F.when(F.get(e, d + 1) == b + 1, F.get(e, d + 2)), F.get(e, d + 1), b)
             from_ = F.when(start(c - 1) == a - 1, start(c - 2)).otherwise(start(c - 1))
-            before = F.when(c > 0, part(from_, a - 1)).otherwise(F.array().cast("array<string>"))
-            return F.struct(*plain, a.alias("first"), b.alias("last"), text.alias("body"), before.alias("before"), part(b + 1, to).alias("after"))
+            digests = lambda x: F.transform(x, lambda y: F.unhex(F.md5(y.cast("binary"))))
+            before = digests(F.when(c > 0, part(from_, a - 1)).otherwise(F.array().cast("array<string>")))
+            return F.struct(*plain, a.alias("first"), b.alias("last"), text.alias("body"), before.alias("before"), digests(part(b + 1, to)).alias("after"))
 
         return F.when(b.isNotNull(), let(b, lambda b: let(body(b), lambda t: made(b, t))))
 
@@ -109,25 +110,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text with the smallest id (null ids last), then by the text's hash and its
     place.  Rows equal in id and text are one text: they lose the same lines.
     """
-    text = F.col(text_col)
-    named = docs.select(F.struct(*columns(docs)).alias("_row"), F.col(id_col).alias("_id"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("_key"), lines_of(text).alias("_lines"))
+    text, spark = F.col(text_col), docs.sparkSession
+    key = F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))).alias("_key")
+    named = docs.select(F.struct(*columns(docs)).alias("_row"), F.col(id_col).alias("_id"), key, lines_of(text).alias("_lines"))
     small = save(named.select("_id", "_key", F.explode(units_col(F.col("_lines"), None, sixteenths)).alias("u")).select("_id", "_key", "u.*"), "units")
-    seen = small.withColumn("place", _place()).groupBy("h", "n").agg(F.count("*").alias("many"), F.min("place").alias("a"), F.max("place").alias("b"))
+    # two places at least; a row that repeats id and text is the same place
+    seen = small.withColumn("at", F.xxhash64("_id", "_key", "c")).groupBy("h", "n").agg(F.count("*").alias("many"), F.min("at").alias("a"), F.max("at").alias("b"))
     twice = save(seen.filter("a <> b").select("h", "n", "many"), "twice")
     total = small.count()
     need = _dealt(small, twice, ["h", "n"], total).groupBy("_id", "_key").agg(F.collect_set("c").alias("_some"))
-    need = need.select(F.col("_id").alias("_nid"), F.col("_key").alias("_nkey"), "_some")
+    need = save(need.select(F.col("_id").alias("_nid"), F.col("_key").alias("_nkey"), "_some"), "needed")
+    drop(small), drop(twice), release(spark)
     # the text travels once with its row; only texts in which something repeats go on
     rows = save(named.drop("_lines").join(need.hint("merge"), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_key") == F.col("_nkey")), "left").drop("_nid", "_nkey"), "rows")
+    drop(need), release(spark)
     full = rows.filter("_some is not null").select("_id", "_key", F.explode(units_col(lines_of(F.col("_row")[text_col]), F.col("_some"), sixteenths)).alias("u")).select("_id", "_key", "u.*")
     full = save(full, "chunks")
     # compared by their bytes: the body is part of the key
     first = full.withColumn("place", _place()).groupBy("h", "n", "body").agg(F.count("*").alias("many"), F.min(F.struct("place", "before", "after")).alias("f"))
+    first = save(first.filter("many > 1"), "first")
     gone = _dealt(full, first, ["h", "n", "body"], total).withColumn("place", _place()).filter(F.col("place") > F.col("f.place"))
     back, on = _agreeing(F.reverse("before"), F.reverse("f.before")), _agreeing(F.col("after"), F.col("f.after"))
     spans = gone.select("_id", "_key", F.sequence(F.col("first") - back, F.col("last") + on).alias("span"))
-    drops = spans.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("_drop"))
-    return rows, save(drops, "drops").select(F.col("_id").alias("_did"), F.col("_key").alias("_dkey"), "_drop")
+    drops = save(spans.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("_drop")), "drops")
+    drop(full), drop(first), release(spark)
+    return rows, drops.select(F.col("_id").alias("_did"), F.col("_key").alias("_dkey"), "_drop")
 
 
 def kept_lines(lines: Column, drop: Column) -> Column:

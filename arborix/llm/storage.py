@@ -78,6 +78,11 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the engine delete the shuffle files of what is done: it does so when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`save` that is no longer read."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
