@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SPACE, SPACE_RUN
-from .storage import drop, save
+from .storage import columns, drop, save
 
 #: Cells that are raked on the driver; more are raked by Spark.
 DRIVER_CELLS = 50_000
@@ -27,7 +27,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: question, list, figures, dialogue or prose."""
+    """A coarse topic by form, the first that applies of code, table, web, question, figures and prose; pass any Column for a finer one."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     return (
         F.when(F.instr(t, "```") > 0, "code")
@@ -84,6 +84,8 @@ def _rake_spark(cells: DataFrame, targets: dict, rounds: int) -> DataFrame:
             given = now.sparkSession.createDataFrame(list(targets[d].items()), f"{d} string, want double")
             raw = seen.join(given, d, "left").fillna(0.0, ["want"])
         mass = raw.agg(F.sum("want")).first()[0]
+        if mass is not None and mass <= 0:
+            raise ValueError("the targets name no value that occurs")
         want[d] = save(raw.select(d, (F.col("want") / mass).alias("want")), "targets")
     for _ in range(rounds):
         for d in DIMS:
@@ -135,7 +137,7 @@ def mix(docs: DataFrame, targets: dict | None = None, share: float = 0.75, seed:
     targets = dict.fromkeys(DIMS, 0.7) | (targets or {})
     text = F.col(text_col)
     plain = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*columns(docs)).alias("_row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         (topic if topic is not None else topic_of(text)).alias("topic"),

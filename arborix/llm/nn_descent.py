@@ -15,6 +15,7 @@ each vector and a spanning forest, never its pairs.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,10 @@ from .components import connected_components
 from .simhash import forest
 from .storage import arrow_rows, drop, save
 
+LOG = logging.getLogger(__name__)
 THRESHOLD = 0.95
+#: Vectors with more copies than this, or than this part of all, have their rows joined without a shuffle.
+MANY, PART = 256, 10_000
 #: Length of a neighbour list, trees, vectors in a leaf, vectors in a block.
 K, TREES, LEAF, BLOCK = 12, 8, 384, 512
 #: Share of pairs at the threshold that no tree of a forest puts in one leaf.
@@ -114,7 +118,9 @@ def _paired(blocks: DataFrame, keys: list[str]) -> DataFrame:
     pick = lambda s: blocks.filter("parts > 1").select(*keys, F.col("part").alias(f"p{s}"), F.col("m").alias(f"m{s}"))
     parts = blocks.groupBy(*keys).agg(F.count("*").alias("parts"))
     blocks = save(blocks.join(parts, keys), "leaves")
-    both = pick(1).join(pick(2), keys).filter("p1 < p2")
+    part = lambda s: blocks.filter("parts > 1").select(*keys, F.col("part").alias(f"p{s}"))
+    pairs = part(1).join(part(2), keys).filter("p1 < p2")  # of numbers, so that large leaves are dealt to many tasks
+    both = pairs.join(pick(1), [*keys, "p1"]).join(pick(2), [*keys, "p2"])
     return blocks.filter("parts = 1").select("m").unionByName(both.select(F.concat("m1", "m2").alias("m")))
 
 
@@ -233,12 +239,14 @@ def connected(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, recall
         tagged = save(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")).drop("component"), "tagged")
         with arrow_rows(nodes.sparkSession, 256):
             across = save(_links_of(_merge(_forest(tagged, depth, k, range(turn * trees, (turn + 1) * trees)), k), threshold), "links")
-            if across.isEmpty() and audit(tagged, n, threshold) >= recall:
+            if across.isEmpty() and (share := audit(tagged, n, threshold)) >= recall:
+                LOG.info("%.4f of the audited links are found", share)
                 return parts
         links = links.unionByName(across)
         parts = save(connected_components(links), "parts")
     with arrow_rows(nodes.sparkSession, 256):
         share = audit(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")), n, threshold)
+    LOG.info("%.4f of the audited links are found", share)
     if share < recall:
         raise RuntimeError(f"{share:.3f} of the audited links are found, {recall} are asked for")
     return parts
@@ -255,7 +263,10 @@ def _within(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     held = nodes.join(parts, "node").withColumn("v", F.struct("mult", "v"))
     blocks = save(_chunks(held, ["component", "dim"], BLOCK), "blocks")
     pick = lambda s: blocks.select("component", "dim", F.col("part").alias(f"p{s}"), F.col("m.node").alias(f"n{s}"), F.col("m.v.mult").alias(f"c{s}"), F.flatten("m.v.v").alias(f"v{s}"))
-    work = pick(1).join(pick(2), ["component", "dim"]).filter("p1 <= p2").select(*(f"{c}{s}" for s in (1, 2) for c in "pncv"))
+    # pairs of numbers first: a large component's blocks are dealt to many tasks
+    part = lambda s: blocks.select("component", "dim", F.col("part").alias(f"p{s}"))
+    pairs = part(1).join(part(2), ["component", "dim"]).filter("p1 <= p2")
+    work = pairs.join(pick(1), ["component", "dim", "p1"]).join(pick(2), ["component", "dim", "p2"]).select(*(f"{c}{s}" for s in (1, 2) for c in "pncv"))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -299,7 +310,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # a row's node by its vector: copies share it
     plain = nodes.select("node", "mult").join(counts, "node", "left").join(exact, "node", "left")
     of = save(plain.select("node", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
-    ids = save(rows.filter("sound").groupBy("e").agg(F.min("id").alias("node")), "ids")
-    sound = rows.filter("sound").join(ids, "e").select("id", "node").join(of, "node").select("id", "n_links", "component")
+    ids = save(rows.filter("sound").groupBy("e").agg(F.min("id").alias("node"), F.count("*").alias("n")), "ids")
+    most = max(MANY, (ids.agg(F.sum("n")).first()[0] or 0) // PART)
+    # at most PART vectors have so many copies: a small table whatever the input
+    hot = rows.filter("sound").join(F.broadcast(ids.filter(F.col("n") > most).select("e", "node")), "e", "left")
+    rest = hot.filter("node is null").drop("node").join(ids.filter(F.col("n") <= most).select("e", "node"), "e")
+    named = hot.filter("node is not null").select("id", "node").unionByName(rest.select("id", "node"))
+    sound = named.join(of, "node").select("id", "n_links", "component")
     lone = rows.filter("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return sound.unionByName(lone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import save
+from .storage import columns, save
 
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
@@ -193,7 +193,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns, whatever they are called."""
-    row = F.struct(*docs.columns).alias("_arborix_row")
+    row = F.struct(*columns(docs)).alias("_arborix_row")
     measured = save(measures(docs, text_col, text_col, carry=[row]).drop("id"), "quality")
     kept = judge(measured)[0].filter("kept")
     return kept.select(*[F.col("_arborix_row")[c].alias(c) for c in docs.columns])

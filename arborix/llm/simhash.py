@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import arrow_rows, save
+from .storage import arrow_rows, columns, save
 
 BLOCK = 256
 #: Of documents at Jaccard 0.8 1 - (1 - 0.8 ** ROWS) ** BANDS share a band, 0.992.
@@ -158,7 +158,11 @@ def _links(nodes: DataFrame, n_words: int, distance: int, index_words: int | Non
     blocks = save(blocks.groupBy("s", "g", "k").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("m")), "blocks")
     left = blocks.select("s", F.col("g").alias("g1"), F.col("k").alias("k1"), F.col("m").alias("m1"))
     right = blocks.select("s", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("m").alias("m2"))
-    work = pairs.join(left, ["s", "g1"]).join(right, ["s", "g2"]).filter("g1 < g2 or k1 <= k2")
+    # pairs of blocks are made of numbers first, so that those of one large value are dealt to many tasks
+    held = lambda i: sizes.select("s", F.col("g").alias(f"g{i}"), F.ceil(F.col("n") / BLOCK).cast("long").alias(f"n{i}"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    both = pairs.join(held(1), ["s", "g1"]).join(held(2), ["s", "g2"]).withColumn("k1", each("n1")).withColumn("k2", each("n2")).filter("g1 < g2 or k1 <= k2")
+    work = both.select("s", "g1", "k1", "g2", "k2").join(left, ["s", "g1", "k1"]).join(right, ["s", "g2", "k2"])
     work = work.select(F.col("m1.node").alias("n1"), F.flatten("m1.fp").alias("f1"), F.col("m2.node").alias("n2"), F.flatten("m2.fp").alias("f2"))
 
     def verify(batches: Iterator) -> Iterator:
@@ -289,8 +293,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat the same id and text count once.  All columns of docs are
     returned, whatever they are called.
     """
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_arborix_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_arborix_text")]
-    rows = docs.select(F.struct(*docs.columns).alias("_arborix_row"), *key)
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_arborix_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_arborix_text")]
+    rows = docs.select(F.struct(*columns(docs)).alias("_arborix_row"), *key)
     found = near_duplicates(docs, id_col, text_col, **how)
     stay = found.groupBy("part").agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "text_key")).alias("w"))
     stay = stay.select(F.coalesce("w.id", F.lit(NO_ID)).alias("_arborix_id"), F.col("w.text_key").alias("_arborix_text"))

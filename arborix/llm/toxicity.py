@@ -23,8 +23,8 @@ from .sorted_runs import WordHashes, portions
 
 #: Rows and columns of the table, filters of each width, widths.
 ROWS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 8, (1, 2, 3)
-#: Labelled texts that the model is fitted on at most, and their greatest length in characters.
-SAMPLE, SAMPLE_CHARS = 8000, 200_000
+#: Labelled texts that the model is fitted on at most, and their words in all.
+SAMPLE, SAMPLE_WORDS = 8000, 30_000_000
 #: Rows of the table that fewer training texts use stay zero.
 SEEN = 2
 EDGE = b".,;:!?\"'()[]{}*#$%&|<>-_/\\~`+="
@@ -210,19 +210,27 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((5 * 0.5 + n * cuts[int(np.argmax(f1))]) / (5 + n))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` labelled texts, those with the least hashes of their id.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Network:
+    """Fit on a bounded sample of the labelled texts: those with the least hashes of their id.
 
-    Labels that are null, or whose id is, don't count; of several labels of a
-    text the largest holds.
+    There are at most ``sample`` of them, and the sample ends before the text
+    that would take it over ``sample_words`` words in all, whatever the length of
+    each.  Labels that are null, or whose id is, or that have no text don't
+    count; of several labels of an id the largest holds, of several texts the
+    least.
     """
     some = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    some = some.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(f"length(_text) <= {SAMPLE_CHARS}")
-    rows = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.first("_text").alias("t"), F.first("_lang").alias("l"), F.first("_toxic").alias("y"))
-    hashes, found = WordHashes(), []
+    order = [F.xxhash64("_id"), F.col("_id")]
+    some = some.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").orderBy(*order).limit(sample)
+    texts = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).alias("_text"))
+    rows = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("x"), F.max("_toxic").alias("y")).orderBy(*order)
+    hashes, found, n = WordHashes(), [], 0
     for r in rows.toLocalIterator():
-        found.append((r[0], hashes.of(tokens(r.t)), r.y, r.l or ""))
+        h = hashes.of(tokens(r.x.t))
+        n += len(h)
+        if n > sample_words:
+            break
+        found.append((r[0], h, r.y, r.x.l or ""))
     found.sort(key=lambda r: (int(r[0]) * 2654435761 % (1 << 32), r[0]))  # an order that does not follow the ids
     return fit([r[1] for r in found], np.array([r[2] > 0 for r in found], np.float32), [r[3] for r in found])
 

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arborix.llm import bpe, lines, mixing, quality, sharding, simhash
 
@@ -271,6 +272,55 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert set(got[prose[0]].asDict()) == {x.split()[0] for x in SCHEMA.split(", ")}
 
 
+def test_quality_posteriors_are_the_brute_force_em(spark):
+    """EM over the documents themselves, in probabilities and not in logarithms."""
+    rng = np.random.default_rng(11)
+    kinds = [["the", "of", "and"], [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)], ["LONGERWORD", "NO"], ["#", "*"], ["1234", "77"]]
+    word = lambda p: str(rng.choice(kinds[rng.choice(5, p=p)]))
+    texts = [" ".join(word(p) for _ in range(int(rng.integers(5, 300)))) for p in rng.dirichlet([4, 20, 0.6, 0.2, 0.2], 250)] + [None, ""]
+    got = quality.quality(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    votes = np.array([[r[f"vote_{k}"] for k in quality.RULES] for r in got])
+    assert set(votes.reshape(-1).tolist()) == {-1, 0, 1}
+    good, bad_of_good, good_of_bad = 0.85, np.full(9, 0.02), np.full(9, 0.6)
+
+    def posterior():
+        a = good * np.where(votes < 0, bad_of_good, np.where(votes > 0, 1 - bad_of_good, 1)).prod(1)
+        b = (1 - good) * np.where(votes < 0, 1 - good_of_bad, np.where(votes > 0, good_of_bad, 1)).prod(1)
+        return a / (a + b)
+
+    for _ in range(60):
+        p = posterior()[:, None]
+        good = (p.sum() + 20 * 0.85) / (len(votes) + 20)
+        bad_of_good = np.clip(((p * (votes < 0)).sum(0) + 20 * 0.02) / ((p * (votes != 0)).sum(0) + 20), 1e-4, 0.5)
+        good_of_bad = np.clip((((1 - p) * (votes > 0)).sum(0) + 20 * 0.6) / (((1 - p) * (votes != 0)).sum(0) + 20), 1e-3, 0.98)
+    for r, p in zip(got, posterior(), strict=True):
+        assert r.p_good == pytest.approx(p, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.p_good >= 0.5)
+    assert 20 < sum(r.kept for r in got) < 240
+
+
+DOTTED = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `_row` string"
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names with dots and names that the operators use themselves; repeated rows, null ids, an empty table."""
+    data = [(None if k % 7 == 0 else k // 2, PROSE if k % 3 else f"{PROSE} {k}", "en", "s", k, f"x{k}", "clash") for k in range(20)]
+    data += [data[3], data[3]]
+    df = spark.createDataFrame(data, DOTTED)
+    keep = {
+        "quality": quality.keep_good(df), "lines": lines.dedup_lines(df), "simhash": simhash.keep_one(df, shingle=5, n_words=8, distance=96, jaccard=0.8),
+        "mixing": mixing.sample(df, share=1.0), "bpe": bpe.encode(df.withColumn("ids", F.lit("old")), bpe.default_vocabulary()),
+    }
+    for name, out in keep.items():
+        assert out.columns[:7] == df.columns, name
+        found = out.collect()
+        assert {r["a.b"] for r in found} <= {d[5] for d in data} and {r["_row"] for r in found} == {"clash"}, name
+        assert len(found) == (len(data) if name != "simhash" else len({r["text"] for r in found})), name
+    assert dict(keep["bpe"].dtypes)["ids"] == "array<int>"
+    none = df.limit(0)
+    assert [f(none).count() for f in (quality.keep_good, lines.dedup_lines, simhash.keep_one, mixing.sample)] == [0, 0, 0, 0]
+
+
 def brute_line_dedup(items, sixteenths=lines.SIXTEENTHS):
     """The definition, text by text: units, their first places, the agreeing lines around them."""
     blank = " \t\n\x0b\f\r"

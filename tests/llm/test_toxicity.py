@@ -52,6 +52,36 @@ def test_no_labels(spark):
     assert 0 <= toxicity.score(docs, net).first().score <= 1
 
 
+def test_the_sample_is_bounded_by_texts_and_words_and_repeats(spark, monkeypatch):
+    rows = texts(60, 3) + [(7, "second text of seven", "en", "clash", 1), (8, None, None, "clash", 0)]
+    docs = spark.createDataFrame([r[:4] for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows[:60]] + [(10_000 + i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda hs, y, langs: seen.append([h.tolist() for h in hs]))
+    toxicity.train(docs, labels)
+    toxicity.train(docs.repartition(5), labels)
+    toxicity.train(docs, labels, sample=50)
+    toxicity.train(docs, labels, sample_words=1000)
+    assert len(seen[0]) == 60 and seen[0] == seen[1]  # labels without a text take no place
+    assert len(seen[2]) == 50 and all(h in seen[0] for h in seen[2])
+    assert 0 < sum(map(len, seen[3])) <= 1000 and all(h in seen[0] for h in seen[3])
+
+
+def test_forward_pass_is_the_brute_force():
+    rng = np.random.default_rng(1)
+    pick = lambda *n: rng.standard_normal(n).astype(np.float32)
+    net = toxicity.Network(pick(toxicity.ROWS, toxicity.DIM), [pick(w * toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS], [pick(toxicity.FILTERS) for _ in toxicity.WIDTHS], pick(len(toxicity.WIDTHS) * toxicity.FILTERS), 0.3, (1.5, -0.2))
+    hs = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 2, 3, 7, 40)]
+    for h, got in zip(hs, net.scores(*toxicity._join(hs)), strict=True):
+        x = [net.table[int(v) % toxicity.ROWS] + net.table[(int(v) >> 32) % toxicity.ROWS] for v in h]
+        z = 0.3
+        for j, (width, w, b) in enumerate(zip(toxicity.WIDTHS, net.filters, net.bias, strict=True)):
+            for f in range(toxicity.FILTERS):
+                top = max([float(np.concatenate(x[i : i + width]) @ w[:, f] + b[f]) for i in range(len(x) - width + 1)], default=0)
+                z += max(0, top) * net.out[j * toxicity.FILTERS + f]
+        assert got == pytest.approx(1 / (1 + np.exp(-(1.5 * z - 0.2))), abs=1e-4)
+
+
 def test_gradients_lower_the_loss():
     rng = np.random.default_rng(0)
     hs = [rng.integers(0, 1 << 62, 20).astype(np.uint64) for _ in range(60)]

@@ -1,6 +1,7 @@
 """Operator 10 against brute force."""
 
 import numpy as np
+import pytest
 from test_dedup_and_tokens import brute_components
 
 from arborix.llm import nn_descent
@@ -72,5 +73,20 @@ def test_lone_pairs_in_deep_trees(spark, monkeypatch):
     assert len(set(got.values())) == 1500
 
 
+def test_an_audit_tells_of_lost_links(spark, monkeypatch):
+    """A graph that loses its links, all or those of every other node, is found out."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 16))
+    rows = [(i, v.astype(np.float32).tolist(), 1, "clash") for i, v in enumerate(np.concatenate([base, base + rng.standard_normal((60, 16)) * 0.01]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert nn_descent.near_duplicates(df).filter("not kept").count() == 60
+    monkeypatch.setattr(nn_descent, "ROUNDS", 1)
+    links = nn_descent._links_of
+    for lost in ("true", "a % 2 = 0"):
+        monkeypatch.setattr(nn_descent, "_links_of", lambda graph, t, lost=lost: links(graph, t).filter(f"not ({lost})"))
+        with pytest.raises(RuntimeError, match="audited"):
+            nn_descent.near_duplicates(df)
+
+
 def test_no_vectors(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
