@@ -62,7 +62,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
