@@ -188,6 +188,8 @@ def path_ranking(questions: DataFrame, paths: DataFrame, n: int, by: str = "stor
     """
     asked = questions.select("query_id", "table_id", terms("question").alias("terms"))
     pair = asked.join(paths, "table_id")
+    if by == "store":  # pairs without a shared word score 0 and go before Python sees them
+        pair = pair.filter(F.arrays_overlap(F.flatten(F.transform("terms", tx.norm_tokens)), tx.norm_tokens(F.array_join("path", " "))))
     like = store_similarity(F.array_join("terms", " "), "path") if by == "store" else path_similarity("terms", F.array_join("path", " > "))
     scored = pair.withColumn("score", like).filter("score > 0").withColumn("key", F.array_join("path", " > "))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
@@ -238,3 +240,16 @@ def linked_operands(links: DataFrame) -> DataFrame:
     """(query_id, tops: array, lefts: array of leaf headers) -> a path for each pair, or for the one axis there is."""
     some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))
     return links.select("query_id", F.explode(some("lefts")).alias("l"), "tops").select("query_id", "l", F.explode(some("tops")).alias("t")).select("query_id", F.filter(F.array("l", "t"), lambda s: s != "").alias("path")).filter(F.size("path") > 0).distinct()
+
+
+def confidence(questions: DataFrame, operands: DataFrame) -> DataFrame:
+    """(query_id, confidence): how well a question's terms match the paths of its decomposed operands, on average.
+
+    operands: (query_id, row_path, col_path).  Of each operand the better of its
+    two paths counts.  Questions without operands or terms have no confidence.
+    """
+    asked = questions.select("query_id", F.array_join(terms("question"), " ").alias("said"))
+    like = lambda p: F.when(F.size(p) > 0, store_similarity("said", p)).otherwise(0.0)
+    scored = operands.select("query_id", "row_path", "col_path").join(asked, "query_id").withColumn("s", F.greatest(like("row_path"), like("col_path")))
+    mean = scored.groupBy("query_id").agg(F.avg("s").alias("s"))
+    return questions.select("query_id").distinct().join(mean, "query_id", "left").select("query_id", F.coalesce("s", F.lit(0.0)).alias("confidence"))

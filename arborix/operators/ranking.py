@@ -99,3 +99,19 @@ def quotas(sizes: DataFrame, total: int, by: str = "stratum", n: str = "n") -> D
 def pending(todo: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame:
     """What a resumed run still has to do."""
     return todo.join(done.select(key), key, "left_anti")
+
+
+def flips_first(questions: DataFrame, base: str, treat: str, order: str) -> DataFrame:
+    """Questions with their place in a run: those that a treatment completes first, those it breaks last, in order otherwise."""
+    gain = F.col(treat).cast("int") - F.col(base).cast("int")
+    # three groups, each in order: their places are shifted by the sizes of those before
+    own = F.row_number().over(Window.partitionBy(gain).orderBy(order))
+    sizes = questions.groupBy(gain.alias("gain")).agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy(F.col("gain").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # three rows
+    t = questions.withColumn("gain", gain).withColumn("own", own).join(F.broadcast(sizes.select("gain", before.alias("before"))), "gain")
+    return t.withColumn("place", F.col("before") + F.col("own")).drop("own", "before")
+
+
+def prefix(ranked: DataFrame, k: int) -> DataFrame:
+    """The best k of a stored ranking: one made at the largest k serves all smaller ones."""
+    return ranked.filter(F.col("rank") <= k)

@@ -49,6 +49,81 @@ def bm25(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", ques
     return weight.join(tf, [*within, "term"]).groupBy(*within, query_id, key).agg(F.sum(part).alias("score"))
 
 
+#: Weights of asked terms, terms by queries, that a pass over the chunks holds at once; chunks of a block.
+WEIGHTS, ROWS = 1 << 22, 512
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text", tokenize: Callable = tx.alnum_tokens) -> DataFrame:
+    """(query_id, key, score, rank): the k best chunks of each query by :func:`bm25`, whole texts against a stated set of queries.
+
+    Texts don't travel: each block of chunks meets the queries' weights in one
+    matrix product where it is read, and only the k best of a block leave it.
+    Queries go in passes that bound the table of weights which is broadcast.
+    """
+    words = chunks.select(F.col(key).alias("key"), tokenize(F.col(text)).alias("words"))
+    size = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("length")).first()
+    idf = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = idf.select("term", (F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(question))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qn"))
+    mean = idf.agg(F.avg("idf").alias("mean"))
+    weight = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query", "term", (F.col("qn") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))  # one row
+    bound = asked.agg(F.count_distinct("query").alias("q"), F.count_distinct("term").alias("t")).first()
+    passes = max(1, -(-bound.q * bound.t // WEIGHTS))
+    weight = weight.withColumn("pass", F.pmod(F.xxhash64("query"), F.lit(passes)))
+    avgdl = (size.length or 0) / max(1, size.n)
+    kind, qkind = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    out = None
+    for p in range(passes):
+        rows = weight.filter(F.col("pass") == p).drop("pass").toArrow()  # WEIGHTS at most, about
+        part = words.mapInArrow(_scorer(rows, k, avgdl, passes), f"{query_id} {qkind}, {key} {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, [query_id], key)
+
+
+def _best(score, k: int, keys) -> tuple:
+    """(columns, rows) of the k largest scores of each row of a matrix, as :func:`top_k` orders them: rounded, then by key."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    rows, n = score.shape
+    if not rows or not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.empty(n, np.int64)
+    place[pc.sort_indices(keys).to_numpy()] = np.arange(n)
+    order = np.rint(np.where(np.isfinite(score), score, -1e9) * 1e6).astype(np.int64) * n + (n - 1 - place)
+    at = np.argpartition(-order, min(k, n) - 1, axis=1)[:, :k]
+    return at.reshape(-1), np.repeat(np.arange(rows), at.shape[1])
+
+
+def _scorer(rows, k: int, avgdl: float, passes: int) -> Callable:
+    """The function over Arrow batches (key, words) that scores them for the queries of one pass."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids, terms = pc.unique(rows.column("query")), pc.unique(rows.column("term"))
+    weights = np.zeros((len(terms), len(ids)))
+    weights[pc.index_in(rows.column("term"), terms).to_numpy(), pc.index_in(rows.column("query"), ids).to_numpy()] = rows.column("w").to_numpy()
+    there = (weights != 0).astype(np.float32)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                length = np.nan_to_num(pc.list_value_length(part.column(1)).cast(pa.float64()).to_numpy(zero_copy_only=False))
+                found = pc.index_in(part.column(1).flatten(), terms.cast(part.column(1).type.value_type)).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), length.astype(np.int64))
+                tf = np.zeros((part.num_rows, len(terms)))
+                np.add.at(tf, (row[found >= 0], found[found >= 0]), 1)
+                tf = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(avgdl, 1e-300)))[:, None])
+                score = np.where((tf > 0).astype(np.float32) @ there > 0, tf @ weights, -np.inf)
+                c, q = _best(score.T, k, part.column(0))
+                ok = np.isfinite(score[c, q])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[ok])), part.column(0).take(pa.array(c[ok])), pa.array(score[c[ok], q[ok]])], names=["q", "c", "score"])
+
+    return run
+
+
 def bucket(token: Column, dim: int = DIM) -> Column:
     """The first four bytes of a token's md5, little-endian, modulo the dimension."""
     h = F.md5(token.cast("binary"))
@@ -56,17 +131,30 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return (F.conv(turned, 16, 10).cast("long") % dim).cast("int")
 
 
-def hashed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """Hashing encoder: (key, b, w), the buckets of each text with log1p of their counts, of length 1."""
-    counts = rows.select(key, F.explode(tx.encoder_tokens(text)).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("b")).agg(F.log1p(F.count("*").cast("double")).alias("w"))
-    return counts.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
+def hashed(rows: DataFrame, key: str, text: str, dim: int = DIM, within: list[str] | None = None) -> DataFrame:
+    """Hashing encoder: (within..., key, b, w), the buckets of each text with log1p of their counts, of length 1."""
+    own = [*(within or []), key]
+    counts = rows.select(*own, F.explode(tx.encoder_tokens(text)).alias("t")).groupBy(*own, bucket(F.col("t"), dim).alias("b")).agg(F.log1p(F.count("*").cast("double")).alias("w"))
+    return counts.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own))))
+
 
+def hashed_cosine(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text", within: list[str] | None = None) -> DataFrame:
+    """(query_id, key, score) of the pairs that share a bucket, which are most pairs of a part.
 
-def hashed_cosine(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(query_id, key, score) of pairs that share a bucket: a join on buckets, never all pairs."""
-    q = hashed(queries, query_id, question).withColumnRenamed("w", "wq")
-    c = hashed(chunks, key, text).withColumnRenamed("w", "wc")
-    return q.join(c, "b").groupBy(query_id, key).agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
+    For small parts of a corpus, or where every score is needed, as in mixtures;
+    for the best of a large corpus take :func:`hashed_topk`.
+    """
+    within = within or []
+    q = hashed(queries, query_id, question, within=within).withColumnRenamed("w", "wq")
+    c = hashed(chunks, key, text, within=within).withColumnRenamed("w", "wc")
+    return q.join(c, ["b", *within]).groupBy(*within, query_id, key).agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
+
+
+def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(query_id, key, score, rank): the k nearest chunks by the hashing encoder, in blocks; pairs that share nothing have no row."""
+    pack = lambda rows, i, t: hashed(rows, i, t).groupBy(i).agg(F.collect_list(F.struct("b", "w")).alias("v"))
+    near = _block_product(pack(queries, query_id, question), pack(chunks, key, text), k, query_id, key, 0.0)
+    return top_k(near, k, [query_id], key)
 
 
 def unit(v) -> Column:
@@ -80,37 +168,86 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", query_vector: str = "qv", vector: str = "v", block: int = 256) -> DataFrame:
-    """(query_id, key, score): the k most similar vectors of each query, exactly.
+#: Queries and chunks that meet in one matrix product.
+QUERIES, CHUNKS = 256, 4096
+
 
-    The queries are a stated set.  They are packed in blocks of ``block``, each
-    block meets every Arrow batch of vectors in one matrix product, and only
-    the k best of a batch leave it, so pairs never become rows.
+def _block_product(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, key: str, over: float | None = None) -> DataFrame:
+    """(query_id, key, score): of each block of chunks the k most similar ones of each query.
+
+    Both have a column v: vectors of doubles, or (b, w) pairs of DIM buckets.
+    Blocks of queries are dealt to every block of chunks by its number, an
+    equi-join; pairs never become rows.  With ``over`` only larger scores count.
     """
     import numpy as np
-    import pandas as pd
 
-    packed = queries.select(query_id, unit(query_vector).alias("q"))
-    packed = packed.withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-packed.count() // block))))).groupBy("block").agg(F.collect_list(query_id).alias("ids"), F.collect_list("q").alias("qs"))
-    parts = chunks.select(F.col(key).alias("key"), unit(vector).alias("v")).groupBy(F.pmod(F.xxhash64("key"), F.lit(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("part"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)).alias("sub")).agg(F.collect_list("key").alias("keys"), F.collect_list("v").alias("vs"))
-    work = parts.join(packed)  # blocks of queries by blocks of vectors
+    parts, blocks = max(1, -(-chunks.count() // CHUNKS)), max(1, -(-queries.count() // QUERIES))
+    pack = lambda rows, i, n, name: rows.groupBy(F.pmod(F.xxhash64(i), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(F.col(i).alias("id"), "v")).alias("x"))
+    right = pack(chunks, key, parts, "part").select("part", F.col("x").alias("cs"))
+    left = pack(queries, query_id, blocks, "block").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("x").alias("qs"))
+    work = right.join(left, "part").select("cs", "qs")
+
+    def matrix(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n, flat = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64), rows.flatten()
+        if not pa.types.is_struct(flat.type):
+            return flat.to_numpy(zero_copy_only=False).reshape(len(n), -1)
+        out = np.zeros((len(n), DIM))
+        out[np.repeat(np.arange(len(n)), n), flat.field("b").to_numpy()] = flat.field("w").to_numpy()
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cs, qs = (batch.column(i)[r].values for i in (0, 1))
+                s = matrix(qs.field("v")) @ matrix(cs.field("v")).T
+                c, q = _best(s, k, cs.field("id"))
+                ok = np.ones(len(c), bool) if over is None else s[q, c] > over
+                yield pa.RecordBatch.from_arrays([qs.field("id").take(pa.array(q[ok])), cs.field("id").take(pa.array(c[ok])), pa.array(s[q, c][ok])], names=["q", "c", "score"])
+
     kind, qkind = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    return work.mapInArrow(run, f"{query_id} {qkind}, {key} {kind}, score double")
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for keys, vs, ids, qs in zip(f["keys"], f["vs"], f["ids"], f["qs"], strict=True):
-                s = np.stack(list(qs)) @ np.stack(list(vs)).T
-                n = min(k, s.shape[1])
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                out.append(pd.DataFrame({query_id: np.repeat(np.asarray(ids), n), key: np.asarray(keys)[at].reshape(-1), "score": np.take_along_axis(s, at, 1).reshape(-1)}))
-            if out:
-                yield pd.concat(out)
-
-    near = work.select("keys", "vs", "ids", "qs").mapInPandas(run, f"{query_id} {qkind}, {key} {kind}, score double")
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", query_vector: str = "qv", vector: str = "v") -> DataFrame:
+    """(query_id, key, score, rank): the k most similar vectors of each query, exactly, in blocks of a stated set of queries."""
+    near = _block_product(queries.select(query_id, unit(query_vector).alias("v")), chunks.select(key, unit(vector).alias("v")), k, query_id, key)
     return top_k(near, k, [query_id], key)
 
 
+#: An encoder of texts: its name, which is recorded with what it makes, and a function (rows, key, text) -> (key, v: array<double>).
+Encoder = tuple[str, Callable[[DataFrame, str, str], DataFrame]]
+
+
+def hashing_encoder() -> Encoder:
+    def encode(rows: DataFrame, key: str, text: str) -> DataFrame:
+        pairs = hashed(rows, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)))
+        return rows.select(key).distinct().join(pairs, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), DIM)).otherwise(dense).alias("v"))
+
+    return f"hashing-{DIM}", encode
+
+
+def chosen_encoder(model: Encoder | None = None, allow_fallback: bool = False) -> Encoder:
+    """The model's encoder; without one the hashing encoder, but only if that is allowed."""
+    if model is not None:
+        return model
+    if not allow_fallback:
+        raise ValueError("no sentence encoder is given, and falling back to the hashing encoder is not allowed")
+    return hashing_encoder()
+
+
+def encoded_topk(queries: DataFrame, chunks: DataFrame, k: int, encoder: Encoder, query_id: str = "query_id", question: str = "question", key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(query_id, key, score, rank, encoder): nearest chunks by a pluggable encoder, whose name is kept."""
+    name, encode = encoder
+    near = dense_topk(encode(queries, query_id, question).withColumnRenamed("v", "qv"), encode(chunks, key, text), k, query_id, key)
+    return near.withColumn("encoder", F.lit(name))
+
+
 def ranked(scores: DataFrame, by: list[str], tie: str, score: str = "score", base: int = 1, places: int = 6) -> DataFrame:
     """Scores with their rank: rounded score, then the tie column."""
     w = Window.partitionBy(*by).orderBy(F.round(score, places).desc(), F.col(tie))

@@ -83,15 +83,25 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, value: str = "osc", rounds: int
     return bootstrap(pair.select("query_id", (F.col("x") - F.col("y")).cast("double").alias("d")), "d", rounds, seed)
 
 
+#: Ranges that values are cut into before they are put in order.
+RANGES = 64
+
+
 def midranks(values: DataFrame, value: str, *counts: Column) -> DataFrame:
     """(value, n, midrank, counts...): one row for each distinct value, ties sharing their mean rank.
 
-    Rows are first counted by value, so that only distinct values, few for
-    ranks within a pool, are put in one order.
+    Rows are counted by value, distinct values are put in order range by range,
+    and each range is shifted by the few sums of those before it.
     """
     g = values.groupBy(value).agg(F.count("*").alias("n"), *counts)
-    before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return g.withColumn("midrank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    cuts = sorted(set(values.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES)))
+    at = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    g = g.withColumn("range", F.size(F.filter(at, lambda c: c <= F.col(value).cast("double"))))
+    before = F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # over RANGES rows at most
+    shift = g.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(before, F.lit(0)).alias("shift"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = g.withColumn("inside_range", inside).join(F.broadcast(shift), "range")
+    return ranked.withColumn("midrank", F.col("shift") + F.col("inside_range") + (F.col("n") + 1) / 2.0).drop("range", "inside_range", "shift")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -127,3 +137,70 @@ def wilcoxon(pairs: DataFrame, a: str, b: str, least: int = 5) -> DataFrame:
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0)
     z = (w - n * (n + 1) / 4.0) / sd
     return s.select("n", w.alias("w"), F.when((n >= least) & (sd > 0), F.least(F.lit(1.0), _normal_tail(z))).alias("p"))
+
+
+#: Pairs up to which signed ranks have an exact distribution here.
+EXACT = 25
+
+
+def exact_signed_rank(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., n, w, p): two-sided exact p of the signed ranks of few pairs (EXACT at most), ties by their mid-ranks; p null for more.
+
+    The 2^n signs of a stratum are not listed: the number of ways to reach each
+    sum of (doubled) ranks is built up rank by rank.
+    """
+    by = by or []
+    d = pairs.select(*by, (F.col(a) - F.col(b)).cast("double").alias("d")).filter("d <> 0")
+    w = Window.partitionBy(*by, F.abs("d"))
+    place = F.rank().over(Window.partitionBy(*by).orderBy(F.abs("d")))
+    r = d.withColumn("r2", (2 * place + F.count("*").over(w) - 1).cast("int"))  # twice the mid-rank
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("d"))))  # one more than EXACT are enough to tell
+    g = (r.groupBy(*by) if by else r).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r2"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r2"))), F.lit(0)).alias("down"), F.collect_list(F.when(F.col("place") <= EXACT + 1, F.col("r2"))).alias("rs"))
+    none = F.array_repeat(F.lit(0.0), 1)
+
+    def ways(rs):
+        total = F.aggregate(rs, F.lit(0), lambda t, x: t + x)
+        start = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+        return F.aggregate(rs, start, lambda c, x: F.transform(c, lambda v, i: v + F.coalesce(F.get(c, i - x), F.lit(0.0))))
+
+    few = F.size("rs") <= EXACT
+    t = g.withColumn("low", F.least("up", "down").cast("int")).withColumn("ways", F.when(few & (F.size("rs") > 0), ways(F.when(few, F.col("rs")))).otherwise(none))
+    tail = F.aggregate(F.slice("ways", 1, F.col("low") + 1), F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), F.col("n"))
+    return t.select(*by, "n", (F.col("low") / 2.0).alias("w"), F.when(few & (F.col("n") > 0), F.least(F.lit(1.0), 2 * tail)).alias("p"))
+
+
+def paired_metrics(base: DataFrame, treat: DataFrame, metrics: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., metric, n, delta, gain, loss, p): of each metric the paired test that suits it.
+
+    metrics: from a column to "binary" (sign test of gains against losses) or
+    "continuous" (normal approximation of signed ranks, by sums over midranks in
+    one pass for each).  Both sides have (query_id, by..., metrics).
+    """
+    keys = ["query_id", *by]
+    names = list(metrics)
+    pair = base.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in names]).join(treat.select(*keys, *[F.col(m).cast("double").alias(f"b_{m}") for m in names]), keys)
+    long = pair.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"b_{m}") - F.col(f"a_{m}")).alias("d")) for m in names])).alias("x")).select(*keys, "x.metric", "x.d").filter("d is not null")
+    own = [*by, "metric"]
+    t = long.groupBy(*own).agg(F.count("*").alias("n"), F.avg("d").alias("delta"), F.count_if(F.col("d") > 0).alias("gain"), F.count_if(F.col("d") < 0).alias("loss"))
+    # equal differences share a rank: ranks are taken over distinct sizes
+    sizes = long.filter("d <> 0").groupBy(*own, F.abs("d").alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*own).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = sizes.withColumn("mid", before + (F.col("k") + 1) / 2.0)
+    k = F.col("k").cast("double")
+    w = r.groupBy(*own).agg(F.sum("k").alias("m"), F.sum(F.col("up") * F.col("mid")).alias("plus"), F.sum((F.col("k") - F.col("up")) * F.col("mid")).alias("minus"), F.sum(k * k * k - k).alias("ties"))
+    m = F.col("m").cast("double")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - F.col("ties") / 48.0)
+    z = (F.least("plus", "minus") - m * (m + 1) / 4.0) / sd
+    signed = F.when(sd > 0, F.least(F.lit(1.0), _normal_tail(z)))
+    binary = F.col("metric").isin(*[x for x in names if metrics[x] == "binary"])
+    both = t.join(w, own, "left")
+    return both.select(*own, "n", "delta", "gain", "loss", F.when(binary, mcnemar_large("gain", "loss")).otherwise(signed).alias("p"))
+
+
+def mcnemar_large(b, c) -> Column:
+    """:func:`mcnemar`, beyond 200 discordant pairs by the normal approximation with continuity correction."""
+    b, c = _c(b), _c(c)
+    n = (b + c).cast("double")
+    z = (F.abs(b - c) - 1) / F.sqrt(n)
+    few = b + c <= 200
+    return F.when(few, mcnemar(F.when(few, b).otherwise(0), F.when(few, c).otherwise(0))).otherwise(F.least(F.lit(1.0), _normal_tail(F.greatest(z, F.lit(0.0)))))

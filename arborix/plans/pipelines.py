@@ -22,21 +22,22 @@ def collision_study(queries: DataFrame, cells: DataFrame, operands: DataFrame, s
     name = F.concat("table_id", F.lit("#"), F.col("r").cast("string"), F.lit("_"), F.col("c").cast("string"))
     base = labelled.join(many.withColumn("colliding", F.lit(True)), "label", "left").select("table_id", "r", "c", "row_path", "col_path", "raw", "title", name.alias("chunk_id"), F.coalesce("colliding", F.lit(False)).alias("colliding"), scope.is_total_label("row_path").alias("total_like"))
     gold = operands.join(base.select("table_id", "r", "c", F.col("chunk_id").alias("cell"), "colliding", "total_like"), ["table_id", "r", "c"]).select("query_id", "cell", "colliding", "total_like").distinct()
-    within = ["table_id"] if within_table else None
-    out = None
-    for scheme in schemes:
-        chunks = base.select("table_id", "chunk_id", texts.collision_text(scheme).alias("text"))
-        lexical = scoring.bm25(queries, chunks, within=within)
-        dense = scoring.hashed_cosine(queries, chunks)
-        if within_table:
-            own = queries.select("query_id", "table_id").join(chunks.select("table_id", "chunk_id"), "table_id").select("query_id", "chunk_id")
-            dense = dense.join(own, ["query_id", "chunk_id"], "left_semi")
-        mixed = scoring.hybrid_minmax(dense, lexical.select("query_id", "chunk_id", "score"), alpha=alpha).select("query_id", "chunk_id", "score")
-        for retriever, s in (("bm25", lexical), ("dense", dense), ("hybrid", mixed)):
-            top = scoring.top_k(s.select("query_id", "chunk_id", "score"), pool, ["query_id"], "chunk_id").select("query_id", F.col("chunk_id").alias("cell"), "rank")
-            r = gold.join(top, ["query_id", "cell"], "left").select(F.lit(scheme).alias("scheme"), F.lit(retriever).alias("retriever"), "query_id", "cell", "rank", "colliding", "total_like")
-            out = r if out is None else out.unionByName(r)
-    return out
+    # all schemes at once: a scheme is a part of the corpus with document frequencies of its own
+    every = lambda rows: rows.withColumn("scheme", F.explode(F.array(*[F.lit(x) for x in schemes])))
+    text = F.coalesce(*[F.when(F.col("scheme") == x, texts.collision_text(x)) for x in schemes])
+    chunks = every(base).select("scheme", "table_id", "chunk_id", text.alias("text"))
+    asked = every(queries.select("query_id", "table_id", "question")) if within_table else every(queries.select("query_id", "question"))
+    within = ["scheme", "table_id"] if within_table else ["scheme"]
+    named = F.concat_ws("|", "scheme", "query_id")
+    pick = lambda s: s.select(named.alias("asked"), "scheme", "query_id", "chunk_id", "score")
+    lexical = pick(scoring.bm25(asked, chunks, within=within))
+    dense = pick(scoring.hashed_cosine(asked, chunks, within=within))
+    mixed = scoring.hybrid_minmax(dense, lexical, query_id="asked", alpha=alpha).select("asked", F.substring_index("asked", "|", 1).alias("scheme"), F.expr("substring(asked, instr(asked, '|') + 1)").alias("query_id"), "chunk_id", "score")
+    arms = [s.select(F.lit(r).alias("retriever"), "scheme", "query_id", "chunk_id", "score") for r, s in (("bm25", lexical), ("dense", dense), ("hybrid", mixed))]
+    union = arms[0].unionByName(arms[1]).unionByName(arms[2])
+    top = scoring.top_k(union, pool, ["scheme", "retriever", "query_id"], "chunk_id").select("scheme", "retriever", "query_id", F.col("chunk_id").alias("cell"), "rank")
+    wanted = every(gold).withColumn("retriever", F.explode(F.array(*[F.lit(r) for r in ("bm25", "dense", "hybrid")])))
+    return wanted.join(top, ["scheme", "retriever", "query_id", "cell"], "left").select("scheme", "retriever", "query_id", "cell", "rank", "colliding", "total_like")
 
 
 def operand_retrieval(queries: DataFrame, cells: DataFrame, operands: DataFrame, scheme: str = "s2_headerpath", ks: tuple[int, ...] = (1, 3, 5), alpha: float = 0.5) -> DataFrame:
@@ -45,17 +46,16 @@ def operand_retrieval(queries: DataFrame, cells: DataFrame, operands: DataFrame,
     res = questions.resolved(queries, cells)
     ops = questions.decomposed(res).join(queries.select("query_id", "table_id"), "query_id")
     asked = ops.select("query_id", "table_id", F.array_join("path", " ").alias("question")).withColumn("sub_id", F.concat_ws("|", "query_id", "question"))
-    cover = rows.select("chunk_id", "table_id", "rows", "cols")
-    out = None
-    plain = scoring.bm25(queries, rows, within=["table_id"])
+    plain = scoring.bm25(queries, rows, within=["table_id"]).select(F.lit("plain").alias("mode"), "query_id", "chunk_id", "score")
     each = scoring.bm25(asked.select("sub_id", "table_id", "question").distinct(), rows, query_id="sub_id", within=["table_id"]).join(asked.select("sub_id", "query_id").distinct(), "sub_id")
-    best = each.groupBy("query_id", "table_id", "chunk_id").agg(F.max("score").alias("score"))
-    for mode, s in (("plain", plain), ("operand", best)):
-        top = scoring.top_k(s.select("query_id", "chunk_id", "score"), max(ks), ["query_id"], "chunk_id").join(cover, "chunk_id")
-        for k in ks:
-            r = linking.operand_recall(operands, top.filter(F.col("rank") <= k)).select("query_id", F.lit(mode).alias("mode"), F.lit(k).alias("k"), "recall")
-            out = r if out is None else out.unionByName(r)
-    return out
+    best = each.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).select(F.lit("operand").alias("mode"), "query_id", "chunk_id", "score")
+    # one ranking at the largest k; smaller ones are prefixes of it
+    top = scoring.top_k(plain.unionByName(best), max(ks), ["mode", "query_id"], "chunk_id").join(rows.select("chunk_id", "table_id", "rows", "cols"), "chunk_id")
+    covers = top.select("mode", "query_id", "table_id", "rank", F.explode("rows").alias("r"), "cols").select("mode", "query_id", "table_id", "rank", "r", F.explode("cols").alias("c"))
+    first = covers.groupBy("mode", "query_id", "table_id", "r", "c").agg(F.min("rank").alias("rank"))
+    gold = operands.select("query_id", "table_id", "r", "c", F.explode(F.array(F.lit("plain"), F.lit("operand"))).alias("mode"))
+    hit = gold.join(first, ["mode", "query_id", "table_id", "r", "c"], "left").groupBy("query_id", "mode").agg(*[F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"at_{k}") for k in ks])
+    return hit.select("query_id", "mode", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"at_{k}").alias("recall")) for k in ks])).alias("x")).select("query_id", "mode", "x.k", "x.recall")
 
 
 def agent_evaluation(queries: DataFrame, cells: DataFrame, plans: DataFrame, reader: Callable[[str], Column]) -> DataFrame:
@@ -88,6 +88,7 @@ def fallback_contexts(queries: DataFrame, cells: DataFrame, hits: DataFrame, tok
     """(query_id, chunk_id, position, text): contexts after the coverage decision of each question."""
     ops = questions.decomposed(questions.resolved(queries, cells)).withColumn("operand", F.array_join("path", " > "))
     cov = coverage.self_coverage(ops.select("query_id", "operand", "path"), hits.select("query_id", F.col("header_path").alias("path")))
-    reports = coverage.decided(cov.withColumn("confidence", F.col("coverage")))
+    sure = questions.confidence(queries, ops)
+    reports = coverage.decided(cov.join(sure, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))))
     rows = texts.compact_rows(cells).select("table_id", "r", "chunk_id", "text")
     return coverage.built(hits, reports, rows, tokens)

@@ -52,8 +52,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage against all documents."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = scoring.bm25(q, d, key="doc_id")
-    return scoring.top_k(s, 10, ["query_id"], "doc_id").select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return scoring.bm25_topk(q, d, 10, key="doc_id").select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 def bm25_within_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +69,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scoring.hashed_cosine(_asked(spark), _chunks(spark, sf_dir))
-    return scoring.top_k(s, 5, ["query_id"], "chunk_id").select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    return scoring.hashed_topk(_asked(spark), _chunks(spark, sf_dir), 5).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -25,8 +25,10 @@ def write_operands(operands: DataFrame, path: str) -> DataFrame:
 
 
 def write_inventory(cells: DataFrame, path: str) -> None:
-    """The header inventory of each table, in a folder by a name that is safe for files."""
-    texts.inventory(cells).withColumn("name", tx.collection_name("table_id")).write.mode("overwrite").partitionBy("name").json(path)
+    """The header inventory of each table, in a folder by a name that is safe for files; where that changes the id, a hash of it parts the names."""
+    safe = tx.collection_name("table_id")
+    name = F.when(safe == F.col("table_id"), safe).otherwise(F.concat(F.substring(safe, 1, 46), F.lit("-"), F.substring(F.md5(F.col("table_id").cast("binary")), 1, 16)))
+    texts.inventory(cells).withColumn("name", name).write.mode("overwrite").partitionBy("name").json(path)
 
 
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
