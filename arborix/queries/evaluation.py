@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.udfs import html_to_grid
 from ..operators import coverage, evaluation, metrics, questions, ranking, scoring, significance, structure, texts
 from ..plans import pipelines
-from .base import QUESTIONS, RANKS, grid, literal, questions_of_tables, rank_records, sales_cells, table
+from .base import QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
+from .retrieval import _bm25_sql, _hash_sql
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -298,8 +299,27 @@ def _per(ks: tuple[int, ...]) -> str:
     return f"pq0 AS (SELECT arm, query_id, count(*) AS m, coalesce(1.0 / min(rank), 0.0) AS rr, {first} FROM ranks GROUP BY arm, query_id), pq AS (SELECT *, {ideal} FROM pq0)"
 
 
+def _summary(ks: tuple[int, ...] = (10, 20, 50)) -> str:
+    return "count(*) AS n_queries, round(avg(rr), 4) AS mrr, " + ", ".join(f"round(avg(s{k}), 4) AS set_recall_{k}, round(avg(c{k}), 4) AS coverage_{k}, count(*) FILTER (WHERE s{k} = 0 AND c{k} > 0) AS n_partial_{k}, round(avg(h{k}), 4) AS hit_{k}, round(avg(d{k}), 4) AS ndcg_{k}" for k in ks)
+
+
+#: Cells as texts of three schemes, ranked for every question by words, by buckets and by both.
+_STUDY = f"""+ asked0 AS (SELECT DISTINCT table_id || '/' || id AS query_id, table_id, question FROM cells, {literal_sql(QUESTIONS, 'question')}),
+  base AS (SELECT *, table_id || '#' || r || '_' || c AS chunk_id FROM cells),
+  chunks AS (SELECT 'flat' AS scheme, chunk_id, row_path[-1] || ' ' || col_path[-1] || ' ' || raw AS text FROM base
+    UNION ALL SELECT 'S2', chunk_id, array_to_string(list_concat(row_path, col_path), ' > ') || ': ' || raw FROM base
+    UNION ALL SELECT 'S3', chunk_id, 'For ' || array_to_string(row_path, ' > ') || ', ' || array_to_string(col_path, ' > ') || ' is ' || raw || '.' FROM base),
+  asked AS (SELECT scheme, scheme || '|' || query_id AS query_id, question FROM asked0, (SELECT unnest(['flat', 'S2', 'S3']) AS scheme)),
+  named AS (SELECT scheme || '~' || chunk_id AS name, text FROM chunks), {_bm25_sql('chunks', 'chunk_id', 'asked', part='scheme')},{_hash_sql('asked', 'query_id', 'question', 'hq')},{_hash_sql('named', 'name', 'text', 'hc')},
+  dense AS (SELECT query_id, split_part(name, '~', 2) AS chunk_id, sum(hq.w * hc.w) AS score FROM hq JOIN hc ON hq.b = hc.b AND split_part(query_id, '|', 1) = split_part(name, '~', 1) GROUP BY query_id, name),
+  mm AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM (SELECT 'd' AS k, * FROM dense UNION ALL SELECT 'b', * FROM scores) WINDOW w AS (PARTITION BY k, query_id)),
+  every AS (SELECT 'bm25' AS retriever, * FROM scores UNION ALL SELECT 'dense', * FROM dense UNION ALL SELECT 'hybrid', query_id, chunk_id, sum(0.5 * s) FROM mm GROUP BY query_id, chunk_id),
+  top AS (SELECT * FROM (SELECT retriever, query_id, chunk_id, row_number() OVER (PARTITION BY retriever, query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM every) WHERE rank <= 100),
+  ranks AS (SELECT x.retriever AS arm, a.query_id, b.chunk_id AS cell, t.rank FROM asked a JOIN asked0 q ON a.query_id = a.scheme || '|' || q.query_id JOIN base b ON b.table_id = q.table_id AND b.r = b.c AND b.r < 4 CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid']) AS retriever) x LEFT JOIN top t ON t.retriever = x.retriever AND t.query_id = a.query_id AND t.chunk_id = b.chunk_id)"""
+
 SQL = {
-    "rank_metrics": f"""{RANKS}, {_per((10, 20, 50))} SELECT arm, count(*) AS n_queries, round(avg(rr), 4) AS mrr, """ + ", ".join(f"round(avg(s{k}), 4) AS set_recall_{k}, round(avg(c{k}), 4) AS coverage_{k}, count(*) FILTER (WHERE s{k} = 0 AND c{k} > 0) AS n_partial_{k}, round(avg(h{k}), 4) AS hit_{k}, round(avg(d{k}), 4) AS ndcg_{k}" for k in (10, 20, 50)) + " FROM pq GROUP BY arm",
+    "collision_study": grid(f"{_STUDY}, {_per((10, 20, 50))} SELECT split_part(query_id, '|', 1) AS scheme, arm AS retriever, {_summary()} FROM pq GROUP BY ALL"),
+    "rank_metrics": f"{RANKS}, {_per((10, 20, 50))} SELECT arm, {_summary()} FROM pq GROUP BY arm",
     "query_metrics": f"{RANKS}, {_per((10,))} SELECT arm, query_id, m, round(rr, 6) AS rr, s10 AS set_recall_10, round(c10, 6) AS coverage_10, h10 AS hit_10, round(d10, 6) AS ndcg_10 FROM pq",
     "osc_strata": f"""{RANKS}, {_per((50,))}, r AS (SELECT CASE WHEN m <= 1 THEN '1' WHEN m = 2 THEN '2' WHEN m <= 4 THEN '3-4' WHEN m <= 8 THEN '5-8' ELSE '9+' END AS scope, o_orderstatus AS depth, o_orderpriority AS aggregation, s50 AS osc, c50 AS recall FROM pq JOIN orders ON query_id = o_orderkey WHERE arm = 'base')
       SELECT d AS dimension, v AS value, count(*) AS n, round(avg(osc), 4) AS osc, round(avg(recall), 4) AS recall FROM (SELECT 'overall' AS d, 'all' AS v, osc, recall FROM r UNION ALL SELECT 'scope', scope, osc, recall FROM r UNION ALL SELECT 'depth', depth, osc, recall FROM r UNION ALL SELECT 'aggregation', aggregation, osc, recall FROM r) GROUP BY d, v""",

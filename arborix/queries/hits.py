@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import coverage, evaluation, linking, metrics, questions, ranking, resolvers, scoring, significance, structure, texts
 from ..sources import sinks
 from .base import QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
+from .retrieval import _hash_sql
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -293,11 +294,6 @@ _ASKED = f"asked AS (SELECT DISTINCT table_id || '/' || id AS query_id, table_id
 _CHUNK = "chunks AS (SELECT table_id || '#r' || r AS chunk_id, table_id, r, title || ' | ' || string_agg(array_to_string(list_concat(row_path, col_path), ' > ') || ': ' || raw, ' | ' ORDER BY c) AS text FROM cells GROUP BY table_id, title, r)"
 
 
-def _hash_sql(src: str, key: str, text: str, out: str) -> str:
-    return rf""" {out}_t AS (SELECT {key}, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 512 AS b FROM (SELECT {key}, md5(lower(unnest(regexp_extract_all({text}, '[A-Za-z0-9][A-Za-z0-9_&$%/.\-]*')))) AS h FROM {src})),
- {out} AS (SELECT {key}, b, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, b, ln(1 + count(*)) AS w FROM {out}_t GROUP BY ALL))"""
-
-
 _POLY = "1.0 / (1.0 + 0.5 * x)"
 _COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 _HORNER = reduce(lambda acc, k: f"({acc} * t + ({k}))", reversed(_COEF[:-1]), f"({_COEF[-1]})")

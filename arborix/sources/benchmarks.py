@@ -106,7 +106,8 @@ def tree_cells(tables: DataFrame) -> DataFrame:
         paths = p if paths is None else paths.unionByName(p)
     doc = tables.select("table_id", F.try_parse_json("raw").alias("v"))
     rows = doc.select("table_id", F.coalesce(F.try_variant_get("v", "$.title", "string"), F.lit("")).alias("title"), F.posexplode(F.try_variant_get("v", "$.data", "array<array<variant>>")).alias("r", "row"))
-    raw = F.coalesce(F.try_variant_get("x", "$.value", "string"), F.try_variant_get("x", "$", "string"))
+    plain = F.try_variant_get("x", "$", "string")  # of an object, its JSON: one without a value is an empty cell
+    raw = F.coalesce(F.try_variant_get("x", "$.value", "string"), F.when(~plain.startswith("{"), plain))
     cells = rows.select("table_id", "title", "r", F.posexplode("row").alias("c", "x")).select("table_id", "title", "r", "c", raw.alias("raw"))
     side = lambda axis, at, name: paths.filter(F.col("axis") == axis).select("table_id", F.col("line").alias(at), F.col("path").alias(name))
     full = cells.join(side("left", "r", "row_path"), ["table_id", "r"], "left").join(side("top", "c", "col_path"), ["table_id", "c"], "left")
