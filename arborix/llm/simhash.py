@@ -10,8 +10,9 @@ the index gives pairs of adjacent segment values without any large group.
 Documents below equal or adjacent values are then verified in blocks by the
 number of differing bits.
 
-A group of many near copies makes large blocks, not many rows: a pair of blocks
-gives a spanning forest of its links, never the pairs.
+A group of many near copies makes large blocks, not many rows: a block gives a
+spanning forest of its links, and two blocks the few links that join what the
+forests of each connect, never the pairs.
 
 Segments alone are sure for few differing bits.  For a bound on the Jaccard
 similarity of the shingles, bands of min-hashes are further segments, links of
@@ -163,19 +164,24 @@ def _links(nodes: DataFrame, n_words: int, distance: int, index_words: int | Non
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     both = pairs.join(held(1), ["s", "g1"]).join(held(2), ["s", "g2"]).withColumn("k1", each("n1")).withColumn("k2", each("n2")).filter("g1 < g2 or k1 <= k2")
     work = both.select("s", "g1", "k1", "g2", "k2").join(left, ["s", "g1", "k1"]).join(right, ["s", "g2", "k2"])
-    work = work.select(F.col("m1.node").alias("n1"), F.flatten("m1.fp").alias("f1"), F.col("m2.node").alias("n2"), F.flatten("m2.fp").alias("f2"))
+    same = (F.col("g1") == F.col("g2")) & (F.col("k1") == F.col("k2"))
+    work = work.select(F.col("m1.node").alias("n1"), F.flatten("m1.fp").alias("f1"), F.col("m2.node").alias("n2"), F.flatten("m2.fp").alias("f2"), same.alias("same"))
 
     def verify(batches: Iterator) -> Iterator:
         for batch in batches:
             a, b = [], []
             offsets = [np.asarray(batch.column(i).offsets) for i in range(4)]
             values = [np.asarray(batch.column(i).values) for i in range(4)]
+            one = batch.column(4).to_pylist()
             for r in range(batch.num_rows):
                 n1, f1, n2, f2 = (values[i][offsets[i][r] : offsets[i][r + 1]] for i in range(4))
                 f1, f2 = (f.reshape(-1, n_words).view(np.uint64) for f in (f1, f2))
-                off = sum(np.bitwise_count(f1[:, None, k] ^ f2[None, :, k]).astype(np.int16) for k in range(n_words))
-                for tier in tiers:
-                    x, y = forest(off <= tier)
+                off = bits_apart(f1, f2)
+                if one[r]:
+                    pairs = [forest(off <= tier) for tier in tiers]
+                else:  # each block keeps its own links: what the least tier connects there counts once
+                    pairs = joined(off, *(parts_of(bits_apart(f, f) <= tiers[0]) for f in (f1, f2)), tiers)
+                for x, y in pairs:
                     a.append(n1[x])
                     b.append(n2[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *v])) for v in (a, b)], names=["a", "b"])
@@ -183,6 +189,41 @@ def _links(nodes: DataFrame, n_words: int, distance: int, index_words: int | Non
     return work.mapInArrow(verify, "a long, b long").filter("a <> b").distinct()
 
 
+def bits_apart(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits of the rows of two arrays of 64-bit words."""
+    return sum(np.bitwise_count(f1[:, None, k] ^ f2[None, :, k]).astype(np.int32) for k in range(f1.shape[1]))
+
+
+def parts_of(linked: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric matrix of links, numbered from 0."""
+    label = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        low = np.where(linked, label[None, :], len(label)).min(1)
+        low = low[low]  # where the least neighbour points to
+        if (low == label).all():
+            return np.unique(label, return_inverse=True)[1]
+        label = low
+
+
+def joined(off: np.ndarray, rows: np.ndarray, cols: np.ndarray, tiers: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tier links between rows and columns that join their components as all links would: the closest pair of two components.
+
+    So two blocks of a large group give few links, not some for each member.
+    """
+    by_row, by_col = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
+    first = lambda x: np.searchsorted(x, np.arange(x[-1] + 1))
+    at = np.arange(off.size, dtype=np.int64).reshape(off.shape)
+    code = (off.astype(np.int64) * off.size + at)[by_row][:, by_col]
+    least = np.minimum.reduceat(np.minimum.reduceat(code, first(rows[by_row]), 0), first(cols[by_col]), 1)
+    near, place = least // off.size, least % off.size
+    out = []
+    for tier in tiers:
+        x, y = forest(near <= tier)
+        out.append(np.divmod(place[x, y], off.shape[1]))
+    return out
+
+
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a matrix of links between rows and columns, few links that connect the same.
 
@@ -203,7 +244,7 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a += [top[c], r]
         b += [c, best[r]]
         if not len(r):
-            return np.concatenate(a), np.concatenate(b)
+            return np.divmod(np.unique(np.concatenate(a) * cols + np.concatenate(b)), cols)
         label[r] = new[r]
 
 

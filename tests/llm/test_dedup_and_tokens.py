@@ -134,6 +134,22 @@ def test_forest_connects_the_same(n, m, data):
     assert brute_components(ends, full) == brute_components(ends, [(int(x), 100 + int(y)) for x, y in zip(a, b, strict=True)])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 12), st.integers(0, 1 << 30))
+def test_joined_blocks_connect_as_all_links(n, m, seed):
+    rng = np.random.default_rng(seed)
+    f = rng.integers(0, 64, (n + m, 1)).astype(np.uint64)
+    f1, f2 = f[:n], f[n:]
+    inside = [simhash.parts_of(simhash.bits_apart(x, x) <= 1) for x in (f1, f2)]
+    off = simhash.bits_apart(f1, f2)
+    own = [(i, j) for i in range(n) for j in range(i) if inside[0][i] == inside[0][j]] + [(n + i, n + j) for i in range(m) for j in range(i) if inside[1][i] == inside[1][j]]
+    for tier, (x, y) in zip((1, 2), simhash.joined(off, *inside, [1, 2]), strict=True):
+        assert all(off[a, b] <= tier for a, b in zip(x, y, strict=True))
+        every = own + [(a, n + b) for a in range(n) for b in range(m) if off[a, b] <= tier]
+        few = own + [(int(a), n + int(b)) for a, b in zip(x, y, strict=True)]
+        assert brute_components(range(n + m), every) == brute_components(range(n + m), few)
+
+
 def test_shards(docs, empty, spark, tmp_path):
     many = spark.createDataFrame(rows([PROSE[: 10 + i % 400] for i in range(3000)]), SCHEMA)
     placed, path = sharding.shard(many, 24)
