@@ -57,7 +57,7 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold(F.col("doc_id"), 7) == 2
     model = train(docs.filter(~held))
     rows = score(docs, model).withColumnRenamed("id", "doc_id")
-    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     rows = quality(_docs(spark, sf_dir))
-    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline: (doc_id, source, lang, ids, n_tokens, text)."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
