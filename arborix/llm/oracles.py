@@ -119,8 +119,8 @@ REPEATS = f"""WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
   k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
   SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
-VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-  u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_inner_product(e, e) > 0),
+VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) THEN list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), 0)) ELSE [0.0]::DOUBLE[] END AS e FROM embeddings),
+  u AS MATERIALIZED (SELECT vec_id, e, n FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v) WHERE n > 0),
   links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / a.n / b.n >= 0.95),
   reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
   c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
