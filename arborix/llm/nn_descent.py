@@ -5,10 +5,11 @@ projection trees and refined by joining neighbours of neighbours: around each
 node, the vectors in its list and those that list it are compared with each
 other, until few links are new.
 
-A list that is full of links is saturated: its node has more links than it can
-hold.  So components of the links are joined further by passes over new trees
-in which lists hold only members of other components, until a pass finds no
-link and an audit against brute force finds enough of them connected.
+A list that is full of links is saturated: it is enlarged by further links.  A
+group may still have more than it can hold, so components of the links are
+joined by passes over new trees in which lists hold only members of other
+components, until a pass finds no link and an audit against brute force finds
+enough of them connected.
 Components are compared in blocks, so a large group gives sums of links for
 each vector and a spanning forest, never its pairs.
 """
@@ -21,17 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .simhash import forest
-from .storage import arrow_rows, drop, save
+from .storage import arrow_rows, drop, named, save
 
 LOG = logging.getLogger(__name__)
 THRESHOLD = 0.95
-#: Vectors with more copies than this, or than this part of all, have their rows joined without a shuffle.
-MANY, PART = 256, 10_000
 #: Length of a neighbour list, trees, vectors in a leaf, vectors in a block.
 K, TREES, LEAF, BLOCK = 12, 8, 384, 512
+#: A list that is full of links grows to so many times its length, by further links only.
+GROWTH = 4
 #: Share of pairs at the threshold that no tree of a forest puts in one leaf.
 MISS = 0.01
 #: Vectors that are audited against all others: so many, or so many times the root of their number; links that an audit needs.
@@ -56,25 +58,29 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return rows, scaled.select("node", "mult", F.size("e").alias("dim"), F.transform("s", lambda x: x / norm).alias("v"))
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a similarity matrix the ids and similarities of its k largest."""
-    k = min(k, sims.shape[1])
-    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return ids[at], np.take_along_axis(sims, at, 1)
+def _best(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float):
+    """For each row of a similarity matrix its k largest, and further ones while they are links: (numbers, ids, similarities)."""
+    most = min(GROWTH * k, sims.shape[1])
+    at = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+    top = np.take_along_axis(sims, at, 1)
+    order = np.argsort(-top, axis=1, kind="stable")
+    at, top = np.take_along_axis(at, order, 1), np.take_along_axis(top, order, 1)
+    held = ((np.arange(most) < k) | (top >= threshold)) & (top > -2.0)
+    return held.sum(1), ids[at][held], top[held]
 
 
-def _lists(node: list, other: list, sim: list):
-    """A record batch of neighbour lists from matrices of neighbours (one row a node)."""
+def _lists(node: list, n: list, other: list, sim: list):
+    """A record batch of neighbour lists: for each node the number of its neighbours, which stand in a row."""
     import pyarrow as pa
 
-    counts = np.concatenate([[0], *(np.full(len(n), o.shape[1]) for n, o in zip(node, other, strict=True))]).astype(np.int32)
-    flat = lambda xs, kind: np.concatenate([np.empty(0, kind), *(x.reshape(-1).astype(kind) for x in xs)])
+    flat = lambda xs, kind: np.concatenate([np.empty(0, kind), *(x.astype(kind) for x in xs)])
+    ends = np.concatenate([[0], np.cumsum(flat(n, np.int64))]).astype(np.int32)
     pairs = pa.StructArray.from_arrays([pa.array(flat(sim, np.float32)), pa.array(flat(other, np.int64))], names=["sim", "other"])
-    return pa.RecordBatch.from_arrays([pa.array(flat(node, np.int64)), pa.ListArray.from_arrays(np.cumsum(counts, dtype=np.int32), pairs)], names=["node", "near"])
+    return pa.RecordBatch.from_arrays([pa.array(flat(node, np.int64)), pa.ListArray.from_arrays(ends, pairs)], names=["node", "near"])
 
 
-def _compare(groups: DataFrame, k: int) -> DataFrame:
-    """groups (m: array<struct<node, v, tag>>) -> for each member the k most similar ones with other tags."""
+def _compare(groups: DataFrame, k: int, threshold: float) -> DataFrame:
+    """groups (m: array<struct<node, v, tag>>) -> for each member the most similar ones with other tags."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -82,27 +88,32 @@ def _compare(groups: DataFrame, k: int) -> DataFrame:
             ends, ids, tags = np.asarray(members.offsets), np.asarray(members.values.field("node")), np.asarray(members.values.field("tag"))
             vs = members.values.field("v")
             flat, off = np.asarray(vs.values, np.float32), np.asarray(vs.offsets)
-            node, other, sim = [], [], []
+            node, n, other, sim = [], [], [], []
             for a, b in zip(ends, ends[1:], strict=False):
                 if b - a < 2:
                     continue
                 x = flat[off[a] : off[b]].reshape(b - a, -1)
                 s = x @ x.T
                 s[tags[a:b, None] == tags[None, a:b]] = -2.0
-                o, t = _top(ids[a:b], s, k)
+                found = _best(ids[a:b], s, k, threshold - 1e-5)
                 node.append(ids[a:b])
-                other.append(o)
-                sim.append(t)
-            yield _lists(node, other, sim)
+                for part, value in zip((n, other, sim), found, strict=True):
+                    part.append(value)
+            yield _lists(node, n, other, sim)
 
     return groups.select("m").mapInArrow(run, _LISTS)
 
 
-def _merge(parts: DataFrame, k: int) -> DataFrame:
-    """One list for each node: the k largest of all its lists."""
-    near = F.flatten(F.collect_list("near"))
-    best = F.slice(F.sort_array(F.array_distinct(F.filter(near, lambda x: x["sim"] > -2.0)), asc=False), 1, k)
-    return parts.groupBy("node").agg(best.alias("near"))
+def _merge(parts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """One list for each node: the k largest of all its lists, and further ones, up to GROWTH times k, while they are links.
+
+    A node that very many others list is no large group: of each node every
+    task passes on its best entries only.
+    """
+    pairs = parts.select("node", F.explode("near").alias("x")).groupBy("node", F.col("x.other").alias("other")).agg(F.max("x.sim").alias("sim"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("sim").desc(), "other"))
+    best = pairs.withColumn("place", place).filter(F.col("place") <= GROWTH * k).filter((F.col("place") <= k) | (F.col("sim") >= threshold - 1e-5))
+    return best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False).alias("near"))
 
 
 def _chunks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -131,7 +142,7 @@ def _trees(n: int, threshold: float) -> tuple[int, int]:
     return depth, max(TREES, int(np.ceil(np.log(MISS) / np.log(1 - min(share, 1 - MISS)))))
 
 
-def _forest(nodes: DataFrame, depth: int, k: int, trees: range, seed: int = 7) -> DataFrame:
+def _forest(nodes: DataFrame, depth: int, k: int, trees: range, threshold: float, seed: int = 7) -> DataFrame:
     """Lists from leaves of random projection trees: the nearest of other tags."""
 
     def run(batches: Iterator) -> Iterator:
@@ -151,16 +162,16 @@ def _forest(nodes: DataFrame, depth: int, k: int, trees: range, seed: int = 7) -
 
     rows = nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v"), "tag").mapInArrow(run, "tree int, dim int, code long, node long, v array<float>, tag long")
     keys = ["tree", "dim", "code"]
-    return _compare(_paired(_chunks(rows, keys, 2 * LEAF), keys), k)
+    return _compare(_paired(_chunks(rows, keys, 2 * LEAF), keys), k, threshold)
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """Lists from one join of neighbours of neighbours."""
     edges = graph.select("node", F.explode("near").alias("x")).filter(F.col("x.sim") >= FLOOR).select("node", F.col("x.other").alias("other"))
     around = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).unionByName(edges.select("node", F.col("node").alias("other"))).distinct()
     # members of saturated nodes' groups are dealt to parts by _chunks
     held = around.select(F.col("node").alias("pivot"), F.col("other").alias("node")).join(nodes.select("node", "dim", F.col("v").cast("array<float>").alias("v"), "tag"), "node")
-    return _compare(_chunks(held, ["pivot", "dim"], LEAF), k)
+    return _compare(_chunks(held, ["pivot", "dim"], LEAF), k, threshold)
 
 
 def _links_of(graph: DataFrame, threshold: float) -> DataFrame:
@@ -213,14 +224,14 @@ def _audited(nodes: DataFrame, queries: int, threshold: float) -> tuple[int, int
 
 
 def neighbour_graph(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """Lists (node, near) of the k most similar nodes found."""
+    """Lists (node, near) of the k most similar nodes found; lists that are full of links are longer."""
     depth, trees = _trees(nodes.count(), threshold)
     nodes = nodes.withColumn("tag", F.col("node"))
     with arrow_rows(nodes.sparkSession, 256):
-        graph = save(_merge(_forest(nodes, depth, k, range(trees)), k), "graph")
+        graph = save(_merge(_forest(nodes, depth, k, range(trees), threshold), k, threshold), "graph")
         links = _links_of(graph, threshold).count()
         for _ in range(ROUNDS):
-            after = save(_merge(graph.unionByName(_descend(graph, nodes, k)), k), "graph")
+            after = save(_merge(graph.unionByName(_descend(graph, nodes, k, threshold)), k, threshold), "graph")
             drop(graph)
             graph, before = after, links
             links = _links_of(graph, threshold).count()
@@ -238,7 +249,7 @@ def connected(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, recall
     for turn in range(1, 2 * ROUNDS + 1):
         tagged = save(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")).drop("component"), "tagged")
         with arrow_rows(nodes.sparkSession, 256):
-            across = save(_links_of(_merge(_forest(tagged, depth, k, range(turn * trees, (turn + 1) * trees)), k), threshold), "links")
+            across = save(_links_of(_merge(_forest(tagged, depth, k, range(turn * trees, (turn + 1) * trees), threshold), k, threshold), threshold), "links")
             if across.isEmpty() and (share := audit(tagged, n, threshold)) >= recall:
                 LOG.info("%.4f of the audited links are found", share)
                 return parts
@@ -311,11 +322,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     plain = nodes.select("node", "mult").join(counts, "node", "left").join(exact, "node", "left")
     of = save(plain.select("node", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
     ids = save(rows.filter("sound").groupBy("e").agg(F.min("id").alias("node"), F.count("*").alias("n")), "ids")
-    most = max(MANY, (ids.agg(F.sum("n")).first()[0] or 0) // PART)
-    # at most PART vectors have so many copies: a small table whatever the input
-    hot = rows.filter("sound").join(F.broadcast(ids.filter(F.col("n") > most).select("e", "node")), "e", "left")
-    rest = hot.filter("node is null").drop("node").join(ids.filter(F.col("n") <= most).select("e", "node"), "e")
-    named = hot.filter("node is not null").select("id", "node").unionByName(rest.select("id", "node"))
-    sound = named.join(of, "node").select("id", "n_links", "component")
+    sound = named(rows.filter("sound"), ids, "e").select("id", "node").join(of, "node").select("id", "n_links", "component")
     lone = rows.filter("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return sound.unionByName(lone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

@@ -27,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
-from .storage import arrow_rows, columns, save
+from .storage import arrow_rows, columns, named, save
 
 BLOCK = 256
 #: Of documents at Jaccard 0.8 1 - (1 - 0.8 ** ROWS) ** BANDS share a band, 0.992.
@@ -311,10 +312,14 @@ def near_duplicates(
     else:
         with arrow_rows(docs.sparkSession, 512):
             rows = save(rows, "simhash")
-    node = F.col("fp")[0] if n_words == 1 else F.xxhash64("fp")
     more = [F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_key", "bands")).alias("of")] if jaccard is not None else []
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), *more)
-    nodes = save(nodes.select(node.alias("node"), "fp", "least", *(["of"] if more else [])), "nodes")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), *more)
+    if n_words == 1:
+        nodes = nodes.withColumn("node", F.col("fp")[0])
+    else:  # fingerprints whose hashes are equal are told apart
+        again = F.row_number().over(Window.partitionBy("node").orderBy("fp"))
+        nodes = nodes.withColumn("node", F.xxhash64("fp")).withColumn("again", again).withColumn("node", F.when(F.col("again") == 1, F.col("node")).otherwise(F.xxhash64("fp", "again"))).drop("again")
+    nodes = save(nodes, "nodes")
     if jaccard is None:
         links = _links(nodes.select("node", "fp"), n_words, distance)
     else:
@@ -322,10 +327,10 @@ def near_duplicates(
             links = save(_links(nodes.select("node", "fp", "of.bands"), n_words, distance, min(n_words, 2)), "candidates")
         links = _similar(links, nodes, docs, id_col, text_col, shingle, jaccard)
     found = connected_components(links)
-    part = save(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part")), "parts")
+    part = save(nodes.join(found, "node", "left").select("fp", "n", "least", F.coalesce("component", "node").alias("part")), "parts")
     least = part.groupBy("part").agg(F.min("least").alias("component"))
-    of = part.join(least, "part").select("node", "part", "component")
-    return rows.withColumn("node", node).join(of, "node").select("id", "text_key", "fp", "part", "component")
+    of = save(part.join(least, "part").select("fp", "n", "part", "component"), "classes")
+    return named(rows.select("id", "text_key", "fp"), of, "fp").select("id", "text_key", "fp", "part", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -78,6 +78,25 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
+#: Keys of more rows than this, and than this part of all, are joined without a shuffle.
+MANY, PART = 256, 10_000
+
+
+def named(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """rows joined to what keys (on, n: number of rows, ...) say of them, each row by its one key.
+
+    Rows of frequent keys, such as copies of one text, stay where they are: no
+    more than PART keys can have more than one in PART of all rows, so the
+    table of these is small whatever the input.  The others are shuffled.
+    """
+    most = max(MANY, (keys.agg(F.sum("n")).first()[0] or 0) // PART)
+    more = [c for c in keys.columns if c not in (on, "n")]
+    hot = keys.filter(F.col("n") > most).select(on, F.struct(*more).alias("_of"))
+    some = rows.join(F.broadcast(hot), on, "left")
+    rest = some.filter("_of is null").drop("_of").join(keys.filter(F.col("n") <= most).drop("n"), on)
+    return some.filter("_of is not null").select(*rows.columns, "_of.*").unionByName(rest.select(*rows.columns, *more))
+
+
 def release(spark: SparkSession) -> None:
     """Let the engine delete the shuffle files of what is done: it does so when the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()
