@@ -42,13 +42,13 @@ def assessed(operands: DataFrame, tau_coverage: float = TAU_COVERAGE, tau_confid
     return g.withColumn("reason", F.when(why == "", "ok").otherwise(why)).withColumn("fallback", why != "")
 
 
-def extended(hits: DataFrame, reports: DataFrame, full: DataFrame, rows: DataFrame, tables: DataFrame, most: int = 60) -> DataFrame:
+def extended(hits: DataFrame, reports: DataFrame, full: DataFrame, rows: DataFrame, tables: DataFrame, most: int = 60, enabled: bool = True) -> DataFrame:
     """Hits with the whole table behind them where a query falls back: one chunk, or its rows if there are many.
 
     hits: (query_id, table_id, chunk_id, position, text); full and rows: chunks;
-    tables: (table_id, n_rows).
+    tables: (table_id, n_rows).  The ablation switches it off.
     """
-    back = reports.filter("fallback").select("query_id").join(hits.select("query_id", "table_id").distinct(), "query_id").join(tables, "table_id")
+    back = reports.filter("fallback" if enabled else "false").select("query_id").join(hits.select("query_id", "table_id").distinct(), "query_id").join(tables, "table_id")
     one = back.filter(F.col("n_rows") <= most).join(full.select("table_id", "chunk_id", "text"), "table_id")
     many = back.filter(F.col("n_rows") > most).join(rows.select("table_id", "chunk_id", "text"), "table_id")
     more = one.unionByName(many).select("query_id", "table_id", "chunk_id", F.lit(1 << 30).alias("position"), "text")

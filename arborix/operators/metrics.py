@@ -112,11 +112,11 @@ def predicted_decay(records: DataFrame) -> DataFrame:
     return records.groupBy("m").agg(F.count("*").alias("n"), F.avg("osc").alias("osc")).crossJoin(F.broadcast(r)).select("m", "n", "osc", F.pow("r", "m").alias("predicted"))  # one row
 
 
-def table_ranks(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
-    """One gold table a query: recall at k, mrr and ndcg at 10."""
+def table_ranks(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = (), ndcg: int = 10) -> DataFrame:
+    """One gold table a query: recall at k, mrr, and ndcg at one k (its ideal is 1)."""
     aggs = [F.count("*").alias("n"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 4).alias("mrr")]
     aggs += [F.round(F.avg(_hit(k).cast("int")), 4).alias(f"recall_{k}") for k in ks]
-    aggs.append(F.round(F.avg(F.when(_hit(10), F.log(F.lit(2.0)) / F.log(F.col("rank") + 1.0)).otherwise(0.0)), 4).alias("ndcg_10"))
+    aggs.append(F.round(F.avg(F.when(_hit(ndcg), F.log(F.lit(2.0)) / F.log(F.col("rank") + 1.0)).otherwise(0.0)), 4).alias(f"ndcg_{ndcg}"))
     return (ranks.groupBy(*by) if by else ranks).agg(*aggs)
 
 

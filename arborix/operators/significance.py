@@ -179,7 +179,7 @@ def paired_metrics(base: DataFrame, treat: DataFrame, metrics: dict[str, str], b
     keys = ["query_id", *by]
     names = list(metrics)
     pair = base.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in names]).join(treat.select(*keys, *[F.col(m).cast("double").alias(f"b_{m}") for m in names]), keys)
-    long = pair.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"b_{m}") - F.col(f"a_{m}")).alias("d")) for m in names])).alias("x")).select(*keys, "x.metric", "x.d").filter("d is not null")
+    long = pair.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(f"b_{m}") - F.col(f"a_{m}"), 12).alias("d")) for m in names])).alias("x")).select(*keys, "x.metric", "x.d").filter("d is not null")
     own = [*by, "metric"]
     t = long.groupBy(*own).agg(F.count("*").alias("n"), F.avg("d").alias("delta"), F.count_if(F.col("d") > 0).alias("gain"), F.count_if(F.col("d") < 0).alias("loss"))
     # equal differences share a rank: ranks are taken over distinct sizes

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import coverage, evaluation, linking, metrics, questions, scope, scoring, texts
+from ..operators import coverage, evaluation, metrics, questions, ranking, scope, scoring, significance, structure, texts
 
 
 def collision_study(queries: DataFrame, cells: DataFrame, operands: DataFrame, schemes: tuple[str, ...] = ("flat", "S2", "S3"), alpha: float = 0.5, pool: int = 100, within_table: bool = False) -> DataFrame:
@@ -92,3 +92,69 @@ def fallback_contexts(queries: DataFrame, cells: DataFrame, hits: DataFrame, tok
     reports = coverage.decided(cov.join(sure, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))))
     rows = texts.compact_rows(cells).select("table_id", "r", "chunk_id", "text")
     return coverage.built(hits, reports, rows, tokens)
+
+
+def rerank_contrast(hits: DataFrame, gold: DataFrame, scorer: Column, k: int, pool: int = 50) -> DataFrame:
+    """What a second scorer changes: completeness within k before and after, gains, losses and exact p values.
+
+    hits: (query_id, cell, rank and what the scorer reads); gold: (query_id, cell).
+    """
+    again = scoring.reranked(hits, scorer, pool)
+    ranks = ranking.gold_ranks(again.select("query_id", "cell", "rank", "new_rank").withColumn("rank", F.struct("rank", "new_rank")), gold)
+    done = lambda c: F.min(F.coalesce(F.col(c) <= k, F.lit(False)).cast("int"))
+    q = ranks.groupBy("query_id").agg(done("rank.rank").alias("before"), done("rank.new_rank").alias("after"))
+    return significance.flips(q.select("query_id", F.col("before").alias("osc")), q.select("query_id", F.col("after").alias("osc")))
+
+
+def injected_answers(queries: DataFrame, cells: DataFrame, seed: DataFrame, gold: DataFrame, reader: Callable[[Column], Column], detector: str = "hybrid") -> DataFrame:
+    """Answers from retrieved cells alone and with total rows injected, the questions that change first.
+
+    queries: (query_id, answer: array); seed, gold: (query_id, table_id, r, c);
+    reader makes an answer from a Column of the context's values.  Gives
+    (query_id, place, base_osc, treat_osc, injected, base_ok, treat_ok).
+    """
+    more = scope.injected(seed, cells, "all", detector)
+    arms = {"base": seed, "treat": more}
+    t = queries.select("query_id", "answer")
+    values = cells.select("table_id", "r", "c", "raw")
+    for arm, got in arms.items():
+        osc = metrics.completeness(gold, got).select("query_id", F.col("osc").alias(f"{arm}_osc"))
+        seen = got.join(values, ["table_id", "r", "c"]).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "raw"))), lambda x: x["raw"]).alias(f"{arm}_values"))
+        t = t.join(osc, "query_id", "left").join(seen, "query_id", "left")
+        t = t.withColumn(f"{arm}_osc", F.coalesce(f"{arm}_osc", F.lit(0)) == 1).withColumn(f"{arm}_ok", metrics.numeric_match(reader(F.col(f"{arm}_values")), "answer"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    t = t.withColumn("injected", F.greatest(size("treat_values"), F.lit(0)) - F.greatest(size("base_values"), F.lit(0)))
+    placed = ranking.flips_first(t.select("query_id", "base_osc", "treat_osc", "injected", "base_ok", "treat_ok"), "base_osc", "treat_osc", "query_id")
+    return placed.select("query_id", "place", "base_osc", "treat_osc", "injected", "base_ok", "treat_ok")
+
+
+def selector_policies(ladder: DataFrame, features: DataFrame, choose: Column) -> DataFrame:
+    """(policy, mean_cells, median_cells, osc, n): each fixed rung, the cheapest complete one, and one chosen by features.
+
+    ladder: (query_id, rung, n_cells, complete); features: (query_id, ...), from
+    which ``choose`` makes a rung.  The oracle takes the last rung where none is
+    complete.
+    """
+    rungs = ladder.select("query_id", F.col("rung").alias("at")).distinct().withColumn("policy", F.concat(F.lit("rung_"), F.col("at").cast("string")))
+    oracle = ladder.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("complete"), F.struct("n_cells", "rung")))["rung"], F.max("rung")).alias("at")).withColumn("policy", F.lit("oracle"))
+    chosen = features.select("query_id", choose.alias("at")).withColumn("policy", F.lit("chosen"))
+    every = rungs.unionByName(oracle.select("query_id", "at", "policy")).unionByName(chosen.select("query_id", "at", "policy"))
+    t = ladder.join(every, (ladder["query_id"] == every["query_id"]) & (ladder["rung"] == every["at"])).select("policy", "n_cells", "complete")
+    return t.groupBy("policy").agg(F.avg("n_cells").alias("mean_cells"), F.median("n_cells").alias("median_cells"), F.avg(F.col("complete").cast("int")).alias("osc"), F.count("*").alias("n"))
+
+
+def reconstruction_cost(cells: DataFrame, rebuilt: DataFrame, schemes: tuple[str, ...] = ("flat", "S2", "S3")) -> DataFrame:
+    """(scheme, table_id, tokens, n, n_exact): tokens that each scheme spends on a table, beside the rows whose paths were rebuilt exactly."""
+    spent = cells.select("table_id", F.explode(F.array(*[F.struct(F.lit(s).alias("scheme"), tx.estimated_tokens(texts.collision_text(s)).alias("tokens")) for s in schemes])).alias("x"))
+    spent = spent.groupBy("table_id", "x.scheme").agg(F.sum("x.tokens").cast("long").alias("tokens"))
+    gold = cells.groupBy("table_id", "r").agg(F.first("row_path").alias("path"))
+    return spent.join(structure.path_agreement(rebuilt, gold, ["table_id", "r"]), "table_id").select("scheme", "table_id", "tokens", "n", "n_exact")
+
+
+def ir_comparison(ranks: DataFrame, k: int = 20) -> DataFrame:
+    """(metric, base, treat, n, gain, loss, p): means of two arms (arm, query_id, rank) with the paired test that suits each metric."""
+    q = metrics.per_query(ranks, ks=(k,), by=("arm", "query_id"))
+    kinds = {f"set_recall_{k}": "binary", f"hit_{k}": "binary", f"coverage_{k}": "continuous", f"ndcg_{k}": "continuous", "rr": "continuous"}
+    arm = lambda a: q.filter(F.col("arm") == a).select("query_id", *kinds)
+    long = q.select("arm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in kinds])).alias("x")).groupBy("x.metric").pivot("arm", ["base", "treat"]).agg(F.avg("x.v"))
+    return long.join(significance.paired_metrics(arm("base"), arm("treat"), kinds), "metric").select("metric", "base", "treat", "n", "gain", "loss", "p")

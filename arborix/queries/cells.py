@@ -147,8 +147,8 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(tx.norm_tokens("text")).cast("int").alias("n_norm"),
         tx.estimated_tokens("text").alias("tokens"),
         tx.collection_name("text").alias("collection"),
-        tx.final_answer(F.concat(F.lit("so\nFinal answer: "), F.translate(F.substring("text", 1, 20), "\n", " "), F.lit("."))).alias("answer"),
-        tx.clean_span(F.concat(F.lit(" the "), F.substring("text", 1, 12), F.lit("?"))).alias("span"),
+        tx.final_answer(F.concat(F.lit("so\nFinal answer: "), F.translate("text", "\n", " "), F.lit("."))).alias("answer"),
+        tx.clean_span(F.concat(F.lit(" the "), "text", F.lit("?"))).alias("span"),
     )
 
 
@@ -238,8 +238,8 @@ SQL = {
     "text_functions": r"""SELECT item_id, regexp_replace(trim(lower(text)), '\s+', ' ', 'g') AS label, trim(regexp_replace(text, '\s+', ' ', 'g')) AS value,
       CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS n_alnum, CAST(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_&$%/.\-]*')) AS INTEGER) AS n_encoder,
       CAST(len(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9]+'), lambda t: t <> '')) AS INTEGER) AS n_norm, CAST(greatest(1, len(text) // 4) AS INTEGER) AS tokens,
-      substr(regexp_replace(text, '[^A-Za-z0-9_\-]', '_', 'g'), 1, 63) AS collection, trim(regexp_replace(regexp_replace(trim(replace(substr(text, 1, 20), chr(10), ' ') || '.'), '(?i)^(answer|the answer is|=|:)\s*', ''), '\.+$', '')) AS answer,
-      trim(regexp_replace(trim(' the ' || substr(text, 1, 12) || '?', ' ,.?'), '(?i)^(what|how|the|is|was|are|were|did|do|of)\b\s*', '')) AS span FROM benchmark""",
+      substr(regexp_replace(text, '[^A-Za-z0-9_\-]', '_', 'g'), 1, 63) AS collection, trim(regexp_replace(regexp_replace(trim(replace(text, chr(10), ' ') || '.'), '(?i)^(answer|the answer is|=|:)\s*', ''), '\.+$', '')) AS answer,
+      trim(regexp_replace(trim(' the ' || text || '?', ' ,.?'), '(?i)^(what|how|the|is|was|are|were|did|do|of)\b\s*', '')) AS span FROM benchmark""",
     "reconstruct": grid("SELECT 'row' AS axis, table_id, count(DISTINCT r) AS n, count(DISTINCT r) AS n_exact FROM cells GROUP BY table_id UNION ALL SELECT 'col', table_id, count(DISTINCT c), count(DISTINCT c) FROM cells GROUP BY table_id"),
     "prep_ladder": grid(f"""+ {_MD.strip()},
       m AS (SELECT DISTINCT table_id, 'Title: ' || title || chr(10) || 'Caption: Segment ' || table_id AS b1 FROM cells),

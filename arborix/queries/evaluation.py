@@ -318,6 +318,13 @@ _STUDY = f"""+ asked0 AS (SELECT DISTINCT table_id || '/' || id AS query_id, tab
   ranks AS (SELECT x.retriever AS arm, a.query_id, b.chunk_id AS cell, t.rank FROM asked a JOIN asked0 q ON a.query_id = a.scheme || '|' || q.query_id JOIN base b ON b.table_id = q.table_id AND b.r = b.c AND b.r < 4 CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid']) AS retriever) x LEFT JOIN top t ON t.retriever = x.retriever AND t.query_id = a.query_id AND t.chunk_id = b.chunk_id)"""
 
 SQL = {
+    "consistency_votes": """WITH l AS (SELECT l_orderkey AS query_id, l_linenumber - 1 AS k, CAST(min(l_quantity) AS BIGINT) AS x, min(l_returnflag) = 'R' AS clean FROM lineitem GROUP BY l_orderkey, l_linenumber),
+      f AS (SELECT query_id, min(k) FILTER (WHERE x = 50) < min(k) FILTER (WHERE x = 49) AS near, max(x) FILTER (WHERE k = 0) AS floor FROM l GROUP BY query_id),
+      m AS (SELECT l.*, floor, CASE WHEN x = 49 AND near THEN 50 ELSE x END AS rep FROM l JOIN f USING (query_id)),
+      p AS (SELECT unnest([false, true]) AS plain),
+      g AS (SELECT plain, query_id, rep, any_value(floor) AS floor, min(k) AS first, sum(CASE WHEN plain THEN 1.0 WHEN k = 0 THEN 1.6 WHEN clean THEN 1.0 ELSE 0.6 END)::DOUBLE AS w, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS own FROM m, p GROUP BY plain, query_id, rep),
+      b AS (SELECT plain, query_id, any_value(floor) AS floor, arg_max(rep, round(w, 6) * 1000 - first) AS rep, max(w) AS w, max(CASE WHEN own = 1 THEN w END) AS own FROM g GROUP BY plain, query_id)
+      SELECT plain, query_id, CAST(CASE WHEN NOT plain AND own IS NOT NULL AND w <= own + 1e-9 THEN floor ELSE rep END AS VARCHAR) AS answer FROM b""",
     "collision_study": grid(f"{_STUDY}, {_per((10, 20, 50))} SELECT split_part(query_id, '|', 1) AS scheme, arm AS retriever, {_summary()} FROM pq GROUP BY ALL"),
     "rank_metrics": f"{RANKS}, {_per((10, 20, 50))} SELECT arm, {_summary()} FROM pq GROUP BY arm",
     "query_metrics": f"{RANKS}, {_per((10,))} SELECT arm, query_id, m, round(rr, 6) AS rr, s10 AS set_recall_10, round(c10, 6) AS coverage_10, h10 AS hit_10, round(d10, 6) AS ndcg_10 FROM pq",

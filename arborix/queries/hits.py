@@ -349,7 +349,7 @@ SQL = {
     "tolerance_rates": """WITH p AS (SELECT p_brand AS bucket, p_partkey % 7 AS k, p_size FROM part)
       SELECT bucket, CAST(t AS DOUBLE) AS tolerance, count(*) AS n, round(avg(CASE WHEN k = 0 OR k < t * 100 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p, (SELECT unnest([0.0, 0.015, 0.035]) AS t) GROUP BY bucket, t""",
     "metric_tests": f"""{RANKS}, q AS (SELECT arm, query_id, count(*) AS m, coalesce(1.0 / min(rank), 0) AS rr, min(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) AS osc FROM ranks GROUP BY ALL),
-      b AS (SELECT CASE WHEN a.m <= 1 THEN '1' WHEN a.m = 2 THEN '2' WHEN a.m <= 4 THEN '3-4' WHEN a.m <= 8 THEN '5-8' ELSE '9+' END AS scope, CAST(t.osc - a.osc AS DOUBLE) AS dosc, t.rr - a.rr AS drr FROM q a JOIN q t ON a.query_id = t.query_id AND a.arm = 'base' AND t.arm = 'treat'),
+      b AS (SELECT CASE WHEN a.m <= 1 THEN '1' WHEN a.m = 2 THEN '2' WHEN a.m <= 4 THEN '3-4' WHEN a.m <= 8 THEN '5-8' ELSE '9+' END AS scope, CAST(t.osc - a.osc AS DOUBLE) AS dosc, round(t.rr - a.rr, 12) AS drr FROM q a JOIN q t ON a.query_id = t.query_id AND a.arm = 'base' AND t.arm = 'treat'),
       l AS (SELECT scope, 'osc' AS metric, dosc AS d FROM b UNION ALL SELECT scope, 'rr', drr FROM b),
       s AS (SELECT scope, metric, count(*) AS n, avg(d) AS delta, count(*) FILTER (WHERE d > 0) AS gain, count(*) FILTER (WHERE d < 0) AS loss FROM l GROUP BY ALL),
       r AS (SELECT scope, metric, d, avg(k) OVER (PARTITION BY scope, metric, abs(d)) AS mid, count(*) OVER (PARTITION BY scope, metric, abs(d)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY scope, metric ORDER BY abs(d)) AS k FROM l WHERE d <> 0)),

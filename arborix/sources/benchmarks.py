@@ -189,7 +189,7 @@ def multihiertt_of(docs: DataFrame, population: str = "arith_multi", tolerance:
     cells = structure.grid_cells(head)
     stated = docs.select("uid", table_id.alias("table_id"), F.explode(ev).alias("at"), "table_description").select("uid", "table_id", "at", F.try_element_at("table_description", "at").alias("description"))
     values = evidence_values(stated)
-    near = values.join(cells.select("table_id", "num"), "table_id").filter(F.abs(F.col("num") - F.col("value")) <= tolerance * F.greatest(F.abs("value"), F.lit(1.0))).select("uid", "at").distinct()
+    near = values.join(cells.select("table_id", tx.number_accounting("raw").alias("num")), "table_id").filter(F.abs(F.col("num") - F.col("value")) <= tolerance * F.greatest(F.abs("value"), F.lit(1.0))).select("uid", "at").distinct()
     lost = values.filter("value is not null").join(near, ["uid", "at"], "left_anti").select("uid").distinct().withColumn("lost", F.lit(True))
     # the steps of the funnel are cumulative: one pass counts them all
     steps = [arithmetic, arithmetic & alone, arithmetic & alone & one, arithmetic & alone & one & (n >= 2)]

@@ -72,6 +72,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "inv")).first()["name"].startswith("t_1-")
 
 
+def test_record_sinks(spark, tmp_path):
+    t = spark.createDataFrame([("C0", "t1", "a"), ("C1", "t1", "b"), ("C1", "t2", "c")], "condition string, table_id string, text string")
+    sinks.write_conditions(t, str(tmp_path / "texts"))
+    assert {r.text for r in spark.read.json(str(tmp_path / "texts/condition=C1")).collect()} == {"b", "c"}
+    ops = spark.createDataFrame([("q1", 0, 0), ("q1", 0, 1), ("q2", 1, 1)], "query_id string, r int, c int")
+    assert {(r.m, r.n) for r in sinks.write_operands(ops, str(tmp_path / "ops")).collect()} == {(2, 1), (1, 1)}
+    assert spark.read.json(str(tmp_path / "ops")).count() == 3
+
+
 def test_config():
     p = argparse.ArgumentParser()
     p.add_argument("--k", type=int, default=5)
@@ -91,6 +100,39 @@ def test_streams(spark, tmp_path):
     assert got[0] == (2, 0.5)
 
 
+def test_streams_of_calls_and_repeats(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:05", 10), ("b", "2024-01-01 00:00:15", 20), ("a", "2024-01-01 00:00:20", 30), ("c", "2024-01-01 01:00:00", 1)], "key string, ts string, tokens long").selectExpr("key", "timestamp(ts) ts", "tokens")
+    rows.coalesce(1).write.parquet(str(tmp_path / "calls"))
+    calls = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "calls"))
+    for name, stream in (("use", live.token_use(calls(), 20, 10)), ("new", live.new_only(calls(), ["key"]))):
+        live.append_results(stream, str(tmp_path / name), str(tmp_path / f"{name}-cp")).awaitTermination(120)
+    use = {r.start.strftime("%M:%S"): (r.tokens, r.calls) for r in spark.read.parquet(str(tmp_path / "use")).collect()}
+    assert use["00:00"] == (30, 2) and use["00:10"] == (50, 2) and use["00:20"] == (30, 1)
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "new")).collect()) == ["a", "b", "c"]
+
+
+def test_evidence_is_checked_by_value(spark):
+    html = "<table><tr><td>x</td><td>2019</td></tr><tr><td>a</td><td>(1)</td></tr><tr><td>b</td><td>7</td></tr></table>"
+    doc = lambda uid, said: (uid, [html], {"0-1-1": "The a of 2019 is (1).", "0-2-1": said}, ("?", "arithmetic", "add(1,2)", ["0-1-1", "0-2-1"], [], "3"))
+    docs = spark.createDataFrame([doc("u", "The b of 2019 is 7."), doc("v", "The b of 2019 is 70."), doc("w", "nothing")], benchmarks.QA)
+    q, _, funnel = benchmarks.multihiertt_of(docs)
+    f = funnel.first()
+    assert (f.questions, f.multi_operand, f.value_validated) == (3, 3, 2)
+    assert {r.query_id for r in q.collect()} == {"u", "w"}
+
+
+def test_deep_trees(spark):
+    node = {"value": "leaf", "line_idx": 0}
+    for k in range(40):
+        node = {"name": f"n{k}", "children": [node]}
+    raw = spark.createDataFrame([("t", json.dumps({"title": "", "top_root": node, "left_root": {"value": "<LEFT>", "children": [{"value": "r", "line_idx": 0}]}, "data": [[{"value": 1}, {}]]})), ("bad", "{"), ("none", None)], "table_id string, raw string")
+    cells = {r.c: r for r in benchmarks.tree_cells(raw).collect()}
+    assert cells[0].col_path == [f"n{k}" for k in reversed(range(40))] + ["leaf"] and cells[0].row_path == ["r"] and cells[1].raw is None
+    assert benchmarks.tree_nodes(raw).count() == 43
+    loop = spark.createDataFrame([("t", "1", "2", "a", 0), ("t", "2", "1", "b", 1), ("t", "3", "9", "c", 2), ("t", "4", None, "d", 3)], "table_id string, node string, parent string, name string, line int")
+    assert {r.line: r.path for r in benchmarks.structure.tree_paths(loop).collect()} == {3: ["d"]}
+
+
 def test_pipelines(spark):
     cells = spark.createDataFrame(
         [("t", "holdings", r, c, str(10 * (r + 1) + c), float(10 * (r + 1) + c), ["assets", n], ["year", y]) for r, n in enumerate(["cash", "bonds", "stocks"]) for c, y in enumerate(["2022", "2023"])],

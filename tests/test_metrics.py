@@ -17,13 +17,22 @@ def ranks(spark, d):
     return spark.createDataFrame([(q, c, r) for q, cells in d.items() for c, r in cells.items()], RANKS)
 
 
-def test_gain_decomposition(spark):
-    base = {0: {1: 2, 2: None}, 1: {1: 2, 2: 40}, 2: {1: 1, 2: 2}, 3: {1: 1, 2: 2}}
-    treat = {0: {1: 1, 2: 2}, 1: {1: 1, 2: 2}, 2: {1: 3, 2: 4}, 3: {1: 1, 2: None}}
-    r = metrics.gain_decomposition(ranks(spark, base), ranks(spark, treat), 10).first()
-    assert (r.gain, r.loss, r.gain_pool_limited, r.gain_rank_limited, r.cells_missing, r.cells_ranked_out) == (2, 1, 1, 1, 1, 1)
-    cap = ranks(spark, {0: {1: 50, 2: 60, 3: 70}})
-    assert [metrics.gain_decomposition(cap, cap, k).first().oracle_base for k in (2, 10)] == [0.0, 1.0]
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.tuples(*[st.one_of(st.none(), st.integers(1, 12))] * 2), min_size=1, max_size=4), min_size=1, max_size=8))
+def test_gain_decomposition_is_the_definition(pairs):
+    """Queries of cells with their ranks in both arms, counted one by one."""
+    spark = SparkSession.getActiveSession()
+    arm = lambda i: ranks(spark, {q: {c: p[i] for c, p in enumerate(cells)} for q, cells in enumerate(pairs)})
+    got = metrics.gain_decomposition(arm(0), arm(1), 5).first()
+    within = lambda r: r is not None and r <= 5
+    full = [[all(within(p[i]) for p in cells) for i in (0, 1)] for cells in pairs]
+    gains = [cells for cells, (b, t) in zip(pairs, full, strict=True) if t and not b]
+    pooled = [cells for cells in gains if all(p[0] is not None for p in cells)]
+    assert (got.gain, got.loss) == (len(gains), sum(b and not t for b, t in full))
+    assert (got.gain_rank_limited, got.gain_pool_limited) == (len(pooled), len(gains) - len(pooled))
+    assert got.cells_missing == sum(p[0] is None for cells in gains for p in cells)
+    assert got.cells_ranked_out == sum(p[0] is not None and p[0] > 5 for cells in gains for p in cells)
+    assert got.oracle_base == pytest.approx(sum(len(cells) <= 5 and all(p[0] is not None for p in cells) for cells in pairs) / len(pairs), abs=1e-4)
 
 
 @settings(max_examples=25, deadline=None)
@@ -53,6 +62,35 @@ def test_rank_tests(spark):
     assert (w.n, w.w) == (8, 0.0) and w.p < 0.02
 
 
+def test_exact_signed_ranks(spark):
+    from itertools import product
+
+    rng = __import__("random").Random(3)
+    data = {g: [(float(rng.randint(0, 6)), float(rng.randint(0, 6))) for _ in range(n)] for g, n in (("a", 9), ("b", 5), ("c", 1), ("d", 40))}
+    df = spark.createDataFrame([(g, x, y) for g, ps in data.items() for x, y in ps], "g string, x double, y double")
+    got = {r.g: r for r in significance.exact_signed_rank(df, "x", "y", ["g"]).collect()}
+    for g, ps in data.items():
+        d = [x - y for x, y in ps if x != y]
+        if not d:
+            assert g not in got
+            continue
+        mid = [sum(abs(e) < abs(v) for e in d) + (sum(abs(e) == abs(v) for e in d) + 1) / 2 for v in d]
+        w = min(sum(m for m, v in zip(mid, d) if v > 0), sum(m for m, v in zip(mid, d) if v < 0))
+        assert (got[g].n, got[g].w) == (len(d), w)
+        if len(d) <= 12:
+            hits = sum(sum(m for m, s in zip(mid, signs) if s) <= w for signs in product((0, 1), repeat=len(d)))
+            assert got[g].p == pytest.approx(min(1, 2 * hits / 2 ** len(d)))
+        else:
+            assert got[g].p is None
+
+
+def test_midranks_of_continuous_values(spark):
+    rng = __import__("random").Random(4)
+    values = [rng.choice([rng.random(), 0.5, float(rng.randint(0, 3))]) for _ in range(500)]
+    got = {r.v: r.midrank for r in significance.midranks(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()}
+    assert got == {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
+
+
 def test_bootstrap(spark):
     v = spark.createDataFrame([(i, float(i % 2)) for i in range(100)], "query_id int, d double")
     r = significance.bootstrap(v, rounds=400).first()
@@ -146,4 +184,29 @@ def test_scores(spark):
     assert f["a"] == pytest.approx(2 / 61) and f["b"] == pytest.approx(2 / 62)
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "chunk_id int, v array<double>")
     near = scoring.dense_topk(v.select(F.col("chunk_id").alias("query_id"), F.col("v").alias("qv")).filter("query_id = 7"), v, 3)
-    assert [r.chunk_id for r in near.orderBy("rank").collect()] == [7, 8, 6] or [r.chunk_id for r in near.orderBy("rank").collect()][0] == 7
+    assert [r.chunk_id for r in near.orderBy("rank").collect()] == [7, 8, 6]
+
+
+def test_block_scores_are_those_of_pairs(spark, monkeypatch):
+    """BM25 and hashed vectors in small blocks and several passes, against the joins; ties go to the least key."""
+    rng = __import__("random").Random(5)
+    text = lambda n: " ".join(rng.choice(["cash", "bonds", "2022", "2023", "total", "tax", "of", "a"]) for _ in range(n))
+    chunks = spark.createDataFrame([(i, text(rng.randint(0, 9))) for i in range(300)] + [(400, None)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(f"q{i}", text(rng.randint(1, 4))) for i in range(30)] + [("none", "zebra"), ("empty", "")], "query_id string, question string")
+    for name, value in (("ROWS", 16), ("WEIGHTS", 40), ("QUERIES", 7), ("CHUNKS", 50)):
+        monkeypatch.setattr(scoring, name, value)
+    for best, scores in ((scoring.bm25_topk, scoring.bm25), (scoring.hashed_topk, scoring.hashed_cosine)):
+        want = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in scoring.top_k(scores(queries, chunks), 5, ["query_id"], "chunk_id").collect()}
+        got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in best(queries, chunks, 5).collect()}
+        assert got == want and len(want) >= 150
+
+
+def test_encoders_are_named_and_fall_back_only_if_allowed(spark):
+    with pytest.raises(ValueError):
+        scoring.chosen_encoder()
+    own = ("lengths", lambda rows, key, text: rows.select(key, F.array(F.length(text).cast("double"), F.lit(1.0)).alias("v")))
+    assert scoring.chosen_encoder(own) is own and scoring.chosen_encoder(allow_fallback=True)[0] == "hashing-512"
+    q = spark.createDataFrame([("q", "abc")], "query_id string, question string")
+    c = spark.createDataFrame([("c1", "abcd"), ("c2", "xyz"), ("c3", "")], "chunk_id string, text string")
+    got = scoring.encoded_topk(q, c, 2, own).collect()
+    assert [(r.chunk_id, r.encoder) for r in sorted(got, key=lambda r: r["rank"])] == [("c2", "lengths"), ("c1", "lengths")]
