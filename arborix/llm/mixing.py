@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SPACE, SPACE_RUN
-from .storage import columns, drop, save
+from .storage import columns, drop, save, scratch
 
 #: Cells that are raked on the driver; more are raked by Spark.
 DRIVER_CELLS = 50_000
@@ -144,8 +144,9 @@ def mix(docs: DataFrame, targets: dict | None = None, share: float = 0.75, seed:
         n_tokens(text).alias("n_tokens"),
         uniform(F.col(id_col), text, seed).alias("u"),
     )
-    cells = save(plain.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    weighted = save(probabilities(rake(cells, targets), share), "weights")
+    with scratch(docs.sparkSession) as keep:
+        cells = save(plain.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+        weighted = keep(save(probabilities(rake(cells, targets), share), "weights"))
     n = weighted.count()
     known = weighted.select(*DIMS, "p")
     rows = plain.join(F.broadcast(known) if n <= DRIVER_CELLS else known, list(DIMS))

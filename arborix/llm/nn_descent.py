@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .simhash import forest
-from .storage import arrow_rows, drop, named, save
+from .storage import arrow_rows, drop, named, save, scratch
 
 LOG = logging.getLogger(__name__)
 THRESHOLD = 0.95
@@ -312,16 +312,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ids are told apart by nothing but their vectors.  An empty table gives no
     rows.
     """
-    rows, nodes = _nodes(vectors, id_col, vector_col)
-    nodes = save(nodes, "nodes")
-    parts = connected(nodes, k, threshold)
-    found = _within(nodes, parts, threshold)
-    counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
-    exact = connected_components(found.filter("other is not null"), "node", "other")
-    # a row's node by its vector: copies share it
-    plain = nodes.select("node", "mult").join(counts, "node", "left").join(exact, "node", "left")
-    of = save(plain.select("node", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
-    ids = save(rows.filter("sound").groupBy("e").agg(F.min("id").alias("node"), F.count("*").alias("n")), "ids")
+    with scratch(vectors.sparkSession) as keep:
+        rows, nodes = _nodes(vectors, id_col, vector_col)
+        nodes = save(nodes, "nodes")
+        parts = connected(nodes, k, threshold)
+        found = _within(nodes, parts, threshold)
+        counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+        exact = connected_components(found.filter("other is not null"), "node", "other")
+        # a row's node by its vector: copies share it
+        plain = nodes.select("node", "mult").join(counts, "node", "left").join(exact, "node", "left")
+        of = keep(save(plain.select("node", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes"))
+        ids = keep(save(rows.filter("sound").groupBy("e").agg(F.min("id").alias("node"), F.count("*").alias("n")), "ids"))
     sound = named(rows.filter("sound"), ids, "e").select("id", "node").join(of, "node").select("id", "n_links", "component")
     lone = rows.filter("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return sound.unionByName(lone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .storage import arrow_rows, columns, named, save
+from .storage import arrow_rows, columns, named, save, scratch
 
 BLOCK = 256
 #: Of documents at Jaccard 0.8 1 - (1 - 0.8 ** ROWS) ** BANDS share a band, 0.992.
@@ -306,30 +306,31 @@ def near_duplicates(
     empty table gives no rows.  With ``jaccard`` a link is a pair whose shingles
     have that similarity; bits and bands only find it.
     """
-    rows = simhash(docs, id_col, text_col, shingle, n_words, jaccard is not None)
-    if jaccard is None:
-        rows = save(rows, "simhash")
-    else:
-        with arrow_rows(docs.sparkSession, 512):
-            rows = save(rows, "simhash")
-    more = [F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_key", "bands")).alias("of")] if jaccard is not None else []
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), *more)
-    if n_words == 1:
-        nodes = nodes.withColumn("node", F.col("fp")[0])
-    else:  # fingerprints whose hashes are equal are told apart
-        again = F.row_number().over(Window.partitionBy("node").orderBy("fp"))
-        nodes = nodes.withColumn("node", F.xxhash64("fp")).withColumn("again", again).withColumn("node", F.when(F.col("again") == 1, F.col("node")).otherwise(F.xxhash64("fp", "again"))).drop("again")
-    nodes = save(nodes, "nodes")
-    if jaccard is None:
-        links = _links(nodes.select("node", "fp"), n_words, distance)
-    else:
-        with arrow_rows(docs.sparkSession, 64):
-            links = save(_links(nodes.select("node", "fp", "of.bands"), n_words, distance, min(n_words, 2)), "candidates")
-        links = _similar(links, nodes, docs, id_col, text_col, shingle, jaccard)
-    found = connected_components(links)
-    part = save(nodes.join(found, "node", "left").select("fp", "n", "least", F.coalesce("component", "node").alias("part")), "parts")
-    least = part.groupBy("part").agg(F.min("least").alias("component"))
-    of = save(part.join(least, "part").select("fp", "n", "part", "component"), "classes")
+    with scratch(docs.sparkSession) as keep:
+        rows = simhash(docs, id_col, text_col, shingle, n_words, jaccard is not None)
+        if jaccard is None:
+            rows = keep(save(rows, "simhash"))
+        else:
+            with arrow_rows(docs.sparkSession, 512):
+                rows = keep(save(rows, "simhash"))
+        more = [F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_key", "bands")).alias("of")] if jaccard is not None else []
+        nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), *more)
+        if n_words == 1:
+            nodes = nodes.withColumn("node", F.col("fp")[0])
+        else:  # fingerprints whose hashes are equal are told apart
+            again = F.row_number().over(Window.partitionBy("node").orderBy("fp"))
+            nodes = nodes.withColumn("node", F.xxhash64("fp")).withColumn("again", again).withColumn("node", F.when(F.col("again") == 1, F.col("node")).otherwise(F.xxhash64("fp", "again"))).drop("again")
+        nodes = save(nodes, "nodes")
+        if jaccard is None:
+            links = _links(nodes.select("node", "fp"), n_words, distance)
+        else:
+            with arrow_rows(docs.sparkSession, 64):
+                links = save(_links(nodes.select("node", "fp", "of.bands"), n_words, distance, min(n_words, 2)), "candidates")
+            links = _similar(links, nodes, docs, id_col, text_col, shingle, jaccard)
+        found = connected_components(links)
+        part = save(nodes.join(found, "node", "left").select("fp", "n", "least", F.coalesce("component", "node").alias("part")), "parts")
+        least = part.groupBy("part").agg(F.min("least").alias("component"))
+        of = keep(save(part.join(least, "part").select("fp", "n", "part", "component"), "classes"))
     return named(rows.select("id", "text_key", "fp"), of, "fp").select("id", "text_key", "fp", "part", "component")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +53,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all that this process has left in the shared folder; results must have been written elsewhere."""
+    """Delete all that this process has left in the shared folder; results must have been written elsewhere.
+
+    A result is read from there when it is asked for, so only the caller knows
+    when it has been written.
+    """
     while _made:
         remove(spark, _made.pop())
 
@@ -63,7 +69,25 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, k=id(out): _paths.pop(k, None)), path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end what was left in the shared folder inside, but for the tables that are handed to ``keep``."""
+    begun, held = len(_made), []
+    try:
+        yield lambda df: held.append(_paths[id(df)][1]) or df
+    finally:
+        new, _made[begun:] = _made[begun:], []
+        for path in new:
+            if path in held:
+                _made.append(path)
+            else:
+                remove(spark, path)
+        release(spark)
 
 
 @contextmanager
