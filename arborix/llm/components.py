@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is two aggregations and joins on the edges; labels, edges and nodes
-never leave the executors.  A node with very many edges is only a large key of
-a join whose other side has one row for it, which adaptive execution splits.
+never leave the executors.  Edges of a node with very many of them are joined
+to its least neighbour where they are, those of all other nodes by a shuffle.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, save
+from .storage import drop, named, save
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """edges (u > v) -> edges to the least node of each neighbourhood."""
+def _star(edges: DataFrame, both: bool, total: int) -> DataFrame:
+    """edges (u > v), no more than total -> edges to the least node of each neighbourhood."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    near = near.join(least, near["u"] == least["k"])
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
+    near = named(near, least, "u", 2 * total)
     if both:  # larger neighbours move to the least node
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # smaller neighbours, and the node itself, move to the least node
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if found[0] == 0 or found == mark:
             break
         mark = found
-        after = save(_star(_star(now, True), False), "edges")
+        large = save(_star(now, True, found[0]), "edges")
         drop(now)
-        now = after
+        now = save(_star(large, False, found[0]), "edges")
+        drop(large)
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())

@@ -106,14 +106,17 @@ def arrow_rows(spark: SparkSession, n: int):
 MANY, PART = 256, 10_000
 
 
-def named(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def named(rows: DataFrame, keys: DataFrame, on: str, total: int | None = None) -> DataFrame:
     """rows joined to what keys (on, n: number of rows, ...) say of them, each row by its one key.
 
+    total: the number of rows, or more, if it is known.
+
     Rows of frequent keys, such as copies of one text, stay where they are: no
     more than PART keys can have more than one in PART of all rows, so the
     table of these is small whatever the input.  The others are shuffled.
     """
-    most = max(MANY, (keys.agg(F.sum("n")).first()[0] or 0) // PART)
+    total = (keys.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    most = max(MANY, total // PART)
     more = [c for c in keys.columns if c not in (on, "n")]
     hot = keys.filter(F.col("n") > most).select(on, F.struct(*more).alias("_of"))
     some = rows.join(F.broadcast(hot), on, "left")
