@@ -11,7 +11,7 @@ from ..functions.udfs import html_to_grid
 from ..operators import coverage, evaluation, metrics, questions, ranking, scoring, significance, structure, texts
 from ..plans import pipelines
 from .base import QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
-from .retrieval import _bm25_sql, _hash_sql
+from .retrieval import _KINDS, _bm25_sql, _hash_sql
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -303,6 +303,13 @@ def _summary(ks: tuple[int, ...] = (10, 20, 50)) -> str:
     return "count(*) AS n_queries, round(avg(rr), 4) AS mrr, " + ", ".join(f"round(avg(s{k}), 4) AS set_recall_{k}, round(avg(c{k}), 4) AS coverage_{k}, count(*) FILTER (WHERE s{k} = 0 AND c{k} > 0) AS n_partial_{k}, round(avg(h{k}), 4) AS hit_{k}, round(avg(d{k}), 4) AS ndcg_{k}" for k in ks)
 
 
+_PLAN_CELLS = """v AS (SELECT table_id, max(CASE WHEN row_path = ['ASIA'] AND col_path = ['1995', 'A'] THEN num END) AS a0, max(CASE WHEN row_path = ['EUROPE'] AND col_path = ['1995', 'A'] THEN num END) AS e0, max(CASE WHEN row_path = ['total'] AND col_path = ['1996', 'R'] THEN num END) AS t6, max(CASE WHEN row_path = ['total'] AND col_path = ['1995', 'R'] THEN num END) AS t5,
+        max(CASE WHEN row_path[2] = 'NATION_12' AND col_path = ['1996', 'N'] THEN num END) AS ch, max(CASE WHEN row_path[2] = 'NATION_17' AND col_path = ['1996', 'A'] THEN num END) AS jp, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'ASIA' AND col_path = ['1995', 'A']) AS asia, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'EUROPE' AND col_path = ['1995', 'A']) AS eur FROM cells GROUP BY table_id)"""
+_PLAN_VALUES = """SELECT table_id || '/0' AS query_id, round(asia - eur, 6) AS value, NULL::VARCHAR AS error FROM v UNION ALL SELECT table_id || '/1', round((t6 - t5) / t5 * 100, 6), NULL FROM v UNION ALL SELECT table_id || '/2', round(greatest(ch, jp, 3), 6), NULL FROM v
+      UNION ALL SELECT table_id || '/3', NULL, 'eval_error:division' FROM v UNION ALL SELECT table_id || '/4', NULL, 'eval_error:undefined' FROM v UNION ALL SELECT table_id || '/5', NULL, 'eval_error:grammar' FROM v UNION ALL SELECT table_id || '/6', NULL, 'unresolved_cell:x1' FROM v"""
+_OPS = "CASE split_part(query_id, '/', 2) " + " ".join(f"WHEN '{i}' THEN {sum(e.count(x) for x in '+-*/')}" for i, (e, _) in enumerate(PLANS)) + " END"
+_CELLS = "CASE split_part(query_id, '/', 2) " + " ".join(f"WHEN '{i}' THEN {len(c)}" for i, (_, c) in enumerate(PLANS)) + " END"
+
 #: Cells as texts of three schemes, ranked for every question by words, by buckets and by both.
 _STUDY = f"""+ asked0 AS (SELECT DISTINCT table_id || '/' || id AS query_id, table_id, question FROM cells, {literal_sql(QUESTIONS, 'question')}),
   base AS (SELECT *, table_id || '#' || r || '_' || c AS chunk_id FROM cells),
@@ -366,10 +373,13 @@ SQL = {
     "resume_pending": "SELECT o_orderkey AS query_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)",
     "fallback_decisions": "WITH r AS (SELECT p_partkey AS query_id, p_size % 5 AS n, p_size / 50 AS c, (p_partkey % 10) / 10 AS f FROM part), s AS (SELECT query_id, CASE WHEN n = 0 THEN 'no_operands' WHEN c < 0.7 AND f < 0.3 THEN 'low_both' WHEN c < 0.7 THEN 'low_coverage' WHEN f < 0.3 THEN 'low_confidence' ELSE 'ok' END AS reason FROM r) SELECT query_id, reason, reason <> 'ok' AS fallback FROM s",
     "fallback_by_score": "WITH a AS (SELECT l_orderkey AS query_id, count(*) AS n, avg(CAST(l_quantity / 50 >= 0.3 AS INTEGER)) AS c FROM lineitem GROUP BY 1) SELECT query_id, n AS n_operands, round(c, 6) AS coverage, CASE WHEN c < 0.7 THEN 'coverage<0.7' ELSE 'ok' END AS reason, c < 0.7 AS fallback FROM a",
-    "plan_values": grid("""+ v AS (SELECT table_id, max(CASE WHEN row_path = ['ASIA'] AND col_path = ['1995', 'A'] THEN num END) AS a0, max(CASE WHEN row_path = ['EUROPE'] AND col_path = ['1995', 'A'] THEN num END) AS e0, max(CASE WHEN row_path = ['total'] AND col_path = ['1996', 'R'] THEN num END) AS t6, max(CASE WHEN row_path = ['total'] AND col_path = ['1995', 'R'] THEN num END) AS t5,
-        max(CASE WHEN row_path[2] = 'NATION_12' AND col_path = ['1996', 'N'] THEN num END) AS ch, max(CASE WHEN row_path[2] = 'NATION_17' AND col_path = ['1996', 'A'] THEN num END) AS jp, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'ASIA' AND col_path = ['1995', 'A']) AS asia, arg_max(num, (len(row_path[2]) + len(row_path[1])) * 1000 - r) FILTER (WHERE row_path[1] = 'EUROPE' AND col_path = ['1995', 'A']) AS eur FROM cells GROUP BY table_id)
-      SELECT table_id || '/0' AS query_id, round(asia - eur, 6) AS value, NULL::VARCHAR AS error FROM v UNION ALL SELECT table_id || '/1', round((t6 - t5) / t5 * 100, 6), NULL FROM v UNION ALL SELECT table_id || '/2', round(greatest(ch, jp, 3), 6), NULL FROM v
-      UNION ALL SELECT table_id || '/3', NULL, 'eval_error:division' FROM v UNION ALL SELECT table_id || '/4', NULL, 'eval_error:undefined' FROM v UNION ALL SELECT table_id || '/5', NULL, 'eval_error:grammar' FROM v UNION ALL SELECT table_id || '/6', NULL, 'unresolved_cell:x1' FROM v"""),
+    "plan_values": grid(f"+ {_PLAN_CELLS} {_PLAN_VALUES}"),
+    "agent_answers": grid(f"""+ {_PLAN_CELLS}, pv AS ({_PLAN_VALUES}), {_KINDS}, first AS (SELECT table_id, raw FROM cells WHERE r = 0 AND c = 0),
+      t AS (SELECT pv.query_id, kind, value, error, raw, {_OPS} AS ops, {_CELLS} AS n_cells FROM pv JOIN kinds ON kinds.id = CAST(split_part(query_id, '/', 2) AS INTEGER) JOIN first ON first.table_id = split_part(query_id, '/', 1)),
+      a AS (SELECT *, error IS NULL AND (ops >= 2 OR (kind = 'arithmetic_agg' AND ops >= 1 AND n_cells >= 2)) AS symbolic FROM t),
+      b AS (SELECT *, CASE WHEN NOT symbolic THEN raw WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE regexp_replace(regexp_replace(printf('%.4f', value), '0+$', ''), '\\.$', '') END AS pred FROM a),
+      c AS (SELECT *, CAST(pred AS DOUBLE) AS x FROM b)
+      SELECT query_id, kind, CASE WHEN symbolic THEN 'symbolic' ELSE 'reader' END AS source, pred, len(list_filter([x, 100 * x, x / 100, abs(x)], lambda p: abs(p - 12) / 12 < 0.02 OR abs(p - 1200) / 1200 < 0.02 OR abs(p - 0.12) / 0.12 < 0.02)) > 0 AS numeric_match, pred = '12' AS exact_match, error FROM c"""),
     "page_grids": "SELECT page_id, 0 AS n_rows, 0 AS n_merges FROM pages WHERE NOT contains(html, '<table')",
 }
 QUERIES = {f.__name__: f for f in (rank_metrics, query_metrics, osc_strata, gain_decomposition, collision_strata, table_recall, recall_decay, answer_scores, answer_rescore, router_confusion, class_counters, condition_rates, sentence_scores, exact_tests, paired_flips, rank_tests, bootstrap_delta, packed_context, joined_context, token_budgets, ladder_rungs, cheapest_config, rung_policy, throttle, stratified_sample, quota_allocation, resume_pending, fallback_decisions, fallback_by_score, plan_values, consistency_votes, html_grids, page_grids, collision_study, operand_retrieval, agent_answers, fallback_contexts, decomposition_accuracy)}

@@ -313,7 +313,18 @@ def _span_sql() -> str:
     return f"SELECT id, {out} AS spans FROM {_Q}"
 
 
+_NUMBERS = r"list_transform(regexp_extract_all(question, '-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+\.?\d*'), lambda x: round(CAST(replace(x, ',', '') AS DOUBLE), 3))"
+
+
+def _line_count(axis: str, cap: int) -> str:
+    return f"CASE WHEN coalesce({axis}.n, 0) = 0 THEN least(s.{axis}_last + 1, {cap}) WHEN {axis}.n = 1 THEN least({axis}.only + 1, s.{axis}_last) - greatest({axis}.only - 1, 0) + 1 ELSE least({axis}.n, {cap}) END"
+
+
 SQL = {
+    "subtables": grid(f"""+ {_ASKED_T}, q AS (SELECT query_id, table_id, {_TERMS} AS kw, {_NUMBERS} AS nums FROM asked), s AS (SELECT table_id, max(r) AS rr_last, max(c) AS cc_last FROM cells GROUP BY table_id),
+      rr AS (SELECT query_id, count(DISTINCT r) AS n, min(r) AS only FROM q JOIN cells USING (table_id) WHERE len(list_filter(kw, lambda k: contains(lower(array_to_string(row_path, ' ')), k))) > 0 OR list_contains(nums, round(num, 3)) GROUP BY query_id),
+      cc AS (SELECT query_id, count(DISTINCT c) AS n, min(c) AS only FROM q JOIN cells USING (table_id) WHERE len(list_filter(kw, lambda k: contains(lower(array_to_string(col_path, ' ')), k))) > 0 GROUP BY query_id)
+      SELECT query_id, n_rows * n_cols AS n, n_rows, n_cols FROM (SELECT q.query_id, {_line_count('rr', 12)} AS n_rows, {_line_count('cc', 10)} AS n_cols FROM q JOIN s USING (table_id) LEFT JOIN rr ON rr.query_id = q.query_id LEFT JOIN cc ON cc.query_id = q.query_id)"""),
     "question_types": f"""WITH {_KINDS} SELECT id, kind, kind IN ('multi_op_formula', 'arithmetic_agg') AS symbolic,
       CASE WHEN kind = 'reasoning_only' THEN 'llm_answer' WHEN kind IN ('multi_op_formula', 'arithmetic_agg') THEN 'retrieve,symbolic,llm_answer' ELSE 'retrieve,llm_answer' END AS stages,
       CASE WHEN kind IN ('single_arg', 'simple_lookup', 'reasoning_only') THEN 'naive' WHEN kind IN ('arithmetic_agg', 'comparison_or_count') THEN 'sc' ELSE 'grounded' END AS strategy,
