@@ -261,9 +261,9 @@ def reasoned_answer(x) -> Column:
 
 
 def symbolic_answer(x) -> Column:
-    """Whole numbers plain, others to four places without trailing zeros."""
+    """Whole numbers plain, others to four places without trailing zeros; null stays null."""
     x = _c(x)
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""), r"\.$", ""))
+    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).when(x.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""), r"\.$", ""))
 
 
 def code_block(x) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +79,10 @@ def agent_evaluation(queries: DataFrame, cells: DataFrame, plans: DataFrame, rea
     return t.select("query_id", "kind", "source", "pred", metrics.numeric_match("pred", "answer").alias("numeric_match"), metrics.exact_match("pred", "answer").alias("exact_match"), "error")
 
 
-def mock_reader(context: str) -> Column:
+def mock_reader(context: str | Column) -> Column:
     """The deterministic stand-in for a model: the value of the first line that has one."""
-    line = F.get(F.filter(F.split(F.col(context), "\n"), lambda s: F.contains(s, F.lit(": "))), 0)
+    context = F.col(context) if isinstance(context, str) else context
+    line = F.get(F.filter(F.split(context, "\n"), lambda s: F.contains(s, F.lit(": "))), 0)
     return F.concat(F.lit("Final answer: "), F.element_at(F.split(line, ": "), -1))
 
 
@@ -158,3 +160,36 @@ def ir_comparison(ranks: DataFrame, k: int = 20) -> DataFrame:
     arm = lambda a: q.filter(F.col("arm") == a).select("query_id", *kinds)
     long = q.select("arm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in kinds])).alias("x")).groupBy("x.metric").pivot("arm", ["base", "treat"]).agg(F.avg("x.v"))
     return long.join(significance.paired_metrics(arm("base"), arm("treat"), kinds), "metric").select("metric", "base", "treat", "n", "gain", "loss", "p")
+
+
+@dataclass(frozen=True)
+class Reader:
+    """A model as three Column functions of a question and a context's text; the deterministic stand-in is the default."""
+
+    answer_full: Callable[[Column, Column], Column] = lambda question, context: mock_reader(context)
+    answer_subtable: Callable[[Column, Column], Column] = lambda question, context: mock_reader(context)
+    code_for_query: Callable[[Column, Column], Column] = lambda question, context: F.concat(F.lit("print("), texts.chunk_value(context), F.lit(")"))
+
+
+def routed_answers(queries: DataFrame, cells: DataFrame, reader: Reader = Reader()) -> DataFrame:
+    """(query_id, route, source, pred): lists are answered from the part of the table that a question points to, all else by a line of arithmetic, where that fails from the whole table."""
+    part = scope.subtable(queries, cells).join(cells, ["table_id", "r", "c"])
+    few = texts.path_texts(part.withColumn("table_id", F.col("query_id")), "table").select(F.col("table_id").alias("query_id"), F.col("text").alias("part"))
+    t = queries.select("query_id", "table_id", "question").join(texts.reader_view(cells).select("table_id", F.col("text").alias("whole")), "table_id", "left").join(few, "query_id", "left")
+    route = questions.route("question")
+    code = tx.symbolic_answer(evaluation.guarded(reader.code_for_query(F.col("question"), F.coalesce("part", "whole"))))
+    t = t.withColumn("route", route).withColumn("computed", F.when(F.col("route") == "gamma", code))
+    source = F.when(F.col("route") == "beta", "subtable").when(F.col("computed").isNotNull(), "code").otherwise("full")
+    pred = F.when(F.col("route") == "beta", tx.final_answer(reader.answer_subtable(F.col("question"), F.col("part")))).otherwise(F.coalesce("computed", tx.final_answer(reader.answer_full(F.col("question"), F.col("whole")))))
+    return t.select("query_id", "route", source.alias("source"), pred.alias("pred"))
+
+
+def synthetic_questions(spec: str, cells: DataFrame, model: Callable[[Column], Column] | None = None, n: int = 3) -> DataFrame:
+    """(table_id, k, question) by a spec: ``template``, or ``llm:name`` with a model that gives one question a line for a table's text."""
+    if spec == "template":
+        return texts.template_questions(cells, n)
+    if not spec.startswith("llm:") or model is None:
+        raise ValueError(f"no questions by {spec!r}: there are 'template' and 'llm:name' with a model")
+    lines = F.filter(F.transform(F.split(model(F.col("text")), "\n"), F.trim), lambda s: s != "")
+    rows = texts.reader_view(cells).select("table_id", F.posexplode(F.slice(lines, 1, n)).alias("k", "question"))
+    return rows.select("table_id", (F.col("k") + 1).alias("k"), "question")

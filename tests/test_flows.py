@@ -150,6 +150,19 @@ def test_pipelines(spark):
     assert texts.whole_tables(cells).count() == 1
 
 
+def test_readers_and_synthetic_questions(spark):
+    cells = spark.createDataFrame([("t", "holdings", r, c, str(10 * (r + 1) + c), float(10 * (r + 1) + c), ["assets", n], ["year", y]) for r, n in enumerate(["cash", "bonds", "stocks"]) for c, y in enumerate(["2022", "2023"])], "table_id string, title string, r int, c int, raw string, num double, row_path array<string>, col_path array<string>")
+    q = spark.createDataFrame([("a", "t", "list the bonds in 2023"), ("b", "t", "stocks in 2022?"), ("c", "t", "difference between cash and bonds")], "query_id string, table_id string, question string")
+    code = lambda question, context: F.when(F.contains(question, F.lit("difference")), "print(20 - 10)").otherwise("import os")
+    got = {r.query_id: (r.route, r.source, r.pred) for r in pipelines.routed_answers(q, cells, pipelines.Reader(code_for_query=code)).collect()}
+    assert got == {"a": ("beta", "subtable", "10"), "b": ("gamma", "full", "10"), "c": ("gamma", "code", "10")}
+    assert pipelines.synthetic_questions("template", cells, n=2).count() == 2
+    made = pipelines.synthetic_questions("llm:stub", cells, lambda text: F.lit("one?\n\n two? \nthree?\nfour?")).orderBy("k").collect()
+    assert [(r.k, r.question) for r in made] == [(1, "one?"), (2, "two?"), (3, "three?")]
+    with pytest.raises(ValueError):
+        pipelines.synthetic_questions("llm:stub", cells)
+
+
 def test_entry_imports_without_a_session_and_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['arborix.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
