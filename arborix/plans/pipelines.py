@@ -190,6 +190,6 @@ def synthetic_questions(spec: str, cells: DataFrame, model: Callable[[Column], C
         return texts.template_questions(cells, n)
     if not spec.startswith("llm:") or model is None:
         raise ValueError(f"no questions by {spec!r}: there are 'template' and 'llm:name' with a model")
-    lines = F.filter(F.transform(F.split(model(F.col("text")), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(model(F.col("text")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rows = texts.reader_view(cells).select("table_id", F.posexplode(F.slice(lines, 1, n)).alias("k", "question"))
     return rows.select("table_id", (F.col("k") + 1).alias("k"), "question")
