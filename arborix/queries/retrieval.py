@@ -31,6 +31,19 @@ def compared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, QUESTIONS, "question").select("id", F.array_join(questions.compared_spans("question"), "|").alias("spans"))
 
 
+def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of question types, routes and spans over every turn of the conversations."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    kind = questions.query_type("question")
+    return t.select("conv_id", "turn", kind.alias("kind"), questions.needs_symbolic(kind).alias("symbolic"), F.array_join(questions.stages(kind), ",").alias("stages"), questions.answer_strategy(kind).alias("strategy"), questions.route("question").alias("route"), questions.is_ratio("question").alias("ratio"), questions.is_comparison("question").alias("comparison"))
+
+
+def passage_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header terms, their expansion and compared spans of every benchmark passage."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return t.select("item_id", F.array_join(questions.terms("question"), " ").alias("terms"), questions.expansion("question").alias("expansion"), questions.with_totals("question", True).alias("rewritten"), F.array_join(questions.compared_spans("question"), "|").alias("spans"))
+
+
 def difficulty_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of parts: their type's words as aggregation labels, their name as a formula."""
     p = table(spark, sf_dir, "part")
@@ -304,13 +317,20 @@ def _scope_sql() -> str:
  SELECT arm, query_id, count(*) AS n, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c, CAST(max(CAST(rf AS INTEGER)) AS INTEGER) AS row_fallback, CAST(max(CAST(cf AS INTEGER)) AS INTEGER) AS col_fallback FROM t WHERE arm <> 'last' OR NOT cf OR c = last GROUP BY arm, query_id"""
 
 
-def _span_sql() -> str:
+_TYPES = f"""kind, kind IN ('multi_op_formula', 'arithmetic_agg') AS symbolic,
+      CASE WHEN kind = 'reasoning_only' THEN 'llm_answer' WHEN kind IN ('multi_op_formula', 'arithmetic_agg') THEN 'retrieve,symbolic,llm_answer' ELSE 'retrieve,llm_answer' END AS stages,
+      CASE WHEN kind IN ('single_arg', 'simple_lookup', 'reasoning_only') THEN 'naive' WHEN kind IN ('arithmetic_agg', 'comparison_or_count') THEN 'sc' ELSE 'grounded' END AS strategy,
+      CASE WHEN {_any(questions.ROUTE_COMPARE)} OR {_any(questions.ROUTE_ARITHMETIC)} THEN 'gamma' WHEN {_any(questions.ROUTE_LIST)} THEN 'beta' ELSE 'gamma' END AS route,
+      {_RATIO} AS ratio, {_HAS(r'\b(times|ratio|relationship|for every|per\b|compared)\b', 'question')} OR {_HAS(r'\b(vs\.?|versus|between)\b', 'question')} AS comparison"""
+
+
+def _span_case() -> str:
     clean = lambda k, p: rf"trim(regexp_replace(trim(regexp_extract(question, '{p}', {k}), ' ,.?'), '(?i)^(what|how|the|is|was|are|were|did|do|of)\b\s*', ''))"
     out = "question"
     for p in reversed(questions.SPLITS):
         a, b = clean(1, p), clean(2, p)
         out = f"CASE WHEN regexp_matches(question, '{p}') AND {a} <> '' AND {b} <> '' AND lower({a}) <> lower({b}) THEN {a} || '|' || {b} ELSE {out} END"
-    return f"SELECT id, {out} AS spans FROM {_Q}"
+    return out
 
 
 _NUMBERS = r"list_transform(regexp_extract_all(question, '-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+\.?\d*'), lambda x: round(CAST(replace(x, ',', '') AS DOUBLE), 3))"
@@ -325,15 +345,16 @@ SQL = {
       rr AS (SELECT query_id, count(DISTINCT r) AS n, min(r) AS only FROM q JOIN cells USING (table_id) WHERE len(list_filter(kw, lambda k: contains(lower(array_to_string(row_path, ' ')), k))) > 0 OR list_contains(nums, round(num, 3)) GROUP BY query_id),
       cc AS (SELECT query_id, count(DISTINCT c) AS n, min(c) AS only FROM q JOIN cells USING (table_id) WHERE len(list_filter(kw, lambda k: contains(lower(array_to_string(col_path, ' ')), k))) > 0 GROUP BY query_id)
       SELECT query_id, n_rows * n_cols AS n, n_rows, n_cols FROM (SELECT q.query_id, {_line_count('rr', 12)} AS n_rows, {_line_count('cc', 10)} AS n_cols FROM q JOIN s USING (table_id) LEFT JOIN rr ON rr.query_id = q.query_id LEFT JOIN cc ON cc.query_id = q.query_id)"""),
-    "question_types": f"""WITH {_KINDS} SELECT id, kind, kind IN ('multi_op_formula', 'arithmetic_agg') AS symbolic,
-      CASE WHEN kind = 'reasoning_only' THEN 'llm_answer' WHEN kind IN ('multi_op_formula', 'arithmetic_agg') THEN 'retrieve,symbolic,llm_answer' ELSE 'retrieve,llm_answer' END AS stages,
-      CASE WHEN kind IN ('single_arg', 'simple_lookup', 'reasoning_only') THEN 'naive' WHEN kind IN ('arithmetic_agg', 'comparison_or_count') THEN 'sc' ELSE 'grounded' END AS strategy,
-      CASE WHEN {_any(questions.ROUTE_COMPARE)} OR {_any(questions.ROUTE_ARITHMETIC)} THEN 'gamma' WHEN {_any(questions.ROUTE_LIST)} THEN 'beta' ELSE 'gamma' END AS route,
-      {_RATIO} AS ratio, {_HAS(r'\b(times|ratio|relationship|for every|per\b|compared)\b', 'question')} OR {_HAS(r'\b(vs\.?|versus|between)\b', 'question')} AS comparison FROM kinds""",
+    "question_types": f"WITH {_KINDS} SELECT id, {_TYPES} FROM kinds",
+    "message_types": f"""WITH kinds AS (SELECT conv_id, turn, question, {_KIND} AS kind FROM (SELECT conv_id, turn, text AS question, trim(text) AS q FROM conversations))
+      SELECT conv_id, turn, {_TYPES} FROM kinds""",
+    "passage_terms": f"""WITH kinds AS (SELECT item_id, question, {_KIND} AS kind FROM (SELECT item_id, text AS question, trim(text) AS q FROM benchmark)), t AS (SELECT item_id, question, kind, {_ONCE(_TERMS)} AS ts FROM kinds),
+      h AS (SELECT *, CASE WHEN kind IN ('arithmetic_agg', 'multi_op_formula') THEN ['total', 'percent'] WHEN kind = 'comparison_or_count' THEN ['total'] ELSE []::VARCHAR[] END AS hs FROM t)
+      SELECT item_id, array_to_string(ts, ' ') AS terms, array_to_string(list_concat(ts, list_filter(hs, lambda x: NOT list_contains(ts, x))), ' ') AS expansion, CASE WHEN {_RATIO} THEN question || ' total overall' ELSE question END AS rewritten, {_span_case()} AS spans FROM h""",
     "question_terms": f"""WITH {_KINDS}, t AS (SELECT id, question, kind, {_ONCE(_TERMS)} AS ts FROM kinds),
       h AS (SELECT *, CASE WHEN kind IN ('arithmetic_agg', 'multi_op_formula') THEN ['total', 'percent'] WHEN kind = 'comparison_or_count' THEN ['total'] ELSE []::VARCHAR[] END AS hs FROM t)
       SELECT id, array_to_string(ts, ' ') AS terms, array_to_string(list_concat(ts, list_filter(hs, lambda x: NOT list_contains(ts, x))), ' ') AS expansion, CASE WHEN {_RATIO} THEN question || ' total overall' ELSE question END AS rewritten FROM h""",
-    "compared_spans": _span_sql(),
+    "compared_spans": f"SELECT id, {_span_case()} AS spans FROM {_Q}",
     "difficulty_classes": """SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN 'multi_op_formula' WHEN p_partkey % 5 = 0 THEN 'arithmetic_agg' WHEN p_partkey % 5 = 4 THEN 'pair_or_topk_arg' WHEN p_partkey % 5 = 1 THEN 'single_arg' WHEN p_partkey % 5 = 2 THEN 'comparison_or_count'
       WHEN p_size % 3 = 0 OR p_size % 4 = 0 THEN 'single_op_formula' ELSE 'simple_lookup' END AS class, CASE WHEN p_size % 3 = 0 OR p_size % 4 = 0 THEN 'gamma' ELSE 'beta' END AS route FROM part""",
     "bm25_topk": f"WITH asked AS (SELECT item_id AS query_id, text AS question FROM benchmark), {_bm25_sql('documents', 'doc_id', 'asked')} SELECT query_id, doc_id, rank, round(score, 4) AS score FROM {_RANKED('doc_id')} WHERE rank <= 10",
@@ -376,4 +397,4 @@ SQL = {
       SELECT a.query_id, round(avg(CASE WHEN t.r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM asked a JOIN cells c ON c.table_id = a.table_id AND c.r = c.c LEFT JOIN top t ON t.query_id = a.query_id AND t.r = c.r GROUP BY a.query_id"""),
     "attribution": grid("""+ n AS (SELECT a.table_id, a.r, a.c, count(*) AS k FROM cells a JOIN cells b ON a.table_id = b.table_id AND round(a.num, 4) = round(b.num, 4) GROUP BY ALL) SELECT count(*) AS n, count(*) FILTER (WHERE k > 1) AS ambiguous, count(*) FILTER (WHERE k > 1) / count(*) AS share FROM n"""),
 }
-QUERIES = {f.__name__: f for f in (question_types, question_terms, compared_spans, difficulty_classes, bm25_topk, bm25_within_table, dense_topk, hashed_dense, hybrid_scores, rrf_scores, table_maxpool, table_cascade, best_tables, lexical_headers, label_collisions, total_rows, row_relatives, scope_cells, axis_complete, injected_cells, last_columns, row_failures, subtables, value_join, offset_search, evidence_cells, covered_cells, attribution, resolved_paths, decomposed_operands)}
+QUERIES = {f.__name__: f for f in (question_types, question_terms, compared_spans, message_types, passage_terms, difficulty_classes, bm25_topk, bm25_within_table, dense_topk, hashed_dense, hybrid_scores, rrf_scores, table_maxpool, table_cascade, best_tables, lexical_headers, label_collisions, total_rows, row_relatives, scope_cells, axis_complete, injected_cells, last_columns, row_failures, subtables, value_join, offset_search, evidence_cells, covered_cells, attribution, resolved_paths, decomposed_operands)}
