@@ -86,10 +86,10 @@ def _dealt(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataF
     table of those is small whatever the input.
     """
     most = max(MANY, total // PART)
-    parts = F.ceil(F.col("many") / most).cast("int")
-    hot = keys.filter(F.col("many") > most).select("h", "n", parts.alias("parts")).distinct()
-    left = rows.join(F.broadcast(hot), ["h", "n"], "left").withColumn("part", F.pmod(F.xxhash64("_id", "_key", "c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = keys.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("many") > most, parts).otherwise(1) - 1)))
+    hot = keys.groupBy("h", "n").agg(F.sum("many").alias("many")).filter(F.col("many") > most).select("h", "n", F.ceil(F.col("many") / most).cast("int").alias("parts"))
+    count = F.coalesce("parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), ["h", "n"], "left").withColumn("part", F.pmod(F.xxhash64("_id", "_key", "c"), count).cast("int")).drop("parts")
+    right = keys.join(F.broadcast(hot), ["h", "n"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
     return left.join(right.drop(*({"h", "n"} - set(on))).hint("merge"), [*on, "part"]).drop("part")
 
 
