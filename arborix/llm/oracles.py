@@ -82,7 +82,7 @@ def _quality() -> str:
     votes = (
         say("n_words < 50 OR n_words > 1000000", "n_words >= 100"),
         say("n_symbols * 10 > n", "n_symbols * 100 <= n"),
-        say("letters * 100 < word_chars * 92", "letters * 100 >= word_chars * 95"),
+        say("letters * 100 < word_chars * 85", "letters * 100 >= word_chars * 95"),
         say("capitals * 10 > letters * 3", "capitals * 100 <= letters * 15"),
         say("n_repeat_words * 10 > n * 3", "n_repeat_words * 10 <= n"),
         say("variety * variety < 4 * n", "variety * variety >= 25 * n"),

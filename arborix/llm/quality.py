@@ -101,7 +101,7 @@ def votes() -> dict[str, Column]:
             (
                 say((c("n_words") < 50) | (c("n_words") > 1000000), c("n_words") >= 100),
                 say(c("n_symbols") * 10 > n, c("n_symbols") * 100 <= n),
-                say(c("n_letters") * 100 < c("word_chars") * 92, c("n_letters") * 100 >= c("word_chars") * 95),
+                say(c("n_letters") * 100 < c("word_chars") * 85, c("n_letters") * 100 >= c("word_chars") * 95),
                 say(c("n_capitals") * 10 > c("n_letters") * 3, c("n_capitals") * 100 <= c("n_letters") * 15),
                 say(c("n_repeat_words") * 10 > n * 3, c("n_repeat_words") * 10 <= n),
                 say(c("n_distinct") * c("n_distinct") < 4 * n, c("n_distinct") * c("n_distinct") >= 25 * n),
