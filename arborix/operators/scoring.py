@@ -61,21 +61,24 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "qu
     Queries go in passes that bound the table of weights which is broadcast.
     """
     words = chunks.select(F.col(key).alias("key"), tokenize(F.col(text)).alias("words"))
-    size = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("length")).first()
-    idf = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = idf.select("term", (F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # one pass counts documents of each term and, under the null term, all documents and their lengths
+    each = F.explode(F.concat(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))), F.array(F.lit(None).cast("string"))))
+    seen = words.select(F.size("words").alias("dl"), each.alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    total = seen.filter("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    idf = seen.filter("term is not null").crossJoin(F.broadcast(total))  # one row
+    idf = idf.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(question))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qn"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    weight = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query", "term", (F.col("qn") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))  # one row
+    weight = asked.join(idf, "term").crossJoin(F.broadcast(mean))  # one row
+    weight = weight.select("query", "term", "avgdl", (F.col("qn") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))).alias("w"))
     bound = asked.agg(F.count_distinct("query").alias("q"), F.count_distinct("term").alias("t")).first()
     passes = max(1, -(-bound.q * bound.t // WEIGHTS))
     weight = weight.withColumn("pass", F.pmod(F.xxhash64("query"), F.lit(passes)))
-    avgdl = (size.length or 0) / max(1, size.n)
     kind, qkind = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     out = None
     for p in range(passes):
         rows = weight.filter(F.col("pass") == p).drop("pass").toArrow()  # WEIGHTS at most, about
-        part = words.mapInArrow(_scorer(rows, k, avgdl, passes), f"{query_id} {qkind}, {key} {kind}, score double")
+        part = words.mapInArrow(_scorer(rows, k), f"{query_id} {qkind}, {key} {kind}, score double")
         out = part if out is None else out.unionByName(part)
     return top_k(out, k, [query_id], key)
 
@@ -95,13 +98,14 @@ def _best(score, k: int, keys) -> tuple:
     return at.reshape(-1), np.repeat(np.arange(rows), at.shape[1])
 
 
-def _scorer(rows, k: int, avgdl: float, passes: int) -> Callable:
+def _scorer(rows, k: int) -> Callable:
     """The function over Arrow batches (key, words) that scores them for the queries of one pass."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     ids, terms = pc.unique(rows.column("query")), pc.unique(rows.column("term"))
+    avgdl = rows.column("avgdl")[0].as_py() if rows.num_rows else 0.0
     weights = np.zeros((len(terms), len(ids)))
     weights[pc.index_in(rows.column("term"), terms).to_numpy(), pc.index_in(rows.column("query"), ids).to_numpy()] = rows.column("w").to_numpy()
     there = (weights != 0).astype(np.float32)
