@@ -87,10 +87,8 @@ def brute_carry(lines):
 
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 4).flatmap(lambda w: st.lists(st.lists(st.sampled_from(["", "a", "b", " "]), min_size=w, max_size=w), min_size=1, max_size=6)))
-def test_carry_is_the_fold(lines):
-    from pyspark.sql import SparkSession
-
-    df = SparkSession.getActiveSession().createDataFrame([(lines,)], "x array<array<string>>")
+def test_carry_is_the_fold(spark, lines):
+    df = spark.createDataFrame([(lines,)], "x array<array<string>>")
     assert df.select(structure.carried(F.col("x")).alias("p")).first().p == brute_carry(lines)
 
 

@@ -5,7 +5,6 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from arborix.operators import coverage, linking, metrics, minisql, ranking, scoring, significance
@@ -19,9 +18,8 @@ def ranks(spark, d):
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.tuples(*[st.one_of(st.none(), st.integers(1, 12))] * 2), min_size=1, max_size=4), min_size=1, max_size=8))
-def test_gain_decomposition_is_the_definition(pairs):
+def test_gain_decomposition_is_the_definition(spark, pairs):
     """Queries of cells with their ranks in both arms, counted one by one."""
-    spark = SparkSession.getActiveSession()
     arm = lambda i: ranks(spark, {q: {c: p[i] for c, p in enumerate(cells)} for q, cells in enumerate(pairs)})
     got = metrics.gain_decomposition(arm(0), arm(1), 5).first()
     within = lambda r: r is not None and r <= 5
@@ -37,8 +35,7 @@ def test_gain_decomposition_is_the_definition(pairs):
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(1, 60)), min_size=1, max_size=6))
-def test_rank_metrics_are_the_definitions(rs):
-    spark = SparkSession.getActiveSession()
+def test_rank_metrics_are_the_definitions(spark, rs):
     got = metrics.per_query(ranks(spark, {0: dict(enumerate(rs))}), ks=(10,)).first()
     hit = [r is not None and r <= 10 for r in rs]
     ideal = sum(1 / math.log2(i + 1) for i in range(1, min(len(rs), 10) + 1))
@@ -132,8 +129,7 @@ def test_failure_modes(spark):
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=8), st.integers(1, 30))
-def test_packing_is_the_greedy_loop(lengths, budget):
-    spark = SparkSession.getActiveSession()
+def test_packing_is_the_greedy_loop(spark, lengths, budget):
     df = spark.createDataFrame([("q", i, "x" * n) for i, n in enumerate(lengths)], "q string, i int, text string")
     used, want = 0, []
     for i, n in enumerate(lengths):
