@@ -126,4 +126,18 @@ VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN list_bool_and(list_tr
   c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
   SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id"""
 
-ORACLES: dict[str, str] = {"op2_mixing": MIXING, "op5_line_dedup": LINES, "op6_lm": MODEL, "op8_quality": _quality(), "op9_substring": REPEATS, "op10_embedding": VECTORS}
+SUFFIXES = """WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS i, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  c AS MATERIALIZED (SELECT r, i, o, substr(x, 2 * o + 1, 354) AS y FROM (SELECT r, i, x, unnest(range(0, length(x) // 2 - 49, 128)) AS o FROM d)),
+  s AS MATERIALIZED (SELECT r, i, o + p AS p, substr(y, 2 * p + 1, 100) AS s FROM (SELECT r, i, o, y, unnest(range(0, least(128, length(y) // 2 - 49))) AS p FROM c)),
+  low AS MATERIALIZED (SELECT s, min(i) AS low FROM s GROUP BY s HAVING min(i) < max(i)),
+  b AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50, true) AS new FROM s JOIN low USING (s) WHERE low < i),
+  g AS (SELECT r, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY p) AS k FROM b),
+  runs AS (SELECT r, min(p) AS a, max(p) + 50 AS e FROM g GROUP BY r, k),
+  parts AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM runs),
+  cut AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS z, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept FROM parts JOIN d USING (r) GROUP BY r)
+  SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN cut.r IS NULL THEN x ELSE kept || substr(x, 2 * z + 1) END)) AS kept_sha256
+  FROM d LEFT JOIN cut USING (r)"""
+
+ORACLES: dict[str, str] = {"op2_mixing": MIXING, "op5_line_dedup": LINES, "op6_lm": MODEL, "op8_quality": _quality(), "op9_substring": REPEATS, "op10_embedding": VECTORS, "op11_suffix_array": SUFFIXES}

@@ -93,6 +93,13 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated byte strings: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    from .suffixes import remove_repeated
+
+    return remove_repeated(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline: (doc_id, source, lang, ids, n_tokens, text)."""
     import corpus_pipeline
@@ -100,4 +107,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op7_toxicity, op8_quality, op9_substring, op10_embedding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op7_toxicity, op8_quality, op9_substring, op10_embedding, op11_suffix_array, pipeline)}
