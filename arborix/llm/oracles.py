@@ -140,4 +140,43 @@ SUFFIXES = """WITH d AS MATERIALIZED (
     sha256(unhex(CASE WHEN cut.r IS NULL THEN x ELSE kept || substr(x, 2 * z + 1) END)) AS kept_sha256
   FROM d LEFT JOIN cut USING (r)"""
 
-ORACLES: dict[str, str] = {"op2_mixing": MIXING, "op5_line_dedup": LINES, "op6_lm": MODEL, "op8_quality": _quality(), "op9_substring": REPEATS, "op10_embedding": VECTORS, "op11_suffix_array": SUFFIXES}
+_STEPS = "list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda h, z: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END)"
+
+
+def _importance(least: int = 20, percent: int = 5) -> str:
+    """CRCs of distinct features by a table of 256 steps, gains of the buckets, and the draw."""
+    return f"""WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda v: {_STEPS}) AS tab),
+  texts AS (SELECT 0 AS kind, doc_id AS i, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+  d AS MATERIALIZED (SELECT kind, row_number() OVER () AS r, i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts),
+  t AS (SELECT kind, r, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM d)),
+  f AS MATERIALIZED (SELECT kind, r, unnest(list_filter([a, a || ' ' || b, a || ' ' || b || ' ' || c], lambda x: x IS NOT NULL)) AS f FROM t),
+  u AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM f),
+  crc AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda k: 16 * (strpos('0123456789ABCDEF', x[k]) - 1) + strpos('0123456789ABCDEF', x[k + 1]) - 1)),
+    lambda h, z: xor(h >> 8, tab[(xor(h, z) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, tab),
+  g AS MATERIALIZED (SELECT kind, r, bucket FROM f JOIN crc USING (f)),
+  n AS (SELECT bucket, CAST(count(*) FILTER (WHERE kind = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE kind = 1) AS DOUBLE) AS t FROM g GROUP BY bucket),
+  z AS (SELECT CAST(count(*) FILTER (WHERE kind = 0) AS DOUBLE) AS zs, CAST(count(*) FILTER (WHERE kind = 1) AS DOUBLE) AS zt FROM g),
+  gain AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (zs + 10000) / ((s + 1) * (zt + 10000)))) AS BIGINT) AS gain FROM n, z),
+  w AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM g JOIN gain USING (bucket) WHERE kind = 0 GROUP BY r),
+  q AS MATERIALIZED (SELECT i AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(i AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r) WHERE kind = 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {least} ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, {percent} * count(*) OVER (PARTITION BY n_words >= {least}) // 100 AS m FROM q)
+  SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {least} AND k <= m THEN k END AS rank FROM o"""
+
+
+AUDIT = f"""WITH s AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+  m AS (SELECT part, doc_id, CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM s),
+  l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+  c AS MATERIALIZED (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+  f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+  o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+  p AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+  x AS (SELECT part, filter_order, step, f, CAST(sum(n) FILTER (WHERE translate(before || f, fails, '') = before || f) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE now AND translate(before, fails, '') = before) AS BIGINT) AS removed,
+      CAST(sum(n) FILTER (WHERE now AND translate(before, fails, '') <> before) AS BIGINT) AS redundant, CAST(sum(n) FILTER (WHERE fails = f) AS BIGINT) AS unique_fails,
+      CAST(sum(good) FILTER (WHERE now AND translate(before, fails, '') = before) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (WHERE now AND translate(before, fails, '') = before) AS BIGINT) AS toxic_lost
+    FROM (SELECT *, contains(fails, f) AS now FROM c, p) GROUP BY part, filter_order, step, f)
+  SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+    coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM x"""
+
+ORACLES: dict[str, str] = {"op2_mixing": MIXING, "op5_line_dedup": LINES, "op6_lm": MODEL, "op8_quality": _quality(), "op9_substring": REPEATS, "op10_embedding": VECTORS, "op11_suffix_array": SUFFIXES, "op12_importance": _importance(), "op13_audit": AUDIT}

@@ -100,6 +100,20 @@ def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw towards the benchmark's texts: (doc_id, n_features, weight, score, rank)."""
+    from .importance import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters in every order: (part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)."""
+    from .audit import audit
+
+    return audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline: (doc_id, source, lang, ids, n_tokens, text)."""
     import corpus_pipeline
@@ -107,4 +121,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op7_toxicity, op8_quality, op9_substring, op10_embedding, op11_suffix_array, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_bpe, op5_line_dedup, op6_lm, op7_toxicity, op8_quality, op9_substring, op10_embedding, op11_suffix_array, op12_importance, op13_audit, pipeline)}
