@@ -50,13 +50,17 @@ def folder(tmp_path_factory):
     vectors = [v.tolist() for v in vectors] + [None, [0.0] * 8, [float("nan")] * 8]
     pd.DataFrame({"vec_id": np.arange(len(vectors)) * 2, "embedding": vectors, "label": 1, "component": "clash"}).to_parquet(path / "embeddings.parquet", index=False)
     pd.DataFrame({"doc_id": docs.doc_id, "quality": 1, "toxic": [int("altered" in (t or "")) for t in docs.text], "score": "clash"}).to_parquet(path / "labels.parquet", index=False)
+    pd.DataFrame({"item_id": range(12), "text": [*docs.text[:11], None]}).to_parquet(path / "benchmark.parquet", index=False)
     return str(path)
 
 
+TABLES = ("documents", "embeddings", "labels", "benchmark")
+
+
 @pytest.fixture(scope="module")
 def no_rows(tmp_path_factory, folder):
     path = tmp_path_factory.mktemp("none")
-    for name in ("documents", "embeddings", "labels"):
+    for name in TABLES:
         import pyarrow.parquet as pq
 
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), path / f"{name}.parquet")
@@ -79,16 +83,15 @@ def rows_of(df):
 def test_queries_are_their_sql(spark, folder, name):
     import pyarrow.parquet as pq
 
-    table = "embeddings" if name == "op10_embedding" else "documents"
     got = queries.QUERIES[name](spark, folder).toPandas()
-    want = by_sql(oracles.ORACLES[name], **{table: pq.read_table(f"{folder}/{table}.parquet")})
+    want = by_sql(oracles.ORACLES[name], **{t: pq.read_table(f"{folder}/{t}.parquet") for t in TABLES})
     assert rows_of(got) == rows_of(want) and len(got) > 50
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_of_empty_tables(spark, no_rows, name):
     got = queries.QUERIES[name](spark, no_rows)
-    assert got.count() == 0 and got.columns[0] in ("doc_id", "vec_id")
+    assert got.count() == 0 and got.columns[0] in ("doc_id", "vec_id", "part")
 
 
 def test_simhash_query(spark, folder):
