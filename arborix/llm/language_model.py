@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .simhash import words_of
-from .sorted_runs import PACKED, Sorted, WordHashes, by_shard, distinct, mix64, n_shards, packed, portions, record_batch, unmix64, unsmall
+from .sorted_runs import PACKED, Sorted, WordHashes, by_shard, distinct, mix64, n_shards, packed, portions, record_batch, spans, unmix64, unsmall
 from .storage import drop, make_dir, new_path, save, write_array
 
 #: What stands for the end of a text; no word holds a line break.
@@ -183,9 +183,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         out = [(-1, 0, len(keys).to_bytes(8, "little"), some.tobytes())]
         ids, stats = stats_of(a, b, counts)
         home = np.minimum(np.searchsorted(np.array(offsets[1:]), ids, side="right"), shards - 1)
-        for s in np.unique(home):
-            own = home == s
-            out.append((int(s), 0, ids[own].astype("<u4").tobytes(), b"".join(v[own].astype(kind).tobytes() for v, kind in zip(stats, STATS.values(), strict=True))))
+        for s, i, j in spans(home):  # ids are sorted, so homes are
+            out.append((s, 0, ids[i:j].astype("<u4").tobytes(), b"".join(v[i:j].astype(kind).tobytes() for v, kind in zip(stats, STATS.values(), strict=True))))
         yield record_batch(out)
 
     counted = save(by_shard(texts.mapInArrow(pairs, PACKED), shards, merge_pairs, PACKED), "lm")
@@ -216,16 +215,15 @@ class Scorer:
     def __init__(self, m: Model):
         self.m, self.hashes = m, WordHashes()
         self.words, self.pairs, self.many = _open(m.uri, m.shards)
+        self.ends = np.array(m.offsets[1:])
 
     def _of(self, numbers: np.ndarray, column: str) -> np.ndarray:
         """A column of the vocabulary at sorted numbers; 0 for unknown words."""
         out = np.zeros(len(numbers), np.int64)
-        at = np.searchsorted(numbers, [*self.m.offsets[:-1], self.m.vocabulary + 1])
-        if column == "counts":
-            at[-1] = np.searchsorted(numbers, self.m.vocabulary)
-        for s in range(self.m.shards):
-            if at[s + 1] > at[s]:
-                out[at[s] : at[s + 1]] = self.words.column(s, column)[numbers[at[s] : at[s + 1]] - self.m.offsets[s]]
+        known = numbers[: np.searchsorted(numbers, self.m.vocabulary + (column != "counts"))]  # the start has no count, and the last place
+        home = np.minimum(np.searchsorted(self.ends, known, side="right"), self.m.shards - 1)
+        for s, a, b in spans(home):
+            out[a:b] = self.words.column(s, column)[known[a:b] - self.m.offsets[s]]
         return out
 
     def score(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

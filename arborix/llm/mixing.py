@@ -103,20 +103,17 @@ def probabilities(weighted: DataFrame, share: float) -> DataFrame:
 
     p is the weight times a constant, at most 1; the constant makes the
     expected tokens the given share of all (the largest that the weights allow
-    if the share can't be met).  Found by bisection: on the driver for few
-    cells, else on sums, so that the cells stay where they are.
+    if the share can't be met).  Found by eight rounds of sixteen sums, so that
+    the cells, few or many, stay where they are.
     """
     total, top, least = weighted.agg(F.sum("tokens"), F.max("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
     if not total or not top:
         return weighted.withColumn("p", F.lit(1.0))
-    few = weighted.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS
-    cells = weighted.select("tokens", "weight").collect() if few else []
     low, high = 0.0, 1.0 / least
-    for _ in range(60 if few else 8):
-        steps = 2 if few else 16
-        grid = [low + (high - low) * (k + 1) / steps for k in range(steps)]
-        got = [sum(t * min(1.0, w * s) for t, w in cells) for s in grid] if few else weighted.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s)) for s in grid]).first()
-        k = next((i for i, g in enumerate(got) if g >= share * total), steps - 1)
+    for _ in range(8):
+        grid = [low + (high - low) * (k + 1) / 16 for k in range(16)]
+        got = weighted.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s)) for s in grid]).first()
+        k = next((i for i, g in enumerate(got) if g >= share * total), 15)
         low, high = grid[k - 1] if k else low, grid[k]
     return weighted.withColumn("p", F.least(F.lit(1.0), F.col("weight") * high))
 
@@ -130,7 +127,7 @@ def uniform(id_col: Column, text: Column, seed: int) -> Column:
 def mix(docs: DataFrame, targets: dict | None = None, share: float = 0.75, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): rows (_row: the row of docs as a struct, n_tokens, topic, p, u, kept), and the cells with their weights.
 
-    kept: u < p.  Null sources and languages are values of their own ("").
+    kept: u < p.  Null sources, languages and topics are values of their own ("").
     Repeated rows share their fate.  An empty table gives no rows.  The default
     targets flatten each dimension's shares by the power 0.7.
     """
@@ -140,13 +137,13 @@ def mix(docs: DataFrame, targets: dict | None = None, share: float = 0.75, seed:
         F.struct(*columns(docs)).alias("_row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        (topic if topic is not None else topic_of(text)).alias("topic"),
+        F.coalesce((topic if topic is not None else topic_of(text)).cast("string"), F.lit("")).alias("topic"),
         n_tokens(text).alias("n_tokens"),
         uniform(F.col(id_col), text, seed).alias("u"),
     )
     with scratch(docs.sparkSession) as keep:
         cells = save(plain.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-        weighted = keep(save(probabilities(rake(cells, targets), share), "weights"))
+        weighted = keep(save(probabilities(save(rake(cells, targets), "raked"), share), "weights"))
     n = weighted.count()
     known = weighted.select(*DIMS, "p")
     rows = plain.join(F.broadcast(known) if n <= DRIVER_CELLS else known, list(DIMS))

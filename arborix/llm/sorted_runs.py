@@ -47,9 +47,17 @@ def n_shards(texts: DataFrame, text_col: str) -> int:
     return max(4, -(-chars // SHARD_CHARS))
 
 
-def starts(shards: int) -> np.ndarray:
-    """The first key of each shard."""
-    return np.array([-(-(s << 64) // shards) for s in range(shards)], dtype=np.uint64)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key: key * shards / 2 ** 64, rounded down, for fewer than 2 ** 32 shards."""
+    n, half = np.uint64(shards), np.uint64(32)
+    return ((keys >> half) * n + (((keys & np.uint64(0xFFFFFFFF)) * n) >> half)) >> half
+
+
+def spans(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of a sorted array: shards that hold nothing cost nothing."""
+    if len(of):
+        edge = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        yield from zip(of[edge[:-1]].tolist(), edge[:-1], edge[1:], strict=True)
 
 
 class WordHashes(dict):
@@ -106,8 +114,7 @@ def unsmall(data: bytes) -> np.ndarray:
 
 def packed(keys: np.ndarray, counts: np.ndarray, shards: int, batch: int = 0) -> list[tuple[int, int, bytes, bytes]]:
     """Rows (shard, batch, keys, counts) of sorted distinct keys."""
-    at = [*np.searchsorted(keys, starts(shards)), len(keys)]
-    return [(s, batch, keys[a:b].tobytes(), small(counts[a:b])) for s, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+    return [(s, batch, keys[a:b].tobytes(), small(counts[a:b])) for s, a, b in spans(shard_of(keys, shards))]
 
 
 PACKED = "shard int, batch int, k binary, c binary"
@@ -150,7 +157,7 @@ class Sorted:
 
     def __init__(self, uri: str, name: str, shards: int, **columns: str):
         self.uri, self.name, self.shards, self.columns = uri, name, shards, columns
-        self.starts, self._open = starts(shards), {}
+        self._open: dict = {}
 
     def column(self, shard: int, name: str) -> np.ndarray:
         at = (shard, name)
@@ -161,15 +168,13 @@ class Sorted:
 
     def find(self, keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
         """For sorted keys: (shard, slice of keys, places in the shard, whether found there)."""
-        at = [*np.searchsorted(keys, self.starts), len(keys)]
-        for s in range(self.shards):
-            if at[s + 1] > at[s]:
-                own, part = self.column(s, "keys"), keys[at[s] : at[s + 1]]
-                i = np.searchsorted(own, part)
-                ok = np.zeros(len(part), bool)
-                inside = i < len(own)
-                ok[inside] = own[i[inside]] == part[inside]
-                yield s, slice(at[s], at[s + 1]), i, ok
+        for s, a, b in spans(shard_of(keys, self.shards)):
+            own, part = self.column(s, "keys"), keys[a:b]
+            i = np.searchsorted(own, part)
+            ok = np.zeros(len(part), bool)
+            inside = i < len(own)
+            ok[inside] = own[i[inside]] == part[inside]
+            yield s, slice(a, b), i, ok
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), bool)

@@ -2,8 +2,10 @@
 
 Everything that one stage leaves for another goes to the folder that the
 cluster names in ``spark.checkpoint.dir``: tables as Parquet, and sorted arrays
-as raw files that the workers map into memory.  Nothing is written to a folder
-that only one machine can see.
+as raw files that the workers map into memory.  Nothing that another machine
+reads is written elsewhere.  Two uses of a local folder remain: where no shared
+folder is set and Spark runs on one machine, and the copy of an array that a
+worker maps from a store which can't be mapped, unlinked as soon as it is open.
 """
 
 from __future__ import annotations
@@ -187,6 +189,15 @@ def map_array(uri: str, dtype) -> np.ndarray:
         os.unlink(local.name)
 
 
+def delete_file(uri: str) -> bool:
+    """Delete a file of the shared folder, from a task; whether it was there (a repeated task finds it gone)."""
+    if not exists(uri):
+        return False
+    system, path = _filesystem(uri)
+    system.delete_file(path)
+    return True
+
+
 def write_text(uri: str, text: str) -> None:
     """Write a small file in one step."""
     write_array(uri, np.frombuffer(text.encode(), "u1"))

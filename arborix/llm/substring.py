@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sorted_runs import PACKED, Sorted, WordHashes, by_shard, distinct, mix64, n_shards, packed, portions, record_batch, starts, unsmall
-from .storage import exists, make_dir, map_array, new_path, read_text, write_array, write_text
+from .sorted_runs import PACKED, Sorted, WordHashes, by_shard, distinct, mix64, n_shards, packed, portions, record_batch, shard_of, spans, unsmall
+from .storage import delete_file, exists, make_dir, map_array, new_path, read_text, write_array, write_text
 
 WINDOW, GRAM = 35, 16
 BATCHES = 4
@@ -117,8 +117,7 @@ def _postings(texts: DataFrame, shards: int) -> DataFrame:
                 at = _taken(ok, least, grams)
                 ids = np.repeat(part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), lens)[at]
                 pairs = np.unique(np.stack([mix64(grams[at]), ids.astype(np.int64).view(np.uint64)], 1), axis=0)
-                cut = [*np.searchsorted(pairs[:, 0], starts(shards)), len(pairs)]
-                yield record_batch([(s, 0, pairs[a:b, 0].tobytes(), pairs[a:b, 1].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a])
+                yield record_batch([(s, 0, pairs[a:b, 0].tobytes(), pairs[a:b, 1].tobytes()) for s, a, b in spans(shard_of(pairs[:, 0], shards))])
 
     return texts.mapInArrow(run, PACKED)
 
@@ -193,8 +192,30 @@ class FingerprintIndex:
         self.runs = _runs_after(before, plan)
         self.version = version
         write_text(f"{uri}/manifest-{version}.json", json.dumps({"shards": shards, "runs": self.runs, "postings": self.postings}))
+        self.vacuum()
         return n or 0
 
+    def vacuum(self) -> int:
+        """Delete the runs that neither this version nor the one before names, and the repeats of versions before those; gives the number of files.
+
+        A reader of the version before may still be at work; older ones must have ended.
+        """
+        uri, shards = self.uri, self.shards
+        named = [json.loads(read_text(f"{uri}/manifest-{v}.json")) for v in range(max(1, self.version - 2), self.version + 1)]
+        live = {name for m in named[-2:] for name, _ in m["runs"]}
+        gone = [name for m in named[:-2] for name, _ in m["runs"] if name not in live] + [f"repeat{self.version - 2}"] * (self.version > 2)
+        if not gone:
+            return 0
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                n = sum(delete_file(f"{uri}/{name}-{s}.keys") for s in batch.column(0).to_pylist() for name in gone)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        return self.spark.range(shards).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
     def _post(self, texts: DataFrame, version: int) -> None:
         uri = self.uri
 
@@ -301,8 +322,7 @@ def repeated_windows(texts: DataFrame, index: FingerprintIndex) -> str:
                 first = np.flatnonzero(new)
                 n = np.minimum(np.diff([*first, len(a)]), 2)
                 a, b = a[first], b[first]
-                at = [*np.searchsorted(a, known.starts), len(a)]
-                yield record_batch([(s, 0, a[i:j].tobytes(), b[i:j].tobytes() + n[i:j].astype("u1").tobytes()) for s, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i])
+                yield record_batch([(s, 0, a[i:j].tobytes(), b[i:j].tobytes() + n[i:j].astype("u1").tobytes()) for s, i, j in spans(shard_of(a, shards))])
 
     def work(shard: int, rows: Iterator) -> Iterator:
         import pyarrow as pa

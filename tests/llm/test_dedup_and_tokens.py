@@ -425,6 +425,17 @@ def test_raking_meets_its_targets(spark):
     assert sum(r.tokens * r.p for r in p) == pytest.approx(0.4 * total, rel=1e-6)
 
 
+def test_mixing_keeps_null_topics(spark):
+    """A topic that is null is a value of its own: no row is lost, and its cells are raked like others."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "a b c", None if i % 3 else "s", None) for i in range(40)], "doc_id long, text string, source string, lang string")
+    rows, cells = mixing.mix(df, topic=F.when(F.col("doc_id") % 2 == 0, F.lit("even")))
+    got = rows.collect()
+    assert sorted(r._row.doc_id for r in got) == list(range(40)) and {r.topic for r in got} == {"even", ""}
+    assert sorted((r.source, r.topic) for r in cells.collect()) == [("", ""), ("", "even"), ("s", ""), ("s", "even")]
+
+
 def test_mixing_edges(docs, empty):
     rows_, _ = mixing.mix(docs)
     assert rows_.count() == len(TEXTS)

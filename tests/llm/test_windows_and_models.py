@@ -1,6 +1,7 @@
 """Operators 6 and 9 against brute force."""
 
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter
@@ -86,7 +87,9 @@ def test_increments_write_their_own_runs_only(spark):
         long = [" ".join(f"{k}w{x}" for x in np.random.default_rng((k, j)).integers(0, 999, 80)) for j in range(20)]
         assert index.append(frame(spark, long), batches=1) == 0
         now = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder)}
-        assert seen.items() <= now.items()  # nothing is written again
+        assert all(now[f] == at for f, at in seen.items() if f in now)  # nothing is written again
+        named = {n for v in range(max(1, k), k + 2) for n, _ in json.loads(open(f"{folder}/manifest-{v}.json").read())["runs"]}
+        assert {f.rsplit("-", 1)[0] for f in now if f.startswith("run")} == named  # what was merged away two versions ago is gone
         grown = {f for f in now.keys() - seen.keys() if f.startswith("run")}
         assert len(grown) == 4  # one run, or the one that it completes
         seen = now
@@ -108,6 +111,24 @@ def test_shards_of_minima_are_even(spark):
     assert sum(sizes) > 1500 and max(sizes) < 2 * sum(sizes) / 16
 
 
+def test_portions_do_not_visit_empty_shards(tmp_path):
+    """What a portion costs follows its keys, not the number of shards; each key lies in the range of its shard."""
+    import time
+
+    from arborix.llm import sorted_runs
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64))
+    for shards in (1, 3, 10, 10**4, 10**6, 10**9):
+        of = sorted_runs.shard_of(keys, shards)
+        assert of.tolist() == [int(k) * shards >> 64 for k in keys]
+        rows = sorted_runs.packed(keys, np.ones(len(keys), np.int64), shards)
+        assert b"".join(r[2] for r in rows) == keys.tobytes() and [r[0] for r in rows] == sorted(set(of.tolist()))
+        began = time.process_time()
+        found = sorted_runs.Sorted(str(tmp_path), "none", shards, keys="<u8").has(keys[:200])
+        assert not found.any() and time.process_time() - began < 1
+
+
 def test_totals_beyond_32_bits():
     first, second = np.array([0, 0, 1]), np.array([1, 2, 2])
     counts = np.array([(1 << 33) + 1, 3, 1])
