@@ -24,13 +24,14 @@ string, by the hash of each string, instead of by the gram.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import PART, save, scratch
+from .storage import PART, drop, release, save, scratch
 
 LENGTH, GRAM = 50, 24
 #: Grams of fewer rows than this are never dealt string by string.
@@ -41,7 +42,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xF
 #: Takes the place of the id of a row without one: larger than any other.
 LAST = (1 << 63) - 1
 
-SUFFIXES = "a long, b long, h long, s binary, off int, id long, places binary, dk long, p long, n long"
+SUFFIXES = "lead long, h long, s binary, off int, id long, places binary, dk long, p long, n long"
 RANGES = "dk long, p long, n long"
 
 
@@ -148,7 +149,7 @@ def _counted(batches: Iterator) -> Iterator:
         _, of, _, _, _, h = anchors(t.to_pylist())
         if not len(h):
             continue
-        order = np.lexsort((of, h))
+        order = np.argsort(h, kind="stable")  # texts come in order
         h, of = h[order], of[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
         h, of = h[new], of[new]
@@ -190,61 +191,62 @@ def _repeated(hot_rows: int, batches: Iterator) -> Iterator:
 
 def _suffixes(hot: np.ndarray, batches: Iterator) -> Iterator:
     """(dk, id, hs, t) -> suffixes to compare, with the places where they stand, and ranges that are decided."""
-    firsts: dict[bytes, list] = {}  # string -> [smallest id, anchor's offset, hash, places in documents of that id]
-    gone: list[tuple[int, int, int]] = []
+    firsts: dict[bytes, list] = {}  # string -> [smallest id, anchor's offset, hash, places in documents of that id: dk, p, dk, p ...]
+    gone: list[int] = []  # dk, p, n, dk, p, n ...
     size = 0
 
     def flush():
         nonlocal size
         if firsts:
-            lead = np.frombuffer(b"".join([s[v[1] : v[1] + 16] for s, v in firsts.items()]), ">u8").reshape(-1, 2) ^ np.uint64(1 << 63)
-            a, b, h = lead[:, 0].astype(np.uint64).view(np.int64).copy(), lead[:, 1].astype(np.uint64).view(np.int64).copy(), np.array([v[2] for v in firsts.values()], np.int64)
-            single = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-            if single.any():  # dealt by the string itself
-                a[single] = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s, x in zip(firsts, single, strict=True) if x]
-                b[single] = 0
-            step = 1 << 15
             strings, values = list(firsts), list(firsts.values())
+            lead = np.frombuffer(b"".join([s[v[1] : v[1] + 8] for s, v in firsts.items()]), ">u8") ^ np.uint64(1 << 63)
+            lead, h = _signed(lead), np.array([v[2] for v in values], np.int64)
+            if len(hot):  # dealt by the string itself
+                for k in np.flatnonzero(np.isin(h, hot)).tolist():
+                    lead[k] = int.from_bytes(hashlib.blake2b(strings[k], digest_size=8).digest(), "little", signed=True)
+            step = 1 << 15
             for k in range(0, len(strings), step):
                 v = values[k : k + step]
-                yield _batch(SUFFIXES, a=a[k : k + step], b=b[k : k + step], h=h[k : k + step], s=strings[k : k + step], off=[x[1] for x in v], id=[x[0] for x in v], places=[np.array(sorted(set(x[3])), "<i8").tobytes() for x in v])
+                yield _batch(SUFFIXES, lead=lead[k : k + step], h=h[k : k + step], s=strings[k : k + step], off=[x[1] for x in v], id=[x[0] for x in v], places=[array("q", x[3]).tobytes() for x in v])
         if gone:
-            rows = np.unique(np.array(gone, np.int64), axis=0)
-            yield _batch(SUFFIXES, **dict(zip(("dk", "p", "n"), merged(rows[:, 0], rows[:, 1], rows[:, 2]), strict=True)))
+            yield _batch(SUFFIXES, **dict(zip(("dk", "p", "n"), merged(*np.array(gone, np.int64).reshape(-1, 3).T), strict=True)))
         firsts.clear()
         gone.clear()
         size = 0
 
     for dks, ids, hs, ts in _blocks(batches, "dk", "id", "hs", "t"):
-        texts = ts.to_pylist()
+        texts, dks, ids = ts.to_pylist(), dks.to_pylist(), ids.to_pylist()
         begin, of, first, last, at, h = anchors(texts)
-        wanted = hs.to_pylist()
-        cut = np.searchsorted(of, np.arange(len(texts) + 1))
-        h = _signed(h)
-        for k, (dk, doc) in enumerate(zip(dks.to_pylist(), ids.to_pylist(), strict=True)):
-            own = slice(cut[k], cut[k + 1])
-            hit = np.flatnonzero(np.isin(h[own], np.array(wanted[k], np.int64))) + cut[k]
-            text, base = texts[k], int(begin[k])
-            single = np.isin(h[hit], hot).tolist() if len(hot) else [False] * len(hit)
-            for f, e, x, g, one in zip((first[hit] - base).tolist(), (last[hit] - base).tolist(), (at[hit] - base).tolist(), h[hit].tolist(), single, strict=True):
-                for p, q in ((p, p) for p in range(f, e + 1)) if one else ((f, e),):
-                    s = text[p : q + LENGTH]
-                    was = firsts.get(s)
-                    if was is None:
-                        firsts[s] = [doc, x - p, g, [(dk, p)]]
-                        size += len(s) + 150
-                    elif doc > was[0]:
-                        gone.append((dk, p, q - p + 1))
-                    elif doc == was[0]:
-                        was[3].append((dk, p))
-                    else:
-                        gone += [(d, r, q - p + 1) for d, r in was[3]]
-                        was[0], was[3] = doc, [(dk, p)]
-            if size > 4 * PIECE or len(gone) > PIECE // 16:
-                yield from flush()
+        own = np.repeat(np.arange(len(texts)), hs.value_lengths().to_numpy())
+        hit = np.flatnonzero(np.isin(_told(of, h), _told(own, hs.flatten().to_numpy().view(np.uint64))))
+        of, base, h = of[hit].tolist(), begin[of[hit]], _signed(h[hit])
+        single = np.isin(h, hot).tolist() if len(hot) else [False] * len(hit)
+        for k, f, e, x, g, one in zip(of, (first[hit] - base).tolist(), (last[hit] - base).tolist(), (at[hit] - base).tolist(), h.tolist(), single, strict=True):
+            dk, doc, text = dks[k], ids[k], texts[k]
+            for p, q in ((p, p) for p in range(f, e + 1)) if one else ((f, e),):
+                s = text[p : q + LENGTH]
+                was = firsts.get(s)
+                if was is None:
+                    firsts[s] = [doc, x - p, g, [dk, p]]
+                    size += len(s) + 150
+                elif doc > was[0]:
+                    gone += (dk, p, q - p + 1)
+                elif doc == was[0]:
+                    was[3] += (dk, p)
+                else:
+                    for r in range(0, len(was[3]), 2):
+                        gone += (was[3][r], was[3][r + 1], q - p + 1)
+                    was[0], was[3] = doc, [dk, p]
+        if size > 4 * PIECE or len(gone) > PIECE // 4:
+            yield from flush()
     yield from flush()
 
 
+def _told(of: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One number for a hash in a text of the block; two that fall together cost a comparison."""
+    return (h ^ (of.astype(np.uint64) * _ODD[0])) * _ODD[1]
+
+
 def merged(dk: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (dk, first string, number of strings), those that touch made one."""
     order = np.lexsort((p, dk))
@@ -288,77 +290,102 @@ def _digits(padded: np.ndarray, at: np.ndarray, length: np.ndarray | int, width:
     return rows.view(">u8").astype(np.uint64)
 
 
-def compared(strings: list[bytes], off: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """Of each string the smallest id that each of its parts of LENGTH bytes has among all strings."""
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    begin = np.cumsum(sizes) - sizes
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... for each length."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def compared(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, off: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (string, first part, number of parts): the parts of LENGTH bytes that stand in a string of a smaller id as well.
+
+    String k is the sizes[k] bytes of data from begin[k] on; its anchor is off[k] bytes behind.
+    """
     left, right = -(-(LENGTH - GRAM) // 8) * 8, -(-LENGTH // 8) * 8
-    data = np.frombuffer(b"".join(strings), np.uint8)
     padded = np.concatenate([data, np.zeros(right, np.uint8)])
     back = np.concatenate([data[::-1], np.zeros(left, np.uint8)])
-    ends = np.full((len(strings), 1), 1, np.uint64) * (sizes * 64 + off).astype(np.uint64)[:, None]
     tail = _digits(padded, begin + off, sizes - off, right)
     head = _digits(back, len(data) - (begin + off), off, left)
-    order, new = multikey_order(np.concatenate([tail, head, ends], 1))
+    order, new = multikey_order(np.concatenate([tail, head, (sizes * 64 + off).astype(np.uint64)[:, None]], 1))
     # equal strings are one, with the smallest id
     first = np.flatnonzero(new)
-    one = np.cumsum(new) - 1
     low = np.minimum.reduceat(ids[order], first)
+    of = np.empty(len(begin), np.int64)
+    of[order] = np.cumsum(new) - 1
     rep = order[first]
     lead = tail[rep][:, : GRAM // 8]
-    shared = np.concatenate([[False], (lead[1:] == lead[:-1]).all(1)]) if len(rep) else np.zeros(0, bool)
-    shared |= np.concatenate([shared[1:], [False]])
-    n = sizes[rep] - LENGTH + 1
-    found = np.repeat(low, n)
-    of = np.repeat(np.arange(len(rep)), n)
-    some = np.flatnonzero(shared[of])
+    shared = np.zeros(len(rep) + 1, bool)
+    shared[1:-1] = (lead[1:] == lead[:-1]).all(1)
+    shared = shared[1:] | shared[:-1]
+    parts = sizes - LENGTH + 1
+    alone = np.flatnonzero(~shared[of] & (low[of] < ids))
+    out = [(alone, np.zeros(len(alone), np.int64), parts[alone])]
+    some = np.flatnonzero(shared)
     if len(some):
-        place = begin[rep][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        by, fresh = multikey_order(_digits(padded, place[some], LENGTH, right))
+        # strings that share the gram only: part by part
+        n = parts[rep[some]]
+        by, fresh = multikey_order(_digits(padded, np.repeat(begin[rep[some]], n) + _ramp(n), LENGTH, right))
         start = np.flatnonzero(fresh)
-        least = np.minimum.reduceat(found[some][by], start)
-        found[some[by]] = np.repeat(least, np.diff([*start, len(by)]))
-    parts = np.split(found, np.cumsum(n)[:-1])
-    which = np.empty(len(strings), np.int64)
-    which[order] = one
-    return [parts[k] for k in which]
+        found = np.repeat(low[some], n)
+        found[by] = np.repeat(np.minimum.reduceat(found[by], start), np.diff([*start, len(by)]))
+        at = np.full(len(rep), -1)
+        at[some] = np.cumsum(n) - n
+        rows = np.flatnonzero(shared[of])
+        own = parts[rows]
+        k = _ramp(own)
+        bad = found[np.repeat(at[of[rows]], own) + k] < np.repeat(ids[rows], own)
+        edge = np.flatnonzero(bad & ((k == 0) | np.concatenate([[True], ~bad[:-1]])))
+        stop = np.flatnonzero(bad & np.concatenate([~bad[1:] | (k[1:] == 0), [True]]))
+        out.append((np.repeat(rows, own)[edge], k[edge], stop - edge + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _bytes_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, begin, sizes) of an Arrow column of bytes without nulls."""
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends)
 
 
 def _sorted(batches: Iterator) -> Iterator:
     """Suffixes of a bucket in order of their leading bytes -> ranges (dk, p, n) to remove."""
+    import pyarrow as pa
 
-    def decided(rows):
-        strings, off, ids, places = rows
-        ids = np.array(ids, np.int64)
-        dk, p, n = [], [], []
-        for low, doc, at in zip(compared(strings, np.array(off, np.int64), ids), ids.tolist(), places, strict=True):
-            bad = low < doc
-            if not bad.any():
-                continue
-            edge = np.diff(np.concatenate([[0], bad.view(np.int8), [0]]))
-            begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            own = np.frombuffer(at, "<i8").reshape(-1, 2)
-            dk.append(np.repeat(own[:, 0], len(begins)))
-            p.append((own[:, 1:] + begins).ravel())
-            n.append(np.tile(ends - begins, len(own)))
-        if dk:
-            yield _batch(RANGES, **dict(zip(("dk", "p", "n"), merged(*map(np.concatenate, (dk, p, n))), strict=True)))
-
-    rows, size, before = ([], [], [], []), 0, None
+    def decided(pieces):
+        rows = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+        off, ids = rows.column(3).to_numpy().astype(np.int64), rows.column(4).to_numpy()
+        row, part, n = compared(*_bytes_of(rows.column(2)), off, ids)
+        raw, begin, sizes = _bytes_of(rows.column(5))
+        places = np.frombuffer(raw.tobytes(), "<i8").reshape(-1, 2)
+        times = sizes[row] // 16
+        run = np.repeat(np.arange(len(row)), times)
+        at = begin[row][run] // 16 + _ramp(times)
+        if len(run):
+            yield _batch(RANGES, dk=places[at, 0], p=places[at, 1] + part[run], n=n[run])
+
+    held, size, before = [], 0, None
     for batch in batches:
-        keys = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
-        strings, off, ids, places = (c.to_pylist() for c in batch.columns[3:7])
-        change = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
-        for i, j in zip([0, *change], [*change, len(strings)], strict=True):
-            if size > PIECE and (i or before is None or (keys[0] != before).any()):
-                yield from decided(rows)
-                rows, size = ([], [], [], []), 0
-            for own, new in zip(rows, (strings, off, ids, places), strict=True):
-                own += new[i:j]
-            size += sum(map(len, strings[i:j]))
-        before = keys[-1] if len(keys) else before
-    if rows[0]:
-        yield from decided(rows)
+        if not batch.num_rows:
+            continue
+        keys = np.stack([c.to_numpy() for c in batch.columns[:2]], 1)
+        sizes = np.cumsum(_bytes_of(batch.column(2))[2])
+        change = np.flatnonzero(np.concatenate([[before is None or (keys[0] != before).any()], (keys[1:] != keys[:-1]).any(1)]))
+        at = done = 0
+        while True:  # cut where PIECE is full and the key changes
+            k = int(np.searchsorted(sizes, PIECE - size + done))
+            k = int(change[i]) if (i := int(np.searchsorted(change, k))) < len(change) else batch.num_rows
+            if k >= batch.num_rows:
+                break
+            if k > at:
+                held.append(batch.slice(at, k - at))
+            if held:
+                yield from decided(held)
+            held, size, at = [], 0, k
+            done = int(sizes[k - 1]) if k else 0
+            change = change[change > k]
+        held.append(batch.slice(at))
+        size += int(sizes[-1]) - done
+        before = keys[-1]
+    if held:
+        yield from decided(held)
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT) -> DataFrame:
@@ -374,7 +401,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hot = np.array([r.h for r in grams_.filter(F.col("dk").isNull() & (F.col("n") >= most)).select("h").collect()], np.int64)
         wanted = held.groupBy("dk").agg(F.collect_list("h").alias("hs"))
         pieces = save(texts.join(wanted, "dk").select("dk", "id", "hs", "t").mapInArrow(lambda b: _suffixes(hot, b), SUFFIXES), "suffixes")
-        dealt = pieces.filter("s is not null").repartitionByRange("a", "b", "h").sortWithinPartitions("a", "b", "h")
+        drop(grams_)
+        release(spark)
+        dealt = pieces.filter("s is not null").drop("dk", "p", "n").repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
         found = dealt.mapInArrow(_sorted, RANGES)
         return keep(save(found.unionByName(pieces.filter("s is null").select("dk", "p", "n")), "ranges"))
 
