@@ -130,16 +130,17 @@ def injected_answers(queries: DataFrame, cells: DataFrame, seed: DataFrame, gold
     return placed.select("query_id", "place", "base_osc", "treat_osc", "injected", "base_ok", "treat_ok")
 
 
-def selector_policies(ladder: DataFrame, features: DataFrame, choose: Column) -> DataFrame:
-    """(policy, mean_cells, median_cells, osc, n): each fixed rung, the cheapest complete one, and one chosen by features.
+def selector_policies(ladder: DataFrame, features: DataFrame, choose: Column | dict[str, Column]) -> DataFrame:
+    """(policy, mean_cells, median_cells, osc, n): each fixed rung, the cheapest complete one, and those chosen by features.
 
     ladder: (query_id, rung, n_cells, complete); features: (query_id, ...), from
-    which ``choose`` makes a rung.  The oracle takes the last rung where none is
-    complete.
+    which ``choose`` makes a rung, or each of several policies by name.  The
+    oracle takes the last rung where none is complete.
     """
+    named = choose if isinstance(choose, dict) else {"chosen": choose}
     rungs = ladder.select("query_id", F.col("rung").alias("at")).distinct().withColumn("policy", F.concat(F.lit("rung_"), F.col("at").cast("string")))
     oracle = ladder.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("complete"), F.struct("n_cells", "rung")))["rung"], F.max("rung")).alias("at")).withColumn("policy", F.lit("oracle"))
-    chosen = features.select("query_id", choose.alias("at")).withColumn("policy", F.lit("chosen"))
+    chosen = features.select("query_id", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), c.cast("int").alias("at")) for p, c in named.items()])).alias("x")).select("query_id", "x.at", "x.policy")
     every = rungs.unionByName(oracle.select("query_id", "at", "policy")).unionByName(chosen.select("query_id", "at", "policy"))
     t = ladder.join(every, (ladder["query_id"] == every["query_id"]) & (ladder["rung"] == every["at"])).select("policy", "n_cells", "complete")
     return t.groupBy("policy").agg(F.avg("n_cells").alias("mean_cells"), F.median("n_cells").alias("median_cells"), F.avg(F.col("complete").cast("int")).alias("osc"), F.count("*").alias("n"))
