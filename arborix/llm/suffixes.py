@@ -23,6 +23,7 @@ string, by the hash of each string, instead of by the gram.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .storage import PART, drop, release, save, scratch
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 #: Grams of fewer rows than this are never dealt string by string.
 HOT = 1 << 14
 #: Bytes of text handled at once, and of suffixes kept by a map task or sorted at once by a bucket.
@@ -402,6 +403,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = held.groupBy("dk").agg(F.collect_list("h").alias("hs"))
         pieces = save(texts.join(wanted, "dk").select("dk", "id", "hs", "t").mapInArrow(lambda b: _suffixes(hot, b), SUFFIXES), "suffixes")
         drop(grams_)
+        spark.range(1).count()  # the session holds on to its last query, and with it to that query's shuffle
+        gc.collect()
         release(spark)
         dealt = pieces.filter("s is not null").drop("dk", "p", "n").repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
         found = dealt.mapInArrow(_sorted, RANGES)
