@@ -11,27 +11,47 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    """log C(n, k) as a sum of logs."""
-    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log((n - k + i).cast("double")) - F.log(i.cast("double")))
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1, by Stirling's series eight places further on."""
+    z = x + 8.0
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    return series - F.log(x * (x + 1) * (x + 2) * (x + 3)) - F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
-def _tail(n: Column, low: Column, high: Column) -> Column:
-    """P(low <= X <= high) for X binomial (n, 1/2)."""
-    return F.when(low > high, 0.0).otherwise(F.aggregate(F.sequence(low, F.greatest(high, low)), F.lit(0.0), lambda a, i: a + F.exp(_log_choose(n, i) - n * F.log(F.lit(2.0)))))
+def _lower(n: Column, k: Column) -> Column:
+    """P(X <= k) for X binomial (n, 1/2), at any size, by its terms from k downwards.
+
+    Of k below the middle a term is smaller than the next by more than the last
+    one was, so those beyond six roots of n (and sixty) add nothing that a double
+    holds; above the middle it is 1 less the other tail.
+    """
+    up = 2 * k >= n
+    j = F.when(up, n - k - 1).otherwise(k)
+    m, i = n.cast("double"), j.cast("double")
+    top = F.exp(_log_gamma(m + 1) - _log_gamma(i + 1) - _log_gamma(m - i + 1) - m * F.log(F.lit(2.0)))
+    steps = F.least(j, F.lit(60) + F.ceil(6 * F.sqrt(m))).cast("int")
+    back = F.when(steps > 0, F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def add(a, d):
+        term = a["term"] * (i - d) / (m - i + d + 1)
+        return F.struct((a["sum"] + term).alias("sum"), term.alias("term"))
+
+    below = F.when(j < 0, 0.0).otherwise(top * F.aggregate(back, start, add)["sum"])
+    return F.when(up, 1.0 - below).otherwise(below)
 
 
 def mcnemar(b, c) -> Column:
-    """Exact two-sided p of discordant counts; 1 without any."""
-    b, c = _c(b).cast("int"), _c(c).cast("int")
+    """Exact two-sided p of discordant counts, few or many; 1 without any."""
+    b, c = _c(b).cast("long"), _c(c).cast("long")
     n = b + c
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * _tail(n, F.lit(0), F.least(b, c))))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * _lower(n, F.least(b, c))))
 
 
 def sign_test(gain, loss) -> Column:
     """One-sided p that gains are more likely than losses; null without any."""
-    g, n = _c(gain).cast("int"), (_c(gain) + _c(loss)).cast("int")
-    return F.when(n > 0, F.least(F.lit(1.0), _tail(n, g, n)))
+    g, n = _c(gain).cast("long"), (_c(gain) + _c(loss)).cast("long")
+    return F.when(n > 0, F.least(F.lit(1.0), _lower(n, n - g)))
 
 
 def flips(a: DataFrame, b: DataFrame, value: str = "osc", by: tuple[str, ...] = ()) -> DataFrame:
@@ -115,28 +135,82 @@ def _normal_tail(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+def _upper(z: Column) -> Column:
+    """P(Z > z) of a standard normal."""
+    return F.when(z >= 0, _normal_tail(z) / 2).otherwise(1 - _normal_tail(z) / 2)
+
+
 def mann_whitney(values: DataFrame, value: str = "rank", group: str = "colliding") -> DataFrame:
-    """U of the rows where the group holds, z with tie correction and two-sided p, all from one ranking."""
+    """(n1, n2, u, p, p_greater, p_less) of the rows where the group holds, all from one ranking, by the normal approximation with corrections for ties and continuity.
+
+    p_greater: that values of the group are larger.  For few rows see
+    :func:`exact_rank_sum`.
+    """
     r = midranks(values.filter(F.col(value).isNotNull()), value, F.count_if(group).alias("inside"))
     n = F.col("n").cast("double")
     s = r.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("n") - F.col("inside")), F.lit(0)).alias("n2"), F.sum(F.col("inside") * F.col("midrank")).alias("r1"), F.sum(n * n * n - n).alias("t"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1))))
-    z = (F.abs(u - F.col("n1") * F.col("n2") / 2.0) - 0.5) / sd
-    return s.select("n1", "n2", u.alias("u"), F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (sd > 0), F.least(F.lit(1.0), _normal_tail(F.greatest(z, F.lit(0.0))))).alias("p"))
+    far = u - F.col("n1") * F.col("n2") / 2.0
+    ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (sd > 0)
+    return s.select(
+        "n1", "n2", u.alias("u"),
+        F.when(ok, F.least(F.lit(1.0), _normal_tail(F.greatest((F.abs(far) - 0.5) / sd, F.lit(0.0))))).alias("p"),
+        F.when(ok, _upper((far - 0.5) / sd)).alias("p_greater"),
+        F.when(ok, _upper((-far - 0.5) / sd)).alias("p_less"),
+    )
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str, least: int = 5) -> DataFrame:
-    """Signed ranks of a - b without zeros: (n, w, p), p null for fewer than ``least`` pairs."""
+    """Signed ranks of a - b without zeros: (n, w, p, p_greater, p_less), p null for fewer than ``least`` pairs; p_greater: that a is larger."""
     d = pairs.select((F.col(a) - F.col(b)).cast("double").alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
     r = midranks(d, "size", F.count_if(F.col("d") > 0).alias("up"))
     k, zero = F.col("n").cast("double"), F.lit(0.0)
     s = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("midrank")), zero).alias("plus"), F.coalesce(F.sum((F.col("n") - F.col("up")) * F.col("midrank")), zero).alias("minus"), F.coalesce(F.sum(k * k * k - k), zero).alias("t"))
     w, n = F.least("plus", "minus"), F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0)
-    z = (w - n * (n + 1) / 4.0) / sd
-    return s.select("n", w.alias("w"), F.when((n >= least) & (sd > 0), F.least(F.lit(1.0), _normal_tail(z))).alias("p"))
+    mean, ok = n * (n + 1) / 4.0, (n >= least) & (sd > 0)
+    return s.select("n", w.alias("w"), F.when(ok, F.least(F.lit(1.0), _normal_tail((w - mean) / sd))).alias("p"), F.when(ok, _upper((F.col("plus") - mean) / sd)).alias("p_greater"), F.when(ok, _upper((F.col("minus") - mean) / sd)).alias("p_less"))
+
+
+def exact_rank_sum(values: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
+    """(by..., n1, n2, u, p, p_greater, p_less, exact): U of the rows of a stratum where the group holds, with its permutation distribution.
+
+    Up to EXACT rows the ways to choose n1 rows with each sum of (doubled)
+    mid-ranks are counted rank by rank, so ties are as they are; p is twice the
+    smaller tail.  Beyond, p are those of the normal approximation and exact is
+    false.  Where one side is empty they are null.
+    """
+    w = Window.partitionBy(*by, value)
+    v = values.filter(F.col(value).isNotNull()).select(*by, value, F.coalesce(F.col(group), F.lit(False)).cast("int").alias("_in"))
+    own = Window.partitionBy(*by)
+    size = F.count("*").over(w)
+    r = v.withColumn("r2", (2 * F.rank().over(own.orderBy(value)) + size - 1).cast("int")).withColumn("ties", (size * size - 1).cast("double")).withColumn("place", F.row_number().over(own.orderBy(value)))
+    g = r.groupBy(*by).agg(F.sum("_in").cast("int").alias("n1"), F.sum(1 - F.col("_in")).cast("int").alias("n2"), F.sum(F.col("r2") * F.col("_in")).alias("sum2"), F.sum("ties").alias("ties"), F.collect_list(F.when(F.col("place") <= EXACT + 1, F.col("r2"))).alias("rs"))
+    few = (F.size("rs") <= EXACT) & (F.col("n1") > 0) & (F.col("n2") > 0)
+    rs, n1 = F.when(few, F.col("rs")).otherwise(F.array(F.lit(0))), F.when(few, F.col("n1")).otherwise(0)
+    total = F.aggregate(rs, F.lit(0), lambda t, x: t + x)
+    start = F.transform(F.sequence(F.lit(0), n1), lambda j: F.transform(F.sequence(F.lit(0), total), lambda s: F.when((j == 0) & (s == 0), 1.0).otherwise(0.0)))
+    # of all choices of j of the ranks so far: how many have each sum
+    ways = F.aggregate(rs, start, lambda st, x: F.transform(st, lambda row, j: F.transform(row, lambda n, s: n + F.coalesce(F.get(F.get(st, j - 1), s - x), F.lit(0.0)))))
+    t = g.withColumn("ways", F.when(few, F.element_at(ways, -1)))
+    every = F.aggregate("ways", F.lit(0.0), lambda a, x: a + x)
+    at = F.col("sum2").cast("int")
+    greater = F.aggregate(F.slice("ways", at + 1, F.greatest(F.size("ways") - at, F.lit(0))), F.lit(0.0), lambda a, x: a + x) / every
+    less = F.aggregate(F.slice("ways", 1, at + 1), F.lit(0.0), lambda a, x: a + x) / every
+    u = F.col("sum2") / 2.0 - F.col("n1") * (F.col("n1") + 1) / 2.0
+    n = (F.col("n1") + F.col("n2")).cast("double")
+    far, sd = u - F.col("n1") * F.col("n2") / 2.0, F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (sd > 0)
+    near = lambda x: F.when(ok, x)
+    return t.select(
+        *by, "n1", "n2", u.alias("u"),
+        F.when(few, F.least(F.lit(1.0), 2 * F.least(greater, less))).otherwise(near(F.least(F.lit(1.0), _normal_tail(F.greatest((F.abs(far) - 0.5) / sd, F.lit(0.0)))))).alias("p"),
+        F.when(few, greater).otherwise(near(_upper((far - 0.5) / sd))).alias("p_greater"),
+        F.when(few, less).otherwise(near(_upper((-far - 0.5) / sd))).alias("p_less"),
+        (F.size("rs") <= EXACT).alias("exact"),
+    )
 
 
 #: Pairs up to which signed ranks have an exact distribution here.
@@ -144,7 +218,7 @@ EXACT = 25
 
 
 def exact_signed_rank(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., n, w, p): two-sided exact p of the signed ranks of few pairs (EXACT at most), ties by their mid-ranks; p null for more.
+    """(by..., n, w, p, exact): two-sided p of signed ranks, ties by their mid-ranks: exact up to EXACT pairs, beyond by the normal approximation, and exact is false.
 
     The 2^n signs of a stratum are not listed: the number of ways to reach each
     sum of (doubled) ranks is built up rank by rank.
@@ -155,7 +229,8 @@ def exact_signed_rank(pairs: DataFrame, a: str, b: str, by: list[str] | None = N
     place = F.rank().over(Window.partitionBy(*by).orderBy(F.abs("d")))
     r = d.withColumn("r2", (2 * place + F.count("*").over(w) - 1).cast("int"))  # twice the mid-rank
     r = r.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("d"))))  # one more than EXACT are enough to tell
-    g = (r.groupBy(*by) if by else r).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r2"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r2"))), F.lit(0)).alias("down"), F.collect_list(F.when(F.col("place") <= EXACT + 1, F.col("r2"))).alias("rs"))
+    r = r.withColumn("ties", (F.count("*").over(w) * F.count("*").over(w) - 1).cast("double"))
+    g = (r.groupBy(*by) if by else r).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r2"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r2"))), F.lit(0)).alias("down"), F.collect_list(F.when(F.col("place") <= EXACT + 1, F.col("r2"))).alias("rs"), F.sum("ties").alias("ties"))
     none = F.array_repeat(F.lit(0.0), 1)
 
     def ways(rs):
@@ -166,7 +241,10 @@ def exact_signed_rank(pairs: DataFrame, a: str, b: str, by: list[str] | None = N
     few = F.size("rs") <= EXACT
     t = g.withColumn("low", F.least("up", "down").cast("int")).withColumn("ways", F.when(few & (F.size("rs") > 0), ways(F.when(few, F.col("rs")))).otherwise(none))
     tail = F.aggregate(F.slice("ways", 1, F.col("low") + 1), F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), F.col("n"))
-    return t.select(*by, "n", (F.col("low") / 2.0).alias("w"), F.when(few & (F.col("n") > 0), F.least(F.lit(1.0), 2 * tail)).alias("p"))
+    n = F.col("n").cast("double")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    normal = F.when(sd > 0, F.least(F.lit(1.0), _normal_tail((F.least("up", "down") / 2.0 - n * (n + 1) / 4.0) / sd)))
+    return t.select(*by, "n", (F.least("up", "down") / 2.0).alias("w"), F.when(few, F.when(F.col("n") > 0, F.least(F.lit(1.0), 2 * tail))).otherwise(normal).alias("p"), few.alias("exact"))
 
 
 def paired_metrics(base: DataFrame, treat: DataFrame, metrics: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -194,13 +272,4 @@ def paired_metrics(base: DataFrame, treat: DataFrame, metrics: dict[str, str], b
     signed = F.when(sd > 0, F.least(F.lit(1.0), _normal_tail(z)))
     binary = F.col("metric").isin(*[x for x in names if metrics[x] == "binary"])
     both = t.join(w, own, "left")
-    return both.select(*own, "n", "delta", "gain", "loss", F.when(binary, mcnemar_large("gain", "loss")).otherwise(signed).alias("p"))
-
-
-def mcnemar_large(b, c) -> Column:
-    """:func:`mcnemar`, beyond 200 discordant pairs by the normal approximation with continuity correction."""
-    b, c = _c(b), _c(c)
-    n = (b + c).cast("double")
-    z = (F.abs(b - c) - 1) / F.sqrt(n)
-    few = b + c <= 200
-    return F.when(few, mcnemar(F.when(few, b).otherwise(0), F.when(few, c).otherwise(0))).otherwise(F.least(F.lit(1.0), _normal_tail(F.greatest(z, F.lit(0.0)))))
+    return both.select(*own, "n", "delta", "gain", "loss", F.when(binary, mcnemar("gain", "loss")).otherwise(signed).alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,3 +86,21 @@ def rank_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = """WITH line AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS base, min(l_suppkey) AS treat, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber),
 arms AS (SELECT 'base' AS arm, l_orderkey, l_linenumber, base AS key, flag FROM line UNION ALL SELECT 'treat', l_orderkey, l_linenumber, treat, flag FROM line),
 ranks AS (SELECT arm, l_orderkey AS query_id, l_linenumber AS cell, CASE WHEN key % 71 < 60 THEN CAST(key % 71 + 1 AS INTEGER) END AS rank, flag = 'R' AS colliding FROM arms)"""
+
+
+_COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+#: SQL of t and of the polynomial in it, for a two-sided tail t * exp(-x * x + ...) at x, a deviate over the root of 2.
+POLY = "1.0 / (1.0 + 0.5 * x)"
+HORNER = reduce(lambda acc, k: f"({acc} * t + ({k}))", reversed(_COEF[:-1]), f"({_COEF[-1]})")
+
+
+def upper_sql(z: str) -> str:
+    """SQL of the probability that a standard normal lies above z."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    tail = "(SELECT t * exp(-x * x + " + HORNER + f") / 2 FROM (SELECT x, {POLY} AS t FROM (SELECT {x} AS x)))"
+    return f"(CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def lower_sql(n: str, k: str) -> str:
+    """SQL of P(X <= k) for X binomial (n, 1/2)."""
+    return f"(SELECT coalesce(sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0))), 0) FROM (SELECT unnest(range(0, CAST({k} AS BIGINT) + 1)) AS i))"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.udfs import html_to_grid
 from ..operators import coverage, evaluation, metrics, questions, ranking, scoring, significance, structure, texts
 from ..plans import pipelines
-from .base import QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
+from .base import QUESTIONS, RANKS, grid, literal, literal_sql, lower_sql, questions_of_tables, rank_records, sales_cells, table, upper_sql
 from .retrieval import _KINDS, _bm25_sql, _hash_sql
 
 
@@ -102,10 +102,13 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binomial p values of all small discordant counts."""
-    t = spark.range(0, 15).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("c"))
+    """Binomial p values of each supplier's returned lines against others of large quantity, of each ship mode's and of all lines."""
+    line = table(spark, sf_dir, "lineitem").filter("l_quantity > 25")
+    of = F.explode(F.array(F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")), F.concat(F.lit("flag and month "), F.month("l_shipdate").cast("string")), F.lit("all"))).alias("of")
+    t = line.select(of, (F.col("l_returnflag") == "R").alias("hit"), (F.col("l_returnflag") == "A").alias("miss")).groupBy("of").agg(F.count_if("hit").alias("b"), F.count_if("miss").alias("c"))
     w = significance.wilson((F.col("b") / F.greatest(F.col("b") + F.col("c"), F.lit(1))), F.col("b") + F.col("c"))
-    return t.select("b", "c", F.round(significance.mcnemar("b", "c") + 1e-9, 6).alias("mcnemar"), F.round(significance.sign_test("b", "c") + 1e-9, 6).alias("sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
+    log = lambda p: F.round(F.log(F.when(p > 1e-290, p)), 6) + 0.0
+    return t.select("of", "b", "c", log(significance.mcnemar("b", "c")).alias("log_mcnemar"), log(significance.sign_test("b", "c")).alias("log_sign"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
 
 
 def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +119,22 @@ def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U of colliding against other ranks, and signed ranks of the two arms."""
+    """U of colliding against other ranks, and signed ranks of the two arms, with two-sided and one-sided p values."""
     r = rank_records(spark, sf_dir)
-    u = significance.mann_whitney(r.filter("arm = 'base'")).select(F.lit("u").alias("test"), (F.col("n1") + F.col("n2")).alias("n"), F.col("u").alias("statistic"))
+    ps = [F.round(p, 6).alias(p) for p in ("p", "p_greater", "p_less")]
+    u = significance.mann_whitney(r.filter("arm = 'base'")).select(F.lit("u").alias("test"), (F.col("n1") + F.col("n2")).alias("n"), F.col("u").alias("statistic"), *ps)
     a, b = (r.filter(F.col("arm") == x).select("query_id", "cell", F.col("rank").alias(x)) for x in ("base", "treat"))
-    w = significance.wilcoxon(a.join(b, ["query_id", "cell"]).filter("base is not null and treat is not null"), "base", "treat").select(F.lit("w").alias("test"), "n", F.col("w").alias("statistic"))
+    w = significance.wilcoxon(a.join(b, ["query_id", "cell"]).filter("base is not null and treat is not null"), "base", "treat").select(F.lit("w").alias("test"), "n", F.col("w").alias("statistic"), *ps)
     return u.unionByName(w)
 
 
+def exact_rank_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of returned against other lines of each part, by their permutation distribution."""
+    line = table(spark, sf_dir, "lineitem").filter("l_partkey % 7 = l_linenumber").select("l_partkey", F.round("l_quantity").cast("int").alias("q"), (F.col("l_returnflag") == "R").alias("hit"))
+    t = significance.exact_rank_sum(line, "q", "hit", ["l_partkey"])
+    return t.select("l_partkey", "n1", "n2", "u", *[F.round(p, 6).alias(p) for p in ("p", "p_greater", "p_less")], "exact")
+
+
 def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of the two arms over all orders."""
     q = metrics.per_query(rank_records(spark, sf_dir), ks=(20,), by=("arm", "query_id")).withColumnRenamed("set_recall_20", "osc")
@@ -350,16 +361,28 @@ SQL = {
       SELECT condition, count(*) AS n, round(avg(a), 6) AS accuracy, round(avg(b), 6) AS no_match, round(avg(e), 6) AS empty, round(avg(CASE WHEN b = 0 AND e = 0 THEN 1 ELSE 0 END), 6) AS clean, round(avg(a) FILTER (WHERE b = 0 AND e = 0), 6) AS accuracy_clean FROM r GROUP BY condition""",
     "sentence_scores": grid("""+ t AS (SELECT count(*) FILTER (WHERE r % 7 <> 0) AS produced, count(*) FILTER (WHERE c % 5 <> 0) AS gold, count(*) FILTER (WHERE r % 7 <> 0 AND c % 5 <> 0) AS correct, count(*) FILTER (WHERE r % 7 = 0 AND c % 5 <> 0) AS dropped, count(*) FILTER (WHERE r % 7 <> 0 AND c % 5 = 0) AS spurious FROM cells)
       SELECT *, correct / produced AS precision, correct / gold AS recall, 2 * correct / (produced + gold) AS f1 FROM t"""),
-    "exact_tests": """WITH t AS (SELECT CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, b + c AS n FROM range(0, 15) x(b), range(0, 15) y(c)),
-      p AS (SELECT b, c, n, (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 15) r(i) WHERE i <= least(b, c)) / pow(2.0, n) AS low,
-        (SELECT sum(factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER))::DOUBLE / factorial(CAST(n - i AS INTEGER))::DOUBLE) FROM range(0, 29) r(i) WHERE i >= b AND i <= n) / pow(2.0, n) AS up, b / greatest(n, 1) AS s FROM t)
-      SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END + 1e-9, 6) AS mcnemar, round(CASE WHEN n > 0 THEN least(1.0, up) END + 1e-9, 6) AS sign,
+    "exact_tests": f"""WITH l AS (SELECT l_returnflag AS flag, unnest(['supplier ' || l_suppkey, 'flag and month ' || month(l_shipdate), 'all']) AS of FROM lineitem WHERE l_quantity > 25),
+      t AS (SELECT of, count(*) FILTER (WHERE flag = 'R') AS b, count(*) FILTER (WHERE flag = 'A') AS c, count(*) FILTER (WHERE flag IN ('R', 'A')) AS n FROM l GROUP BY of),
+      p AS (SELECT *, {lower_sql('n', 'least(b, c)')} AS low, CASE WHEN b > c THEN {lower_sql('n', 'c')} ELSE 1 - {lower_sql('n', 'b - 1')} END AS up, b / greatest(n, 1) AS s FROM t),
+      q AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * low) END AS two, CASE WHEN n > 0 THEN least(1.0, up) END AS one FROM p)
+      SELECT of, b, c, round(ln(CASE WHEN two > 1e-290 THEN two END), 6) + 0.0 AS log_mcnemar, round(ln(CASE WHEN one > 1e-290 THEN one END), 6) + 0.0 AS log_sign,
         round(CASE WHEN n > 0 THEN greatest(0.0, (s + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS low,
-        round(CASE WHEN n > 0 THEN least(1.0, (s + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS high FROM p""",
+        round(CASE WHEN n > 0 THEN least(1.0, (s + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 6) AS high FROM q""",
     "paired_flips": f"{RANKS}, {_per((20,))}, j AS (SELECT CASE WHEN a.m <= 1 THEN '1' WHEN a.m = 2 THEN '2' WHEN a.m <= 4 THEN '3-4' WHEN a.m <= 8 THEN '5-8' ELSE '9+' END AS scope, a.s20 AS x, b.s20 AS y FROM pq a JOIN pq b ON a.query_id = b.query_id AND a.arm = 'base' AND b.arm = 'treat') SELECT scope, count(*) AS n, CAST(sum(x) AS BIGINT) AS a_covered, CAST(sum(y) AS BIGINT) AS b_covered, count(*) FILTER (WHERE y = 1 AND x = 0) AS gain, count(*) FILTER (WHERE x = 1 AND y = 0) AS loss FROM j GROUP BY scope",
-    "rank_tests": f"""{RANKS}, v AS (SELECT rank, colliding FROM ranks WHERE arm = 'base' AND rank IS NOT NULL), mr AS (SELECT colliding, rank() OVER (ORDER BY rank) + (count(*) OVER (PARTITION BY rank) - 1) / 2.0 AS r FROM v),
-      d AS (SELECT CAST(a.rank - b.rank AS DOUBLE) AS d FROM ranks a JOIN ranks b ON a.query_id = b.query_id AND a.cell = b.cell AND a.arm = 'base' AND b.arm = 'treat' WHERE a.rank <> b.rank), dr AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
-      SELECT 'u' AS test, count(*) AS n, sum(r) FILTER (WHERE colliding) - count(*) FILTER (WHERE colliding) * (count(*) FILTER (WHERE colliding) + 1) / 2.0 AS statistic FROM mr UNION ALL SELECT 'w', count(*), least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) FROM dr""",
+    "rank_tests": f"""{RANKS}, v AS (SELECT rank, colliding FROM ranks WHERE arm = 'base' AND rank IS NOT NULL), mr AS (SELECT colliding, CAST(count(*) OVER (PARTITION BY rank) AS DOUBLE) AS k, rank() OVER (ORDER BY rank) + (count(*) OVER (PARTITION BY rank) - 1) / 2.0 AS r FROM v),
+      d AS (SELECT CAST(a.rank - b.rank AS DOUBLE) AS d FROM ranks a JOIN ranks b ON a.query_id = b.query_id AND a.cell = b.cell AND a.arm = 'base' AND b.arm = 'treat' WHERE a.rank <> b.rank), dr AS (SELECT d, CAST(count(*) OVER (PARTITION BY abs(d)) AS DOUBLE) AS k, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d),
+      u AS (SELECT 'u' AS test, count(*) AS n, CAST(count(*) FILTER (WHERE colliding) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT colliding) AS DOUBLE) AS n2, sum(r) FILTER (WHERE colliding) - count(*) FILTER (WHERE colliding) * (count(*) FILTER (WHERE colliding) + 1) / 2.0 AS u, sum(k * k - 1) AS t FROM mr),
+      uz AS (SELECT test, n, u AS statistic, u - n1 * n2 / 2 AS far, sqrt(n1 * n2 / 12 * ((n + 1) - t / (CAST(n AS DOUBLE) * (n - 1)))) AS sd FROM u),
+      w AS (SELECT 'w' AS test, count(*) AS n, CAST(count(*) AS DOUBLE) AS m, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS minus, sum(k * k - 1) AS t FROM dr),
+      wz AS (SELECT test, n, least(plus, minus) AS statistic, (least(plus, minus) - m * (m + 1) / 4) / sd AS z, (plus - m * (m + 1) / 4) / sd AS zp, (minus - m * (m + 1) / 4) / sd AS zm FROM (SELECT *, sqrt(m * (m + 1) * (2 * m + 1) / 24 - t / 48) AS sd FROM w))
+      SELECT test, n, statistic, round(least(1.0, 2 * {upper_sql('greatest((abs(far) - 0.5) / sd, 0)')}), 6) AS p, round({upper_sql('((far - 0.5) / sd)')}, 6) AS p_greater, round({upper_sql('((-far - 0.5) / sd)')}, 6) AS p_less FROM uz
+      UNION ALL SELECT test, n, statistic, round(least(1.0, 2 * {upper_sql('abs(z)')}), 6), round({upper_sql('zp')}, 6), round({upper_sql('zm')}, 6) FROM wz""",
+    "exact_rank_sums": f"""WITH v AS (SELECT l_partkey, CAST(round(l_quantity) AS INTEGER) AS q, l_returnflag = 'R' AS hit FROM lineitem WHERE l_partkey % 7 = l_linenumber),
+      r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey) - 1 AS i, 2 * rank() OVER (PARTITION BY l_partkey ORDER BY q) + count(*) OVER (PARTITION BY l_partkey, q) - 1 AS r2, count(*) OVER (PARTITION BY l_partkey, q) AS k FROM v),
+      g AS (SELECT l_partkey, CAST(count(*) FILTER (WHERE hit) AS INTEGER) AS n1, CAST(count(*) FILTER (WHERE NOT hit) AS INTEGER) AS n2, coalesce(sum(r2) FILTER (WHERE hit), 0) AS s2, list(r2 ORDER BY i) AS rs FROM r GROUP BY l_partkey),
+      c AS (SELECT l_partkey, list_sum(list_transform(range(1, len(rs) + 1), lambda i: CASE WHEN (pick >> (i - 1)) & 1 = 1 THEN rs[i] ELSE 0 END)) AS s, s2 FROM (SELECT *, unnest(range(0, 1 << len(rs))) AS pick FROM g WHERE n1 > 0 AND n2 > 0) WHERE bit_count(pick) = n1),
+      p AS (SELECT l_partkey, count(*) FILTER (WHERE s >= s2) / count(*) AS up, count(*) FILTER (WHERE s <= s2) / count(*) AS low FROM c GROUP BY l_partkey)
+      SELECT l_partkey, n1, n2, s2 / 2.0 - n1 * (n1 + 1) / 2.0 AS u, round(CASE WHEN up IS NOT NULL THEN least(1.0, 2 * least(up, low)) END, 6) AS p, round(up, 6) AS p_greater, round(low, 6) AS p_less, true AS exact FROM g LEFT JOIN p USING (l_partkey)""",
     "packed_context": "SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, tokens, sum(tokens) OVER w AS used, row_number() OVER w AS k FROM (SELECT conv_id, turn, CAST(greatest(1, len(text) // 4) AS INTEGER) AS tokens FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) WHERE used <= 60 OR k = 1",
     "joined_context": """WITH t AS (SELECT conv_id, len(text) AS n, sum(len(text)) OVER w + row_number() OVER w - 1 AS used, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
       f AS (SELECT *, used <= 200 OR k = 1 AS ok FROM t) SELECT conv_id, CAST(sum(n) FILTER (WHERE ok) + count(*) FILTER (WHERE ok) - 1 AS INTEGER) AS n_chars, count(*) FILTER (WHERE ok) < count(*) AS truncated FROM f GROUP BY conv_id""",
@@ -382,4 +405,4 @@ SQL = {
       SELECT query_id, kind, CASE WHEN symbolic THEN 'symbolic' ELSE 'reader' END AS source, pred, len(list_filter([x, 100 * x, x / 100, abs(x)], lambda p: abs(p - 12) / 12 < 0.02 OR abs(p - 1200) / 1200 < 0.02 OR abs(p - 0.12) / 0.12 < 0.02)) > 0 AS numeric_match, pred = '12' AS exact_match, error FROM c"""),
     "page_grids": "SELECT page_id, 0 AS n_rows, 0 AS n_merges FROM pages WHERE NOT contains(html, '<table')",
 }
-QUERIES = {f.__name__: f for f in (rank_metrics, query_metrics, osc_strata, gain_decomposition, collision_strata, table_recall, recall_decay, answer_scores, answer_rescore, router_confusion, class_counters, condition_rates, sentence_scores, exact_tests, paired_flips, rank_tests, bootstrap_delta, packed_context, joined_context, token_budgets, ladder_rungs, cheapest_config, rung_policy, throttle, stratified_sample, quota_allocation, resume_pending, fallback_decisions, fallback_by_score, plan_values, consistency_votes, html_grids, page_grids, collision_study, operand_retrieval, agent_answers, fallback_contexts, decomposition_accuracy)}
+QUERIES = {f.__name__: f for f in (rank_metrics, query_metrics, osc_strata, gain_decomposition, collision_strata, table_recall, recall_decay, answer_scores, answer_rescore, router_confusion, class_counters, condition_rates, sentence_scores, exact_tests, paired_flips, rank_tests, exact_rank_sums, bootstrap_delta, packed_context, joined_context, token_budgets, ladder_rungs, cheapest_config, rung_policy, throttle, stratified_sample, quota_allocation, resume_pending, fallback_decisions, fallback_by_score, plan_values, consistency_votes, html_grids, page_grids, collision_study, operand_retrieval, agent_answers, fallback_contexts, decomposition_accuracy)}

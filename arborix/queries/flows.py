@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import metrics, scoring, structure
 from ..plans import pipelines
-from .base import RANKS, grid, rank_records, sales_cells, table
+from .base import RANKS, grid, lower_sql, rank_records, sales_cells, table
 from .evaluation import _per
 from .hits import _HORNER, _POLY, LINES, _lines
 
@@ -96,8 +96,8 @@ SQL = {
       s AS (SELECT metric, avg(b) AS base, avg(t) AS treat, count(*) AS n, count(*) FILTER (WHERE round(t - b, 12) > 0) AS gain, count(*) FILTER (WHERE round(t - b, 12) < 0) AS loss FROM v GROUP BY metric),
       r AS (SELECT metric, d, avg(k) OVER (PARTITION BY metric, abs(d)) AS mid, count(*) OVER (PARTITION BY metric, abs(d)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY abs(d)) AS k FROM l WHERE d <> 0)),
       w AS (SELECT metric, CAST(count(*) AS DOUBLE) AS m, least(sum(mid) FILTER (WHERE d > 0), sum(mid) FILTER (WHERE d < 0)) AS w, sum(t * t - 1.0) AS ties FROM r GROUP BY metric),
-      z AS (SELECT metric, CASE WHEN metric IN ('set_recall_20', 'hit_20') THEN greatest((abs(gain - loss) - 1) / sqrt(gain + loss), 0) ELSE abs((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)) END / sqrt(2.0) AS x FROM w JOIN s USING (metric)),
-      p AS (SELECT metric, least(1.0, t * exp(-x * x + {_HORNER})) AS p FROM (SELECT *, {_POLY} AS t FROM z))
+      z AS (SELECT metric, gain + loss AS k, least(gain, loss) AS low, abs((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)) / sqrt(2.0) AS x FROM w JOIN s USING (metric)),
+      p AS (SELECT metric, CASE WHEN metric IN ('set_recall_20', 'hit_20') THEN least(1.0, 2 * {lower_sql('k', 'low')}) ELSE least(1.0, t * exp(-x * x + {_HORNER})) END AS p FROM (SELECT *, {_POLY} AS t FROM z))
       SELECT metric, round(base, 6) AS base, round(treat, 6) AS treat, n, gain, loss, round(p, 4) AS p FROM s JOIN p USING (metric)""",
     "completeness_depths": grid("""+ gold AS (SELECT DISTINCT table_id, r, CASE WHEN row_path[1] = 'ASIA' THEN 1 ELSE 0 END AS hit FROM cells WHERE r % 4 = 1)
       SELECT 'd2' AS depth, count(*) AS n, round(avg(hit), 6) AS osc, round(avg(hit), 6) AS recall FROM gold"""),

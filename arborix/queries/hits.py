@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.udfs import answer_text_udf
 from ..operators import coverage, evaluation, linking, metrics, questions, ranking, resolvers, scoring, significance, structure, texts
 from ..sources import sinks
-from .base import QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
+from .base import HORNER, POLY, QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
 from .retrieval import _hash_sql
 
 
@@ -293,9 +293,7 @@ _ASKED = f"asked AS (SELECT DISTINCT table_id || '/' || id AS query_id, table_id
 _CHUNK = "chunks AS (SELECT table_id || '#r' || r AS chunk_id, table_id, r, title || ' | ' || string_agg(array_to_string(list_concat(row_path, col_path), ' > ') || ': ' || raw, ' | ' ORDER BY c) AS text FROM cells GROUP BY table_id, title, r)"
 
 
-_POLY = "1.0 / (1.0 + 0.5 * x)"
-_COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-_HORNER = reduce(lambda acc, k: f"({acc} * t + ({k}))", reversed(_COEF[:-1]), f"({_COEF[-1]})")
+_POLY, _HORNER = POLY, HORNER
 
 SQL = {
     "rank_kinds": f"""WITH {LINES}, s AS (SELECT query_id, cell, {_RANKED} AS rank, rank() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC) AS o FROM lines)
@@ -354,8 +352,8 @@ SQL = {
       r AS (SELECT scope, metric, d, avg(k) OVER (PARTITION BY scope, metric, abs(d)) AS mid, count(*) OVER (PARTITION BY scope, metric, abs(d)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY scope, metric ORDER BY abs(d)) AS k FROM l WHERE d <> 0)),
       w AS (SELECT scope, metric, CAST(count(*) AS DOUBLE) AS m, least(sum(mid) FILTER (WHERE d > 0), sum(mid) FILTER (WHERE d < 0)) AS w, sum(t * t - 1.0) AS ties FROM r GROUP BY ALL),
       z AS (SELECT scope, metric, (w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM w),
-      bin AS (SELECT scope, gain + loss AS n, least(1.0, 2 * (SELECT sum(exp(lgamma(gain + loss + 1) - lgamma(i + 1) - lgamma(gain + loss - i + 1) - (gain + loss) * ln(2.0))) FROM range(0, 201) x(i) WHERE i <= least(gain, loss))) AS p, (abs(gain - loss) - 1) / sqrt(gain + loss) AS z FROM s WHERE metric = 'osc'),
-      e AS (SELECT scope, 'rr' AS metric, abs(z) / sqrt(2.0) AS x, NULL AS p FROM z WHERE metric = 'rr' UNION ALL SELECT scope, 'osc', greatest(z, 0) / sqrt(2.0), CASE WHEN n <= 200 THEN p END FROM bin),
+      bin AS (SELECT scope, gain + loss AS n, least(1.0, 2 * (SELECT sum(exp(lgamma(gain + loss + 1) - lgamma(i + 1) - lgamma(gain + loss - i + 1) - (gain + loss) * ln(2.0))) FROM (SELECT unnest(range(0, least(gain, loss) + 1)) AS i))) AS p, (abs(gain - loss) - 1) / sqrt(gain + loss) AS z FROM s WHERE metric = 'osc'),
+      e AS (SELECT scope, 'rr' AS metric, abs(z) / sqrt(2.0) AS x, NULL AS p FROM z WHERE metric = 'rr' UNION ALL SELECT scope, 'osc', greatest(z, 0) / sqrt(2.0), p FROM bin),
       v AS (SELECT scope, metric, coalesce(p, least(1.0, t * exp(-x * x + {_HORNER}))) AS p FROM (SELECT *, {_POLY} AS t FROM e))
       SELECT scope, metric, n, round(delta, 6) AS delta, gain, loss, round(p, 4) AS p FROM s LEFT JOIN v USING (scope, metric)""",
     "signed_ranks": f"""{RANKS}, d AS (SELECT a.query_id, a.rank - b.rank AS d FROM ranks a JOIN ranks b ON a.query_id = b.query_id AND a.cell = b.cell AND a.arm = 'base' AND b.arm = 'treat' WHERE a.rank IS NOT NULL AND b.rank IS NOT NULL AND a.rank <> b.rank),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting
+from ..operators import boosting, evaluation, repair
 from ..plans import pipelines
 from ..sources.lexical import LexicalIndex
 from ..sources.shared import folder
-from .base import RANKS, rank_records, table
+from .base import RANKS, grid, rank_records, sales_cells, table
 from .retrieval import SQL as RETRIEVAL
 
 
@@ -70,6 +70,22 @@ def _fit_sql(source: str, features: list[str], alpha: float, rounds: int, depth:
     return ", ".join([*out, f"{p} AS (SELECT id, pred FROM {p}_{rounds})"])
 
 
+def repair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of all nations' cells by headers with up to three words too many, of which each repair drops one; some cells are empty for good."""
+    c = sales_cells(spark, sf_dir).withColumn("num", F.when(F.col("r") % 5 != 1, F.col("num")))
+    extra = F.array_join(F.array_repeat(F.lit(" > of"), (F.col("r") + F.col("c")) % 4), "")
+    asked = c.filter("size(row_path) = 2 and col_path[1] <> 'N'").select(F.concat_ws("/", "table_id", "r", "c").alias("query_id"), "table_id", F.concat(F.lower(F.array_join("row_path", " > ")), extra).alias("row_header"), F.array_join("col_path", " > ").alias("col_header"))
+
+    def attempt(rows: DataFrame) -> DataFrame:
+        t = evaluation.traced_lookup(rows, c)
+        step = F.struct(F.concat_ws(" | ", "row_header", "col_header").alias("step"), F.col("value").cast("string").alias("value"), F.col("flag").alias("flag"))
+        return t.select("query_id", F.col("value").cast("long").cast("string").alias("result"), F.lit(None).cast("string").alias("error"), F.array(step).alias("trace"))
+
+    drop_one = F.regexp_replace("row_header", " > of$", "")
+    t = repair.repaired(asked, attempt, lambda rows: rows.withColumn("row_header", drop_one), folder(spark, "repair"))
+    return t.select("query_id", "row_header", "result", F.col("trace")[0]["flag"].alias("flag"), "flagged", "n_repair")
+
+
 _SELECTOR = f"""{RANKS}, p AS (SELECT query_id, count(*) AS m, max(coalesce(rank, 99)) AS worst FROM ranks WHERE arm = 'base' GROUP BY query_id),
   src AS MATERIALIZED (SELECT query_id AS id, query_id % 3 <> 0 AS train, worst, CAST(CASE WHEN worst <= 60 THEN ceil(worst / 10.0) END AS DOUBLE) AS y, m, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS prio, year(o_orderdate) AS yr, CAST(least(floor(o_totalprice / 20000), 20) AS INTEGER) AS band FROM p JOIN orders ON o_orderkey = query_id),
   {", ".join(_fit_sql("src", FEATURES, a, ROUNDS, DEPTH, RATE, LEAST, f"q{k}") for k, a in enumerate(ALPHAS))},
@@ -78,6 +94,10 @@ _SELECTOR = f"""{RANKS}, p AS (SELECT query_id, count(*) AS m, max(coalesce(rank
     {" ".join(f"UNION ALL SELECT 'quantile_{a}', greatest(1, least(6, floor(pred + 0.5))), worst FROM t JOIN q{k} USING (id)" for k, a in enumerate(ALPHAS))})
   SELECT policy, round(avg(at_ * 10), 6) AS mean_cells, CAST(median(at_ * 10) AS DOUBLE) AS median_cells, round(avg(CASE WHEN worst <= at_ * 10 THEN 1.0 ELSE 0.0 END), 6) AS osc, count(*) AS n FROM a GROUP BY policy"""
 
-SQL = {"lexical_index": RETRIEVAL["bm25_topk"], "quantile_selector": _SELECTOR}
+_REPAIR = grid("""+ n AS (SELECT table_id, r, c, row_path, CASE WHEN r % 5 <> 1 THEN num END AS num, (r + c) % 4 AS k FROM cells WHERE len(row_path) = 2 AND col_path[2] <> 'N')
+  SELECT table_id || '/' || r || '/' || c AS query_id, lower(array_to_string(row_path, ' > ')) || CASE WHEN k = 3 THEN ' > of' ELSE '' END AS row_header, CASE WHEN k < 3 THEN CAST(CAST(num AS BIGINT) AS VARCHAR) END AS result,
+    CASE WHEN k = 3 THEN 'NO_MATCH' WHEN num IS NULL THEN 'EMPTY' END AS flag, k = 3 OR num IS NULL AS flagged, CAST(CASE WHEN num IS NULL THEN 2 ELSE least(k, 2) END AS INTEGER) AS n_repair FROM n""")
+
+SQL = {"lexical_index": RETRIEVAL["bm25_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
 
-QUERIES = {f.__name__: f for f in (lexical_index, quantile_selector)}
+QUERIES = {f.__name__: f for f in (lexical_index, quantile_selector, repair_rounds)}
