@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .quality import SPACE, let
 from .storage import columns, drop, release, save
 
-#: Lines at which a chunk may end, of sixteen.
+#: Lines at which a chunk may end, of sixteen.  With 16 every pair of lines is a unit, and every passage of two lines is found, at more intermediate rows.
 SIXTEENTHS = 15
 #: Units that occur more often than this, or than this part of all, are dealt to several tasks.
 MANY, PART = 256, 10_000

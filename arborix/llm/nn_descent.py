@@ -38,6 +38,8 @@ GROWTH = 4
 MISS = 0.01
 #: Vectors that are audited against all others: so many, or so many times the root of their number; links that an audit needs.
 AUDIT, AUDIT_ROOT, AUDIT_LINKS = 64, 8, 100
+#: Vectors of a pass of the audit.
+AUDIT_PASS = 1 << 13
 #: Neighbours less similar than this don't join others: they lead to no links.
 FLOOR = 0.5
 ROUNDS = 6
@@ -180,23 +182,33 @@ def _links_of(graph: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).filter("a < b").distinct()
 
 
-def audit(nodes: DataFrame, n: int, threshold: float = THRESHOLD) -> float:
-    """Share of the links of some queries, found by brute force over all nodes, inside the components (tags).
+def audit(nodes: DataFrame, n: int, threshold: float = THRESHOLD) -> float | None:
+    """Share of the links of some queries, found by brute force over all nodes, inside the components (tags); None if they have no link.
 
-    The queries are the nodes with the least hashes.  Their number grows with
-    the root of n, and further while they have few links.
+    The queries are drawn by a hash, in passes of AUDIT_PASS or so, which bounds
+    what the driver holds of them.  There are as many passes as AUDIT_ROOT times
+    the root of n asks for, and 64 times as many while the queries have few links.
     """
-    queries = max(AUDIT, int(AUDIT_ROOT * n**0.5))
-    while True:
-        want, hit = _audited(nodes, queries, threshold)
-        if want >= AUDIT_LINKS or queries >= min(n, 64 * max(AUDIT, AUDIT_ROOT * n**0.5)):
-            return hit / want if want else 1.0
-        queries *= 4
-
-
-def _audited(nodes: DataFrame, queries: int, threshold: float) -> tuple[int, int]:
-    """Links of so many queries, and those between nodes of one tag."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "tag", "v").limit(queries).collect()
+    few = max(AUDIT, int(AUDIT_ROOT * n**0.5))
+    slices = max(1, n // AUDIT_PASS)
+    want = hit = 0
+    for k in range(slices):
+        w, h = _audited(nodes, k, slices, threshold)
+        want, hit, seen = want + w, hit + h, (k + 1) * max(1, n // slices)
+        if seen >= few and want >= AUDIT_LINKS or seen >= 64 * few:
+            break
+    return hit / want if want else None
+
+
+def _told(share: float | None) -> float:
+    """The share, logged; no link counts as none lost."""
+    LOG.info("the audited queries have no link" if share is None else "%.4f of the audited links are found", *([] if share is None else [share]))
+    return 1.0 if share is None else share
+
+
+def _audited(nodes: DataFrame, k: int, slices: int, threshold: float) -> tuple[int, int]:
+    """Links of the k-th slice of the nodes, and those between nodes of one tag."""
+    picked = nodes.filter(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(slices)) == k).select("node", "tag", "v").collect()  # AUDIT_PASS or so, two times at most
     ids, tags = (np.array([r[c] for r in picked], np.int64) for c in ("node", "tag"))
     by = {d: np.array([i for i, r in enumerate(picked) if len(r.v) == d]) for d in {len(r.v) for r in picked}}
     vs = {d: np.array([picked[i].v for i in at]) for d, at in by.items()}
@@ -250,14 +262,12 @@ def connected(nodes: DataFrame, k: int = K, threshold: float = THRESHOLD, recall
         tagged = save(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")).drop("component"), "tagged")
         with arrow_rows(nodes.sparkSession, 256):
             across = save(_links_of(_merge(_forest(tagged, depth, k, range(turn * trees, (turn + 1) * trees), threshold), k, threshold), threshold), "links")
-            if across.isEmpty() and (share := audit(tagged, n, threshold)) >= recall:
-                LOG.info("%.4f of the audited links are found", share)
+            if across.isEmpty() and _told(audit(tagged, n, threshold)) >= recall:
                 return parts
         links = links.unionByName(across)
         parts = save(connected_components(links), "parts")
     with arrow_rows(nodes.sparkSession, 256):
-        share = audit(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")), n, threshold)
-    LOG.info("%.4f of the audited links are found", share)
+        share = _told(audit(nodes.join(parts, "node", "left").withColumn("tag", F.coalesce("component", "node")), n, threshold))
     if share < recall:
         raise RuntimeError(f"{share:.3f} of the audited links are found, {recall} are asked for")
     return parts

@@ -401,10 +401,10 @@ def test_line_dedup_is_the_brute_force(spark, empty):
     assert len({r.text for r in lines.dedup_lines(twice).collect()}) == 1
 
 
-@pytest.mark.parametrize("length, share", [(2, 0.75), (3, 0.95), (4, 0.99), (8, 0.99)])
-def test_line_dedup_finds_passages_in_other_surroundings(spark, length, share):
+@pytest.mark.parametrize("length, share, sixteenths", [(2, 0.75, 15), (3, 0.95, 15), (4, 0.99, 15), (8, 0.99, 15), (2, 1.0, 16)])
+def test_line_dedup_finds_passages_in_other_surroundings(spark, length, share, sixteenths):
     text = lambda g, j: "\n".join([f"a {g} {j} {k}" for k in range(3)] + [f"passage {g} {k}" for k in range(length)] + [f"b {g} {j} {k}" for k in range(3)])
-    got = lines.dedup_lines(spark.createDataFrame(rows([text(g, j) for j in range(2) for g in range(200)]), SCHEMA), keep_columns=False).collect()
+    got = lines.dedup_lines(spark.createDataFrame(rows([text(g, j) for j in range(2) for g in range(200)]), SCHEMA), keep_columns=False, sixteenths=sixteenths).collect()
     assert sum(r.n_removed for r in got) >= share * 200 * length
     assert all(r.text.count("\na ") + r.text.startswith("a ") == 3 and r.text.count("\nb ") == 3 for r in got)
 

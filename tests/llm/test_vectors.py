@@ -90,3 +90,17 @@ def test_an_audit_tells_of_lost_links(spark, monkeypatch):
 
 def test_no_vectors(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("per_pass", [16, 1 << 13])
+def test_an_audit_counts_all_links_in_passes(spark, monkeypatch, per_pass):
+    """Planted pairs, half of them under one tag; without links an audit says so."""
+    monkeypatch.setattr(nn_descent, "AUDIT_PASS", per_pass)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((100, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(2 * i + j, 2 * i if i % 2 else 2 * i + j, base[i].tolist()) for i in range(100) for j in range(2)]
+    nodes = spark.createDataFrame(rows, "node long, tag long, v array<double>")
+    share = nn_descent.audit(nodes, 200)  # all nodes in one pass, or enough of them in several
+    assert share == 0.5 if per_pass > 200 else 0.4 < share < 0.6
+    assert nn_descent.audit(nodes.filter("node % 2 = 0"), 100) is None
