@@ -183,13 +183,17 @@ def _block_product(queries: DataFrame, chunks: DataFrame, k: int, query_id: str,
     Blocks of queries are dealt to every block of chunks by its number, an
     equi-join; pairs never become rows.  With ``over`` only larger scores count.
     """
-    import numpy as np
-
     parts, blocks = max(1, -(-chunks.count() // CHUNKS)), max(1, -(-queries.count() // QUERIES))
     pack = lambda rows, i, n, name: rows.groupBy(F.pmod(F.xxhash64(i), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(F.col(i).alias("id"), "v")).alias("x"))
     right = pack(chunks, key, parts, "part").select("part", F.col("x").alias("cs"))
     left = pack(queries, query_id, blocks, "block").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("x").alias("qs"))
-    work = right.join(left, "part").select("cs", "qs")
+    kinds = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    return scored_blocks(right.join(left, "part").select("cs", "qs"), k, query_id, key, kinds, over)
+
+
+def scored_blocks(work: DataFrame, k: int, query_id: str, key: str, kinds: tuple[str, str], over: float | None = None) -> DataFrame:
+    """(query_id, key, score) from rows (cs, qs), arrays of (id, v): of each row the k most similar ids of cs for each of qs; kinds: types of key and query_id."""
+    import numpy as np
 
     def matrix(rows):
         import pyarrow as pa
@@ -213,8 +217,7 @@ def _block_product(queries: DataFrame, chunks: DataFrame, k: int, query_id: str,
                 ok = np.ones(len(c), bool) if over is None else s[q, c] > over
                 yield pa.RecordBatch.from_arrays([qs.field("id").take(pa.array(q[ok])), cs.field("id").take(pa.array(c[ok])), pa.array(s[q, c][ok])], names=["q", "c", "score"])
 
-    kind, qkind = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    return work.mapInArrow(run, f"{query_id} {qkind}, {key} {kind}, score double")
+    return work.mapInArrow(run, f"{query_id} {kinds[1]}, {key} {kinds[0]}, score double")
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", key: str = "chunk_id", query_vector: str = "qv", vector: str = "v") -> DataFrame:

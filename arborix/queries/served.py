@@ -9,6 +9,7 @@ from ..operators import boosting, evaluation, repair
 from ..plans import pipelines
 from ..sources.lexical import LexicalIndex
 from ..sources.shared import folder
+from ..sources.vectors import VectorStore
 from .base import RANKS, grid, rank_records, sales_cells, table
 from .retrieval import SQL as RETRIEVAL
 
@@ -27,6 +28,18 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asked, 10, key="doc_id").select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 asked of a store of all vectors, of which a third were added twice."""
+    v = table(spark, sf_dir, "embeddings").select(F.lit("t").alias("table_id"), F.col("vec_id").alias("chunk_id"), F.lit("").alias("text"), F.col("embedding").alias("v"))
+    store = VectorStore(spark, folder(spark, "vectors"))
+    wrong = F.when(F.col("chunk_id") % 3 == 0, F.reverse("v")).otherwise(F.col("v"))
+    store.add("all", v.withColumn("v", wrong))
+    store.add("all", v.filter("chunk_id % 3 = 0"))
+    asked = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
+    hits, _ = store.nearest("all", asked, 5)
+    return hits.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
+
+
 ALPHAS, ROUNDS, DEPTH, RATE, LEAST = (0.5, 0.8, 0.95), 5, 2, 0.3, 20
 FEATURES = ["m", "prio", "yr", "band"]
 
@@ -98,6 +111,6 @@ _REPAIR = grid("""+ n AS (SELECT table_id, r, c, row_path, CASE WHEN r % 5 <> 1
   SELECT table_id || '/' || r || '/' || c AS query_id, lower(array_to_string(row_path, ' > ')) || CASE WHEN k = 3 THEN ' > of' ELSE '' END AS row_header, CASE WHEN k < 3 THEN CAST(CAST(num AS BIGINT) AS VARCHAR) END AS result,
     CASE WHEN k = 3 THEN 'NO_MATCH' WHEN num IS NULL THEN 'EMPTY' END AS flag, k = 3 OR num IS NULL AS flagged, CAST(CASE WHEN num IS NULL THEN 2 ELSE least(k, 2) END AS INTEGER) AS n_repair FROM n""")
 
-SQL = {"lexical_index": RETRIEVAL["bm25_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
+SQL = {"lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
 
-QUERIES = {f.__name__: f for f in (lexical_index, quantile_selector, repair_rounds)}
+QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, repair_rounds)}

@@ -42,30 +42,6 @@ def ranks_by_query(ranks: DataFrame) -> DataFrame:
     return t.select("scheme", "retriever", "query_id", F.transform("x", lambda v: v["rank"]).alias("ranks"))
 
 
-class VectorStore:
-    """Named collections of vectors (table_id, chunk_id, text, v) as Parquet."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def path(self, name: str) -> str:
-        import re
-
-        return f"{self.root}/{re.sub(r'[^A-Za-z0-9_-]', '_', name)[:63]}"
-
-    def add(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path(name))
-
-    def search(self, name: str, queries: DataFrame, vectors: int = 20, tables: int = 5) -> DataFrame:
-        """The best tables among the nearest vectors: (query_id, table_id, score, chunk_id, text of 400 characters at most)."""
-        from ..operators.scoring import best_per_table, dense_topk
-
-        store = self.spark.read.parquet(self.path(name))
-        near = dense_topk(queries, store, vectors).drop("rank").join(store.select("chunk_id", "table_id", F.substring("text", 1, 400).alias("text")), "chunk_id")
-        best = best_per_table(near.drop("text"), vectors, tables)
-        return best.join(store.select("chunk_id", F.substring("text", 1, 400).alias("text")), "chunk_id")
-
-
 def cached(spark: SparkSession, path: str, corpus: DataFrame, encoder: str, encode) -> DataFrame:
     """encode(corpus), kept in a folder by encoder and corpus; made again when either differs.
 

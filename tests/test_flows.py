@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from arborix.operators import texts
 from arborix.plans import pipelines
 from arborix.sources import benchmarks, sinks
+from arborix.sources import vectors as vector_sources
 from arborix.streaming import live
 
 REPO = Path(__file__).resolve().parent.parent
@@ -55,7 +56,7 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("S2", "bm25", "q", "c1", 3, True, False), ("S2", "bm25", "q", "c2", None, False, False)], "scheme string, retriever string, query_id string, cell string, rank int, colliding boolean, total_like boolean")
     rows.write.json(f"{tmp_path}/ranks")
     assert sinks.ranks_by_query(sinks.read_ranks(spark, f"{tmp_path}/ranks")).first().ranks == [3, None]
-    store = sinks.VectorStore(spark, str(tmp_path))
+    store = vector_sources.VectorStore(spark, str(tmp_path))
     store.add("a b", spark.createDataFrame([("t1", "c1", "x", [1.0, 0.0]), ("t2", "c2", "y", [0.0, 1.0])], "table_id string, chunk_id string, text string, v array<double>"))
     near = store.search("a b", spark.createDataFrame([("q", [1.0, 0.1])], "query_id string, qv array<double>"))
     assert near.filter("rank = 1").first().table_id == "t1"

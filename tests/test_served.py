@@ -170,3 +170,37 @@ def test_signed_ranks_beyond_the_exact_range(spark):
     got, one = significance.exact_signed_rank(pairs, "x", "y", ["g"]).first(), significance.wilcoxon(pairs, "x", "y").first()
     assert not got.exact and got.p == pytest.approx(one.p) and got.w == one.w
     assert min(one.p_greater, one.p_less) == pytest.approx(one.p / 2) and one.p_greater + one.p_less == pytest.approx(1)
+
+
+def test_vector_store_reads_only_cells_that_matter(spark, tmp_path):
+    import numpy as np
+
+    from arborix.sources.vectors import VectorStore
+
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((20, 12))
+    vs = [(centers[i % 20] + 0.05 * rng.standard_normal(12)).tolist() for i in range(600)] + [[0.0] * 12] * 2
+    rows = spark.createDataFrame([("t%d" % (i % 7), f"c{i:03}", f"text {i}", v) for i, v in enumerate(vs)], "table_id string, chunk_id string, text string, v array<double>")
+    asked = spark.createDataFrame([(k, vs[k * 13]) for k in range(15)] + [(99, [0.0] * 12), (100, rng.standard_normal(12).tolist())], "query_id int, qv array<double>")
+    store = VectorStore(spark, str(tmp_path))
+    store.add("a b", rows.withColumn("v", F.when(F.col("chunk_id") < "c100", F.reverse("v")).otherwise(F.col("v"))))
+    store.add("a b", rows.filter("chunk_id < 'c100'"))
+
+    def same(k):
+        hits, audit = store.nearest("a b", asked, k)
+        assert rows_of(hits) == rows_of(scoring.dense_topk(asked, rows, k))
+        return {r.query_id: r.cells_read / r.cells for r in audit.collect()}
+
+    share = same(5)
+    assert max(share[k] for k in range(15)) < 0.5 and share[99] == 1.0
+    assert max(same(700).values()) == 1.0  # more than there are
+    assert store.read("a b").count() == 602
+    store.compact("a b")
+    assert len(store.versions("a b")) == 1 and store.read("a b").count() == 602
+    same(5)
+    with pytest.raises(ValueError):
+        store.read("other")
+    store.add("none", rows.limit(0))
+    assert store.nearest("none", asked, 3)[0].count() == 0
+    store.add("none", rows.limit(3))  # begun without a sample: one cell without a direction
+    assert rows_of(store.nearest("none", asked, 3)[0]) == rows_of(scoring.dense_topk(asked, rows.limit(3), 3))
