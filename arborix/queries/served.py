@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting, evaluation, repair
+from ..operators import admission, boosting, evaluation, repair
 from ..plans import pipelines
 from ..sources.lexical import LexicalIndex
 from ..sources.shared import folder
@@ -83,6 +83,13 @@ def _fit_sql(source: str, features: list[str], alpha: float, rounds: int, depth:
     return ", ".join([*out, f"{p} AS (SELECT id, pred FROM {p}_{rounds})"])
 
 
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as calls of up to 198 tokens, 160 a day at most, some turned away once or more."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 100 * 2).alias("tokens"), F.when(F.col("event_id") % 11 == 0, 3).when(F.col("event_id") % 7 == 0, 1).otherwise(0).alias("failures"))
+    t = admission.admitted(e, 160, "event_id", ["user_id"], failures="failures", seconds=86400)
+    return t.select("user_id", "event_id", F.unix_micros("start").alias("start_us"), F.round("waited", 3).alias("waited"), "attempts", "failed")
+
+
 def repair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups of all nations' cells by headers with up to three words too many, of which each repair drops one; some cells are empty for good."""
     c = sales_cells(spark, sf_dir).withColumn("num", F.when(F.col("r") % 5 != 1, F.col("num")))
@@ -111,6 +118,14 @@ _REPAIR = grid("""+ n AS (SELECT table_id, r, c, row_path, CASE WHEN r % 5 <> 1
   SELECT table_id || '/' || r || '/' || c AS query_id, lower(array_to_string(row_path, ' > ')) || CASE WHEN k = 3 THEN ' > of' ELSE '' END AS row_header, CASE WHEN k < 3 THEN CAST(CAST(num AS BIGINT) AS VARCHAR) END AS result,
     CASE WHEN k = 3 THEN 'NO_MATCH' WHEN num IS NULL THEN 'EMPTY' END AS flag, k = 3 OR num IS NULL AS flagged, CAST(CASE WHEN num IS NULL THEN 2 ELSE least(k, 2) END AS INTEGER) AS n_repair FROM n""")
 
-SQL = {"lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
+_ADMISSIONS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at_, event_id % 100 * 2 AS n, CASE WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS fails, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0::BIGINT AS at_, 0 AS fails, 0::BIGINT AS start, 0::BIGINT AS free, []::STRUCT(t BIGINT, n BIGINT)[] AS log FROM e
+    UNION ALL SELECT user_id, i, event_id, at_, fails, start, CASE WHEN start IS NULL THEN free ELSE start + 1000000 * ((1::BIGINT << least(fails, 3)) - 1) END,
+      CASE WHEN start IS NULL THEN log ELSE list_append(list_filter(log, lambda x: start - x.t < 86400000000), {'t': start, 'n': n}) END
+    FROM (SELECT *, CASE WHEN n <= 160 THEN list_min(list_filter(list_prepend(base, list_transform(log, lambda x: x.t + 86400000000)), lambda c: c >= base AND coalesce(list_sum(list_transform(log, lambda x: CASE WHEN c - x.t < 86400000000 THEN x.n ELSE 0 END)), 0) + n <= 160)) END AS start
+      FROM (SELECT e.user_id, e.i, e.event_id, e.at_, e.fails, e.n, f.free, f.log, greatest(e.at_, f.free) AS base FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+  SELECT user_id, event_id, start AS start_us, round((start - at_) / 1000000, 3) AS waited, CAST(CASE WHEN start IS NULL THEN 0 ELSE least(fails, 2) + 1 END AS INTEGER) AS attempts, start IS NULL OR fails > 2 AS failed FROM f WHERE i > 0"""
+
+SQL = {"admissions": _ADMISSIONS, "lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
 
-QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, repair_rounds)}
+QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, admissions, repair_rounds)}

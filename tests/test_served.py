@@ -204,3 +204,41 @@ def test_vector_store_reads_only_cells_that_matter(spark, tmp_path):
     assert store.nearest("none", asked, 3)[0].count() == 0
     store.add("none", rows.limit(3))  # begun without a sample: one cell without a direction
     assert rows_of(store.nearest("none", asked, 3)[0]) == rows_of(scoring.dense_topk(asked, rows.limit(3), 3))
+
+
+def test_admissions_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from arborix.operators import admission
+
+    rng = __import__("random").Random(11)
+    start = datetime(2024, 5, 1, tzinfo=timezone.utc)
+    rows = [(f"k{rng.randint(0, 3)}", i, start + timedelta(seconds=i * 2 + rng.random()), rng.randint(0, 70) if i % 19 else 500, (0, 0, 0, 1, 4)[rng.randint(0, 4)]) for i in range(150)]
+    schema = "who string, id long, ts timestamp, tokens int, failures int"
+    calls = spark.createDataFrame(rows, schema)
+    how = {"budget": 100, "key": "id", "by": ["who"], "failures": "failures"}
+    got = {r.id: r for r in admission.admitted(calls, **how).collect()}
+    # one second at a time, as a poller would do it, but for the parts of a second
+    for who in {r[0] for r in rows}:
+        log, free = [], start
+        for _, i, ts, n, fails in sorted((r for r in rows if r[0] == who), key=lambda r: (r[2], r[1])):
+            r = got[i]
+            if n > 100:
+                assert r.start is None and r.failed
+                continue
+            now = max(ts, free)
+            inside = lambda t: sum(x for s, x in log if (t - s).total_seconds() < 60)  # noqa: E731, B023
+            while inside(now) + n > 100:
+                now = min(s for s, _ in log if (now - s).total_seconds() < 60) + timedelta(seconds=60)
+            log.append((now, n))
+            free = now + timedelta(seconds=2 ** min(fails, 3) - 1)
+            assert r.start.replace(tzinfo=timezone.utc) == now and (r.attempts, r.failed) == (min(fails, 2) + 1, fails > 2)
+            assert r.waited == pytest.approx((now - ts).total_seconds())
+    assert sum(r.waited > 30 for r in got.values() if r.start) > 20
+    for k in range(3):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = admission.admitted_stream(stream, **how)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(200)
+    streamed = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.id: tuple(r) for r in streamed} == {i: tuple(r) for i, r in got.items()} and len(streamed) == len(got)
