@@ -68,6 +68,27 @@ def literal_sql(values: list, name: str) -> str:
     return f"(SELECT CAST(col0 AS INTEGER) AS id, CAST(col1 AS VARCHAR) AS {name} FROM (VALUES {', '.join(f'({i}, {text(v)})' for i, v in enumerate(values))}))"
 
 
+#: In the texts that parts are given: what stands for the size of the part, and for its brand.
+SIZE_MARKS, BRAND_MARK = ("1995", "5"), "ASIA"
+
+
+def phrased(spark: SparkSession, sf_dir: str, values: list, name: str) -> DataFrame:
+    """(id, name): for each part one of the texts, with the part's size and brand put in."""
+    text, size = F.col(name), F.col("p_size").cast("string")
+    for mark in SIZE_MARKS:
+        text = F.replace(text, F.lit(mark), size)
+    given = spark.createDataFrame(list(enumerate(values)), f"k int, {name} string")
+    part = table(spark, sf_dir, "part").withColumn("k", F.pmod("p_partkey", F.lit(len(values))).cast("int"))
+    return part.join(F.broadcast(given), "k").select(F.col("p_partkey").alias("id"), F.replace(text, F.lit(BRAND_MARK), "p_brand").alias(name))
+
+
+def phrased_sql(values: list, name: str) -> str:
+    text = name
+    for mark in SIZE_MARKS:
+        text = f"replace({text}, '{mark}', CAST(p_size AS VARCHAR))"
+    return f"(SELECT p_partkey AS id, replace({text}, '{BRAND_MARK}', p_brand) AS {name} FROM part JOIN {literal_sql(values, name)} v ON v.id = p_partkey % {len(values)})"
+
+
 def questions_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every literal question about every sales table: (query_id, table_id, question)."""
     seg = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("table_id")).distinct()

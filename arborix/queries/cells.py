@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import minisql, structure, texts
-from .base import NUMBERS, grid, literal, literal_sql, sales_cells, table
+from .base import NUMBERS, grid, literal, literal_sql, phrased, phrased_sql, sales_cells, table
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -114,8 +114,8 @@ def table_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All numeric readings of the edge values, side by side."""
-    t = literal(spark, NUMBERS, "v")
+    """All numeric readings of edge values into which the parts' sizes are put, side by side."""
+    t = phrased(spark, sf_dir, NUMBERS, "v")
     nums = tx.numbers("v")
     return t.select(
         "id",
@@ -174,6 +174,7 @@ _CLEAF = "col_path[-1]"
 _ROWS = "SELECT 'table' FROM cells"
 
 _V = literal_sql(NUMBERS, "v")
+_PV = phrased_sql(NUMBERS, "v")
 _FLOAT = r"'^[+-]?(\d+\.?\d*|\.\d+)$'"
 _FLOAT_E = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
 
@@ -226,7 +227,7 @@ SQL = {
       TRY_CAST(nullif(regexp_extract(replace(replace(trim(translate(v, ',$%', '')), '(', '-'), ')', ''), '-?\d+\.?\d*'), '') AS DOUBLE) AS accounting,
       CASE WHEN regexp_full_match(trim(translate(v, ',$', '')), {_FLOAT_E}) THEN TRY_CAST(trim(translate(v, ',$', '')) AS DOUBLE) END AS strict,
       CASE WHEN regexp_full_match(trim(trim(replace(trim(v), ',', ''), '()')), {_FLOAT_E}) THEN TRY_CAST(trim(trim(replace(trim(v), ',', ''), '()')) AS DOUBLE) END AS magnitude,
-      CASE WHEN regexp_full_match(regexp_replace(v, '[$,%\s]', '', 'g'), {_FLOAT_E}) THEN round(TRY_CAST(regexp_replace(v, '[$,%\s]', '', 'g') AS DOUBLE), 4) END AS rounded,
+      CASE WHEN regexp_full_match(regexp_replace(v, '[$,%\s]', '', 'g'), {_FLOAT_E}) THEN CASE WHEN abs(TRY_CAST(regexp_replace(v, '[$,%\s]', '', 'g') AS DOUBLE)) > 1e15 THEN TRY_CAST(regexp_replace(v, '[$,%\s]', '', 'g') AS DOUBLE) ELSE round(TRY_CAST(regexp_replace(v, '[$,%\s]', '', 'g') AS DOUBLE), 4) END END AS rounded,
       TRY_CAST(nullif(replace(regexp_extract(trim(v), '^[$€£]?\s*(-?\d[\d,]*\.?\d*)\s*%?\.?$', 1), ',', ''), '') AS DOUBLE) AS bare,
       TRY_CAST(regexp_extract_all(replace(v, ',', ''), '-?\d[\d,]*\.?\d*')[-1] AS DOUBLE) AS last,
       CASE WHEN regexp_full_match(replace(regexp_replace(regexp_replace(lower(trim(v)), '^\(', ''), '[%)]$', ''), ',', ''), {_FLOAT_E}) THEN TRY_CAST(replace(regexp_replace(regexp_replace(lower(trim(v)), '^\(', ''), '[%)]$', ''), ',', '') AS DOUBLE) END AS tabulated,
@@ -234,7 +235,7 @@ SQL = {
       CAST(replace(regexp_extract_all(v, '-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+\.?\d*')[1], ',', '') AS DOUBLE) AS first_number,
       coalesce(trim(v) <> '' AND NOT regexp_full_match(trim(v), '(?:19|20)\d{{2}}') AND regexp_full_match(trim(v), '[$(\-]?[\d,]+\.?\d*%?\)?'), false) AS looks_numeric,
       coalesce(trim(v) <> '' AND NOT regexp_full_match(trim(v), '(?:19|20)\d{{2}}') AND regexp_full_match(trim(v), '[$(\-]?[\d,]+\.?\d*%?\)?'), false) OR coalesce(lower(trim(v)) IN ('..', '...', '.', '-', '--', '–', '—', 'n/a', 'na', 'x', 'f', 'e', 'r', '*', '†', '‡', 'nil', 'none', 'not available'), false) AS data_like
-      FROM {_V}""",
+      FROM {_PV}""",
     "text_functions": r"""SELECT item_id, regexp_replace(trim(lower(text)), '\s+', ' ', 'g') AS label, trim(regexp_replace(text, '\s+', ' ', 'g')) AS value,
       CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS n_alnum, CAST(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_&$%/.\-]*')) AS INTEGER) AS n_encoder,
       CAST(len(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9]+'), lambda t: t <> '')) AS INTEGER) AS n_norm, CAST(greatest(1, len(text) // 4) AS INTEGER) AS tokens,

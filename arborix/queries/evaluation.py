@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.udfs import html_to_grid
 from ..operators import coverage, evaluation, metrics, questions, ranking, scoring, significance, structure, texts
 from ..plans import pipelines
-from .base import QUESTIONS, RANKS, grid, literal, literal_sql, lower_sql, questions_of_tables, rank_records, sales_cells, table, upper_sql
+from .base import QUESTIONS, RANKS, grid, literal, literal_sql, lower_sql, phrased, questions_of_tables, rank_records, sales_cells, table, upper_sql
 from .retrieval import _KINDS, _bm25_sql, _hash_sql
 
 
@@ -62,18 +62,22 @@ ANSWERS = [
 ]
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, p, g) for i, (p, g) in enumerate(ANSWERS)], "id int, pred string, gold array<string>")
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part one of the predictions, with the part's size put in, and its gold answers, in every third part with the size as well."""
+    put = lambda x: F.replace(x, F.lit("5"), F.col("p_size").cast("string"))
+    given = spark.createDataFrame([(i, p, g) for i, (p, g) in enumerate(ANSWERS)], "k int, pred string, gold array<string>")
+    part = table(spark, sf_dir, "part").withColumn("k", F.pmod("p_partkey", F.lit(len(ANSWERS))).cast("int")).join(F.broadcast(given), "k")
+    return part.select(F.col("p_partkey").alias("id"), put(F.col("pred")).alias("pred"), F.when(F.col("p_partkey") % 3 == 0, F.transform("gold", put)).otherwise(F.col("gold")).alias("gold"))
 
 
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _answers(spark)
+    a = _answers(spark, sf_dir)
     g = F.get("gold", 0)
     return a.select("id", metrics.numeric_match("pred", "gold").alias("numeric"), metrics.exact_match("pred", "gold").alias("exact"), metrics.official_match_text(F.col("pred"), g).alias("official"), metrics.percent_match(F.col("pred"), g).alias("percent"), metrics.answer_bucket("pred", "gold").alias("bucket"), metrics.failure_mode("pred", "gold").alias("failure"))
 
 
 def answer_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rescored(_answers(spark).withColumn("bucket", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")))
+    return metrics.rescored(_answers(spark, sf_dir).withColumn("bucket", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")))
 
 
 def router_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,9 +157,10 @@ def joined_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness at the largest k that each budget pays for."""
-    p = spark.range(1, 31).select(F.lit("all").alias("arm"), F.col("id").alias("k"), (F.col("id") * 37).alias("tokens"), F.round(1 - 1 / F.col("id"), 6).alias("osc"))
-    b = spark.createDataFrame([(x,) for x in (250, 500, 1000, 2000)], "budget long")
+    """Mean discount at the largest line number that each budget pays for, by return flag."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").cast("long").alias("k"))
+    p = line.agg((F.count("*") % 97 + F.col("k") * 100).alias("tokens"), F.round(F.avg("l_discount"), 6).alias("osc"))
+    b = spark.createDataFrame([(x,) for x in (150, 300, 450, 1000)], "budget long")
     return ranking.budget_points(p, b, "osc", ["arm"])
 
 
@@ -244,10 +249,10 @@ HTML = [
 
 
 def html_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids of HTML tables, as given and with spans filled, with guessed header boundaries and paths."""
+    """Grids of the parts' HTML tables, as given and with spans filled, with guessed header boundaries and paths."""
     out = []
     for fill in (False, True):
-        t = literal(spark, HTML, "html").select("id", html_to_grid(F.col("html"), fill).alias("g"))
+        t = phrased(spark, sf_dir, HTML, "html").select("id", html_to_grid(F.col("html"), fill).alias("g"))
         t = t.withColumn("nr", structure.guessed_header_rows("g.grid")).withColumn("nc", structure.guessed_header_cols("g.grid", F.col("nr")))
         say = lambda p: F.array_join(F.transform(p, lambda x: F.array_join(x, ">")), "|")
         m = structure.merged_paths("g.grid", "g.merges", F.col("nr"), F.col("nc"))
@@ -386,7 +391,7 @@ SQL = {
     "packed_context": "SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, tokens, sum(tokens) OVER w AS used, row_number() OVER w AS k FROM (SELECT conv_id, turn, CAST(greatest(1, len(text) // 4) AS INTEGER) AS tokens FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) WHERE used <= 60 OR k = 1",
     "joined_context": """WITH t AS (SELECT conv_id, len(text) AS n, sum(len(text)) OVER w + row_number() OVER w - 1 AS used, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
       f AS (SELECT *, used <= 200 OR k = 1 AS ok FROM t) SELECT conv_id, CAST(sum(n) FILTER (WHERE ok) + count(*) FILTER (WHERE ok) - 1 AS INTEGER) AS n_chars, count(*) FILTER (WHERE ok) < count(*) AS truncated FROM f GROUP BY conv_id""",
-    "token_budgets": "SELECT 'all' AS arm, budget, max(k) AS k, round(1 - 1 / max(k), 6) AS osc FROM range(1, 31) r(k), (SELECT unnest([250, 500, 1000, 2000])::BIGINT AS budget) WHERE k * 37 <= budget GROUP BY budget",
+    "token_budgets": "WITH p AS (SELECT l_returnflag AS arm, CAST(l_linenumber AS BIGINT) AS k, count(*) % 97 + l_linenumber * 100 AS tokens, round(avg(l_discount), 6) AS osc FROM lineitem GROUP BY l_returnflag, l_linenumber), b AS (SELECT unnest([150, 300, 450, 1000])::BIGINT AS budget) SELECT arm, budget, arg_max(osc, k) AS osc, max(k) AS k FROM p JOIN b ON tokens <= budget GROUP BY arm, budget",
     "ladder_rungs": f"{RANKS}, q AS (SELECT query_id, CASE WHEN count(*) = count(rank) THEN max(CAST(ceil(rank / 10) AS INTEGER)) END AS rung FROM ranks WHERE arm = 'base' GROUP BY query_id) SELECT rung, count(*) AS n FROM q GROUP BY rung",
     "cheapest_config": "WITH c AS (SELECT l_orderkey AS query_id, l_returnflag AS config, count(*) AS n_cells, max(l_quantity) > 30 AS complete FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_cells, config) AS k FROM c WHERE complete) SELECT a.query_id, r.config, r.n_cells FROM (SELECT DISTINCT query_id FROM c) a LEFT JOIN r ON r.query_id = a.query_id AND k = 1",
     "rung_policy": f"{RANKS}, p AS (SELECT query_id, count(*) AS m, max(coalesce(rank, 99)) AS worst FROM ranks WHERE arm = 'base' GROUP BY query_id), c AS (SELECT worst, CASE WHEN m <= 2 THEN 2 ELSE 4 END AS rung FROM p) SELECT round(avg(rung * 10), 6) AS mean_cells, median(rung * 10) AS median_cells, round(avg(CAST(worst <= rung * 10 AS INTEGER)), 6) AS osc, count(*) AS n FROM c",

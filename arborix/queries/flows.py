@@ -56,22 +56,25 @@ def ir_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the rows of ASIA hold all cells of a row or of its region, by depth of the table's headers."""
-    c = sales_cells(spark, sf_dir)
-    gold = c.filter("c = 0 and r % 4 = 1").select(F.concat("table_id", F.lit("/"), F.col("r").cast("string")).alias("query_id"), "table_id", "r", "c")
-    have = gold.select("query_id", "table_id").distinct().join(c.filter("row_path[0] = 'ASIA'").select("table_id", "r", "c"), "table_id")
+    """Whether the rows of ASIA hold one of two neighbouring rows or both, by depth of the table's headers, which half of the tables have cut."""
+    c = sales_cells(spark, sf_dir).withColumn("row_path", F.when(F.col("table_id") < "F", F.slice("row_path", 1, 1)).otherwise(F.col("row_path")))
+    gold = c.filter("c = 0 and r % 4 in (1, 2)").select(F.concat("table_id", F.lit("/"), F.floor(F.col("r") / 4).cast("string")).alias("query_id"), "table_id", "r", "c")
+    asked = gold.select("query_id", "table_id").distinct()
+    have = asked.join(c.filter("row_path[0] = 'ASIA'").select("table_id", "r", "c"), "table_id")
     depth = c.groupBy("table_id").agg(F.max(F.size("row_path")).alias("d"))
-    q = metrics.completeness(gold, have).join(gold.select("query_id", "table_id"), "query_id").join(depth, "table_id")
+    q = metrics.completeness(gold, have).join(asked, "query_id").join(depth, "table_id")
     return metrics.by_group(q.withColumn("depth", metrics.depth_bin("d")), "depth").select("depth", "n", F.round("osc", 6).alias("osc"), F.round("recall", 6).alias("recall"))
 
 
 def parsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric readings of whole numbers, prices and percentages made of every part."""
-    p = table(spark, sf_dir, "part")
+    """Numeric readings of whole numbers, prices and percentages made of every part, in forms that vary with its size."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
     price = F.format_number("p_retailprice", 2)
-    neg = F.concat(F.lit("($"), price, F.lit(")"))
-    share = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" %"))
-    return p.select("p_partkey", tx.number_prefix(price).alias("prefix"), tx.number_accounting(neg).alias("accounting"), tx.number_search(share).alias("search"), tx.last_number(F.concat(share, F.lit(" of "), price)).alias("last"), F.size(tx.numbers(F.concat(neg, share))).alias("n_numbers"), tx.looks_numeric(neg).alias("numeric"), tx.data_like(F.col("p_brand")).alias("data"))
+    neg = F.concat(F.when(size % 2 == 0, "($").otherwise("("), price, F.lit(")"))
+    share = F.concat(F.lit(" "), size.cast("string"), F.lit(" %"))
+    both = F.concat(neg, F.when(size % 5 > 0, share).otherwise(""))
+    mark = F.when(size % 3 == 0, "-").otherwise(F.col("p_brand"))
+    return p.select("p_partkey", tx.number_prefix(price).alias("prefix"), tx.number_accounting(neg).alias("accounting"), tx.number_search(share).alias("search"), tx.last_number(F.concat(share, F.lit(" of "), price)).alias("last"), F.size(tx.numbers(both)).alias("n_numbers"), tx.looks_numeric(neg).alias("numeric"), tx.data_like(mark).alias("data"))
 
 
 _METRICS = {"set_recall_20": "s20", "hit_20": "h20", "coverage_20": "c20", "ndcg_20": "d20", "rr": "rr"}
@@ -99,8 +102,13 @@ SQL = {
       z AS (SELECT metric, gain + loss AS k, least(gain, loss) AS low, abs((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)) / sqrt(2.0) AS x FROM w JOIN s USING (metric)),
       p AS (SELECT metric, CASE WHEN metric IN ('set_recall_20', 'hit_20') THEN least(1.0, 2 * {lower_sql('k', 'low')}) ELSE least(1.0, t * exp(-x * x + {_HORNER})) END AS p FROM (SELECT *, {_POLY} AS t FROM z))
       SELECT metric, round(base, 6) AS base, round(treat, 6) AS treat, n, gain, loss, round(p, 4) AS p FROM s JOIN p USING (metric)""",
-    "completeness_depths": grid("""+ gold AS (SELECT DISTINCT table_id, r, CASE WHEN row_path[1] = 'ASIA' THEN 1 ELSE 0 END AS hit FROM cells WHERE r % 4 = 1)
-      SELECT 'd2' AS depth, count(*) AS n, round(avg(hit), 6) AS osc, round(avg(hit), 6) AS recall FROM gold"""),
-    "parsed_labels": """SELECT p_partkey, round(p_retailprice, 2) AS prefix, -round(p_retailprice, 2) AS accounting, CAST(p_size AS DOUBLE) AS search, round(p_retailprice, 2) AS last, 2 AS n_numbers, false AS numeric, false AS data FROM part""",
+    "completeness_depths": grid("""+ p AS (SELECT table_id, r, CASE WHEN table_id < 'F' THEN row_path[1:1] ELSE row_path END AS path FROM cells),
+      depth AS (SELECT table_id, max(len(path)) AS d FROM p GROUP BY table_id), gold AS (SELECT DISTINCT table_id, r, r // 4 AS k, CASE WHEN path[1] = 'ASIA' THEN 1.0 ELSE 0.0 END AS hit FROM p WHERE r % 4 IN (1, 2)),
+      q AS (SELECT table_id, k, min(hit) AS osc, avg(hit) AS recall FROM gold GROUP BY table_id, k)
+      SELECT CASE WHEN d <= 1 THEN 'flat(d<=1)' ELSE 'd' || d END AS depth, count(*) AS n, round(avg(osc), 6) AS osc, round(avg(recall), 6) AS recall FROM q JOIN depth USING (table_id) GROUP BY 1"""),
+    "parsed_labels": r"""WITH s AS (SELECT p_partkey, p_size, p_brand, p_retailprice AS x, CASE WHEN p_size % 2 = 0 THEN '($' ELSE '(' END || format('{:,.2f}', p_retailprice) || ')' AS neg FROM part),
+      t AS (SELECT *, neg || CASE WHEN p_size % 5 > 0 THEN ' ' || p_size || ' %' ELSE '' END AS both_, CASE WHEN p_size % 3 = 0 THEN '-' ELSE p_brand END AS mark FROM s)
+      SELECT p_partkey, round(x, 2) AS prefix, -round(x, 2) AS accounting, CAST(p_size AS DOUBLE) AS search, round(x, 2) AS last, CAST(len(regexp_extract_all(both_, '-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+\.?\d*')) AS INTEGER) AS n_numbers,
+        regexp_full_match(neg, '[$(\-]?[\d,]+\.?\d*%?\)?') AS numeric, mark IN ('-', '..', 'n/a') OR regexp_full_match(mark, '[$(\-]?[\d,]+\.?\d*%?\)?') AS data FROM t""",
 }
 QUERIES = {f.__name__: f for f in (rerank_contrast, injected_answers, selector_policies, reconstruction_cost, ir_comparison, completeness_depths, parsed_labels)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import linking, questions, scope, scoring, texts
-from .base import QUESTIONS, grid, literal, literal_sql, questions_of_tables, sales_cells, table
+from .base import QUESTIONS, grid, literal, literal_sql, phrased, phrased_sql, questions_of_tables, sales_cells, table
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -17,18 +17,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = literal(spark, QUESTIONS, "question")
+    q = phrased(spark, sf_dir, QUESTIONS, "question")
     t = q.withColumn("kind", questions.query_type("question"))
     return t.select("id", "kind", questions.needs_symbolic("kind").alias("symbolic"), F.array_join(questions.stages("kind"), ",").alias("stages"), questions.answer_strategy("kind").alias("strategy"), questions.route("question").alias("route"), questions.is_ratio("question").alias("ratio"), questions.is_comparison("question").alias("comparison"))
 
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = literal(spark, QUESTIONS, "question")
+    q = phrased(spark, sf_dir, QUESTIONS, "question")
     return q.select("id", F.array_join(questions.terms("question"), " ").alias("terms"), questions.expansion("question").alias("expansion"), questions.with_totals("question", True).alias("rewritten"))
 
 
 def compared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, QUESTIONS, "question").select("id", F.array_join(questions.compared_spans("question"), "|").alias("spans"))
+    return phrased(spark, sf_dir, QUESTIONS, "question").select("id", F.array_join(questions.compared_spans("question"), "|").alias("spans"))
 
 
 def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +244,7 @@ def decomposed_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = literal_sql(QUESTIONS, "question")
+_PQ = phrased_sql(QUESTIONS, "question")
 _HAS = lambda p, x="q": f"regexp_matches({x}, '(?i){p}')"
 _s = lambda p: p.replace("'", "''")
 _KIND = f"""CASE WHEN len(q) - len(translate(q, '+-*/', '')) >= 2 OR len(list_distinct(regexp_extract_all(lower(q), '{questions.TRIGGER}', 1))) >= 2 OR {_HAS(questions.MULTI)} THEN 'multi_op_formula'
@@ -252,7 +253,7 @@ _KIND = f"""CASE WHEN len(q) - len(translate(q, '+-*/', '')) >= 2 OR len(list_di
   WHEN {_HAS(questions.PAIR)} OR {_HAS(questions.ARG)} THEN 'single_arg'
   WHEN {_HAS(questions.COMPARE)} OR {_HAS(questions.COUNT)} THEN 'comparison_or_count'
   WHEN {_HAS(questions.DEFINITION)} AND NOT {_HAS(questions.TABLE_WORD)} THEN 'reasoning_only' ELSE 'simple_lookup' END"""
-_KINDS = f"kinds AS (SELECT id, question, trim(question) AS q, {_KIND} AS kind FROM (SELECT id, question, trim(question) AS q FROM {_Q}))"
+_KINDS = f"kinds AS (SELECT id, question, trim(question) AS q, {_KIND} AS kind FROM (SELECT id, question, trim(question) AS q FROM {_PQ}))"
 _any = lambda ps: " OR ".join(f"regexp_matches(lower(trim(question)), '{_s(p)}')" for p in ps)
 _STOPS = ", ".join(f"'{w}'" for w in [*questions.CUES, *questions.STOP])
 _TERMS = rf"""list_filter(list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_&$%/\-]+|\d{{4}}'), lambda t: lower(t)), lambda t: regexp_full_match(t, '1[89]\d{{2}}|20\d{{2}}') OR (len(t) >= 3 AND NOT list_contains([{_STOPS}], t)))"""
@@ -354,7 +355,7 @@ SQL = {
     "question_terms": f"""WITH {_KINDS}, t AS (SELECT id, question, kind, {_ONCE(_TERMS)} AS ts FROM kinds),
       h AS (SELECT *, CASE WHEN kind IN ('arithmetic_agg', 'multi_op_formula') THEN ['total', 'percent'] WHEN kind = 'comparison_or_count' THEN ['total'] ELSE []::VARCHAR[] END AS hs FROM t)
       SELECT id, array_to_string(ts, ' ') AS terms, array_to_string(list_concat(ts, list_filter(hs, lambda x: NOT list_contains(ts, x))), ' ') AS expansion, CASE WHEN {_RATIO} THEN question || ' total overall' ELSE question END AS rewritten FROM h""",
-    "compared_spans": f"SELECT id, {_span_case()} AS spans FROM {_Q}",
+    "compared_spans": f"SELECT id, {_span_case()} AS spans FROM {_PQ}",
     "difficulty_classes": """SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN 'multi_op_formula' WHEN p_partkey % 5 = 0 THEN 'arithmetic_agg' WHEN p_partkey % 5 = 4 THEN 'pair_or_topk_arg' WHEN p_partkey % 5 = 1 THEN 'single_arg' WHEN p_partkey % 5 = 2 THEN 'comparison_or_count'
       WHEN p_size % 3 = 0 OR p_size % 4 = 0 THEN 'single_op_formula' ELSE 'simple_lookup' END AS class, CASE WHEN p_size % 3 = 0 OR p_size % 4 = 0 THEN 'gamma' ELSE 'beta' END AS route FROM part""",
     "bm25_topk": f"WITH asked AS (SELECT item_id AS query_id, text AS question FROM benchmark), {_bm25_sql('documents', 'doc_id', 'asked')} SELECT query_id, doc_id, rank, round(score, 4) AS score FROM {_RANKED('doc_id')} WHERE rank <= 10",
