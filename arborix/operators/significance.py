@@ -68,36 +68,70 @@ def wilson(p, n, z: float = 1.96) -> Column:
     return F.when(n > 0, F.struct(F.greatest(F.lit(0.0), (mid - half) / d).alias("low"), F.least(F.lit(1.0), (mid + half) / d).alias("high")))
 
 
-def bootstrap(values: DataFrame, value: str = "d", rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean of a column with a 95 % percentile interval: (mean, low, high).
+#: Groups of values that a round's draws are first split over; distinct values of a group, about.
+GROUPS, GROUP = 64, 100_000
 
-    A round draws every value a number of times that is Poisson with mean one;
-    equal values are drawn together, by their count.  The draws of a value are a
-    fixed function of it, so results repeat.  Values stay where they are: each
-    task gives one sum a round.
+
+def bootstrap_means(values: DataFrame, value: str = "d", rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """(b, mean, n): of each round the mean of n draws with replacement from the n values, nulls left out.
+
+    Equal values are drawn together.  The driver splits a round's n draws over
+    groups of values, by their sizes; a group's task splits its part over its
+    values.  Both are binomials of what is left, so every round has n draws, and
+    fixed functions of seed, group and values, so results repeat.  A task holds
+    one group, of GROUP distinct values or so, and gives one sum a round.
     """
     import numpy as np
-    import pyarrow as pa
+
+    spark = values.sparkSession
+    counts = values.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    distinct = counts.count()
+    groups = max(GROUPS, -(-distinct // GROUP))
+    counts = counts.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
+    sizes = {r.g: r.n for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}  # one number a group
+    kept, n = sorted(sizes), sum(sizes.values())
+    if not n:
+        return spark.createDataFrame([], "b int, mean double, n long")
+    parts = np.random.default_rng([seed, groups]).multinomial(n, np.array([sizes[g] for g in kept]) / n, rounds)
+    drawn = spark.sparkContext.broadcast(dict(zip(kept, parts.T, strict=True)))
 
     def run(batches):
-        total, drawn = np.zeros(rounds), np.zeros(rounds, np.int64)
-        for batch in batches:
-            for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = np.random.default_rng([seed, int(np.float64(v + 0.0).view(np.uint64))]).poisson(n, rounds)
-                total += w * v
-                drawn += w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total), pa.array(drawn)], names=["b", "s", "n"])
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    counts = values.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    mean = counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-    sums = counts.mapInArrow(run, "b long, s double, n long").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0")
+        def drawn_from(g, v, c):
+            rng, m, total = np.random.default_rng([seed, groups, g]), drawn.value[g], np.zeros(rounds)
+            step = max(1, (1 << 21) // len(v))
+            for at in range(0, rounds, step):
+                total[at : at + step] = rng.multinomial(m[at : at + step], c / c.sum()) @ v
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total), pa.array(m)], names=["b", "s", "m"])
+
+        held, now = [], None
+        for batch in batches:
+            for g in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), g))
+                if held and g != now:
+                    yield drawn_from(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                held.append((own.column(1).to_numpy(), own.column(2).to_numpy()))
+                now = g
+        if held:
+            yield drawn_from(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    sums = counts.select("g", "v", "n").repartition("g").sortWithinPartitions("g", "v").mapInArrow(run, "b int, s double, m long")
+    return sums.groupBy("b").agg((F.sum("s") / F.sum("m")).alias("mean"), F.sum("m").alias("n"))
+
+
+def bootstrap(values: DataFrame, value: str = "d", rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """Mean of a column with a 95 % percentile interval, interpolated: (mean, low, high); null without values."""
+    own = values.agg(F.avg(F.col(value).cast("double")).alias("mean"))
     # rounded, since the order of the sums is not fixed
-    m = sums.agg(F.array_sort(F.collect_list(F.round(F.col("s") / F.col("n"), 12))).alias("ms"))
-    place = lambda q: F.get("ms", (F.size("ms") * q).cast("int"))
-    return mean.crossJoin(m).select(F.round("mean", 12).alias("mean"), place(0.025).alias("low"), place(0.975).alias("high"))
+    m = bootstrap_means(values, value, rounds, seed).select(F.round("mean", 12).alias("mean"))
+    ends = m.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    return own.crossJoin(ends).select(F.round("mean", 12).alias("mean"), F.round("low", 12).alias("low"), F.round("high", 12).alias("high"))  # one row each
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, value: str = "osc", rounds: int = 2000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, value: str = "osc", rounds: int = 10_000, seed: int = 42) -> DataFrame:
     """Of the difference a - b over the same queries."""
     pair = a.select("query_id", F.col(value).alias("x")).join(b.select("query_id", F.col(value).alias("y")), "query_id")
     return bootstrap(pair.select("query_id", (F.col("x") - F.col("y")).cast("double").alias("d")), "d", rounds, seed)

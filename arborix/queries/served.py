@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admission, boosting, evaluation, repair
 from ..plans import pipelines
+from ..sources import commits
 from ..sources.lexical import LexicalIndex
 from ..sources.shared import folder
 from ..sources.vectors import VectorStore
@@ -90,6 +91,18 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", "event_id", F.unix_micros("start").alias("start_us"), F.round("waited", 3).alias("waited"), "attempts", "failed")
 
 
+def committed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer, counted in batches that are committed: first of half of the customers, then of what is left."""
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+
+    def work(todo: DataFrame) -> DataFrame:
+        return todo.join(o, todo["c_custkey"] == o["o_custkey"], "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"), F.max("o_orderkey").alias("last_order"))
+
+    log = commits.CommitLog(spark, folder(spark, "commits"), "c_custkey", slices=3)
+    log.run(c.filter("c_custkey % 2 = 0"), work)
+    return log.run(c, work)
+
+
 def repair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups of all nations' cells by headers with up to three words too many, of which each repair drops one; some cells are empty for good."""
     c = sales_cells(spark, sf_dir).withColumn("num", F.when(F.col("r") % 5 != 1, F.col("num")))
@@ -126,6 +139,6 @@ _ADMISSIONS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS
       FROM (SELECT e.user_id, e.i, e.event_id, e.at_, e.fails, e.n, f.free, f.log, greatest(e.at_, f.free) AS base FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
   SELECT user_id, event_id, start AS start_us, round((start - at_) / 1000000, 3) AS waited, CAST(CASE WHEN start IS NULL THEN 0 ELSE least(fails, 2) + 1 END AS INTEGER) AS attempts, start IS NULL OR fails > 2 AS failed FROM f WHERE i > 0"""
 
-SQL = {"admissions": _ADMISSIONS, "lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
+SQL = {"committed_work": "SELECT c_custkey, count(o_orderkey) AS n_orders, max(o_orderkey) AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", "admissions": _ADMISSIONS, "lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
 
-QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, admissions, repair_rounds)}
+QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, admissions, committed_work, repair_rounds)}

@@ -242,3 +242,19 @@ def test_admissions_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(200)
     streamed = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {r.id: tuple(r) for r in streamed} == {i: tuple(r) for i, r in got.items()} and len(streamed) == len(got)
+
+
+def test_bootstrap_draws_as_many_as_there_are(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    xs = np.concatenate([rng.integers(-3, 4, 300).astype(float), rng.standard_normal(400)]).round(3).tolist()
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "d double")
+    means = significance.bootstrap_means(df, rounds=3000).collect()
+    assert len(means) == 3000 and {r.n for r in means} == {700}
+    m = np.array([r["mean"] for r in means])
+    assert abs(m.mean() - np.mean(xs)) < 4 * np.std(xs) / 700**0.5 / 3000**0.5 and m.std() == pytest.approx(np.std(xs) / 700**0.5, rel=0.06)
+    got = significance.bootstrap(df, rounds=3000).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(m, [2.5, 97.5])), abs=1e-9)
+    assert tuple(got) == tuple(significance.bootstrap(df.repartition(5), rounds=3000).first())
+    assert tuple(significance.bootstrap(df.limit(0), rounds=10).first()) == (None, None, None)
