@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..functions.udfs import path_similarity, store_similarity
+from ..functions.udfs import store_similarity
+from . import likeness
 
 
 def _c(x) -> Column:
@@ -182,18 +183,13 @@ def compared_spans(question) -> Column:
 def path_ranking(questions: DataFrame, paths: DataFrame, n: int, by: str = "store") -> DataFrame:
     """(query_id, path, score): the n paths of a question's table that are most like its terms.
 
-    questions: (query_id, table_id, question); paths: (table_id, path: array),
-    distinct.  Scores are computed once for each pair of a table's paths and a
-    question about it.
+    questions: (query_id, table_id, question), one row for each; paths: (table_id,
+    path: array), distinct.  Only pairs that can be among the n best are compared.
     """
     asked = questions.select("query_id", "table_id", terms("question").alias("terms"))
-    pair = asked.join(paths, "table_id")
-    if by == "store":  # pairs without a shared word score 0 and go before Python sees them
-        pair = pair.filter(F.arrays_overlap(F.flatten(F.transform("terms", tx.norm_tokens)), tx.norm_tokens(F.array_join("path", " "))))
-    like = store_similarity(F.array_join("terms", " "), "path") if by == "store" else path_similarity("terms", F.array_join("path", " > "))
-    scored = pair.withColumn("score", like).filter("score > 0").withColumn("key", F.array_join("path", " > "))
+    some = likeness.scored(asked, paths, n, by).withColumn("key", F.array_join("path", " > "))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "table_id", "path", "score", "rank")
+    return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", "table_id", "path", "score", "rank")
 
 
 def resolved(questions: DataFrame, cells: DataFrame, cols: int = 3, rows: int = 4) -> DataFrame:

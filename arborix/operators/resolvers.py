@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.udfs import store_similarity
+from . import likeness, scoring
 from . import questions as qs
-from . import scoring
 
 MODES = ("lexical", "embed", "cross", "cascade", "cross_cascade")
 
@@ -75,7 +75,7 @@ def resolved(questions: DataFrame, paths: DataFrame, mode: str = "lexical", n: i
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}; there are {MODES}")
-    words = best(lexical(questions, paths if leaves is None else leaves), n, 0.0)
+    words = best(likeness.scored(questions.select("query_id", "table_id", qs.terms("question").alias("terms")), paths if leaves is None else leaves, n), n)
     if mode == "lexical" or (mode.startswith("cross") and scorer is None):
         return words
     if mode.startswith("cross"):
