@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import likeness, questions
 from .base import grid, questions_of_tables, sales_cells
-from .hits import _ASKED
-from .retrieval import _ONCE, _TERMS
+from .hits import _ASKED, _CHUNK
+from .retrieval import _TERMS, _bm25_sql
 
 N = 4
 
@@ -73,6 +73,8 @@ _WORDS_ONLY = "kind = 'store' AND len(shared) > 0"
 #: The first two paths of each axis of each question, or an empty one where an axis has none.
 _OPERANDS = """few AS (SELECT axis, query_id, path, score FROM ranked WHERE rank <= 2 UNION ALL SELECT x.axis, a.query_id, []::VARCHAR[], 0 FROM asked a, (SELECT unnest(['row', 'col']) AS axis) x WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.axis = x.axis AND r.query_id = a.query_id)),
  ops AS (SELECT r.query_id, list_concat(r.path, c.path) AS path, max(greatest(r.score, c.score)) AS s FROM few r JOIN few c ON r.query_id = c.query_id AND r.axis = 'row' AND c.axis = 'col' WHERE len(r.path) + len(c.path) > 0 GROUP BY ALL)"""
+_WORDS_OF = "list_filter(string_split_regex(lower(array_to_string({}, ' ')), '[^a-z0-9]+'), lambda w: w <> '')"
+_COVERED = "len(list_filter(want, lambda w: NOT list_contains(toks, w))) = 0"
 _LETTER_SUM = " + ".join([f"least(length(a) - length(replace(a, '{x}', '')), length(b) - length(replace(b, '{x}', '')))" for x in likeness.LETTERS] + [f"least(length(translate(a, '{likeness.LETTERS}', '')), length(translate(b, '{likeness.LETTERS}', '')))"])
 
 SQL = {
@@ -86,6 +88,19 @@ SQL = {
         UNION ALL SELECT 'cascade', * FROM w UNION ALL SELECT 'cascade', query_id, least(n, 2) FROM other UNION ALL SELECT 'cross_cascade', * FROM w UNION ALL SELECT 'cross_cascade', query_id, least(n, 2) FROM other)
       SELECT mode, query_id, n, n AS last FROM modes"""),
     "decomposition_accuracy": _sql(_WHOLE, "kind = 'decomposer'", f"""{_RANKED} SELECT query_id, coalesce(max(CASE WHEN path = ['ASIA', '1995', 'A'] THEN 1.0::DOUBLE END), 0.0::DOUBLE) AS accuracy FROM asked LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) USING (query_id) GROUP BY query_id"""),
+    "operand_retrieval": _sql(_AXES, _WORDS_ONLY, f"""{_RANKED}, {_OPERANDS}, {_CHUNK}, asked1 AS (SELECT 'plain' AS mode, query_id AS owner, table_id, question FROM asked UNION SELECT 'operand', query_id, table_id, array_to_string(ops.path, ' ') FROM ops JOIN asked USING (query_id)),
+      probes AS (SELECT *, mode || '|' || owner || '|' || question AS query_id FROM asked1), {_bm25_sql('chunks', 'chunk_id', 'probes', part='table_id')},
+      best AS (SELECT mode, owner, chunk_id, max(score) AS score FROM scores JOIN probes USING (query_id) GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY mode, owner ORDER BY round(score, 6) DESC, chunk_id) AS place FROM best),
+      gold AS (SELECT query_id, mode, chunk_id, k FROM asked JOIN cells USING (table_id) JOIN chunks USING (table_id, r), (SELECT unnest(['plain', 'operand']) AS mode), (SELECT unnest([1, 3, 5]) AS k) WHERE r = c AND r < 4),
+      per AS (SELECT gold.mode, k, query_id, avg(CASE WHEN place <= k THEN 1 ELSE 0 END) AS recall FROM gold LEFT JOIN top ON top.owner = gold.query_id AND top.mode = gold.mode AND top.chunk_id = gold.chunk_id GROUP BY gold.mode, k, query_id)
+      SELECT mode, k, count(*) AS n, round(avg(recall), 6) AS recall FROM per GROUP BY mode, k"""),
+    "fallback_contexts": _sql(_AXES, _WORDS_ONLY, f"""{_RANKED}, {_OPERANDS}, {_CHUNK}, {_bm25_sql('chunks', 'chunk_id', 'asked', part='table_id')},
+      hits AS (SELECT query_id, table_id, r, chunk_id, text, place, {_WORDS_OF.format('h.row_path')} AS toks FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS place FROM scores) JOIN chunks USING (chunk_id) JOIN (SELECT DISTINCT table_id, r, row_path FROM cells) h USING (table_id, r) WHERE place <= 5),
+      done AS (SELECT query_id, s, EXISTS (SELECT 1 FROM hits WHERE hits.query_id = ops.query_id AND {_COVERED}) AS ok FROM (SELECT query_id, s, {_WORDS_OF.format('path')} AS want FROM ops) ops),
+      reports AS (SELECT query_id, avg(CAST(ok AS INTEGER)) < 0.7 OR avg(s) < 0.3 AS fallback FROM done GROUP BY query_id),
+      chosen AS (SELECT query_id, place, text FROM hits JOIN reports USING (query_id) WHERE NOT fallback UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c.r), c.text FROM (SELECT DISTINCT query_id, table_id FROM hits) JOIN reports USING (query_id) JOIN chunks c USING (table_id) WHERE fallback),
+      spent AS (SELECT query_id, place, greatest(1, length(text) // 4) AS tokens FROM chosen), used AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY place) AS used FROM spent)
+      SELECT query_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM used WHERE used <= 4096 OR place = 1 GROUP BY query_id"""),
     "ranked_cells": _sql(_WHOLE, "kind = 'decomposer' OR len(shared) > 0", f"{_RANKED} SELECT kind, query_id, key AS path, rank, round(score, 6) AS score FROM ranked WHERE rank <= {N}"),
     "path_candidates": _sql(_WHOLE, "true", f"""bound AS (SELECT kind, query_id, ns, {_SCORE.format(f"CASE WHEN ns > 0 AND length(b) < {likeness.LONG} THEN 2::DOUBLE * longest / (length(a) + length(b)) ELSE 0 END")} AS low, {_SCORE.format(f"(2::DOUBLE * ({_LETTER_SUM}) / (length(a) + length(b)))")} AS high FROM pairs),
       floors AS (SELECT kind, query_id, low AS floor FROM (SELECT *, row_number() OVER (PARTITION BY kind, query_id ORDER BY low DESC) AS k FROM bound WHERE ns > 0) WHERE k = {N})
