@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admission, boosting, evaluation, repair
 from ..plans import pipelines
-from ..sources import commits
+from ..sources import commits, formats
 from ..sources.lexical import LexicalIndex
 from ..sources.shared import folder
 from ..sources.vectors import VectorStore
@@ -41,6 +41,17 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sample files of two splits, read as a data source: those of one split about five tables, with their answers."""
+    formats.register(spark)
+    at = folder(spark, "samples")
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("string").alias("table_id"), F.col("p_name").alias("question"), F.array(F.col("p_brand"), F.col("p_size").cast("string")).alias("answer"))
+    for k, split in enumerate(("dev", "train")):
+        part.filter(F.substring("id", 2, 20).cast("long") % 2 == k).select(F.to_json(F.struct("*"))).write.text(f"{at}/{split}_samples")
+    read = spark.read.format("table_samples").option("rangeBytes", 1 << 20).load(at)
+    return read.filter(F.col("split").isin("dev") & F.col("table_id").isin("1", "7", "12", "30", "50")).select("split", "id", "table_id", "question", F.array_join("answer", "|").alias("answer"))
+
+
 ALPHAS, ROUNDS, DEPTH, RATE, LEAST = (0.5, 0.8, 0.95), 5, 2, 0.3, 20
 FEATURES = ["m", "prio", "yr", "band"]
 
@@ -139,6 +150,6 @@ _ADMISSIONS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS
       FROM (SELECT e.user_id, e.i, e.event_id, e.at_, e.fails, e.n, f.free, f.log, greatest(e.at_, f.free) AS base FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
   SELECT user_id, event_id, start AS start_us, round((start - at_) / 1000000, 3) AS waited, CAST(CASE WHEN start IS NULL THEN 0 ELSE least(fails, 2) + 1 END AS INTEGER) AS attempts, start IS NULL OR fails > 2 AS failed FROM f WHERE i > 0"""
 
-SQL = {"committed_work": "SELECT c_custkey, count(o_orderkey) AS n_orders, max(o_orderkey) AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", "admissions": _ADMISSIONS, "lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
+SQL = {"sample_files": "SELECT 'dev' AS split, 'p' || p_partkey AS id, CAST(p_size AS VARCHAR) AS table_id, p_name AS question, p_brand || '|' || p_size AS answer FROM part WHERE p_partkey % 2 = 0 AND p_size IN (1, 7, 12, 30, 50)", "committed_work": "SELECT c_custkey, count(o_orderkey) AS n_orders, max(o_orderkey) AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", "admissions": _ADMISSIONS, "lexical_index": RETRIEVAL["bm25_topk"], "vector_store": RETRIEVAL["dense_topk"], "quantile_selector": _SELECTOR, "repair_rounds": _REPAIR}
 
-QUERIES = {f.__name__: f for f in (lexical_index, vector_store, quantile_selector, admissions, committed_work, repair_rounds)}
+QUERIES = {f.__name__: f for f in (sample_files, lexical_index, vector_store, quantile_selector, admissions, committed_work, repair_rounds)}
