@@ -59,6 +59,15 @@ def test_rank_tests(spark):
     assert (w.n, w.w) == (8, 0.0) and w.p < 0.02
 
 
+def test_rank_tests_of_more_rows_than_a_long_holds_the_cube_of(spark):
+    n = 1_800_000
+    w = significance.wilcoxon(spark.range(n).select((F.col("id") % 2 * 2 - 1).cast("double").alias("a"), F.lit(0.0).alias("b")), "a", "b").first()
+    assert (w.n, w.w) == (n, n / 2 * (n + 1) / 2) and w.p == pytest.approx(1, abs=1e-6)
+    v = spark.range(100_000).select(F.lit(1).alias("g"), (F.col("id") % 7).cast("int").alias("rank"), (F.col("id") % 2 == 0).alias("colliding"))
+    u, e = significance.mann_whitney(v).first(), significance.exact_rank_sum(v, "rank", "colliding", ["g"]).first()
+    assert not e.exact and (e.n1, e.n2, e.u) == (u.n1, u.n2, u.u) and e.p == pytest.approx(u.p)
+
+
 def test_exact_signed_ranks(spark):
     from itertools import product
 
