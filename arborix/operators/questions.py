@@ -16,7 +16,7 @@ def _c(x) -> Column:
 
 
 def _has(pattern: str, x: Column) -> Column:
-    return x.rlike("(?i)" + pattern)
+    return x.rlike("(?i)" + tx.ascii_pattern(pattern))
 
 
 #: Cue patterns of the classifier (fixed values).
@@ -37,7 +37,7 @@ def query_type(question) -> Column:
     """One of six types, by the first rule that holds."""
     q = F.trim(F.coalesce(_c(question), F.lit("")))
     symbols = F.length(q) - F.length(F.translate(q, "+-*/", ""))
-    triggers = F.size(F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(TRIGGER), F.lit(1))))
+    triggers = F.size(F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(tx.ascii_pattern(TRIGGER)), F.lit(1))))
     return (
         F.when((symbols >= 2) | (triggers >= 2) | _has(MULTI, q), "multi_op_formula")
         .when(_has(ENTITY, q) & (_has(ARG, q) | _has(PAIR, q)), "single_arg")
@@ -91,7 +91,7 @@ ROUTE_LIST = (r"\blist\b", r"\btop\s+\w+\b", r"\bwhich\s+(are|were|industries|co
 def route(question) -> Column:
     """Lists of cells go to beta, unless compared; all else, arithmetic included, to gamma."""
     q = F.lower(F.trim(_c(question)))
-    any_of = lambda ps: F.coalesce(q.rlike("|".join(f"(?:{p})" for p in ps)), F.lit(False))
+    any_of = lambda ps: F.coalesce(q.rlike(tx.ascii_pattern("|".join(f"(?:{p})" for p in ps))), F.lit(False))
     arithmetic = any_of(ROUTE_ARITHMETIC)
     return F.when(any_of(ROUTE_COMPARE), "gamma").when(arithmetic, "gamma").when(any_of(ROUTE_LIST), "beta").otherwise("gamma")
 
@@ -173,7 +173,7 @@ SPLITS = (
 def compared_spans(question) -> Column:
     """The two entities that a question compares, or the question alone."""
     q, out = _c(question), None
-    for p in SPLITS:
+    for p in map(tx.ascii_pattern, SPLITS):
         a, b = tx.clean_span(F.regexp_extract(q, p, 1)), tx.clean_span(F.regexp_extract(q, p, 2))
         ok = q.rlike(p) & (a != "") & (b != "") & (F.lower(a) != F.lower(b))
         out = F.when(ok, F.array(a, b)) if out is None else out.when(ok, F.array(a, b))

@@ -19,7 +19,7 @@ def rows_of(cells: DataFrame) -> DataFrame:
 def is_total_label(path, any_segment: bool = False) -> Column:
     """A row's own label names a total; a row without a path counts as one."""
     p = F.col(path) if isinstance(path, str) else path
-    hit = lambda s: s.rlike(r"(?i)\b(total|overall)\b|^all\b")
+    hit = lambda s: s.rlike(tx.ascii_pattern(r"(?i)\b(total|overall)\b|^all\b"))
     return (F.size(p) == 0) | (F.exists(p, hit) if any_segment else F.coalesce(hit(F.try_element_at(p, F.lit(-1))), F.lit(False)))
 
 

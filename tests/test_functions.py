@@ -162,6 +162,8 @@ def test_terms_and_types(spark):
     assert kind("who had the higher proportion") == "single_arg"
     assert kind("total row") == "simple_lookup" and kind("the total sales") == "arithmetic_agg"
     assert kind("define entropy") == "reasoning_only" and kind(None) == "simple_lookup"
+    assert kind("der ßbest erst") == "single_arg" and kind("der abest erst") == "simple_lookup"  # words are those of ASCII, as in the SQL
+    assert kind("x and y \r over z") == "multi_op_formula" and kind("x and y \n over z") == "simple_lookup"
     assert one(spark, questions.compared_spans(F.lit("difference between A and B?"))) == ["A", "B"]
     assert one(spark, questions.compared_spans(F.lit("plain"))) == ["plain"]
 
