@@ -76,9 +76,24 @@ def cheapest_complete(configs: DataFrame) -> DataFrame:
 
 
 def throttled(calls: DataFrame, budget: float, ts: str = "ts", tokens: str = "tokens", by: list[str] | None = None, seconds: int = 60) -> DataFrame:
-    """Tokens of the trailing window at each call, and whether they are within the budget."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("window_tokens", F.sum(tokens).over(w)).withColumn("allowed", F.col("window_tokens") <= budget)
+    """Tokens of the trailing window at each call, and whether they are within the budget.
+
+    Time is cut into spans as long as the window, which are added up apart from
+    each other: a span begins with the tokens of the one before it, whose calls
+    leave one by one as the window moves on.  So each call is added once and
+    taken off once, however many the window holds.  Whole numbers are exact;
+    sums of fractions are rounded as they come and go.
+    """
+    by, width = by or [], seconds * 1_000_000
+    rows = calls.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_n": F.col(tokens), "_some": F.col(tokens).isNotNull().cast("long")})
+    rows = rows.withColumn("_span", F.col("_at") - F.pmod("_at", F.lit(width)))
+    past = rows.filter("_at is not null and _some = 1").select(*by, "_at", "_n", "_some", (F.col("_span") + width).alias("_span"))
+    carried = past.groupBy(*by, "_span").agg(F.sum("_n").alias("_n"), F.sum("_some").alias("_some")).withColumn("_at", F.col("_span"))
+    left = past.select(*by, "_span", (F.col("_at") + width + 1).alias("_at"), (-F.col("_n")).alias("_n"), (-F.col("_some")).alias("_some"))
+    moved = rows.withColumn("_call", F.lit(True)).unionByName(carried, True).unionByName(left, True)
+    w = Window.partitionBy(*by, "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    t = moved.withColumn("window_tokens", F.when(F.sum("_some").over(w) > 0, F.sum("_n").over(w))).filter("_call")
+    return t.drop("_at", "_n", "_some", "_span", "_call").withColumn("allowed", F.col("window_tokens") <= budget)
 
 
 def stratified(rows: DataFrame, by: str, n: int, key: str, seed: int = 0) -> DataFrame:

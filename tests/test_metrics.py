@@ -215,3 +215,20 @@ def test_encoders_are_named_and_fall_back_only_if_allowed(spark):
     c = spark.createDataFrame([("c1", "abcd"), ("c2", "xyz"), ("c3", "")], "chunk_id string, text string")
     got = scoring.encoded_topk(q, c, 2, own).collect()
     assert [(r.chunk_id, r.encoder) for r in sorted(got, key=lambda r: r["rank"])] == [("c2", "lengths"), ("c1", "lengths")]
+
+
+def test_throttled_windows_are_the_brute_force_in_running_sums(spark):
+    from datetime import datetime, timedelta
+
+    rng = __import__("random").Random(5)
+    t0, second = datetime(1969, 12, 31, 23, 59, 50), 1_000_000
+    rows = [(i, rng.choice("ab"), None if i % 17 == 0 else rng.choice((0, 1, second, 3 * second, rng.randrange(20 * second))), None if i % 5 == 0 else rng.randrange(-3, 40)) for i in range(300)] + [(300, "c", 0, None)]
+    df = spark.createDataFrame([(i, k, None if u is None else t0 + timedelta(microseconds=u), n) for i, k, u, n in rows], "i long, k string, ts timestamp, tokens int")
+    got = ranking.throttled(df, 60, by=["k"], seconds=2)
+    for r in got.collect():
+        _, k, u, _ = rows[r.i]
+        inside = [n for _, k2, v, n in rows if k2 == k and n is not None and (v is None if u is None else v is not None and u - 2 * second <= v <= u)]
+        assert r.window_tokens == (sum(inside) if inside else None) and r.allowed == (None if not inside else sum(inside) <= 60)
+    assert got.count() == len(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan  # no window is added up anew for each call
