@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.udfs import answer_text_udf
 from ..operators import coverage, evaluation, linking, metrics, questions, ranking, resolvers, scoring, significance, structure, texts
 from ..sources import sinks
-from .base import HORNER, POLY, QUESTIONS, RANKS, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
+from .base import HORNER, POLY, QUESTIONS, RANKS, dealt, grid, literal, literal_sql, questions_of_tables, rank_records, sales_cells, table
 from .retrieval import _hash_sql
 
 
@@ -21,7 +21,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as the hits of a query: (query_id, cell, score, part, flag)."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    line = dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey", "l_linenumber")
     return line.agg(F.max("l_quantity").cast("double").alias("score"), F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag")).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("cell"), "score", "part", "flag")
 
 
