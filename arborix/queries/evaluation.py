@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.udfs import html_to_grid
 from ..operators import coverage, evaluation, metrics, questions, ranking, scoring, significance, structure, texts
 from ..plans import pipelines
-from .base import QUESTIONS, RANKS, grid, literal, literal_sql, lower_sql, phrased, questions_of_tables, rank_records, sales_cells, table, upper_sql
+from .base import QUESTIONS, RANKS, dealt, grid, literal, literal_sql, lower_sql, phrased, questions_of_tables, rank_records, sales_cells, table, upper_sql
 from .retrieval import _KINDS, _bm25_sql, _hash_sql
 
 
@@ -236,7 +236,7 @@ def plan_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consistency_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of each order's line quantities, the first line as the floor."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    line = dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
     s = line.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") - 1).alias("k"), F.col("q").cast("long").cast("string").alias("pred"), (F.col("f") == "R").alias("clean"))
     return _union([evaluation.vote(s, plain=p).select(F.lit(p).alias("plain"), "query_id", "answer") for p in (False, True)])
 

@@ -35,3 +35,12 @@ def test_completeness_without_a_join(spark):
     t = metrics.completeness(cells((1, 1, 1), (1, 1, 1), (1, 1, 2), (2, 0, None), (3, 0, 0)), cells((1, 1, 1), (1, 1, 1), (2, 0, None), (3, 0, 0), (3, 5, 5), (4, 0, 0)))
     assert sorted(tuple(r) for r in t.collect()) == [(1, 2, 0, 0.5), (2, 1, 0, 0.0), (3, 1, 1, 1.0)]
     assert "Join" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_votes_read_a_number_once_for_each_sample_and_floor(spark):
+    from arborix.operators import evaluation
+
+    s = spark.createDataFrame([(1, 0, "50", True), (1, 1, "49.5", True), (1, 2, "-50", False), (2, 0, "a", True), (2, 1, " B", True), (2, 2, "b", True), (3, 1, None, True)], "query_id long, k int, pred string, clean boolean")
+    t = evaluation.vote(s)
+    assert sorted((r.query_id, r.answer) for r in t.collect()) == [(1, "50"), (2, " B"), (3, None)]
+    assert t._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
