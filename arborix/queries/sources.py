@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.udfs import html_to_grid
 from ..operators import structure
 from ..sources import benchmarks
-from .base import grid, sales_cells, table
+from .base import dealt, grid, sales_cells, stored, table
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -69,7 +69,7 @@ def linked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents with a table of their lines; every third states a value that its table does not hold."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("f"))
+    line = dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("long").alias("q"), F.max("l_returnflag").alias("f"))
     row = F.concat(F.lit("<tr><td>line "), F.col("n").cast("string"), F.lit("</td><td>"), F.col("q").cast("string"), F.lit("</td></tr>"))
     stated = F.when((F.col("k") % 3 == 0) & (F.col("n") == 1), F.col("q") + 5000).otherwise(F.col("q"))
     at = F.concat(F.lit("0-"), F.col("n").cast("string"), F.lit("-1"))
@@ -84,8 +84,8 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of documents along the filters, the last one that stated values stand in the table, and both populations."""
-    d = _filings(spark, sf_dir)
-    q, cells, funnel = benchmarks.multihiertt_of(d)
+    d = stored(_filings(spark, sf_dir), "filings")
+    q, cells, funnel = benchmarks.multihiertt_of(d, keep_as=stored)
     lookup, _, _ = benchmarks.multihiertt_of(d, "lookup_single")
     c = cells.agg(F.count("*").alias("n_cells"), F.sum("num").alias("total"))
     return funnel.crossJoin(c).crossJoin(q.agg(F.count("*").alias("arith_multi"))).crossJoin(lookup.agg(F.count("*").alias("lookup_single")))  # one row each

@@ -172,11 +172,12 @@ def wikisql(spark: SparkSession, path: str, limit: int | None = None) -> tuple[D
 QA = "uid string, tables array<string>, table_description map<string, string>, qa struct<question: string, question_type: string, program: string, table_evidence: array<string>, text_evidence: array<string>, answer: string>"
 
 
-def multihiertt_of(docs: DataFrame, population: str = "arith_multi", tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame, DataFrame]:
+def multihiertt_of(docs: DataFrame, population: str = "arith_multi", tolerance: float = 1e-6, keep_as: Callable[[DataFrame, str], DataFrame] = lambda rows, _: rows) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, cells, funnel) of documents (QA): one population of questions, tables of all documents, and the counts along the filters.
 
     The last step checks the evidence: the numbers that its descriptions state
-    must stand in the table.
+    must stand in the table.  keep_as(rows, label) may store what several of the
+    three results need, so that tables are parsed once.
     """
     ev = F.coalesce("qa.table_evidence", F.array().cast("array<string>"))
     tables = F.array_distinct(F.transform(ev, lambda s: F.get(F.split(s, "-"), 0)))
@@ -186,11 +187,12 @@ def multihiertt_of(docs: DataFrame, population: str = "arith_multi", tolerance:
     table_id = F.concat("uid", F.lit("#"), F.get(tables, 0))
     html = docs.select("uid", F.posexplode("tables").alias("k", "html")).select(F.concat("uid", F.lit("#"), F.col("k").cast("string")).alias("table_id"), html_to_grid(F.col("html"), fill=True).alias("g"))
     head = html.select("table_id", F.lit("").alias("title"), F.col("g.grid").alias("grid"), F.col("g.n_span_rows").alias("n_header_rows"), F.lit(1).alias("n_header_cols"))
-    cells = structure.grid_cells(head)
+    cells = keep_as(structure.grid_cells(head), "cells")
     stated = docs.select("uid", table_id.alias("table_id"), F.explode(ev).alias("at"), "table_description").select("uid", "table_id", "at", F.try_element_at("table_description", "at").alias("description"))
     values = evidence_values(stated)
     near = values.join(cells.select("table_id", tx.number_accounting("raw").alias("num")), "table_id").filter(F.abs(F.col("num") - F.col("value")) <= tolerance * F.greatest(F.abs("value"), F.lit(1.0))).select("uid", "at").distinct()
     lost = values.filter("value is not null").join(near, ["uid", "at"], "left_anti").select("uid").distinct().withColumn("lost", F.lit(True))
+    lost = keep_as(lost, "lost")
     # the steps of the funnel are cumulative: one pass counts them all
     steps = [arithmetic, arithmetic & alone, arithmetic & alone & one, arithmetic & alone & one & (n >= 2)]
     steps.append(steps[-1] & F.col("lost").isNull())
@@ -199,8 +201,8 @@ def multihiertt_of(docs: DataFrame, population: str = "arith_multi", tolerance:
     funnel = checked.agg(F.count("*").alias("questions"), *[F.count_if(s).alias(k) for s, k in zip(steps, names, strict=True)])
     if population not in ("arith_multi", "lookup_single"):
         raise ValueError(f"no such population: {population}")
-    keep = steps[-1] if population == "arith_multi" else ~arithmetic & alone & (n == 1)
-    q = checked.filter(keep).select(F.col("uid").alias("query_id"), F.col("qa.question").alias("question"), table_id.alias("table_id"), F.array("qa.answer").alias("answer"), ev.alias("evidence"))
+    rows = checked.filter(steps[-1]) if population == "arith_multi" else docs.filter(~arithmetic & alone & (n == 1))  # lookups are not checked
+    q = rows.select(F.col("uid").alias("query_id"), F.col("qa.question").alias("question"), table_id.alias("table_id"), F.array("qa.answer").alias("answer"), ev.alias("evidence"))
     return q, cells, funnel
 
 

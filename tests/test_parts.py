@@ -44,3 +44,13 @@ def test_votes_read_a_number_once_for_each_sample_and_floor(spark):
     t = evaluation.vote(s)
     assert sorted((r.query_id, r.answer) for r in t.collect()) == [(1, "50"), (2, " B"), (3, None)]
     assert t._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+
+
+def test_the_funnel_parses_tables_once(spark, monkeypatch):
+    from arborix.queries import sources
+
+    kept = []
+    monkeypatch.setattr(sources, "stored", lambda rows, label, own=sources.stored: kept.append(label) or own(rows, label))
+    t = sources.evidence_funnel(spark, DIR)
+    assert kept == ["filings", "cells", "lost"]
+    assert "Python" not in t._jdf.queryExecution().optimizedPlan().toString()  # all that is parsed is stored
