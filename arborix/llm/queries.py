@@ -62,10 +62,10 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores: (doc_id, held_out, score, predicted, flagged)."""
-    from .toxicity import held_out, score, train
+    from .toxicity import held_out, score, train_whole
 
     docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    net = train_whole(docs, labels.filter(~held_out(F.col("doc_id"))))
     rows = score(docs, net).withColumnRenamed("id", "doc_id")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "flagged")
 

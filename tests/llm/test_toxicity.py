@@ -91,3 +91,28 @@ def test_gradients_lower_the_loss():
     net = toxicity.fit(hs, y, ["en"] * 60)
     p = np.array([net.scores(*toxicity._join([h]))[0] for h in hs])
     assert np.mean((p >= 0.5) == y) > 0.9
+
+
+def test_all_labelled_texts_are_fitted(spark, monkeypatch):
+    rows = texts(1500, 1) + [(7, "second text of seven", "en", "clash", 1), (8, None, None, "clash", 0)]
+    docs = spark.createDataFrame([r[:4] for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows[:1500]] + [(None, 1, 1), (3, 1, None), (10_000, 1, 1)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    monkeypatch.setattr(toxicity, "BLOCK", 400)
+    kept = toxicity._stored_texts(docs, labels, "doc_id", "text", "lang").collect()
+    assert len(kept) == 1500 and len({r.block for r in kept}) >= 4  # one of two texts of an id, labels without a text none
+    net = toxicity.train_whole(docs, labels)
+    assert set(net.thresholds) == {"en", "de", ""} and net.scale != (1.0, 0.0)
+    held = texts(600, 2)
+    got = {r.id: r for r in toxicity.score(spark.createDataFrame([r[:4] for r in held], SCHEMA), net).collect()}
+    assert np.mean([got[r[0]].predicted == r[4] for r in held]) > 0.97
+    assert np.mean([got[r[0]].flagged == bool(r[4]) for r in held]) > 0.97
+    again = toxicity.train_whole(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(net.table, again.table) and net.scale == again.scale and net.thresholds == again.thresholds
+
+
+def test_whole_fit_without_labels_or_with_one_class(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", ""), (2, "", "en", "")], SCHEMA)
+    for labels in ([], [(1, 1, 0), (2, 1, 0)]):
+        net = toxicity.train_whole(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert all(0 <= r.score <= 1 for r in toxicity.score(docs, net).collect())
