@@ -54,3 +54,13 @@ def test_the_funnel_parses_tables_once(spark, monkeypatch):
     t = sources.evidence_funnel(spark, DIR)
     assert kept == ["filings", "cells", "lost"]
     assert "Python" not in t._jdf.queryExecution().optimizedPlan().toString()  # all that is parsed is stored
+
+
+def test_sales_cells_are_summed_once_for_all_rounds_of_repair(spark, monkeypatch):
+    from arborix.queries import served
+
+    plan = base.sales_cells(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    kept = []
+    monkeypatch.setattr(base, "stored", lambda rows, label, own=base.stored: kept.append(label) or own(rows, label))
+    assert served.repair_rounds(spark, DIR).count() > 0 and kept == ["cells"]
