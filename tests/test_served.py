@@ -258,3 +258,14 @@ def test_bootstrap_draws_as_many_as_there_are(spark):
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(m, [2.5, 97.5])), abs=1e-9)
     assert tuple(got) == tuple(significance.bootstrap(df.repartition(5), rounds=3000).first())
     assert tuple(significance.bootstrap(df.limit(0), rounds=10).first()) == (None, None, None)
+
+
+def test_quantile_models_read_equal_rows_once(spark, monkeypatch):
+    rows = [(float(i % 4), float(i % 3), float((i % 4) * 2 + i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    seen = []
+    monkeypatch.setattr(boosting, "_quantiles", lambda t, alphas, exact, own=boosting._quantiles: seen.append(t.count()) or own(t, alphas, exact))
+    models = boosting.fit(df, ["a", "b"], "y", (0.5, 0.9), rounds=3, least=5)
+    assert max(seen) == 2 * len(set(rows))
+    monkeypatch.setattr(boosting, "EXACT", 0)
+    assert boosting.fit(df, ["a", "b"], "y", (0.5, 0.9), rounds=3, least=5) == models  # by the sketch, which is exact here
