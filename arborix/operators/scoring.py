@@ -181,14 +181,16 @@ def _block_product(queries: DataFrame, chunks: DataFrame, k: int, query_id: str,
 
     Both have a column v: vectors of doubles, or (b, w) pairs of DIM buckets.
     Blocks of queries are dealt to every block of chunks by its number, an
-    equi-join; pairs never become rows.  With ``over`` only larger scores count.
+    equi-join; pairs never become rows.  The copies of the queries are shuffled,
+    never broadcast: beside them they look small before they are made.  With
+    ``over`` only larger scores count.
     """
     parts, blocks = max(1, -(-chunks.count() // CHUNKS)), max(1, -(-queries.count() // QUERIES))
     pack = lambda rows, i, n, name: rows.groupBy(F.pmod(F.xxhash64(i), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(F.col(i).alias("id"), "v")).alias("x"))
     right = pack(chunks, key, parts, "part").select("part", F.col("x").alias("cs"))
     left = pack(queries, query_id, blocks, "block").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("x").alias("qs"))
     kinds = chunks.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    return scored_blocks(right.join(left, "part").select("cs", "qs"), k, query_id, key, kinds, over)
+    return scored_blocks(right.join(left.hint("merge"), "part").select("cs", "qs"), k, query_id, key, kinds, over)
 
 
 def scored_blocks(work: DataFrame, k: int, query_id: str, key: str, kinds: tuple[str, str], over: float | None = None) -> DataFrame:

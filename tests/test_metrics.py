@@ -232,3 +232,13 @@ def test_throttled_windows_are_the_brute_force_in_running_sums(spark):
     assert got.count() == len(rows)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan  # no window is added up anew for each call
+
+
+def test_copies_of_queries_never_pass_the_driver(spark):
+    """Each block of chunks meets all queries: their copies grow with both sides."""
+    v = spark.range(300).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    q = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
+    t = scoring.dense_topk(q, v, 2)
+    assert t.count() == 30
+    t.collect()
+    assert "BroadcastExchange" not in t._jdf.queryExecution().executedPlan().toString()
