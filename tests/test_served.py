@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from arborix.functions import text as tx
 from arborix.operators import boosting, repair, scoring, significance
 from arborix.sources.lexical import LexicalIndex
 
@@ -39,6 +40,31 @@ def test_lexical_index_of_nothing(spark, tmp_path):
     assert index.search(spark.createDataFrame([(1, "a")], "query_id long, question string"), 3).count() == 0
 
 
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lexical_index_moves_chunks_not_postings(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    before = shuffled_records(spark)
+    index = LexicalIndex.build(docs, f"{tmp_path}/index")
+    # chunks, their keys and counts of words move; postings alone would be more
+    assert shuffled_records(spark) - before < index.terms.agg(F.sum("df")).first()[0]
+
+
+def test_lexical_index_takes_any_words_and_keys(spark, tmp_path):
+    texts = ["a1-B2 a1", "\u0130stanbul \u212aelvin b2", "", None, "x", "x--x_x", "\u00e9t\u00e9 a1 b2 long " + "word " * 50, "b2"]
+    docs = spark.createDataFrame([(f"k{9 - i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["a1 b2", "stanbul kelvin", "X x", "word long t", ""])], "query_id string, question string")
+    for i, words in enumerate((tx.alnum_tokens, tx.word_tokens)):
+        index = LexicalIndex.build(docs, f"{tmp_path}/{i}", tokenize=words, range_size=2)
+        want = rows_of(scoring.bm25_topk(asked, docs, 2, tokenize=words))
+        assert want and rows_of(index.search(asked, 2, tokenize=words)) == want
+        assert {r.term for r in index.terms.collect()} == {w for r in docs.select(words("text").alias("w")).collect() for w in r.w}
+
+
 def brute_fit(rows, alpha, rounds, depth, rate, least):
     """rows: (features, y); predictions of all rows."""
     quantile = lambda v: sorted(v)[math.ceil(alpha * len(v)) - 1]
